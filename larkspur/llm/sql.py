@@ -22,4 +22,26 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id
 """
 
-ORACLES = {"op6_decontaminate": OP6}
+OP10 = """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+win AS (
+  SELECT doc_id, s, md5(array_to_string(list_slice(w, s, s + 49), ' ')) AS t
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS s FROM d)
+),
+low AS (SELECT t, min(doc_id) AS first_id FROM win GROUP BY t),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(s, s + 49)) AS p
+  FROM (SELECT win.doc_id, s FROM win JOIN low ON win.t = low.t WHERE win.doc_id > low.first_id)
+),
+word AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS p, unnest(w) AS x FROM d),
+kept AS (
+  SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.p) FILTER (gone.p IS NULL) AS k, count(gone.p) AS n_removed
+  FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.p = word.p GROUP BY word.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+ORACLES = {"op6_decontaminate": OP6, "op10_substrings": OP10}
