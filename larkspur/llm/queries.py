@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import remainder
 from larkspur.llm.decontaminate import decontaminate
+from larkspur.llm.language_model import score_documents
 from larkspur.llm.simhash import simhash_components
 from larkspur.llm.substrings import dedup_substrings
 
@@ -20,6 +22,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_documents(docs.withColumn("held_out", remainder(F.col("doc_id"), 7) == 2))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -33,6 +40,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op6_decontaminate": op6_decontaminate,
+    "op7_language_model": op7_language_model,
     "op8_simhash": op8_simhash,
     "op10_substrings": op10_substrings,
 }
