@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import toxicity
+from larkspur.llm import fingerprints, toxicity
 from larkspur.llm.common import remainder
 from larkspur.llm.decontaminate import decontaminate
 from larkspur.llm.language_model import score_documents
+from larkspur.llm.packing import pack
 from larkspur.llm.simhash import simhash_components
 from larkspur.llm.substrings import dedup_substrings
 
@@ -17,6 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+    a, b, c = (fingerprints.selected_hashes(F.col(x)) for x in ("fp", "edited_fp", "next_fp"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("fp")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprints.likeness(a, b).alias("near_edited"),
+        fingerprints.likeness(a, c).alias("near_next"),
+    )
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Fitted on the labelled documents that aren't held out."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder(F.col("doc_id"), 5) != 0)
@@ -28,6 +43,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -51,7 +70,9 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
+    "op4_packing": op4_packing,
     "op6_decontaminate": op6_decontaminate,
     "op7_language_model": op7_language_model,
     "op8_simhash": op8_simhash,
