@@ -12,6 +12,7 @@ from larkspur.llm.language_model import score_documents
 from larkspur.llm.packing import pack
 from larkspur.llm.simhash import simhash_components
 from larkspur.llm.substrings import dedup_substrings
+from larkspur.llm.url_rules import judge
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels are those of the table `labels` whose doc_id is the page's id: toxic or of low quality is blocked."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("block"))
+    return judge(pages, pages.join(labels, F.col("page_id") == F.col("doc_id")).select("url", "block"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -72,6 +80,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
+    "op3_url_rules": op3_url_rules,
     "op4_packing": op4_packing,
     "op6_decontaminate": op6_decontaminate,
     "op7_language_model": op7_language_model,
