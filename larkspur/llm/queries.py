@@ -9,6 +9,7 @@ from larkspur.llm import fingerprints, toxicity
 from larkspur.llm.common import remainder
 from larkspur.llm.decontaminate import decontaminate
 from larkspur.llm.language_model import score_documents
+from larkspur.llm.line_templates import dedup_lines
 from larkspur.llm.packing import pack
 from larkspur.llm.simhash import simhash_components
 from larkspur.llm.substrings import dedup_substrings
@@ -55,6 +56,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -82,6 +88,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_url_rules": op3_url_rules,
     "op4_packing": op4_packing,
+    "op5_line_templates": op5_line_templates,
     "op6_decontaminate": op6_decontaminate,
     "op7_language_model": op7_language_model,
     "op8_simhash": op8_simhash,

@@ -44,4 +44,41 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
-ORACLES = {"op6_decontaminate": OP6, "op10_substrings": OP10}
+_MASK = "regexp_replace(array_to_string(list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda t: t <> ''), ' '), '(^|[ ])[^ ]*[0-9][^ ]*', '\\1<*>', 'g')"
+
+OP5 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents),
+m AS (SELECT doc_id, text, raw, list_transform(raw, lambda x: {_MASK}) AS al FROM d),
+e AS (SELECT doc_id, al, unnest(generate_series(1, len(al))) AS i FROM m),
+l AS (
+  SELECT doc_id, i, al[i] AS mask, CASE WHEN i > 1 THEN al[i - 1] ELSE '' END AS b, coalesce(al[i + 1], '') AS a, string_split(al[i], ' ') AS w
+  FROM e WHERE al[i] <> ''
+),
+c AS (SELECT *, len(w) AS n, array_to_string(list_slice(w, 1, 3), ' ') AS lead FROM l WHERE len(w) <= 30),
+u AS (SELECT mask, any_value(w) AS w, any_value(n) AS n, any_value(lead) AS lead, count(DISTINCT (b, a)) AS places FROM c GROUP BY mask),
+leaf AS (SELECT n, lead FROM u GROUP BY n, lead HAVING sum(places) >= 10 AND count(*) > 1),
+t AS (SELECT mask, u.n, u.lead, places, unnest(generate_series(1, u.n)) AS p, unnest(w) AS tok FROM u JOIN leaf ON u.n = leaf.n AND u.lead = leaf.lead),
+k AS (SELECT n, lead, p, tok FROM t WHERE tok <> '<*>' GROUP BY ALL HAVING sum(places) >= 10),
+s AS (
+  SELECT mask, any_value(t.n) AS n, count(*) AS same, string_agg(t.p || ':' || t.tok, ' ' ORDER BY t.p) AS kept, any_value(t.lead) AS lead
+  FROM t JOIN k ON t.n = k.n AND t.lead = k.lead AND t.p = k.p AND t.tok = k.tok GROUP BY mask
+),
+nm AS (
+  SELECT u.mask, u.places, CASE WHEN s.same >= s.n * 0.5 THEN concat('t', s.n, '|', s.lead, '|', s.kept) ELSE concat('o', u.mask) END AS template
+  FROM u LEFT JOIN s ON u.mask = s.mask
+),
+gone AS (SELECT mask FROM nm WHERE template IN (SELECT template FROM nm GROUP BY template HAVING sum(places) >= 10)),
+g AS (SELECT doc_id, list(i) AS ix FROM c WHERE mask IN (SELECT mask FROM gone) GROUP BY doc_id),
+r AS (
+  SELECT m.doc_id, m.text, len(raw) AS n_lines,
+    CASE WHEN ix IS NULL THEN raw ELSE list_filter(raw, lambda x, i: NOT list_contains(ix, i)) END AS kept,
+    CASE WHEN ix IS NULL THEN al ELSE list_filter(al, lambda x, i: NOT list_contains(ix, i)) END AS kept_mask
+  FROM m LEFT JOIN g ON m.doc_id = g.doc_id
+)
+SELECT doc_id, n_lines,
+  CASE WHEN len(list_filter(kept_mask, lambda x: x <> '')) = 0 THEN 0 ELSE n_lines - len(kept) END AS n_dropped,
+  sha256(CASE WHEN len(list_filter(kept_mask, lambda x: x <> '')) = 0 THEN text ELSE array_to_string(kept, chr(10)) END) AS kept_sha256
+FROM r
+"""
+
+ORACLES = {"op5_line_templates": OP5, "op6_decontaminate": OP6, "op10_substrings": OP10}
