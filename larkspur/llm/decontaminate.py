@@ -47,8 +47,8 @@ def prefix_index(docs: DataFrame, windows: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20) -> DataFrame:
     """Where documents repeat benchmark items.
 
-    docs has doc_id and text, benchmark has item_id and text. Returns one row for each row of docs: doc_id, n_words,
-    spans (array of start and end word positions, from 0, end exclusive), n_hit (words inside any span), items (ids as
+    docs has doc_id and text, benchmark has item_id and text. Returns one row for each row of docs: doc_id, mark
+    (hash of the text, which tells rows of one id apart), n_words, spans (array of start and end word positions, from 0, end exclusive), n_hit (words inside any span), items (ids as
     sorted strings), contaminated (n_hit > 0 and at least one word in `one_in` is hit). Null and empty texts have no words
     and are not contaminated; items without words are ignored; rows with the same id and text get the same answer; an
     empty benchmark finds nothing. Other columns of docs and benchmark are not read.
@@ -86,6 +86,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_i
     joined = counted.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("mark") == F.col("hit_mark")), "left")
     return joined.select(
         "doc_id",
+        "mark",
         "n_words",
         F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
         covered.alias("n_hit"),

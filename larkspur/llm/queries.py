@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import fingerprints, toxicity
+from larkspur.llm import fingerprints, pii, toxicity
 from larkspur.llm.common import remainder
 from larkspur.llm.decontaminate import decontaminate
 from larkspur.llm.language_model import score_documents
@@ -77,6 +77,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["rank"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(pii.as_text(F.col("base")).cast("binary"), 256)
+    return found.select("doc_id", *(count(k) for k in pii.KINDS[:4]), digest.alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -92,5 +99,6 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_language_model": op7_language_model,
     "op8_simhash": op8_simhash,
+    "op9_personal_data": op9_personal_data,
     "op10_substrings": op10_substrings,
 }

@@ -64,7 +64,7 @@ WIDE_WORDS, WIDE_SHINGLES = 2, 4
 
 
 def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and w0.., s0..: SimHashes over the distinct words and over the shingles of `size` words."""
+    """doc_id, mark (hash of the text) and w0.., s0..: SimHashes over the distinct words and over the shingles of `size` words."""
     names = [f"w{i}" for i in range(WIDE_WORDS)] + [f"s{i}" for i in range(WIDE_SHINGLES)]
 
     def one(data: bytes) -> list[int]:
@@ -76,10 +76,10 @@ def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             found = np.array([one(bytes(b)) for b in rows["data"]], np.uint64).reshape(-1, len(names)).view(np.int64)
-            yield pd.concat([rows[["doc_id"]].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
+            yield pd.concat([rows[["doc_id", "mark"]].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
 
-    data = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
-    return data.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
+    data = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")).withColumn("mark", F.xxhash64("data"))
+    return data.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -256,8 +256,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     Two texts that agree in `similarity` of their shingles differ in few single words, so candidates are found by 16-bit
     blocks of a SimHash over distinct words; a SimHash of 256 bits over shingles then decides: sets with Jaccard
     similarity s have cosine 2s / (1 + s) when they are of one size, and bits differ with probability angle / pi. The
-    radius lies one standard deviation above the expectation. Returns doc_id and component_id as simhash_components
-    does; texts without words are alike.
+    radius lies one standard deviation above the expectation. Returns doc_id, mark (XXH64 of the text, to tell rows of
+    one id apart) and component_id, as simhash_components does; texts without words are alike.
     """
     words, shingles = [f"w{i}" for i in range(WIDE_WORDS)], [f"s{i}" for i in range(WIDE_SHINGLES)]
     marked = cut(wide_fingerprints(docs.select("doc_id", "text"), size))
@@ -269,4 +269,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     roots = components(link(nodes, keys, shingles, radius))
     classes = nodes.join(roots, "node", "left").select(*(F.col(c).alias(f"node_{c}") for c in (*words, *shingles)), F.coalesce("root", "node").alias("component_id"))
     same = [F.col(c) == F.col(f"node_{c}") for c in (*words, *shingles)]
-    return marked.join(classes, same, "left").select("doc_id", "component_id")
+    return marked.join(classes, same, "left").select("doc_id", "mark", "component_id")

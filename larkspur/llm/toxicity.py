@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,17 +119,38 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: in
     return Model(buckets, weights, bias)
 
 
+def _slots(model: Model) -> np.ndarray:
+    slots = np.full(BUCKETS, -1, np.int32)
+    slots[model.buckets] = np.arange(len(model.buckets))
+    return slots
+
+
+def _scores(model: Model, slots: np.ndarray, texts: Iterable[bytes]) -> np.ndarray:
+    z = np.array([model.bias + model.weights[_select(slots, t)].sum() for t in texts], float)
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 from 0.5 on) for each row of docs (doc_id, text). Null and empty texts get
     the score of a text without known n-grams. Other columns are not read."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots = np.full(BUCKETS, -1, np.int32)
-        slots[model.buckets] = np.arange(len(model.buckets))
+        slots = _slots(model)
         for rows in batches:
-            z = np.array([model.bias + model.weights[_select(slots, bytes(d))].sum() for d in rows["data"]], float)
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "score": 1 / (1 + np.exp(-np.clip(z, -40, 40)))})
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "score": _scores(model, slots, map(bytes, rows["data"]))})
 
     data = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     return data.mapInPandas(run, f"doc_id {kind}, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below `threshold`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = _slots(model)
+        for rows in batches:
+            texts = rows.column(rows.schema.get_field_index("text")).to_pylist()
+            yield rows.filter(pa.array(_scores(model, slots, [(t or "").encode() for t in texts]) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
