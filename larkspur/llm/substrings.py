@@ -17,6 +17,8 @@ from larkspur.llm.hashing import gram_hashes, word_hashes
 ANCHOR_WORDS = 8
 #: Different passages around one anchor up to which an automaton is built; more are compared by window digests.
 SHARD_PASSAGES = 500
+#: Window starts that share a core when windows are compared by digest.
+STRETCH = 8
 
 
 class Automaton:
@@ -79,19 +81,19 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def owners(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The anchors of a word sequence: hash, first window start and last window start that belong to each.
+def owners(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of a word sequence: hash, position, first window start and last window start that belong to each.
 
     A window of `length` words belongs to the first of its grams that have the least hash.
     """
     grams = gram_hashes(hashes, ANCHOR_WORDS)
     span = length - ANCHOR_WORDS + 1
     if len(grams) < span:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
     view = np.lib.stride_tricks.sliding_window_view(grams, span)
     at = np.concatenate([view[i : i + 4096].argmin(axis=1) + np.arange(i, min(i + 4096, len(view))) for i in range(0, len(view), 4096)])
     new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return grams[at[new]], new, np.concatenate((new[1:], [len(at)])) - 1
+    return grams[at[new]], at[new], new, np.concatenate((new[1:], [len(at)])) - 1
 
 
 def _profile(length: int):
@@ -114,13 +116,16 @@ def _passages(length: int):
             out = []
             for doc_id, mark, data, shared in zip(rows["doc_id"], rows["mark"], rows["data"], rows["shared"], strict=True):
                 data = bytes(data)
-                anchor, first, last = owners(word_hashes(data), length)
+                anchor, at, first, last = owners(word_hashes(data), length)
                 words = data.split()
                 anchor = anchor.view(np.int64)
+                places: dict[tuple, list[int]] = {}
                 for i in np.flatnonzero(np.isin(anchor, shared)):
                     text = b" ".join(words[first[i] : last[i] + length])
-                    out.append((anchor[i], hashlib.blake2b(text, digest_size=16).digest(), text, doc_id, mark, first[i], last[i] - first[i] + 1))
-            yield pd.DataFrame(out, columns=["anchor", "passage", "words", "doc_id", "mark", "first", "n"])
+                    places.setdefault((anchor[i], text, at[i] - first[i], last[i] - first[i] + 1), []).append(first[i])
+                for (a, text, offset, n), firsts in places.items():
+                    out.append((a, hashlib.blake2b(text, digest_size=16).digest(), text, offset, n, doc_id, mark, firsts))
+            yield pd.DataFrame(out, columns=["anchor", "passage", "words", "offset", "n", "doc_id", "mark", "firsts"])
 
     return run
 
@@ -159,6 +164,26 @@ def _repeats(length: int):
     return run
 
 
+def _repeats_by_digest(passages: DataFrame, length: int) -> DataFrame:
+    """What _repeats() finds, for anchors with any number of passages: windows are grouped by digest.
+
+    Windows that start in one stretch of STRETCH words before the anchor have a core of words in common. Cores that stand
+    in one document only are dropped first, and with them the windows, so that few windows are spelled out.
+    """
+    words = F.split(F.col("words").cast("string"), " ")
+    digest = lambda begin, n: F.md5(F.array_join(F.slice("w", (begin + 1).cast("int"), n), " ").cast("binary"))
+    each = passages.select("anchor", "passage", "low", "offset", "n", words.alias("w"))
+    stretches = each.select("*", F.explode(F.sequence(F.floor((F.col("offset") - F.col("n") + 1) / STRETCH), F.floor(F.col("offset") / STRETCH))).alias("stretch"))
+    cores = stretches.withColumn("core", digest(F.greatest(F.col("offset") - F.col("stretch") * STRETCH, F.lit(0)), length - STRETCH + 1))
+    shared = cores.groupBy("anchor", "stretch", "core").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a < b").select("anchor", "stretch", "core")
+    first = F.greatest(F.col("offset") - F.col("stretch") * STRETCH - (STRETCH - 1), F.lit(0))
+    last = F.least(F.col("offset") - F.col("stretch") * STRETCH, F.col("n") - 1)
+    windows = cores.join(shared, ["anchor", "stretch", "core"], "left_semi").select("anchor", "passage", "low", "w", F.explode(F.sequence(first, last)).alias("at")).select("anchor", "passage", "low", "at", digest(F.col("at"), length).alias("window"))
+    lowest = windows.groupBy("window").agg(F.min("low").alias("least"))
+    starts = windows.join(lowest, "window").where("least < low").groupBy("anchor", "passage").agg(F.collect_list("at").alias("begins"))
+    return starts.select("anchor", "passage", "begins", F.transform("begins", lambda x: x + 1).alias("ends"))
+
+
 def _keep(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -211,25 +236,22 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     placed = judged.where("not copy").select("doc_id", "mark", F.explode("anchors").alias("anchor"))
     shared = placed.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     wanted = placed.join(shared, "anchor", "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("anchor").alias("shared"))
-    passages = docs.join(wanted, ["doc_id", "mark"]).mapInPandas(_passages(length), f"anchor long, passage binary, words binary, doc_id {kind}, mark long, first long, n long")
+    passages = docs.join(wanted, ["doc_id", "mark"]).mapInPandas(_passages(length), f"anchor long, passage binary, words binary, offset long, n long, doc_id {kind}, mark long, firsts array<long>")
     passages = cut(passages)
-    different = cut(passages.groupBy("anchor", "passage", "words").agg(F.min("doc_id").alias("low")))
+    different = cut(passages.groupBy("anchor", "passage", "words", "offset", "n").agg(F.min("doc_id").alias("low")))
     many = different.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor", (F.col("m") > SHARD_PASSAGES).alias("hot"))
     dealt = different.join(many, "anchor")
     sorted_shards = dealt.where("not hot").select("anchor", "passage", "words", "low").repartition("anchor").sortWithinPartitions("anchor", "low")
     found = sorted_shards.mapInPandas(_repeats(length), "anchor long, passage binary, begins array<long>, ends array<long>")
-    array = F.split(F.col("words").cast("string"), " ")
-    windows = dealt.where("hot").select("anchor", "passage", "low", array.alias("w")).select("anchor", "passage", "low", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.md5(F.array_join(F.slice("w", i, length), " ").cast("binary")))).alias("at", "window"))
-    lowest = windows.groupBy("window").agg(F.min("low").alias("least"))
-    starts = windows.join(lowest, "window").where("least < low").groupBy("anchor", "passage").agg(F.collect_list(F.col("at").cast("long")).alias("begins"))
-    found = found.unionByName(starts.select("anchor", "passage", "begins", F.transform("begins", lambda x: x + 1).alias("ends")))
+    found = found.unionByName(_repeats_by_digest(dealt.where("hot").drop("hot"), length))
     low = different.select("anchor", "passage", "low").join(found, ["anchor", "passage"], "left")
     again = F.col("doc_id") > F.col("low")
     none = F.array().cast("array<long>")
+    shifted = lambda name: F.flatten(F.transform("firsts", lambda f: F.transform(F.coalesce(name, none), lambda x: x + f)))
     parts = (
-        passages.select("anchor", "passage", "doc_id", "mark", "first", "n")
+        passages.select("anchor", "passage", "doc_id", "mark", "firsts", "n")
         .join(low, ["anchor", "passage"])
-        .select("doc_id", "mark", F.when(again, F.array("first")).otherwise(F.transform(F.coalesce("begins", none), lambda x: x + F.col("first"))).alias("begins"), F.when(again, F.array(F.col("first") + F.col("n"))).otherwise(F.transform(F.coalesce("ends", none), lambda x: x + F.col("first"))).alias("ends"))
+        .select("doc_id", "mark", F.when(again, F.col("firsts")).otherwise(shifted("begins")).alias("begins"), F.when(again, F.transform("firsts", lambda f: f + F.col("n"))).otherwise(shifted("ends")).alias("ends"))
         .where(F.size("begins") > 0)
         .groupBy("doc_id", "mark")
         .agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"), F.lit(False).alias("whole"))

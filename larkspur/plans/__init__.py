@@ -1 +1,11 @@
-"""Part of larkspur."""
+"""Registered queries: views over the given tables, operators applied to them, and the same in SQL."""
+
+from larkspur.plans import items_plan
+from larkspur.plans.items_plan import best_opportunities
+
+_PARTS = (items_plan,)
+
+ALL_QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ALL_SQL = {k: v for part in _PARTS for k, v in part.SQL.items()}
+
+__all__ = ["ALL_QUERIES", "ALL_SQL", "best_opportunities"]
