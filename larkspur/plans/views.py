@@ -25,7 +25,7 @@ SELECT seq, title, brand, category, collector_score, popularity_score, availabil
 """,
     "observations": """
 SELECT l_partkey AS product_key, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS seq,
-  l_shipdate AS observed_at, round(l_extendedprice / l_quantity, 2) AS price, CASE l_returnflag WHEN 'N' THEN 'In Stock' WHEN 'R' THEN 'pre-order' ELSE 'OutOfStock' END AS availability,
+  l_shipdate AS observed_at, floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS price, CASE l_returnflag WHEN 'N' THEN 'In Stock' WHEN 'R' THEN 'pre-order' ELSE 'OutOfStock' END AS availability,
   concat('s', l_suppkey % 5) AS source, CAST((l_orderkey * 7) % 101 AS DOUBLE) AS strategy_score,
   CASE l_orderkey % 5 WHEN 0 THEN 'WATCH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'CRITICAL' END AS tier,
   CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE concat('line ', l_linenumber, substr('xxxxxxxxxx', 1, CAST(l_quantity % 10 AS INT))) END AS description
@@ -76,7 +76,7 @@ FROM {messy}
     "evidence": """
 SELECT l_partkey AS group_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS seq,
   CASE l_linenumber % 4 WHEN 0 THEN 'retail_price' WHEN 1 THEN 'confirmed_sold_price' WHEN 2 THEN 'current_market_price' ELSE 'product_name' END AS field_name,
-  CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE round(l_extendedprice / l_quantity, 2) END AS value_num, CASE WHEN l_linenumber % 4 = 3 THEN substr('Alpha Beta Gamma', 1, CAST(5 * (l_suppkey % 3 + 1) AS INT)) END AS value_str,
+  CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 END AS value_num, CASE WHEN l_linenumber % 4 = 3 THEN substr('Alpha Beta Gamma', 1, CAST(5 * (l_suppkey % 3 + 1) AS INT)) END AS value_str,
   CASE l_suppkey % 8 WHEN 0 THEN 'OFFICIAL' WHEN 1 THEN 'RETAILER' WHEN 2 THEN 'PRESS_RELEASE' WHEN 3 THEN 'NEWS' WHEN 4 THEN 'MARKETPLACE' WHEN 5 THEN 'SOCIAL' WHEN 6 THEN 'COMMUNITY' ELSE 'OTHER' END AS source_type,
   CAST(l_quantity * 2 AS DOUBLE) AS confidence, CASE l_orderkey % 3 WHEN 0 THEN 'single_item' WHEN 1 THEN 'box' ELSE 'unknown' END AS unit_scope, CASE l_returnflag WHEN 'A' THEN 'graded' WHEN 'R' THEN 'ungraded' ELSE 'unknown' END AS grading,
   CASE l_orderkey % 4 WHEN 0 THEN 'rumored' WHEN 1 THEN 'estimated' ELSE 'confirmed' END AS certainty, l_shipdate AS observed_at, concat('u', l_suppkey) AS source_id
@@ -86,7 +86,7 @@ FROM {lineitem}
 SELECT event_id, user_id AS source_id, ts, event_type <> 'error' AS success FROM {events}
 """,
     "fetches": """
-SELECT url, 1 AS round, html AS body FROM (SELECT url, min_by(html, page_id) AS html, min(page_id) AS page_id FROM {pages} GROUP BY url) a
+SELECT url, 1 AS round, CASE WHEN page_id % 6 = 4 THEN concat('same page ', CAST(page_id % 4 AS STRING)) ELSE html END AS body FROM (SELECT url, min_by(html, page_id) AS html, min(page_id) AS page_id FROM {pages} GROUP BY url) a WHERE page_id % 7 <> 3
 UNION ALL
 SELECT url, 2 AS round, CASE page_id % 6 WHEN 0 THEN html WHEN 1 THEN concat(html, ' more') WHEN 2 THEN concat(html, ' 2024-05-06T07:08:09Z') WHEN 3 THEN '' ELSE concat('same page ', CAST(page_id % 4 AS STRING)) END AS body
 FROM (SELECT url, min_by(html, page_id) AS html, min(page_id) AS page_id FROM {pages} GROUP BY url) b WHERE page_id % 9 <> 8
@@ -111,10 +111,11 @@ def plain(sql: str) -> str:
     """DuckDB's form of a query that names tables and views in braces."""
     strip = lambda t: t.replace("{", "").replace("}", "")
     ctes = ",\n".join(f"{n} AS ({strip(t)})" for n, t in needed(sql).items())
-    body = strip(sql)
+    body = strip(sql).strip()
+    head = next((h for h in ("WITH RECURSIVE ", "WITH ") if body.startswith(h)), "")
     if not ctes:
         return body
-    return f"WITH {ctes},\n{body.lstrip()[5:]}" if body.lstrip().upper().startswith("WITH ") else f"WITH {ctes}\n{body}"
+    return f"{head}{ctes},\n{body[len(head):]}" if head else f"WITH {ctes}\n{body}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
