@@ -90,8 +90,11 @@ def with_next(docs: DataFrame, rows: int = 500) -> DataFrame:
     parts = max(1, min(4096, n // rows))
     splits = sorted(set(numbered.approxQuantile("__x", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     edges = [-float("inf"), *splits, float("inf")]
-    cutter = Bucketizer(splits=edges, inputCol="__x", outputCol="__part", handleInvalid="keep")
-    placed = cutter.transform(numbered).withColumn("__part", F.col("__part").cast("int"))
+    if splits:
+        placed = Bucketizer(splits=edges, inputCol="__x", outputCol="__part", handleInvalid="keep").transform(numbered)
+    else:
+        placed = numbered.withColumn("__part", F.lit(0))
+    placed = placed.withColumn("__part", F.col("__part").cast("int"))
     firsts = {r["__part"]: r["x"] for r in placed.groupBy("__part").agg(F.min("__x").alias("x")).collect()}
     used = sorted(firsts)
     host = {p: used[i - 1] for i, p in enumerate(used)}

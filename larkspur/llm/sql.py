@@ -54,7 +54,7 @@ l AS (
   SELECT doc_id, i, al[i] AS mask, CASE WHEN i > 1 THEN al[i - 1] ELSE '' END AS b, coalesce(al[i + 1], '') AS a, string_split(al[i], ' ') AS w
   FROM e WHERE al[i] <> ''
 ),
-c AS (SELECT *, len(w) AS n, array_to_string(list_slice(w, 1, 3), ' ') AS lead FROM l WHERE len(w) <= 30),
+c AS (SELECT *, len(w) AS n, array_to_string(list_slice(w, 1, 3), ' ') AS lead FROM l WHERE len(w) <= 30 AND len(list_filter(w, lambda t: t <> '<*>')) >= len(w) * 0.5),
 u AS (SELECT mask, any_value(w) AS w, any_value(n) AS n, any_value(lead) AS lead, count(DISTINCT (b, a)) AS places FROM c GROUP BY mask),
 leaf AS (SELECT n, lead FROM u GROUP BY n, lead HAVING sum(places) >= 10 AND count(*) > 1),
 t AS (SELECT mask, u.n, u.lead, places, unnest(generate_series(1, u.n)) AS p, unnest(w) AS tok FROM u JOIN leaf ON u.n = leaf.n AND u.lead = leaf.lead),
