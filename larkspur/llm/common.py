@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.sources.tables import BROADCAST_ROWS, cut, few, shared_folder
+
+__all__ = ["BROADCAST_ROWS", "blank_words", "cut", "few", "light_batches", "lower_ascii", "remainder", "shared_folder"]
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = "\t\n\x0b\x0c\r "
 _BLANK_RUN = r"[\x20\x09-\x0D]+"
 
-#: Rows up to which a lookup table counted beforehand is broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
-
-
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay. Pure ASCII text takes Spark's quick path."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
@@ -32,34 +29,9 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder. A temporary one is made only where none is set, as in local tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("larkspur.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-        spark.conf.set("larkspur.shared.dir", found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/larkspur-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_tables(*frames: DataFrame) -> None:
-    """Delete tables that cut() wrote, once nothing reads them any more."""
-    for df in frames:
-        spark = df.sparkSession
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            where = spark._jvm.org.apache.hadoop.fs.Path(name)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a table of at most `most` rows for broadcast; a larger one is returned as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def light_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of at most `rows` rows: whole texts are long, and a batch stands in the memory of
+    the executor and of its Python worker at once. A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)

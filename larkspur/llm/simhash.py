@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut
+from larkspur.llm.common import cut, light_batches
 from larkspur.llm.hashing import gram_hashes, mix, word_hashes
+from larkspur.operators.groups import components
 
 #: Rows of a tile above which it is split into chunks that are compared pair by pair.
 TILE_ROWS = 2048
@@ -50,6 +51,7 @@ def _signed(values: list[int]) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, size: int) -> DataFrame:
     """doc_id and fp (the fingerprint's 64 bits as a long) for each row of docs."""
+    light_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -65,6 +67,7 @@ WIDE_WORDS, WIDE_SHINGLES = 2, 4
 
 def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, mark (hash of the text) and w0.., s0..: SimHashes over the distinct words and over the shingles of `size` words."""
+    light_batches(docs.sparkSession)
     names = [f"w{i}" for i in range(WIDE_WORDS)] + [f"s{i}" for i in range(WIDE_SHINGLES)]
 
     def one(data: bytes) -> list[int]:
@@ -200,28 +203,6 @@ def link(nodes: DataFrame, keys: list, names: list[str], radius: int) -> DataFra
     return sorted_tiles.mapInPandas(_linker(names, radius), "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and root for each node of the links (a, b: longs): root is the smallest node that can be reached.
-
-    Each round moves every node's larger neighbours to its smallest, then its smaller ones; both steps are joins and
-    minima, so a node with many links is split by Spark like any skewed key. Rounds end when nothing changes.
-    """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    while state[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        wide = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = wide.groupBy("u").agg(F.min("v").alias("m"))
-        down = wide.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = cut(down)
-        found = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if found == state:
-            break
-        state = found
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def pigeonhole_keys(fp: str, radius: int, distinct: int) -> list:
     """Keys of which two fingerprints within `radius` bits share at least one.
 

@@ -49,13 +49,14 @@ _MASK = "regexp_replace(array_to_string(list_filter(regexp_split_to_array(x, '[\
 OP5 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents),
 m AS (SELECT doc_id, text, raw, list_transform(raw, lambda x: {_MASK}) AS al FROM d),
-e AS (SELECT doc_id, al, unnest(generate_series(1, len(al))) AS i FROM m),
+z AS (SELECT doc_id, al, list_reverse_sort(list_distinct(list_transform(al, lambda x: {{'n': length(x), 'm': x}}))) AS o FROM m),
+e AS (SELECT doc_id, al, o, unnest(generate_series(1, len(al))) AS i FROM z),
 l AS (
-  SELECT doc_id, i, al[i] AS mask, CASE WHEN i > 1 THEN al[i - 1] ELSE '' END AS b, coalesce(al[i + 1], '') AS a, string_split(al[i], ' ') AS w
+  SELECT doc_id, i, al[i] AS mask, CASE WHEN al[i] = o[1].m THEN coalesce(o[2].m, '') ELSE o[1].m END AS place, string_split(al[i], ' ') AS w
   FROM e WHERE al[i] <> ''
 ),
 c AS (SELECT *, len(w) AS n, array_to_string(list_slice(w, 1, 3), ' ') AS lead FROM l WHERE len(w) <= 30 AND len(list_filter(w, lambda t: t <> '<*>')) >= len(w) * 0.5),
-u AS (SELECT mask, any_value(w) AS w, any_value(n) AS n, any_value(lead) AS lead, count(DISTINCT (b, a)) AS places FROM c GROUP BY mask),
+u AS (SELECT mask, any_value(w) AS w, any_value(n) AS n, any_value(lead) AS lead, count(DISTINCT place) AS places FROM c GROUP BY mask),
 leaf AS (SELECT n, lead FROM u GROUP BY n, lead HAVING sum(places) >= 10 AND count(*) > 1),
 t AS (SELECT mask, u.n, u.lead, places, unnest(generate_series(1, u.n)) AS p, unnest(w) AS tok FROM u JOIN leaf ON u.n = leaf.n AND u.lead = leaf.lead),
 k AS (SELECT n, lead, p, tok FROM t WHERE tok <> '<*>' GROUP BY ALL HAVING sum(places) >= 10),

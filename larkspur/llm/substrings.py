@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut
+from larkspur.llm.common import cut, light_batches
 from larkspur.llm.hashing import gram_hashes, word_hashes
 
 #: Words of an anchor: the gram with the least hash in a window, the same wherever the window stands.
@@ -227,6 +227,7 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     documents, are a shard with an automaton of its own, through which each next passage is streamed before it is added.
     Anchors with more than SHARD_PASSAGES different passages go another exact way: their windows are grouped by digest.
     """
+    light_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data")).withColumn("mark", F.xxhash64("data"))
     profile = cut(docs.mapInPandas(_profile(length), f"doc_id {kind}, mark long, n_words long, whole binary, anchors array<long>")).where(f"doc_id is not null and n_words >= {length}")

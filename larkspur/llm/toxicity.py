@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut
+from larkspur.llm.common import cut, light_batches
 from larkspur.llm.hashing import mix
 
 #: Lengths of the n-grams, in UTF-8 bytes.
@@ -90,6 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: in
     the `features` buckets that tell the classes apart best are kept. Without rows of both classes the model is the
     share of toxic rows alone.
     """
+    light_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = known.count()
     share = min(1.0, fit_rows / max(1, total))
@@ -133,6 +134,7 @@ def _scores(model: Model, slots: np.ndarray, texts: Iterable[bytes]) -> np.ndarr
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 from 0.5 on) for each row of docs (doc_id, text). Null and empty texts get
     the score of a text without known n-grams. Other columns are not read."""
+    light_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,6 +148,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose text scores below `threshold`."""
+    light_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _slots(model)
