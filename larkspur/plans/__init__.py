@@ -1,9 +1,9 @@
 """Registered queries: views over the given tables, operators applied to them, and the same in SQL."""
 
-from larkspur.plans import changes_plan, items_plan, pages_plan
+from larkspur.plans import changes_plan, items_plan, pages_plan, streams_plan
 from larkspur.plans.items_plan import best_opportunities
 
-_PARTS = (items_plan, changes_plan, pages_plan)
+_PARTS = (items_plan, changes_plan, pages_plan, streams_plan)
 
 ALL_QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ALL_SQL = {k: v for part in _PARTS for k, v in part.SQL.items()}
