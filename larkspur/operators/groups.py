@@ -121,3 +121,40 @@ def reach(edges: DataFrame, most: int = 64) -> DataFrame:
     return done
 
 
+
+
+def leader_groups(items: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id and leader of a greedy clustering: in the order of ids, each item joins the first leader that it pairs with,
+    else it leads itself.
+
+    pairs (a < b) must hold all pairs of items that match. An item's leader is among its own pairs and itself, so what an
+    item does depends on smaller ids it pairs with alone: in each round, items all of whose smaller partners are settled
+    are settled too. The rounds are as many as the longest chain of undecided items; each is a join and an aggregate.
+    """
+    links = cut(pairs.select("a", "b").where("a < b").distinct())
+    settled = cut(items.select("id").join(links.select(F.col("b").alias("id")), "id", "left_anti").select("id", F.col("id").alias("leader")))
+    open_ = cut(items.select("id").join(links.select(F.col("b").alias("id")), "id", "left_semi").distinct())
+    while not open_.isEmpty():
+        known = settled.select(F.col("id").alias("a"), (F.col("id") == F.col("leader")).alias("leads"))
+        mine = links.join(open_.select(F.col("id").alias("b")), "b", "left_semi").join(known, "a", "left")
+        state = mine.groupBy("b").agg(F.min(F.when(F.col("leads"), F.col("a"))).alias("first"), F.min(F.when(F.col("leads").isNull(), F.col("a"))).alias("waits"))
+        ready = state.where(F.col("waits").isNull() | (F.col("first") < F.col("waits"))).select(F.col("b").alias("id"), F.coalesce("first", "b").alias("leader"))
+        ready = cut(ready)
+        settled = cut(settled.unionByName(ready))
+        open_ = cut(open_.join(ready.select("id"), "id", "left_anti"))
+    return settled
+
+
+def exact_pairs(items: DataFrame, threshold: float = 0.72, bonus: float = 0.15) -> DataFrame:
+    """All pairs (a < b) of products that match by similar_products' rule, copies included, for small catalogues whose
+    every pair is wanted (leader_groups)."""
+    full = items.select("id", T.identity_tokens(F.col("title")).alias("tokens"), F.coalesce("type", F.lit("unknown")).alias("type"))
+    near = similar_sets(full.select("id", "tokens"), threshold - bonus)
+    kinds = full.select("id", "type")
+    typed = near.join(kinds.select(F.col("id").alias("a"), F.col("type").alias("ta")), "a").join(kinds.select(F.col("id").alias("b"), F.col("type").alias("tb")), "b")
+    extra = F.when((F.col("ta") == F.col("tb")) & (F.col("ta") != "unknown"), bonus).otherwise(0.0)
+    value = F.least(F.lit(1.0), F.floor((F.col("similarity") + extra) * 1000 + 0.5) / 1000)
+    code = T.norm_sku(F.col("sku"))
+    coded = items.select("id", code.alias("code")).where(F.coalesce("code", F.lit("")) != "")
+    by_sku = coded.alias("x").join(coded.alias("y"), (F.col("x.code") == F.col("y.code")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return typed.where(value >= threshold).select("a", "b").unionByName(by_sku).distinct()

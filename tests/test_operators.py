@@ -119,3 +119,17 @@ def test_every_query_runs(spark, name):
     df = entry.queries()[name](spark, "/root/testdata/sf0.001")
     assert len(set(df.columns)) == len(df.columns)
     df.write.mode("overwrite").format("noop").save()
+
+
+def test_leader_groups_equal_brute_force(spark):
+    rng = random.Random(8)
+    pairs = {(a, b) for a, b in itertools.combinations(range(40), 2) if rng.random() < 0.06}
+    leaders, want = [], {}
+    for i in range(40):
+        found = next((x for x in leaders if (x, i) in pairs), None)
+        want[i] = i if found is None else found
+        if found is None:
+            leaders.append(i)
+    items_ = spark.createDataFrame([(i,) for i in range(40)], "id long")
+    got = groups.leader_groups(items_, spark.createDataFrame(sorted(pairs), "a long, b long"))
+    assert {r.id: r.leader for r in got.collect()} == want
