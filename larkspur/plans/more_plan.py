@@ -72,3 +72,29 @@ def a15(spark: SparkSession, d: str) -> DataFrame:
     docs = t.select("seq", F.sha2("text", 256).alias("probe"), F.when(k % 3 == 0, "MARKETPLACE").when(k % 3 == 1, "OFFICIAL").otherwise("NEWS").alias("source_type"))
     found = t.where(F.contains("text", F.lit("th"))).select("seq", F.contains("text", F.lit("thion")).alias("rumored"), F.contains("text", F.lit("sold")).alias("status"))
     return routing.classify_sources(docs, found)
+
+
+_TXT = "concat(title, CASE seq % 4 WHEN 0 THEN concat(' includes ', seq % 9, ' booster packs') WHEN 1 THEN concat(' ', seq % 7, ' exclusive promo cards and dice') WHEN 2 THEN ' Playmat, COIN and damage-counter dice' ELSE '' END)"
+
+
+@query("F11_product_details", f"""WITH t AS (SELECT *, lower({_TXT}) AS x FROM {{products}}), p AS (SELECT *, CASE WHEN seq % 4 = 0 THEN CAST(seq % 9 AS INT) END AS pack_count, CASE WHEN seq % 4 = 1 THEN CAST(seq % 7 AS INT) END AS promo_card_count FROM t),
+s AS (SELECT *, CASE WHEN retail_price IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN coalesce(availability, '') <> '' THEN 15 ELSE 0 END + CASE WHEN coalesce(sku, '') <> '' THEN 15 ELSE 0 END + CASE WHEN pack_count IS NOT NULL THEN 8 ELSE 0 END + CASE WHEN promo_card_count IS NOT NULL THEN 7 ELSE 0 END AS completeness FROM p)
+SELECT seq, pack_count, promo_card_count, concat_ws(',', CASE WHEN contains(x, 'playmat') THEN 'Playmat' END, CASE WHEN contains(x, 'coin') THEN 'Collector coin' END, CASE WHEN contains(x, 'damage-counter dice') THEN 'Damage-counter dice' END, CASE WHEN contains(x, 'dice') THEN 'Dice' END) AS accessories, completeness,
+CASE WHEN completeness >= 65 THEN 'GOOD' WHEN completeness >= 40 THEN 'PARTIAL' ELSE 'LIMITED' END AS completeness_level FROM s""")
+def f11(spark: SparkSession, d: str) -> DataFrame:
+    from larkspur.operators import details
+
+    k = F.col("seq")
+    more = F.when(k % 4 == 0, F.concat(F.lit(" includes "), (k % 9).cast("string"), F.lit(" booster packs"))).when(k % 4 == 1, F.concat(F.lit(" "), (k % 7).cast("string"), F.lit(" exclusive promo cards and dice"))).when(k % 4 == 2, " Playmat, COIN and damage-counter dice").otherwise("")
+    return details.product_details(view(spark, d, "products"), F.concat("title", more)).select("seq", "pack_count", "promo_card_count", F.array_join("accessories", ",").alias("accessories"), "completeness", "completeness_level")
+
+
+@query("F21_listing_text", """SELECT seq, concat(product_name, ' - a ', th, ' listed on ', retailer, '.', CASE role WHEN 'sold' THEN concat(' This ', th, ' sold for ', m, '.') WHEN 'asking' THEN concat(' The asking price of this ', th, ' is ', m, '; nobody has bought it yet.') ELSE '' END) AS text, role AS price_role
+FROM (SELECT seq, product_name, retailer, concat('box', CASE seq % 3 WHEN 0 THEN ', graded' WHEN 1 THEN ', ungraded' ELSE '' END) AS th, CASE WHEN seq % 5 = 0 THEN 'sold' WHEN market_price IS NOT NULL THEN 'asking' ELSE 'unknown' END AS role,
+coalesce(CASE WHEN market_price IS NULL THEN NULL WHEN market_price = floor(market_price) THEN concat('$', CAST(floor(market_price) AS BIGINT)) ELSE concat('$', printf('%.2f', market_price)) END, 'an unknown price') AS m FROM {opportunities})""")
+def f21(spark: SparkSession, d: str) -> DataFrame:
+    from larkspur.operators import details
+
+    k = F.col("seq")
+    t = details.listing_text(F.col("product_name"), F.col("retailer"), F.lit("box"), F.when(k % 3 == 0, True).when(k % 3 == 1, False), k % 5 == 0, F.col("market_price"), F.lit(None).cast("double"), F.lit("USD"))
+    return view(spark, d, "opportunities").select("seq", t.alias("t")).select("seq", "t.*")
