@@ -88,3 +88,49 @@ def draft_opportunities(detections: DataFrame, fields: Sequence[str]) -> DataFra
     """One row for each document with the match of its first detection of each signal as a column."""
     first = [F.min_by("match", F.when(F.col("signal") == f, F.col("start"))).alias(f) for f in fields]
     return detections.where(F.col("signal").isin(*fields)).groupBy("seq").agg(*first)
+
+
+#: Number words, months and patterns of quantities and dates: fixed values.
+WORD_NUMBERS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
+_WORDS = "|".join(WORD_NUMBERS)
+QUANTITIES = {
+    "limited_quantity": (rf"limited to\s+([\d,]+|{_WORDS})\s*(?:pieces|units|copies|pairs)?", r"only\s+([\d,]+)\s*(?:pieces|units|copies|available|made|produced)", r"([\d,]+)\s*(?:pieces|units|copies)\s+(?:only|limited)"),
+    "purchase_limit": (r"limit\s+(?:of\s+)?(\d+)\s*per\s*(?:customer|order|household|person)", r"(?:maximum|max)\s+of\s+(\d+)\s*per\s*(?:customer|order|household|person)", r"(\d+)\s*per\s*(?:customer|order|household|person)\s*(?:limit)?"),
+    "pack_quantity": (rf"(?:receive|get|includes?)\s+({_WORDS}|\d+)\s+(?:exclusive\s+|promotional\s+)*(?:promotional\s+)?(?:card\s+)?packs?",),
+    "numbered": (r"\bindividually numbered\b()", r"\bnumbered\b()", r"#\d+\s*/\s*\d+()", r"\bserial number(?:ed)?\b()"),
+}
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+DATES = {
+    "date": rf"\b(?:{MONTHS})\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?\b",
+    "window": rf"\b(?:{MONTHS})\s+\d{{1,2}}(?:st|nd|rd|th)?\s+(?:through|to|until|-|–)\s+(?:(?:{MONTHS})\s+)?\d{{1,2}}(?:st|nd|rd|th)?\b",
+    "duration": r"within\s+\d+\s*(?:minutes?|hours?|days?|seconds?)",
+    "time": r"\b\d{1,2}(?::\d{2})?\s*(?:AM|PM|am|pm)\b",
+}
+
+
+def number_of(text: Column) -> Column:
+    """A number in digits (with commas) or as a word up to twelve; null for others."""
+    words = F.create_map(*(F.lit(x) for kv in WORD_NUMBERS.items() for x in kv))
+    return F.coalesce(F.replace(text, F.lit(","), F.lit("")).try_cast("int"), words[F.lower(F.trim(text))])
+
+
+def detect_quantities(docs: DataFrame, patterns: dict[str, tuple[str, ...]] = QUANTITIES) -> DataFrame:
+    """(seq, kind, start, match, value): for each kind the first match that isn't negated, pattern by pattern. Kinds
+    without a number in their patterns have no value. docs has seq and text."""
+    text, found = F.col("text"), []
+    for kind, each in patterns.items():
+        first = []
+        for p in each:
+            hit = F.try_element_at(F.filter(placed(text, F.lit("(?i)" + p)), lambda m: ~negated(text, m["start"])), F.lit(1))
+            value = number_of(F.regexp_extract(hit["match"], "(?i)" + p, 1))
+            first.append(F.when(hit.isNotNull(), F.struct(F.lit(kind).alias("kind"), hit["start"].alias("start"), hit["match"].alias("match"), value.alias("value"))))
+        found.append(F.when(text.rlike("(?i)" + "|".join(f"(?:{p})" for p in each)), F.coalesce(*first)))
+    return docs.where(text.isNotNull()).select("seq", F.explode(F.array_compact(F.array(*found))).alias("d")).select("seq", "d.*")
+
+
+def detect_dates(docs: DataFrame, patterns: dict[str, str] = DATES) -> DataFrame:
+    """(seq, kind, start, match): all dates; the first window, duration and time. docs has seq and text."""
+    text = F.coalesce("text", F.lit(""))
+    tagged = lambda kind, hits: F.transform(hits, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["match"].alias("match")))
+    every = [tagged(k, placed(text, F.lit("(?i)" + p)) if k == "date" else F.slice(placed(text, F.lit("(?i)" + p)), 1, 1)) for k, p in patterns.items()]
+    return docs.select("seq", F.explode(F.concat(*every)).alias("d")).select("seq", "d.*")

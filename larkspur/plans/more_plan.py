@@ -98,3 +98,24 @@ def f21(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("seq")
     t = details.listing_text(F.col("product_name"), F.col("retailer"), F.lit("box"), F.when(k % 3 == 0, True).when(k % 3 == 1, False), k % 5 == 0, F.col("market_price"), F.lit(None).cast("double"), F.lit("USD"))
     return view(spark, d, "opportunities").select("seq", t.alias("t")).select("seq", "t.*")
+
+
+def _offers(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences made from the products' own numbers."""
+    k = F.col("seq")
+    said = F.concat("title", F.lit(" is limited to "), (k % 900 + 1).cast("string"), F.lit(" pieces, "), F.when(k % 3 == 0, "not ").otherwise(""), F.lit("numbered, limit "), (k % 4 + 1).cast("string"), F.lit(" per customer, from May "), (k % 28 + 1).cast("string"), F.lit(", 2024 at "), (k % 12 + 1).cast("string"), F.lit(" PM"))
+    return view(spark, d, "products").select("seq", said.alias("text"))
+
+
+@query("T4_detect_quantities", """SELECT seq, 'limited_quantity' AS kind, CAST(seq % 900 + 1 AS INT) AS value FROM {products} UNION ALL SELECT seq, 'purchase_limit', CAST(seq % 4 + 1 AS INT) FROM {products} WHERE seq % 3 <> 0 UNION ALL SELECT seq, 'numbered', NULL FROM {products} WHERE seq % 3 <> 0""")
+def t4(spark: SparkSession, d: str) -> DataFrame:
+    from larkspur.operators import signals
+
+    return signals.detect_quantities(_offers(spark, d)).select("seq", "kind", "value")
+
+
+@query("T5_detect_dates", """SELECT seq, 'date' AS kind, concat('May ', seq % 28 + 1, ', 2024') AS match FROM {products} UNION ALL SELECT seq, 'time', concat(seq % 12 + 1, ' PM') FROM {products}""")
+def t5(spark: SparkSession, d: str) -> DataFrame:
+    from larkspur.operators import signals
+
+    return signals.detect_dates(_offers(spark, d)).select("seq", "kind", "match")
