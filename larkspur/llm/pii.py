@@ -86,10 +86,14 @@ def revealing_terms(docs: DataFrame, support: int = 3, disclosure: float = 0.5,
     in_lines = held.select("line", F.explode(terms(F.col("text"))).alias("term"))
     both = cut(entity.join(often, "entity").join(in_lines, "line").groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support))
     both = both.where(~F.contains("entity", F.col("term")))
-    wanted = cut(both.select("term").distinct())
-    everywhere = texts.select(F.explode(F.split("text", "\n")).alias("text")).select(F.xxhash64("text").alias("line"), F.explode(terms(F.col("text"))).alias("term"))
-    counted = everywhere.join(few(wanted), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    total = texts.select(F.explode(F.split("text", "\n")).alias("text")).select(F.xxhash64("text").alias("line")).distinct().count() if not wanted.isEmpty() else 1
+    wanted = cut(both.groupBy("term").agg(F.max("n_both").alias("most")))
+    all_lines = texts.select(F.explode(F.split("text", "\n")).alias("text")).select(F.xxhash64("text").alias("line"), "text")
+    holding = lambda lines, asked: lines.select("line", F.explode(terms(F.col("text"))).alias("term")).join(few(asked), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    # A term's lines of one part are no more than all its lines: if they are too many for the share, it is out.
+    part = holding(all_lines.where(F.pmod("line", F.lit(64)) == 0), wanted.select("term")).withColumnRenamed("n_term", "n_part")
+    possible = cut(wanted.join(part, "term", "left").where(F.coalesce("n_part", F.lit(0)) * disclosure <= F.col("most")).select("term"))
+    counted = holding(all_lines, possible)
+    total = all_lines.select("line").distinct().count() if not possible.isEmpty() else 1
     share = F.col("n_both") / F.col("n_term")
     bits = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     known = both.join(counted, "term").select("term", share.alias("share"), bits.alias("bits"))
