@@ -289,6 +289,16 @@ def test_line_templates_drop_recurring_lines(spark, odd):
     assert line_templates.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_templates_count_documents_that_share_long_lines(spark):
+    letters = str.maketrans("0123456789", "qwrtypsdfg")
+    notice, licence = "this licence notice is longer than each other line of the page " * 2, "all rights of the owner are kept by the house " * 2
+    rows = [(i, f"{notice.strip()}\n{prose(i, 4).translate(letters)}\nback to top\n{licence.strip()}") for i in range(30)]
+    rows += [(100 + i, "one text that is copied\nwith two lines") for i in range(30)]
+    got = {r.doc_id: r for r in line_templates.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i].n_dropped == 3 and got[i].text == prose(i, 4).translate(letters) for i in range(30))
+    assert all(got[100 + i].n_dropped == 0 for i in range(30))
+
+
 PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
