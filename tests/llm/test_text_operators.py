@@ -299,6 +299,18 @@ def test_line_templates_count_documents_that_share_long_lines(spark):
     assert all(got[100 + i].n_dropped == 0 for i in range(30))
 
 
+def test_line_templates_drop_long_and_numbered_lines_that_recur(spark):
+    letters = str.maketrans("0123456789", "qwrtypsdfg")
+    notice = prose(7, 60).translate(letters)
+    phone = "call +1 555 123 4567 or 555 765 4321"
+    rows = [(i, f"{prose(i, 8).translate(letters)}\n{notice}\n{phone}\nat {i} {i + 1} {i + 2}") for i in range(30)]
+    rows += [(100 + i, f"{prose(500 + i, 50).translate(letters)}\nend") for i in range(5)]
+    got = {r.doc_id: r for r in line_templates.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(30):
+        assert got[i].n_dropped == 2 and got[i].text == f"{prose(i, 8).translate(letters)}\nat {i} {i + 1} {i + 2}"
+    assert all(got[100 + i].n_dropped == 0 for i in range(5))
+
+
 PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
