@@ -21,6 +21,8 @@ KNOWN_TOKENS = 65_536
 SCORED_TOKENS = 3_000_000
 #: Distinct tokens that a task gathers before it passes their counts on.
 GATHERED_TOKENS = 300_000
+#: Bytes of text that a replica learns from, about.
+REPLICA_BYTES = 64_000_000
 
 
 def _tokens(data: bytes) -> list[bytes]:
@@ -90,19 +92,25 @@ def _trainer(p: dict[str, np.ndarray], shape: gru.Shape, numbers: _Numbers):
     return run
 
 
+def _deal(docs: DataFrame, replicas: int) -> DataFrame:
+    """Number the replica of each row. Equal rows go to different replicas too, as a number of the row is hashed along."""
+    return docs.select("data", F.pmod(F.xxhash64("data", F.monotonically_increasing_id()), F.lit(replicas)).alias("replica"))
+
+
 def fit(docs: DataFrame, numbers: _Numbers, hidden: int, classes: int, one_in: int, rounds: int, replica_docs: int) -> tuple[dict[str, np.ndarray], gru.Shape]:
-    """Train on one in `one_in` of docs (by a hash of the text, so the share grows with the input), in rounds on
+    """Train on one in `one_in` of docs (by a hash of text and id, so the share grows with the input), in rounds on
     different documents. In each round replicas train from the same weights and their mean, weighted by tokens, goes on;
-    a replica learns from about `replica_docs` documents, dealt by a hash."""
+    a replica learns from about `replica_docs` documents, fewer if they are long, and copies of a text are dealt like
+    other documents."""
     shape = gru.Shape(len(numbers.counts), hidden, gru.class_edges(numbers.counts, classes))
     p = gru.initial(shape, numbers.counts)
-    chosen = docs.withColumn("turn", F.pmod(F.xxhash64("data", F.lit("train")), F.lit(one_in * rounds)).cast("int")).where(F.col("turn") < rounds)
-    sizes = {r["turn"]: r["count"] for r in chosen.groupBy("turn").count().collect()}
+    chosen = docs.withColumn("turn", F.pmod(F.xxhash64("data", "doc_id", F.lit("train")), F.lit(one_in * rounds)).cast("int")).where(F.col("turn") < rounds)
+    counted = chosen.groupBy("turn").agg(F.count("*").alias("rows"), F.sum(F.octet_length("data")).alias("bytes")).collect()
+    sizes = {r["turn"]: max(-(-r["rows"] // replica_docs), -(-r["bytes"] // REPLICA_BYTES)) for r in counted}
     for turn in range(rounds):
         if not sizes.get(turn):
             continue
-        replica = F.pmod(F.xxhash64("data", F.lit("replica")), F.lit(-(-sizes[turn] // replica_docs)))
-        dealt = chosen.where(F.col("turn") == turn).select("data", replica.alias("replica"))
+        dealt = _deal(chosen.where(F.col("turn") == turn), sizes[turn])
         pieces = dealt.groupBy("replica").applyInPandas(_trainer(p, shape, numbers), "piece int, tokens long, weights array<double>")
         each = pieces.select("piece", "tokens", F.posexplode("weights").alias("at", "w")).groupBy("piece", "at").agg((F.sum(F.col("w") * F.col("tokens")) / F.sum("tokens")).alias("w"))
         mean = each.toPandas().sort_values(["piece", "at"])
@@ -157,8 +165,8 @@ def score_documents(docs: DataFrame, words: int = 4096, hidden: int = 16, classe
     light_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("data")).withColumn("mark", F.xxhash64("data"))
-    learned = docs.where("not held_out").select("data")
-    counts = cut(learned.mapInPandas(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 0"))
+    learned = docs.where("not held_out").select("doc_id", "data")
+    counts = cut(learned.select("data").mapInPandas(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 0"))
     all_tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = _frequent(counts)
     numbers = _Numbers(top, words)

@@ -227,6 +227,23 @@ def test_language_model_counts_and_scores(spark, odd):
     assert language_model.score_documents(empty(spark).withColumn("held_out", F.lit(False))).count() == 0
 
 
+def test_language_model_deals_copies_to_many_replicas(spark, monkeypatch):
+    def sizes(p, shape, numbers):
+        train = trainer(p, shape, numbers)
+
+        def run(rows):
+            assert len(rows) <= 100
+            return train(rows)
+
+        return run
+
+    trainer = language_model._trainer
+    monkeypatch.setattr(language_model, "_trainer", sizes)
+    rows = [(i if i % 2 else None, "one text that is copied") for i in range(400)] + [(1000 + i, prose(i, 5)) for i in range(100)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("held_out", F.lit(False))
+    assert language_model.score_documents(docs, one_in=1, replica_docs=20).count() == 500
+
+
 def test_recurrent_gradient_is_right():
     from larkspur.llm import gru
 
