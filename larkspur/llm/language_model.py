@@ -148,13 +148,13 @@ def _scorer(p: dict[str, np.ndarray], shape: gru.Shape, numbers: _Numbers):
     return run
 
 
-def score_documents(docs: DataFrame, words: int = 4096, hidden: int = 16, classes: int = 64, one_in: int = 8, rounds: int = 2, replica_docs: int = 4000) -> DataFrame:
+def score_documents(docs: DataFrame, words: int = 4096, hidden: int = 16, classes: int = 64, one_in: int = 1, rounds: int = 2, replica_docs: int = 4000) -> DataFrame:
     """Log10 probabilities of whole documents under a gated recurrent model and under smoothed counts.
 
     docs has doc_id, text and held_out (boolean; null counts as false); the model learns from rows that aren't held out.
     Tokens are lower-cased (A-Z) words between ASCII blanks and one end for each document. Counts cover all training
-    documents; the recurrent weights are trained on one in `one_in` of them, a share that grows with the input (a pass
-    over all would take most of the time; see README). The model's vocabulary are the `words` - 2 most frequent words,
+    documents, and the recurrent weights are trained on all of them unless `one_in` asks for a share, which grows with
+    the input. The model's vocabulary are the `words` - 2 most frequent words,
     the end and one entry for all others, under which a word has the probability (c + 1) / (sum of counts + number of
     such words + 1).
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
 from math import log10
@@ -244,6 +245,24 @@ def test_language_model_deals_copies_to_many_replicas(spark, monkeypatch):
     assert language_model.score_documents(docs, one_in=1, replica_docs=20).count() == 500
 
 
+def test_language_model_trains_on_all_training_documents(spark, monkeypatch, tmp_path):
+    def noted(p, shape, numbers):
+        train = trainer(p, shape, numbers)
+
+        def run(rows):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(len(rows)))
+            return train(rows)
+
+        return run
+
+    trainer, folder = language_model._trainer, str(tmp_path)
+    monkeypatch.setattr(language_model, "_trainer", noted)
+    docs = spark.createDataFrame([(i, prose(i, 5)) for i in range(200)], SCHEMA).withColumn("held_out", F.col("doc_id") % 4 == 0)
+    language_model.score_documents(docs).collect()
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == 150
+
+
 def test_recurrent_gradient_is_right():
     from larkspur.llm import gru
 
