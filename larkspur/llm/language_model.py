@@ -22,7 +22,7 @@ SCORED_TOKENS = 3_000_000
 #: Distinct tokens that a task gathers before it passes their counts on.
 GATHERED_TOKENS = 300_000
 #: Bytes of text that a replica learns from, about.
-REPLICA_BYTES = 64_000_000
+REPLICA_BYTES = 32_000_000
 
 
 def _tokens(data: bytes) -> list[bytes]:
@@ -42,19 +42,25 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class _Numbers:
-    """Numbers of the tokens that the model knows, and logs of counts of those that tasks hold."""
+    """Numbers and counts of the tokens that tasks hold: the end, then by falling count. The model knows the first ones
+    and one entry for all others."""
 
     def __init__(self, top: list[tuple[bytes, int]], words: int) -> None:
-        first = [(t, c) for t, c in top if t != END][: words - 2]
         counts = dict(top)
-        self.other = len(first) + 1
-        self.number = {t: i + 1 for i, (t, _) in enumerate(first)} | {END: 0}
-        self.log_count = {t: float(np.log10(c + 1)) for t, c in top}
-        self.counts = np.array([counts.get(END, 0), *(c for _, c in first), 0], np.float64)
+        held = [(END, counts.pop(END, 0)), *counts.items()]
+        self.number = {t: i for i, (t, _) in enumerate(held)}
+        self.log_count = np.log10(np.array([c for _, c in held], np.float64) + 1)
+        self.other = min(words - 1, len(held))
+        self.counts = np.array([*(c for _, c in held[: self.other]), 0], np.float64)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        get, other = self.number.get, self.other
-        return np.array([get(w, other) for w in words], np.int64)
+        """Numbers of words, -1 for those that tasks don't hold."""
+        get = self.number.get
+        return np.array([get(w, -1) for w in words], np.int32)
+
+    def known(self, numbers: np.ndarray) -> np.ndarray:
+        """Numbers of the model's entries."""
+        return np.where((numbers < 0) | (numbers > self.other), np.int32(self.other), numbers)
 
 
 def _frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
@@ -84,7 +90,7 @@ def _trainer(p: dict[str, np.ndarray], shape: gru.Shape, numbers: _Numbers):
     """A replica's weights in pieces, with the number of its tokens, from the replica's documents."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        weights, total = gru.train(p, shape, [numbers.of(_tokens(bytes(data))) for data in rows["data"]])
+        weights, total = gru.train(p, shape, [numbers.known(numbers.of(_tokens(bytes(data)))) for data in rows["data"]])
         flat = _flat(weights).astype(np.float64)
         pieces = np.array_split(flat, max(1, len(flat) // 4096))
         return pd.DataFrame({"piece": range(len(pieces)), "tokens": total, "weights": list(pieces)})
@@ -122,8 +128,8 @@ def _scorer(p: dict[str, np.ndarray], shape: gru.Shape, numbers: _Numbers):
     """Model and count sums over the tokens that tasks know, and the tokens that they don't."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, log_count = numbers.number, numbers.log_count
         docs, out, tokens = [], [], 0
+        end_log, end_seen = numbers.log_count[0], int(numbers.counts[0] > 0)
 
         def scored() -> pd.DataFrame:
             names = ["doc_id", "mark", "held_out", "n_tokens", "n_seen", "seen_log", "n_other", "other_log", "rest"]
@@ -132,13 +138,12 @@ def _scorer(p: dict[str, np.ndarray], shape: gru.Shape, numbers: _Numbers):
         for rows in batches:
             for doc_id, mark, held_out, data in zip(rows["doc_id"], rows["mark"], rows["held_out"], rows["data"], strict=True):
                 words = _tokens(bytes(data))
-                docs.append(numbers.of(words).astype(np.int32))
-                logs = list(map(log_count.get, words))
-                rest = [w for w, x in zip(words, logs, strict=True) if x is None]
-                known = sum(x for x in logs if x is not None) + log_count.get(END, 0.0)
-                seen = len(words) - len(rest) + (numbers.counts[0] > 0)
-                others = [x for w, x in zip(words, logs, strict=True) if x is not None and w not in number]
-                out.append((doc_id, mark, held_out, len(words) + 1, seen, known, len(rest) + len(others), sum(others), rest))
+                found = numbers.of(words)
+                docs.append(numbers.known(found))
+                unheld = np.flatnonzero(found < 0)
+                others = numbers.log_count[found[found >= numbers.other]]
+                known = numbers.log_count[found[found >= 0]].sum() + end_log
+                out.append((doc_id, mark, held_out, len(words) + 1, len(words) - len(unheld) + end_seen, known, len(unheld) + len(others), others.sum(), [words[i] for i in unheld]))
                 tokens += len(words) + 1
             if tokens > SCORED_TOKENS:
                 yield scored()
@@ -148,7 +153,7 @@ def _scorer(p: dict[str, np.ndarray], shape: gru.Shape, numbers: _Numbers):
     return run
 
 
-def score_documents(docs: DataFrame, words: int = 4096, hidden: int = 16, classes: int = 64, one_in: int = 1, rounds: int = 2, replica_docs: int = 4000) -> DataFrame:
+def score_documents(docs: DataFrame, words: int = 2048, hidden: int = 16, classes: int = 48, one_in: int = 1, rounds: int = 2, replica_docs: int = 16_000) -> DataFrame:
     """Log10 probabilities of whole documents under a gated recurrent model and under smoothed counts.
 
     docs has doc_id, text and held_out (boolean; null counts as false); the model learns from rows that aren't held out.
