@@ -55,7 +55,9 @@ def initial(shape: Shape, counts: np.ndarray, seed: int = 7) -> dict[str, np.nda
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    e = np.exp(np.clip(x, F32(-40), F32(40)) * F32(-1))
+    e = np.negative(x)
+    with np.errstate(over="ignore"):
+        np.exp(e, out=e)
     e += F32(1)
     return np.reciprocal(e, out=e)
 

@@ -63,18 +63,19 @@ class _Numbers:
         return np.where((numbers < 0) | (numbers > self.other), np.int32(self.other), numbers)
 
 
-def _frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """The tokens of the highest counts, at most KNOWN_TOKENS and all of the same count or none, and the end."""
+def _frequent(counts: DataFrame) -> tuple[list[tuple[bytes, int]], int]:
+    """The tokens of the highest counts, at most KNOWN_TOKENS and all of the same count or none, and the end; also the
+    count from which tokens are among them."""
     by_count = counts.groupBy("n").agg(F.count("*").alias("tokens")).orderBy(F.desc("n"))
     upto = by_count.limit(KNOWN_TOKENS).collect()
-    least, held = None, 0
+    least, held = 1 << 62, 0
     for r in upto:
         held += r["tokens"]
         if held > KNOWN_TOKENS:
             break
         least = r["n"]
     chosen = counts.where((F.col("n") >= F.lit(least)) | (F.length("token") == 0))
-    return sorted(((bytes(r["token"]), r["n"]) for r in chosen.collect()), key=lambda t: (-t[1], t[0]))
+    return sorted(((bytes(r["token"]), r["n"]) for r in chosen.collect()), key=lambda t: (-t[1], t[0])), least
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -116,7 +117,8 @@ def fit(docs: DataFrame, numbers: _Numbers, hidden: int, classes: int, one_in: i
     for turn in range(rounds):
         if not sizes.get(turn):
             continue
-        dealt = _deal(chosen.where(F.col("turn") == turn), sizes[turn])
+        # Four times as many parts as replicas, so that few tasks get more than one.
+        dealt = _deal(chosen.where(F.col("turn") == turn), sizes[turn]).repartition(4 * sizes[turn], "replica")
         pieces = dealt.groupBy("replica").applyInPandas(_trainer(p, shape, numbers), "piece int, tokens long, weights array<double>")
         each = pieces.select("piece", "tokens", F.posexplode("weights").alias("at", "w")).groupBy("piece", "at").agg((F.sum(F.col("w") * F.col("tokens")) / F.sum("tokens")).alias("w"))
         mean = each.toPandas().sort_values(["piece", "at"])
@@ -132,18 +134,18 @@ def _scorer(p: dict[str, np.ndarray], shape: gru.Shape, numbers: _Numbers):
         end_log, end_seen = numbers.log_count[0], int(numbers.counts[0] > 0)
 
         def scored() -> pd.DataFrame:
-            names = ["doc_id", "mark", "held_out", "n_tokens", "n_seen", "seen_log", "n_other", "other_log", "rest"]
-            return pd.DataFrame(out, columns=names).assign(model_log=gru.score(p, shape, docs) / np.log(10))[[*names[:3], "model_log", *names[3:]]]
+            names = ["doc_id", "held_out", "n_tokens", "n_seen", "seen_log", "n_other", "other_log", "rest"]
+            return pd.DataFrame(out, columns=names).assign(model_log=gru.score(p, shape, docs) / np.log(10))[[*names[:2], "model_log", *names[2:]]]
 
         for rows in batches:
-            for doc_id, mark, held_out, data in zip(rows["doc_id"], rows["mark"], rows["held_out"], rows["data"], strict=True):
+            for doc_id, held_out, data in zip(rows["doc_id"], rows["held_out"], rows["data"], strict=True):
                 words = _tokens(bytes(data))
                 found = numbers.of(words)
                 docs.append(numbers.known(found))
                 unheld = np.flatnonzero(found < 0)
                 others = numbers.log_count[found[found >= numbers.other]]
                 known = numbers.log_count[found[found >= 0]].sum() + end_log
-                out.append((doc_id, mark, held_out, len(words) + 1, len(words) - len(unheld) + end_seen, known, len(unheld) + len(others), others.sum(), [words[i] for i in unheld]))
+                out.append((doc_id, held_out, len(words) + 1, len(words) - len(unheld) + end_seen, known, len(unheld) + len(others), others.sum(), [words[i] for i in unheld]))
                 tokens += len(words) + 1
             if tokens > SCORED_TOKENS:
                 yield scored()
@@ -153,7 +155,7 @@ def _scorer(p: dict[str, np.ndarray], shape: gru.Shape, numbers: _Numbers):
     return run
 
 
-def score_documents(docs: DataFrame, words: int = 2048, hidden: int = 16, classes: int = 48, one_in: int = 1, rounds: int = 2, replica_docs: int = 16_000) -> DataFrame:
+def score_documents(docs: DataFrame, words: int = 1536, hidden: int = 16, classes: int = 40, one_in: int = 1, rounds: int = 2, replica_docs: int = 16_000) -> DataFrame:
     """Log10 probabilities of whole documents under a gated recurrent model and under smoothed counts.
 
     docs has doc_id, text and held_out (boolean; null counts as false); the model learns from rows that aren't held out.
@@ -169,25 +171,24 @@ def score_documents(docs: DataFrame, words: int = 2048, hidden: int = 16, classe
     """
     light_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("data")).withColumn("mark", F.xxhash64("data"))
+    docs = docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     learned = docs.where("not held_out").select("doc_id", "data")
     counts = cut(learned.select("data").mapInPandas(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 0"))
     all_tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = _frequent(counts)
+    top, least = _frequent(counts)
     numbers = _Numbers(top, words)
     inside = numbers.counts.sum()
     other_tokens, other_words = int(all_tokens - inside), int(distinct - (numbers.counts > 0).sum())
     numbers.counts[-1] = other_tokens
     p, shape = fit(learned, numbers, hidden, classes, one_in, rounds, replica_docs)
-    schema = f"doc_id {kind}, mark long, held_out boolean, model_log double, n_tokens long, n_seen long, seen_log double, n_other long, other_log double, rest array<binary>"
-    part = cut(docs.mapInPandas(_scorer(p, shape, numbers), schema))
-    known = F.broadcast(part.sparkSession.createDataFrame([(bytearray(t),) for t, _ in top], "token binary")) if top else None
-    rare = counts.join(known, "token", "left_anti") if known is not None else counts
-    asked = part.where(F.size("rest") > 0).groupBy("doc_id", "mark").agg(F.first("rest").alias("rest")).select("doc_id", "mark", F.explode("rest").alias("token"))
-    rest = asked.join(rare, "token").groupBy("doc_id", "mark").agg(F.count("*").alias("n_rest"), F.sum(F.log10(F.col("n") + 1)).alias("rest_log"))
+    schema = f"doc_id {kind}, held_out boolean, model_log double, n_tokens long, n_seen long, seen_log double, n_other long, other_log double, rest array<binary>"
+    part = cut(docs.mapInPandas(_scorer(p, shape, numbers), schema).withColumn("row", F.monotonically_increasing_id()))
+    rare = counts.where((F.col("n") < least) & (F.length("token") > 0))
+    asked = part.where(F.size("rest") > 0).select("row", F.explode("rest").alias("token"))
+    rest = asked.join(rare, "token").groupBy("row").agg(F.count("*").alias("n_rest"), F.sum(F.log10(F.col("n") + 1)).alias("rest_log"))
     rest_n, rest_log = F.coalesce("n_rest", F.lit(0)), F.coalesce("rest_log", F.lit(0.0))
     base = F.col("seen_log") + rest_log - F.col("n_tokens") * F.lit(float(np.log10(all_tokens + distinct + 1)))
     score = F.col("model_log") + F.col("other_log") + rest_log - F.col("n_other") * F.lit(float(np.log10(other_tokens + other_words + 1)))
-    return part.join(rest, ["doc_id", "mark"], "left").select(
+    return part.drop("rest").join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_seen") + rest_n).alias("n_known"), F.lit(int(all_tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score")
     )
