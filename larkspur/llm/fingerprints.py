@@ -80,14 +80,15 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
-def with_next(docs: DataFrame, rows: int = 500) -> DataFrame:
+def with_next(docs: DataFrame, rows: int = 500, most: int = 1 << 16) -> DataFrame:
     """Put documents into parts of about `rows` neighbours by doc_id, each part with the first rows of the next one as
     guests (column guest), so that a window over a part sees each document's next one. After the last part comes the
-    first. A null id stands before all others. Part bounds are approximate quantiles, at most 4096 of them."""
+    first. A null id stands before all others. Part bounds are approximate quantiles; beyond `most` parts, parts
+    get more rows, which Spark sorts and spills like any window."""
     number = F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300))
     numbered = docs.withColumn("__x", number)
     n = docs.count()
-    parts = max(1, min(4096, n // rows))
+    parts = max(1, min(most, n // rows))
     splits = sorted(set(numbered.approxQuantile("__x", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     edges = [-float("inf"), *splits, float("inf")]
     if splits:

@@ -9,19 +9,10 @@ from pyspark.sql.window import Window
 
 from larkspur.llm.common import blank_words, cut
 
-#: Lengths up to this are told apart exactly; beyond it, in steps of one part in FINE of the next lower power of two.
-EXACT_LENGTH = 2048
-FINE = 256
 #: Rows that one group of a bucket holds when ranks are given out.
 GROUP_ROWS = 256
 
 
-def grid(length: Column) -> Column:
-    """Round a length up to the grid, so that the histogram has a bounded number of entries whatever the lengths."""
-    step = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)))) - int(np.log2(FINE)))).cast("long")
-    return F.when(length <= EXACT_LENGTH, length).otherwise(F.ceil(length / step) * step).cast("long")
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper lengths of at most `buckets` buckets such that the padding of all rows to their bucket's upper length is
     least; `lengths` rise. best[k][j] is the least padded total of the first j lengths in k buckets; as the last cut
@@ -58,7 +49,8 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budge
     """Batches of documents of like length.
 
     docs has doc_id and text; `length` is a column expression over docs, by default the number of words between blanks.
-    The histogram of all lengths (on a grid of bounded size) chooses the buckets; inside a bucket, batches are filled in
+    The histogram of all exact lengths chooses the buckets; as n different lengths need n * (n - 1) / 2 tokens at least,
+    it stays small beside the table (some 20,000 entries where no text has more words). Inside a bucket, batches are filled in
     the order of a hash of the id, each with as many rows as fit when all are padded to the bucket's length, at least
     one. Returns a row for each row of docs: doc_id, n_tokens, bucket (0 for the shortest), bucket_tokens (padded
     length), batch (number inside the bucket), slot (place in the batch). A null length counts as 0; a bucket of length
@@ -67,15 +59,14 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budge
     """
     count = F.size(blank_words(F.col("text"))) if length is None else length
     counted = cut(docs.select("doc_id", F.coalesce(count, F.lit(0)).cast("long").alias("n_tokens")))
-    on_grid = counted.select("doc_id", "n_tokens", grid(F.col("n_tokens")).alias("level"))
-    histogram = on_grid.groupBy("level").agg(F.count("*").alias("n")).orderBy("level").toPandas()
-    upper = boundaries(histogram["level"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64), buckets) if len(histogram) else [0]
-    ends = np.searchsorted(histogram["level"].to_numpy(np.int64), upper, side="right")
+    histogram = counted.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toPandas()
+    upper = boundaries(histogram["n_tokens"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64), buckets) if len(histogram) else [0]
+    ends = np.searchsorted(histogram["n_tokens"].to_numpy(np.int64), upper, side="right")
     sizes = np.diff(np.concatenate(([0], np.cumsum(histogram["n"].to_numpy(np.int64))[ends - 1]))) if len(histogram) else np.zeros(1, np.int64)
-    number = sum((F.when(F.col("level") > u, 1).otherwise(0) for u in upper[:-1]), F.lit(0))
+    number = sum((F.when(F.col("n_tokens") > u, 1).otherwise(0) for u in upper[:-1]), F.lit(0))
     of = lambda values: F.element_at(F.array(*(F.lit(int(v)).cast("long") for v in values)), F.col("bucket") + 1)
     mixed = F.xxhash64("doc_id", F.lit("pack"))
-    placed = on_grid.withColumn("bucket", number.cast("int")).select("doc_id", "n_tokens", "bucket", of(upper).alias("bucket_tokens"), mixed.alias("mixed"))
+    placed = counted.withColumn("bucket", number.cast("int")).select("doc_id", "n_tokens", "bucket", of(upper).alias("bucket_tokens"), mixed.alias("mixed"))
     placed = placed.withColumn("part", F.pmod("mixed", of([max(1, -(-int(s) // GROUP_ROWS)) for s in sizes])))
     held = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     before = held.select(F.col("bucket").alias("b"), F.col("part").alias("p"), (F.sum("n").over(Window.partitionBy("bucket").orderBy("part")) - F.col("n")).alias("before"))

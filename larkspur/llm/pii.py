@@ -84,7 +84,12 @@ def revealing_terms(docs: DataFrame, support: int = 3, disclosure: float = 0.5,
     often = entity.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
     terms = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(_TERM), F.lit(0)))
     in_lines = held.select("line", F.explode(terms(F.col("text"))).alias("term"))
-    both = cut(entity.join(often, "entity").join(in_lines, "line").groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support))
+    n_held = in_lines.groupBy("term").agg(F.count("*").alias("n_held")).where(F.col("n_held") >= support)
+    # A pair's lines are among the entity's, and the share asks for enough of the term's: frequent terms meet only
+    # entities that are frequent too.
+    fits = (F.col("e.line") == F.col("t.line")) & (F.col("e.n_entity") >= F.col("t.n_held") * disclosure)
+    pairs = entity.join(often, "entity").alias("e").join(in_lines.join(n_held, "term").alias("t"), fits).select("e.entity", "e.n_entity", "t.term")
+    both = cut(pairs.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support))
     both = both.where(~F.contains("entity", F.col("term")))
     wanted = cut(both.groupBy("term").agg(F.max("n_both").alias("most")))
     all_lines = texts.select(F.explode(F.split("text", "\n")).alias("text")).select(F.xxhash64("text").alias("line"), "text")
@@ -114,11 +119,12 @@ def find_personal_data(docs: DataFrame, support: int = 3, disclosure: float = 0.
     if terms.isEmpty():
         return with_base.select("doc_id", "text", "base", F.col("base").alias("spans"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))
-    hit = docs.select("doc_id", "mark", "text", F.explode(words).alias("term")).join(few(terms.select("term")), "term")
-    whole = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), F.col("term"), F.lit(r"(?![\p{L}\p{N}_])"))
-    spans = hit.select("doc_id", "mark", _spans(placed(F.col("text"), whole), KINDS.index("term")).alias("s")).groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("more"))
-    spans = spans.select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark"), "more")
-    joined = with_base.join(spans, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("mark") == F.col("hit_mark")), "left")
+    hit = docs.select("doc_id", "mark", F.explode(words).alias("term")).join(few(terms.select("term")), "term")
+    held = hit.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("term")).alias("terms")).select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark"), "terms")
+    joined = with_base.join(held, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("mark") == F.col("hit_mark")), "left")
+    whole = lambda term: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), term, F.lit(r"(?![\p{L}\p{N}_])"))
+    more = F.array_distinct(F.flatten(F.transform("terms", lambda t: _spans(placed(F.col("text"), whole(t)), KINDS.index("term")))))
+    joined = joined.withColumn("more", more)
     free = F.filter(F.coalesce("more", F.array().cast(_NONE)), lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     return joined.select("doc_id", "text", "base", F.array_sort(F.concat("base", free)).alias("spans"))
 

@@ -13,7 +13,7 @@ from larkspur.llm.line_templates import dedup_lines
 from larkspur.llm.packing import pack
 from larkspur.llm.simhash import simhash_components
 from larkspur.llm.substrings import dedup_substrings
-from larkspur.llm.url_rules import judge
+from larkspur.llm.url_rules import best_rule, host, judge, path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,10 +46,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labels are those of the table `labels` whose doc_id is the page's id: toxic or of low quality is blocked."""
+    """The labels are the given rules' verdicts on the pages that they fit: rules mined from these judge the others."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("block"))
-    return judge(pages, pages.join(labels, F.col("page_id") == F.col("doc_id")).select("url", "block"))
+    given = best_rule(host(F.col("url")), path(F.col("url")))
+    return judge(pages, pages.select("url", (given["verdict"] == "block").alias("block")))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import cut, light_batches
@@ -61,28 +61,44 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
     return data.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-#: Parts of the wide fingerprint: 64-bit words over single words (for candidates), then over shingles (to decide).
-WIDE_WORDS, WIDE_SHINGLES = 2, 4
+#: 64-bit words of the wide fingerprint over shingles, which decides.
+WIDE_WORDS = 8
+#: Candidates share one of SKETCH_KEYS keys; each is made of the least hashes in SKETCH_ROWS bins of the shingles.
+SKETCH_KEYS, SKETCH_ROWS = 12, 4
+
+
+def sketch_keys(grams: np.ndarray) -> np.ndarray:
+    """Keys of which sets of hashes with Jaccard similarity s share at least one with probability
+    1 - (1 - s ** SKETCH_ROWS) ** SKETCH_KEYS: 0.998 for 0.8. An empty bin takes the next filled one's value."""
+    bins = SKETCH_KEYS * SKETCH_ROWS
+    least = np.full(bins, np.iinfo(np.uint64).max)
+    if len(grams):
+        mixed = mix(grams, 51)
+        at = (mixed % np.uint64(bins)).astype(np.int64)
+        np.minimum.at(least, at, mixed)
+        filled = np.flatnonzero(np.bincount(at, minlength=bins))
+        least = least[filled[np.searchsorted(filled, np.arange(bins)) % len(filled)]]
+    return np.array([gram_hashes(mix(row, i), SKETCH_ROWS)[0] for i, row in enumerate(least.reshape(SKETCH_KEYS, SKETCH_ROWS))], np.uint64)
 
 
 def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, mark (hash of the text) and w0.., s0..: SimHashes over the distinct words and over the shingles of `size` words."""
+    """doc_id, mark (hash of the text), s0.. (SimHash over the distinct shingles of `size` words) and keys (for candidates)."""
     light_batches(docs.sparkSession)
-    names = [f"w{i}" for i in range(WIDE_WORDS)] + [f"s{i}" for i in range(WIDE_SHINGLES)]
+    names = [f"s{i}" for i in range(WIDE_WORDS)]
 
-    def one(data: bytes) -> list[int]:
+    def one(data: bytes) -> tuple[list[int], np.ndarray]:
         words = word_hashes(data.lower())
-        grams = gram_hashes(words, size) if len(words) >= size else gram_hashes(words, len(words)) if len(words) else words
-        single, grams = np.unique(words), np.unique(grams)
-        return [_majority(mix(single, i + 1)) for i in range(WIDE_WORDS)] + [_majority(mix(grams, i + 101)) for i in range(WIDE_SHINGLES)]
+        grams = np.unique(gram_hashes(words, min(size, len(words))) if len(words) else words)
+        return [_majority(mix(grams, i + 101)) for i in range(WIDE_WORDS)], sketch_keys(grams).view(np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            found = np.array([one(bytes(b)) for b in rows["data"]], np.uint64).reshape(-1, len(names)).view(np.int64)
-            yield pd.concat([rows[["doc_id", "mark"]].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
+            found = [one(bytes(b)) for b in rows["data"]]
+            bits = np.array([f for f, _ in found], np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pd.concat([rows[["doc_id", "mark"]].reset_index(drop=True), pd.DataFrame(bits, columns=names), pd.DataFrame({"keys": [k for _, k in found]})], axis=1)
 
     data = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")).withColumn("mark", F.xxhash64("data"))
-    return data.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, " + ", ".join(f"{n} long" for n in names))
+    return data.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>")
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -187,24 +203,24 @@ def _linker(names: list[str], radius: int) -> Callable[[Iterator[pd.DataFrame]],
     return run
 
 
-def link(nodes: DataFrame, keys: list, names: list[str], radius: int) -> DataFrame:
+def link(nodes: DataFrame, keys: Column, names: list[str], radius: int) -> DataFrame:
     """Links (a < b) between nodes whose fingerprints (columns `names`) differ in at most `radius` bits and that share
-    one of `keys` (long columns). They join the same nodes as all links within each tile do, but no more than one for
-    each row of a tile is returned. A tile of more than TILE_ROWS rows is split into chunks, and each pair of chunks is
-    a task's work of its own."""
-    tiles = nodes.select("node", *names, F.explode(F.array(*keys)).alias("key"))
-    large = tiles.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > TILE_ROWS).select(F.col("key").alias("large_key"), F.ceil(F.col("m") / TILE_ROWS).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    chunk = F.pmod(F.xxhash64("node", F.lit("chunk")), parts).cast("int")
-    dealt = tiles.join(large, F.col("key") == F.col("large_key"), "left").select("node", *names, "key", parts.alias("parts"), chunk.alias("c"))
+    one of `keys` (array of longs). They join the same nodes as all links within each tile do, but no more than one for
+    each row of a tile is returned. Tiles of one node are left out before fingerprints travel. A tile of m nodes, more
+    than TILE_ROWS, is split into m / TILE_ROWS chunks, and each pair of chunks is a task's work of its own, so that each
+    of its nodes is sent m / TILE_ROWS times."""
+    tiles = nodes.select("node", F.explode(keys).alias("key"))
+    sizes = tiles.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / TILE_ROWS).cast("int").alias("parts"))
+    chunk = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("parts")).cast("int")
+    dealt = tiles.join(sizes, "key").select("node", "key", "parts", chunk.alias("c")).join(nodes.select("node", *names), "node")
     dealt = dealt.select("node", *names, "key", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     pairs = dealt.select("node", *names, "key", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), (F.col("c") <= F.col("other")).alias("own"))
     sorted_tiles = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return sorted_tiles.mapInPandas(_linker(names, radius), "a long, b long").distinct()
 
 
-def pigeonhole_keys(fp: str, radius: int, distinct: int) -> list:
-    """Keys of which two fingerprints within `radius` bits share at least one.
+def pigeonhole_keys(fp: str, radius: int, distinct: int) -> Column:
+    """Array of keys of which two fingerprints within `radius` bits share at least one.
 
     The 64 bits are cut into blocks; of b blocks at least b - radius agree, so each choice of b - radius blocks is a
     key. More blocks make longer keys, and so smaller tiles, at the price of more of them: b follows the row count.
@@ -213,7 +229,7 @@ def pigeonhole_keys(fp: str, radius: int, distinct: int) -> list:
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = [((1 << e) - 1) ^ ((1 << s) - 1) for s, e in zip(edges, edges[1:], strict=False)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [F.xxhash64(F.col(fp).bitwiseAND(F.lit(signed(sum(c)))), F.lit(i)) for i, c in enumerate(combinations(masks, blocks - radius))]
+    return F.array(*(F.xxhash64(F.col(fp).bitwiseAND(F.lit(signed(sum(c)))), F.lit(i)) for i, c in enumerate(combinations(masks, blocks - radius))))
 
 
 def simhash_components(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
@@ -234,20 +250,18 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 3) -> DataF
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Near-duplicate classes by an estimated Jaccard similarity of `size`-word shingles.
 
-    Two texts that agree in `similarity` of their shingles differ in few single words, so candidates are found by 16-bit
-    blocks of a SimHash over distinct words; a SimHash of 256 bits over shingles then decides: sets with Jaccard
-    similarity s have cosine 2s / (1 + s) when they are of one size, and bits differ with probability angle / pi. The
-    radius lies one standard deviation above the expectation. Returns doc_id, mark (XXH64 of the text, to tell rows of
-    one id apart) and component_id, as simhash_components does; texts without words are alike.
+    Candidates share a key of a sketch of their shingles (sketch_keys); a SimHash of 512 bits over shingles then decides:
+    sets with Jaccard similarity s have cosine 2s / (1 + s) when they are of one size, and bits differ with probability
+    angle / pi. The radius lies one and a half standard deviations above the expectation. Returns doc_id, mark (XXH64 of
+    the text, to tell rows of one id apart) and component_id, as simhash_components does; texts without words are alike.
     """
-    words, shingles = [f"w{i}" for i in range(WIDE_WORDS)], [f"s{i}" for i in range(WIDE_SHINGLES)]
+    names = [f"s{i}" for i in range(WIDE_WORDS)]
     marked = cut(wide_fingerprints(docs.select("doc_id", "text"), size))
-    nodes = cut(marked.groupBy(*words, *shingles).agg(F.min(F.col("doc_id").cast("long")).alias("node")).where("node is not null"))
+    nodes = cut(marked.groupBy(*names).agg(F.min(F.col("doc_id").cast("long")).alias("node"), F.first("keys").alias("keys")).where("node is not null"))
     p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
-    bits = 64 * WIDE_SHINGLES
-    radius = round(bits * p + (bits * p * (1 - p)) ** 0.5)
-    keys = [F.xxhash64(F.shiftrightunsigned(F.col(w), 16 * i).bitwiseAND(F.lit(0xFFFF)), F.lit(i), F.lit(w)) for w in words for i in range(4)]
-    roots = components(link(nodes, keys, shingles, radius))
-    classes = nodes.join(roots, "node", "left").select(*(F.col(c).alias(f"node_{c}") for c in (*words, *shingles)), F.coalesce("root", "node").alias("component_id"))
-    same = [F.col(c) == F.col(f"node_{c}") for c in (*words, *shingles)]
-    return marked.join(classes, same, "left").select("doc_id", "mark", "component_id")
+    bits = 64 * WIDE_WORDS
+    radius = round(bits * p + 1.5 * (bits * p * (1 - p)) ** 0.5)
+    roots = components(link(nodes, F.col("keys"), names, radius))
+    classes = nodes.join(roots, "node", "left").select(*(F.col(c).alias(f"node_{c}") for c in names), F.coalesce("root", "node").alias("component_id"))
+    same = [F.col(c) == F.col(f"node_{c}") for c in names]
+    return marked.drop("keys").join(classes, same, "left").select("doc_id", "mark", "component_id")

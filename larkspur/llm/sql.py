@@ -44,42 +44,40 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
-_MASK = "regexp_replace(array_to_string(list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda t: t <> ''), ' '), '(^|[ ])[^ ]*[0-9][^ ]*', '\\1<*>', 'g')"
+_PLAIN = "array_to_string(list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda t: t <> ''), ' ')"
 
+#: From the rule: a mask's places are the distinct texts that hold it; lines of which less than half is fixed recur only as
+#: they stand; lines of which every word holds a digit stay; documents aren't emptied.
 OP5 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents),
-m AS (SELECT doc_id, text, raw, list_transform(raw, lambda x: {_MASK}) AS al FROM d),
-z AS (SELECT doc_id, al, list_reverse_sort(list_distinct(list_transform(al, lambda x: {{'n': length(x), 'm': x}}))) AS o FROM m),
-e AS (SELECT doc_id, al, o, unnest(generate_series(1, len(al))) AS i FROM z),
+p AS (SELECT doc_id, md5(text) AS whole, list_transform(raw, lambda x: {_PLAIN}) AS lines FROM d),
+e AS (SELECT doc_id, whole, unnest(generate_series(1, len(lines))) AS i, unnest(lines) AS plain FROM p),
+f AS (SELECT *, string_split(regexp_replace(plain, '(^|[ ])[^ ]*[0-9][^ ]*', '\\1<*>', 'g'), ' ') AS w FROM e WHERE plain <> ''),
+g AS (SELECT *, len(w) AS n, len(list_filter(w, lambda t: t <> '<*>')) AS fixed FROM f),
 l AS (
-  SELECT doc_id, i, al[i] AS mask, CASE WHEN al[i] = o[1].m THEN coalesce(o[2].m, '') ELSE o[1].m END AS place, string_split(al[i], ' ') AS w
-  FROM e WHERE al[i] <> ''
+  SELECT doc_id, whole, i, w, n, 2 * fixed < n AS loose, CASE WHEN 2 * fixed < n THEN plain ELSE array_to_string(w, ' ') END AS mask, array_to_string(list_slice(w, 1, 3), ' ') AS lead
+  FROM g WHERE fixed > 0
 ),
-c AS (SELECT *, len(w) AS n, array_to_string(list_slice(w, 1, 3), ' ') AS lead FROM l WHERE len(w) <= 30 AND len(list_filter(w, lambda t: t <> '<*>')) >= len(w) * 0.5),
-u AS (SELECT mask, any_value(w) AS w, any_value(n) AS n, any_value(lead) AS lead, count(DISTINCT place) AS places FROM c GROUP BY mask),
-leaf AS (SELECT n, lead FROM u GROUP BY n, lead HAVING sum(places) >= 10 AND count(*) > 1),
-t AS (SELECT mask, u.n, u.lead, places, unnest(generate_series(1, u.n)) AS p, unnest(w) AS tok FROM u JOIN leaf ON u.n = leaf.n AND u.lead = leaf.lead),
+u AS (SELECT mask, loose, any_value(w) AS w, any_value(n) AS n, any_value(lead) AS lead, count(DISTINCT whole) AS places FROM l GROUP BY mask, loose),
+t AS (SELECT mask, n, lead, places, unnest(generate_series(1, n)) AS p, unnest(w) AS tok FROM u WHERE NOT loose AND (n, lead) IN (SELECT (n, lead) FROM u WHERE NOT loose GROUP BY n, lead HAVING count(*) > 1)),
 k AS (SELECT n, lead, p, tok FROM t WHERE tok <> '<*>' GROUP BY ALL HAVING sum(places) >= 10),
 s AS (
   SELECT mask, any_value(t.n) AS n, count(*) AS same, string_agg(t.p || ':' || t.tok, ' ' ORDER BY t.p) AS kept, any_value(t.lead) AS lead
   FROM t JOIN k ON t.n = k.n AND t.lead = k.lead AND t.p = k.p AND t.tok = k.tok GROUP BY mask
 ),
 nm AS (
-  SELECT u.mask, u.places, CASE WHEN s.same >= s.n * 0.5 THEN concat('t', s.n, '|', s.lead, '|', s.kept) ELSE concat('o', u.mask) END AS template
-  FROM u LEFT JOIN s ON u.mask = s.mask
+  SELECT u.mask, u.loose, u.places, CASE WHEN 2 * s.same >= s.n THEN concat('t', s.n, '|', s.lead, '|', s.kept) ELSE concat('o', u.loose, u.mask) END AS template
+  FROM u LEFT JOIN s ON NOT u.loose AND u.mask = s.mask
 ),
-gone AS (SELECT mask FROM nm WHERE template IN (SELECT template FROM nm GROUP BY template HAVING sum(places) >= 10)),
-g AS (SELECT doc_id, list(i) AS ix FROM c WHERE mask IN (SELECT mask FROM gone) GROUP BY doc_id),
+gone AS (SELECT mask, loose FROM nm WHERE template IN (SELECT template FROM nm GROUP BY template HAVING sum(places) >= 10)),
+ix AS (SELECT l.doc_id, list(i) AS ix FROM l JOIN gone ON gone.mask = l.mask AND gone.loose = l.loose GROUP BY l.doc_id),
 r AS (
-  SELECT m.doc_id, m.text, len(raw) AS n_lines,
-    CASE WHEN ix IS NULL THEN raw ELSE list_filter(raw, lambda x, i: NOT list_contains(ix, i)) END AS kept,
-    CASE WHEN ix IS NULL THEN al ELSE list_filter(al, lambda x, i: NOT list_contains(ix, i)) END AS kept_mask
-  FROM m LEFT JOIN g ON m.doc_id = g.doc_id
-)
-SELECT doc_id, n_lines,
-  CASE WHEN len(list_filter(kept_mask, lambda x: x <> '')) = 0 THEN 0 ELSE n_lines - len(kept) END AS n_dropped,
-  sha256(CASE WHEN len(list_filter(kept_mask, lambda x: x <> '')) = 0 THEN text ELSE array_to_string(kept, chr(10)) END) AS kept_sha256
-FROM r
+  SELECT d.doc_id, d.text, len(raw) AS n_lines, CASE WHEN ix IS NULL THEN raw ELSE list_filter(raw, lambda x, i: NOT list_contains(ix, i)) END AS kept
+  FROM d LEFT JOIN ix ON ix.doc_id = d.doc_id
+),
+q AS (SELECT *, len(list_filter(kept, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) = 0 AS bare FROM r)
+SELECT doc_id, n_lines, CASE WHEN bare THEN 0 ELSE n_lines - len(kept) END AS n_dropped, sha256(CASE WHEN bare THEN text ELSE array_to_string(kept, chr(10)) END) AS kept_sha256
+FROM q
 """
 
 ORACLES = {"op5_line_templates": OP5, "op6_decontaminate": OP6, "op10_substrings": OP10}

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import cut, light_batches
 from larkspur.llm.hashing import mix
 
-#: Lengths of the n-grams, in UTF-8 bytes.
+#: Lengths of the n-grams, in code points.
 SIZES = (3, 4, 5, 6)
 #: Buckets that n-grams are hashed to.
 BUCKETS = 1 << 20
 #: Labelled rows that a replica of the counting reads.
 ROWS_PER_TASK = 2500
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _TO_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -35,12 +36,13 @@ class Model:
 
 def grams(data: bytes) -> np.ndarray:
     """Bucket of each n-gram of the lower-cased (A-Z) text, with other ASCII signs than letters and digits as blanks."""
-    raw = np.frombuffer(b" " + data.lower().translate(_TO_SPACE) + b" ", np.uint8).astype(np.uint64)
+    text = (b" " + data.lower().translate(_TO_SPACE) + b" ").decode(errors="replace")
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     out, total = [], np.zeros(len(raw), np.uint64)
     for n in range(1, max(SIZES) + 1):
         if len(raw) < n:
             break
-        total = total[: len(raw) - n + 1] * np.uint64(257) + raw[n - 1 :]
+        total = total[: len(raw) - n + 1] * _BASE + raw[n - 1 :]
         if n in SIZES:
             out.append((mix(total, n) % np.uint64(BUCKETS)).astype(np.int64))
     return np.concatenate(out) if out else np.empty(0, np.int64)
@@ -85,8 +87,8 @@ def _solve(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, rounds: int
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: int = 4096, rounds: int = 200, decay: float = 1e-4) -> Model:
     """Learn from labelled texts: docs has doc_id and text, labels has doc_id and toxic (0 or 1; others are ignored).
 
-    The classifier is fitted on a sample of about `fit_rows` labelled rows, taken by a hash of the id; that bounds what
-    the driver gets. Log-count ratios compare in how many toxic and other texts of the sample a bucket occurs, plus one;
+    The classifier is fitted on a sample of about `fit_rows` labelled rows, taken by a hash of the id (of rows with one
+    id the least text); that bounds what the driver gets. Log-count ratios compare in how many toxic and other texts of the sample a bucket occurs, plus one;
     the `features` buckets that tell the classes apart best are kept. Without rows of both classes the model is the
     share of toxic rows alone.
     """
@@ -97,7 +99,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: in
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
     tasks = max(1, -(-min(total, fit_rows) // ROWS_PER_TASK))
     data = F.coalesce("text", F.lit("")).cast("binary").alias("data")
-    sample = cut(docs.select("doc_id", data).join(F.broadcast(chosen), "doc_id").select("data", "toxic").repartition(tasks, F.xxhash64("data")))
+    one_each = docs.select("doc_id", data).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("data").alias("data"), F.first("toxic").alias("toxic"))
+    sample = cut(one_each.repartition(tasks, F.xxhash64("doc_id")).select("data", "toxic"))
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, other = n.get(1, 0), n.get(0, 0)
     prior = float(np.log((toxic + 1) / (other + 1)))

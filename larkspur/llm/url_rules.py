@@ -53,16 +53,25 @@ def tokens(url: Column) -> Column:
 def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.8, lift: float = 1.2, least: int = 10) -> DataFrame | None:
     """Rules (tokens array, confidence, support) that tell blocked URLs, from labelled (url, block: boolean).
 
-    FP-growth counts token combinations together with the label; a rule is kept if it holds for at least `support` of
+    FP-growth counts token combinations together with the label. Of tokens that occur in just the same URLs one stands
+    for all, and tokens below the support are left out beforehand, so that constant parts of many URLs don't multiply the
+    combinations. A rule is kept if it holds for at least `support` of
     the URLs and for `least` of them, with at least `confidence`, `lift` times as often as among all. Rows with a null url or label are ignored.
     None if there are fewer rows.
     """
     label = F.when(F.col("block"), F.lit(_BLOCK)).otherwise(F.lit(_ALLOW))
-    baskets = cut(labelled.where("url is not null and block is not null").select(F.concat(tokens(F.col("url")), F.array(label)).alias("items")))
-    n = baskets.count()
+    known = cut(labelled.where("url is not null and block is not null").select(F.monotonically_increasing_id().alias("row"), tokens(F.col("url")).alias("all"), label.alias("label")))
+    n = known.count()
     if n < least:
         return None
-    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence).fit(baskets)
+    share = max(support, least / n)
+    single = known.select("row", F.explode("all").alias("token"))
+    same_rows = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("rows"))
+    often = single.groupBy("token").agg(same_rows.alias("where")).where(F.col("where.n") >= share * n)
+    heads = cut(often.groupBy("where").agg(F.min("token").alias("token")).select("token"))  # at most tokens per URL / share
+    sets = single.join(few(heads), "token", "left_semi").groupBy("row").agg(F.collect_set("token").alias("some"))
+    baskets = known.join(sets, "row", "left").select(F.concat(F.coalesce("some", F.array().cast("array<string>")), F.array("label")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(cut(baskets))
     kept = F.array_contains("consequent", _BLOCK) & ~F.array_contains("antecedent", _ALLOW) & (F.col("lift") >= lift)
     often = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
     rules = model.associationRules.where(kept).select(F.col("antecedent").alias("rule_tokens"), "confidence", "support")
