@@ -18,6 +18,8 @@ from larkspur.llm.hashing import mix
 SIZES = (3, 4, 5, 6)
 #: Buckets that n-grams are hashed to.
 BUCKETS = 1 << 20
+#: Rows whose features the driver spells out at once.
+BLOCK_ROWS = 2000
 #: Labelled rows that a replica of the counting reads.
 ROWS_PER_TASK = 2500
 
@@ -66,17 +68,20 @@ def _select(slots: np.ndarray, data: bytes) -> np.ndarray:
 
 
 def _solve(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, rounds: int, decay: float) -> tuple[np.ndarray, float]:
-    """Logistic regression on features ratio[j] by accelerated gradient steps with weight decay."""
-    sizes = np.array([len(r) for r in rows])
-    feature = np.concatenate(rows) if len(rows) else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    value = ratio[feature]
+    """Logistic regression on features ratio[j] by accelerated gradient steps with weight decay. Rows are gone through in
+    blocks, so that the driver holds the features of all rows in their short form only."""
     w, b = np.zeros(len(ratio)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     mean, square = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
+    blocks = [(np.concatenate(rows[i : i + BLOCK_ROWS]), np.array([len(r) for r in rows[i : i + BLOCK_ROWS]]), y[i : i + BLOCK_ROWS]) for i in range(0, len(rows), BLOCK_ROWS)]
     for t in range(1, rounds + 1):
-        z = b + np.bincount(row, value * w[feature], len(rows))
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        grad = np.append(np.bincount(feature, value * error[row], len(ratio)) + decay * w, error.sum())
+        grad = np.append(decay * w, 0.0)
+        weight = ratio * w
+        for short, sizes, goal in blocks:
+            feature, row = short.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+            z = b + np.bincount(row, weight[feature], len(sizes))
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - goal) / len(y)
+            grad[:-1] += ratio * np.bincount(feature, error[row], len(ratio))
+            grad[-1] += error.sum()
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad * grad
         move = 0.05 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
         w -= move[:-1]
@@ -89,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: in
 
     The classifier is fitted on a sample of about `fit_rows` labelled rows, taken by a hash of the id (of rows with one
     id the least text); that bounds what the driver gets. Log-count ratios compare in how many toxic and other texts of the sample a bucket occurs, plus one;
-    the `features` buckets that tell the classes apart best are kept. Without rows of both classes the model is the
+    the `features` buckets (65,536 at most) that tell the classes apart best are kept. Without rows of both classes the model is the
     share of toxic rows alone.
     """
     light_batches(docs.sparkSession)
@@ -116,10 +121,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: in
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"toxic": rows["toxic"], "found": [_select(slots, bytes(d)) for d in rows["data"]]})
+            yield pd.DataFrame({"toxic": rows["toxic"], "found": [_select(slots, bytes(d)).astype(np.uint16).tobytes() for d in rows["data"]]})
 
-    rows = sample.mapInPandas(rows_of, "toxic int, found array<int>").toPandas()
-    weights, bias = _solve([np.asarray(r, np.int64) for r in rows["found"]], rows["toxic"].to_numpy(float), ratio, rounds, decay)
+    rows = sample.mapInPandas(rows_of, "toxic int, found binary").toPandas()
+    weights, bias = _solve([np.frombuffer(r, np.uint16) for r in rows["found"]], rows["toxic"].to_numpy(float), ratio, rounds, decay)
     return Model(buckets, weights, bias)
 
 
