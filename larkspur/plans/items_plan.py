@@ -33,10 +33,9 @@ def _nt(x: str) -> str:
     return f"trim(regexp_replace(lower(coalesce(CAST({x} AS VARCHAR), '')), '[^\\pL\\pN]+', ' ', 'g'))"
 
 
-@query("F1_norm_text", f"SELECT seq, {_nt('substr(text, 1, 200)')} AS unicode_key, trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', ' ', 'g')) AS ascii_key FROM {{texts}}")
+@query("F1_norm_text", f"SELECT seq, {_nt('text')} AS unicode_key, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS ascii_key FROM {{texts}}")
 def f1(spark: SparkSession, d: str) -> DataFrame:
-    head = F.substring("text", 1, 200)
-    return view(spark, d, "texts").select("seq", T.norm_text(head).alias("unicode_key"), T.norm_title(head).alias("ascii_key"))
+    return view(spark, d, "texts").select("seq", T.norm_text(F.col("text")).alias("unicode_key"), T.norm_title(F.col("text")).alias("ascii_key"))
 
 
 @query(
@@ -120,26 +119,6 @@ def f10(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "products").select("seq", S.term_points(t, _W).alias("points"), F.array_join(S.hits(t, list(_W)), ",").alias("hits"))
 
 
-@query(
-    "F12_release_window",
-    """SELECT seq, date_diff('day', DATE '2024-01-01', release_date) AS days, CASE WHEN release_date IS NULL THEN 'UNKNOWN' WHEN release_date < DATE '2024-01-01' THEN 'RELEASED' WHEN date_diff('day', DATE '2024-01-01', release_date) <= 3 THEN 'CRITICAL'
-    WHEN date_diff('day', DATE '2024-01-01', release_date) <= 14 THEN 'HIGH' WHEN date_diff('day', DATE '2024-01-01', release_date) <= 45 THEN 'MEDIUM' ELSE 'LOW' END AS urgency FROM {dated_items}""",
-)
-def f12(spark: SparkSession, d: str) -> DataFrame:
-    days = F.datediff("release_date", F.lit("2024-01-01").cast("date"))
-    level = F.when(days.isNull(), "UNKNOWN").when(days < 0, "RELEASED").when(days <= 3, "CRITICAL").when(days <= 14, "HIGH").when(days <= 45, "MEDIUM").otherwise("LOW")
-    return view(spark, d, "dated_items").select("seq", days.cast("long").alias("days"), level.alias("urgency"))
-
-
-@query(
-    "F13_freshness",
-    """SELECT seq, CASE WHEN release_date IS NULL THEN 0 WHEN abs(date_diff('day', release_date, DATE '2024-01-01')) <= 7 THEN 10 WHEN abs(date_diff('day', release_date, DATE '2024-01-01')) <= 30 THEN 6
-    WHEN abs(date_diff('day', release_date, DATE '2024-01-01')) <= 90 THEN 2 ELSE 0 END AS bonus FROM {dated_items}""",
-)
-def f13(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "dated_items").select("seq", items.freshness(F.col("release_date"), F.lit("2024-01-01").cast("date")).alias("bonus"))
-
-
 @query("F14_admit_drops", "SELECT seq, title FROM {dated_items} WHERE coalesce(release_date >= DATE '2024-01-01' - INTERVAL 30 DAY, false) OR contains(lower(title), 'small') OR contains(lower(title), 'promo')")
 def f14(spark: SparkSession, d: str) -> DataFrame:
     return items.admit_drops(view(spark, d, "dated_items"), "title", "release_date", F.lit("2024-01-01").cast("timestamp"), 30, ("small", "promo")).select("seq", "title")
@@ -152,10 +131,10 @@ def f15(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "F16_first_keyword",
-    """SELECT seq, coalesce(list_filter(list_transform(regexp_split_to_array(lower(substr(text, 1, 300)), '\\s+'), lambda w: trim(w, ',.!?()[]')), lambda w: length(w) >= 4 AND NOT list_contains(['the','and','new','official','available','coming','soon'], w))[1], 'general') AS keyword FROM {texts}""",
+    """SELECT seq, coalesce(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: trim(w, ',.!?()[]')), lambda w: length(w) >= 4 AND NOT list_contains(['the','and','new','official','available','coming','soon'], w))[1], 'general') AS keyword FROM {texts}""",
 )
 def f16(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "texts").select("seq", T.first_keyword(F.substring("text", 1, 300)).alias("keyword"))
+    return view(spark, d, "texts").select("seq", T.first_keyword(F.col("text")).alias("keyword"))
 
 
 @query(

@@ -194,20 +194,6 @@ def j21(spark: SparkSession, d: str) -> DataFrame:
     return cards.saved_items_view(saved, known, "opportunity_id", search="I").select("saved_id", "name", "status", "linked")
 
 
-@query("A26_card_tags", """SELECT seq, CASE WHEN market_price IS NULL AND sold_price IS NULL AND score <= 0 THEN 'UNKNOWN' WHEN 0.4 * score + 0.3 * (score % 50) + 0.3 * (100 - seq % 100) >= 65 THEN 'STRONG' WHEN 0.4 * score + 0.3 * (score % 50) + 0.3 * (100 - seq % 100) >= 35 THEN 'MEDIUM' ELSE 'WEAK' END AS strength,
-CASE WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, array_to_string(list_slice(list_filter([CASE WHEN seq % 4 = 0 THEN 'Few confirmed sales' END, CASE WHEN status = 'SOLD OUT' THEN 'Restock risk' END, CASE WHEN seq % 3 = 0 THEN 'Limited promo' END, CASE WHEN sold_price > 0 AND market_price / sold_price >= 1.3 THEN 'High asking prices' END, CASE WHEN seq % 5 = 0 THEN 'Sealed demand' END], lambda x: x IS NOT NULL), 1, 3), ',') AS tags FROM {opportunities}""")
-def a26(spark: SparkSession, d: str) -> DataFrame:
-    s, k = F.col("score"), F.col("seq")
-    priced = F.col("market_price").isNotNull() | F.col("sold_price").isNotNull()
-    rules = (("Few confirmed sales", k % 4 == 0), ("Restock risk", F.col("status") == "SOLD OUT"), ("Limited promo", k % 3 == 0), ("High asking prices", F.when(F.col("sold_price") > 0, F.col("market_price") / F.col("sold_price") >= 1.3)), ("Sealed demand", k % 5 == 0))
-    return view(spark, d, "opportunities").select("seq", cards.market_strength(priced, s, s % 50, k % 100).alias("strength"), cards.confidence_label(s).alias("confidence"), F.array_join(cards.demand_tags(rules), ",").alias("tags"))
-
-
-@query("W6_release_calendar", """SELECT seq, title, release_date, w AS "window" FROM (SELECT *, CASE WHEN release_date IS NULL THEN 5 WHEN n < 0 THEN 4 WHEN n <= 3 THEN 0 WHEN n <= 14 THEN 1 WHEN n <= 45 THEN 2 ELSE 3 END AS w FROM (SELECT *, date_diff('day', DATE '2024-01-01', release_date) AS n FROM {dated_items})) ORDER BY w, release_date NULLS LAST, collector_score DESC, seq LIMIT 50""")
-def w6(spark: SparkSession, d: str) -> DataFrame:
-    return cards.release_calendar(view(spark, d, "dated_items"), F.lit("2024-01-01").cast("date")).select("seq", "title", "release_date", "window")
-
-
 @query("W7_action_queue", f"""WITH {_STRAT}, b AS (SELECT seq % 700 AS action_key, CASE opportunity_tier WHEN 'WATCH' THEN 'LOW' ELSE opportunity_tier END AS priority, opportunity_score AS score, recommended_action AS action, seq, 0 AS fa FROM bd UNION ALL SELECT seq % 900, CASE WHEN seq % 50 = 0 THEN 'CRITICAL' ELSE 'MEDIUM' END, CAST(collector_score AS INT), concat('alert ', seq), seq, 1 FROM bd WHERE seq % 5 = 0),
 m AS (SELECT action_key, max(CASE priority WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END) AS r, max(score) AS score, first(action ORDER BY 1 - fa, seq) AS action, count(*) AS merged FROM b GROUP BY action_key)
 SELECT action_key, CASE r WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 1 THEN 'LOW' ELSE 'NONE' END AS priority, score, action, merged FROM m ORDER BY r DESC, score DESC, action_key LIMIT 20""")
@@ -233,11 +219,6 @@ def a7(spark: SparkSession, d: str) -> DataFrame:
     return cards.data_quality(view(spark, d, "products"), {"title": 30, "retail_price": 30, "sku": 20, "availability": 20}, "seq")
 
 
-@query("F26_summary_text", f"""SELECT seq, concat(product_name, CASE WHEN required_spend IS NULL THEN ' has no known cost' ELSE concat(' costs $', printf('%.2f', required_spend)) END, CASE WHEN sold_price IS NULL THEN '' ELSE concat(' and brings $', printf('%.2f', sold_price)) END, ' (', {_nt('status')}, ').') AS summary FROM {{opportunities}}""")
-def f26(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "opportunities").select("seq", cards.summary_text(F.col("product_name"), F.col("required_spend"), F.col("sold_price"), F.col("status")).alias("summary"))
-
-
 _TRUST = {"s0": 90, "s1": 70, "s2": 70, "s3": 30}
 
 
@@ -247,15 +228,6 @@ def a8(spark: SparkSession, d: str) -> DataFrame:
     return cards.consensus(view(spark, d, "observations"), "product_key", _TRUST, "seq")
 
 
-@query("F9_classify", """SELECT seq, CASE WHEN contains(t, 'small ring') THEN 'ring_small' WHEN contains(t, 'ring') THEN 'ring' WHEN contains(t, 'widget') THEN 'widget' ELSE 'other' END AS kind, contains(t, 'promo') AS promo FROM (SELECT seq, lower(concat(title, ' ', description)) AS t FROM {products})""")
-def f9(spark: SparkSession, d: str) -> DataFrame:
-    t = F.lower(F.concat_ws(" ", "title", "description"))
-    kind = F.lit("other")
-    for term, name in reversed((("small ring", "ring_small"), ("ring", "ring"), ("widget", "widget"))):
-        kind = F.when(F.contains(t, F.lit(term)), name).otherwise(kind)
-    return view(spark, d, "products").select("seq", kind.alias("kind"), F.contains(t, F.lit("promo")).alias("promo"))
-
-
 @query("A23_market_signal", """SELECT seq, score, CASE WHEN score >= 80 THEN 'strong' WHEN score >= 60 THEN 'watch' ELSE 'weak' END AS status FROM (SELECT seq, CAST(greatest(0, least(100, 35 + 6 * (CASE WHEN contains(t, 'exclusive') THEN 1 ELSE 0 END + CASE WHEN contains(t, 'limited') THEN 1 ELSE 0 END) + CASE WHEN url IS NOT NULL THEN 10 ELSE 0 END)) AS INT) AS score FROM (SELECT seq, url, lower(concat(brand, ' ', title, ' ', description)) AS t FROM {products}))""")
 def s6(spark: SparkSession, d: str) -> DataFrame:
     m = items.market_signal(F.concat_ws(" ", "brand", "title", "description"), F.col("url"))

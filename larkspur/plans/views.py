@@ -61,7 +61,7 @@ SELECT concat(opportunity_id, '-n'), seq + 1000000, product_name, brand, franchi
 FROM {opportunities} WHERE seq % 10 = 3
 """,
     "messy": """
-SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_shipdate FROM {lineitem} WHERE l_linenumber = 1
+SELECT l_orderkey * 8 + l_linenumber AS seq, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_shipdate FROM {lineitem}
 """,
     "dirty": """
 SELECT seq, CASE seq % 7 WHEN 0 THEN concat('$', CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING), '.50') WHEN 1 THEN '' WHEN 2 THEN '-5' WHEN 3 THEN 'n/a' WHEN 4 THEN concat('1,', CAST(l_suppkey % 900 + 100 AS STRING), '.25 USD') WHEN 5 THEN NULL ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END AS amount,
@@ -81,6 +81,28 @@ SELECT l_partkey AS group_id, row_number() OVER (PARTITION BY l_partkey ORDER BY
   CAST(l_quantity * 2 AS DOUBLE) AS confidence, CASE l_orderkey % 3 WHEN 0 THEN 'single_item' WHEN 1 THEN 'box' ELSE 'unknown' END AS unit_scope, CASE l_returnflag WHEN 'A' THEN 'graded' WHEN 'R' THEN 'ungraded' ELSE 'unknown' END AS grading,
   CASE l_orderkey % 4 WHEN 0 THEN 'rumored' WHEN 1 THEN 'estimated' ELSE 'confirmed' END AS certainty, l_shipdate AS observed_at, concat('u', l_suppkey) AS source_id
 FROM {lineitem}
+""",
+    "game_items": """
+SELECT p_partkey AS seq, CASE p_partkey % 3 WHEN 0 THEN 'pokemon' WHEN 1 THEN 'lorcana' ELSE 'one_piece' END AS category,
+  concat(p_name, ' ', CASE p_partkey % 13 WHEN 0 THEN 'Elite Trainer Box' WHEN 1 THEN 'Booster Box' WHEN 2 THEN 'Booster Pack' WHEN 3 THEN 'Premium Collection' WHEN 4 THEN 'Gift Set' WHEN 5 THEN 'Starter Deck [OP15-EB04]' WHEN 6 THEN 'mini tin' WHEN 7 THEN 'Plush' WHEN 8 THEN 'Promo Card P-001' WHEN 9 THEN 'Playmat'
+    WHEN 10 THEN 'Collection Starter Set D23' WHEN 11 THEN 'Figure' ELSE p_type END) AS title,
+  concat(lower(p_type), CASE WHEN p_size % 2 = 0 THEN ' limited edition' ELSE '' END, CASE WHEN p_size % 3 = 0 THEN ' with promo card' ELSE '' END, CASE WHEN p_size % 5 = 0 THEN ' alternate art foil' ELSE '' END, CASE WHEN p_size % 7 = 0 THEN ' Pokemon Center exclusive' ELSE '' END,
+    CASE WHEN p_size % 11 = 0 THEN ' reprint restock' ELSE '' END, CASE WHEN p_size % 13 = 0 THEN ' anniversary' ELSE '' END) AS description,
+  CASE p_partkey % 5 WHEN 0 THEN 'SoldOut' WHEN 1 THEN 'InStock' WHEN 2 THEN 'sold out' WHEN 3 THEN 'PreOrder' END AS availability,
+  CASE p_partkey % 4 WHEN 0 THEN 'pokemon_center_tcg' WHEN 1 THEN 'pokemon_news' WHEN 2 THEN 'Shop A' END AS source, CASE WHEN p_partkey % 6 < 3 THEN concat('https://s', CAST(p_partkey % 6 AS STRING), '.example') END AS source_url,
+  CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(DATE '2024-01-01' + CAST(p_partkey % 120 - 60 AS INT) AS DATE) END AS release_date
+FROM {part}
+""",
+    "wide": """
+SELECT p_partkey AS seq, concat(p_name, CASE WHEN p_partkey % 17 = 0 THEN ' Complete Set' ELSE '' END) AS product_name, p_brand AS brand, CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS franchise, CASE WHEN p_partkey % 3 = 0 THEN concat('Partner ', CAST(p_partkey % 20 AS STRING)) END AS collaboration_partner,
+  CASE WHEN p_partkey % 4 <> 0 THEN '2024-03-01' END AS release_date, CASE p_partkey % 6 WHEN 0 THEN 'rumored' WHEN 1 THEN 'live' WHEN 2 THEN 'sold_out' WHEN 3 THEN 'restocked' END AS status,
+  CASE WHEN p_partkey % 8 <> 0 THEN CAST(p_retailprice AS DOUBLE) / 4 END AS retail_price, CASE WHEN p_partkey % 3 = 1 THEN CAST(p_partkey % 90 + 10 AS DOUBLE) END AS required_spend,
+  CASE WHEN p_partkey % 4 = 1 THEN CAST(p_partkey % 400 AS DOUBLE) END AS recent_sold_price, CASE WHEN p_partkey % 2 = 1 THEN CAST(p_partkey % 700 + 5 AS DOUBLE) END AS current_market_price, CASE WHEN p_partkey % 5 < 3 THEN CAST(p_retailprice AS DOUBLE) / 3 END AS estimated_market_price,
+  CASE WHEN p_size % 4 < 2 THEN CAST(p_size % 4 + 1 AS INT) END AS purchase_limit, CASE WHEN p_size % 3 = 0 THEN CAST(p_size * 60 AS INT) END AS stated_quantity, CASE WHEN p_size % 5 < 3 THEN CAST(p_size AS INT) END AS sold_listing_count,
+  p_size % 2 = 0 AS exclusive_artwork, CASE WHEN p_size % 7 = 0 THEN 'An Artist' END AS artist_name, p_size % 11 = 0 AS anniversary_release, p_size % 6 = 0 AS first_edition, p_size % 9 = 0 AS numbered, p_size % 8 = 0 AS event_exclusive, p_size % 10 = 0 AS lottery_required, p_partkey % 2 = 0 AS limited_quantity,
+  p_partkey % 3 = 0 AS sealed_product, p_partkey % 7 < 4 AS online_available, CASE WHEN p_partkey % 9 < 3 THEN 'within 30 minutes' END AS sellout_speed, CASE p_partkey % 5 WHEN 0 THEN 'SURGING' WHEN 1 THEN 'RISING' WHEN 2 THEN 'FLAT' WHEN 3 THEN 'FALLING' END AS demand_direction,
+  CASE p_partkey % 9 WHEN 0 THEN 'OFFICIAL' WHEN 1 THEN 'RETAILER' WHEN 2 THEN 'NEWS' WHEN 3 THEN 'SOCIAL' WHEN 4 THEN 'COMMUNITY' WHEN 5 THEN 'EVENT' WHEN 6 THEN 'PRESS_RELEASE' WHEN 7 THEN 'MARKETPLACE' END AS source_type, p_partkey % 13 = 0 AS set_risk
+FROM {part}
 """,
     "source_runs": """
 SELECT event_id, user_id AS source_id, ts, event_type <> 'error' AS success FROM {events}
