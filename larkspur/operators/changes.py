@@ -95,19 +95,44 @@ def new_alerts(alerts: DataFrame, active: DataFrame) -> DataFrame:
     return waiting.groupBy("product_key", "event").agg(first.alias("row")).select("row.*")
 
 
-#: Base scores of events: fixed values.
-EVENT_SCORES = {"RESTOCK": 80, "NEW_PRODUCT": 60, "PRICE_DROP": 55, "TIER_UPGRADE": 50, "STRATEGY_UPGRADE": 45, "NEW_CONFIRMATION": 35, "SOLD_OUT": 30, "PRICE_INCREASE": 15}
+#: Base scores of events and levels of alerts: fixed values.
+EVENT_SCORES = {"RESTOCK": 48, "PRICE_DROP": 42, "TIER_UPGRADE": 36, "STRATEGY_UPGRADE": 32, "SOLD_OUT": 30, "NEW_PRODUCT": 24, "NEW_CONFIRMATION": 16, "PRICE_INCREASE": 8}
+ALERT_LEVELS = ((85, "CRITICAL"), (70, "HIGH"), (50, "MEDIUM"), (30, "LOW"))
+ALERT_RANK = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1, "WATCH": 0, "IGNORE": 0}
 
 
 def score_alerts(events: DataFrame, items: DataFrame, least: int = 30) -> DataFrame:
-    """Add alert_score (event base, raised by a tenth of the opportunity score above 50), priority and should_alert.
+    """Add alert_score (event base, shares of the item's scores and a bonus where they suit the event), priority, action
+    and should_alert, and the item's opportunity_score.
 
-    items has product_key and opportunity_score; an unknown product counts as 0.
+    items has product_key, opportunity_score, opportunity_tier, collector_score, popularity_score, flip_score, hold_score
+    and strategy; scores of unknown products and missing ones count as 0.
     """
-    base = F.coalesce(F.create_map(*(F.lit(x) for kv in EVENT_SCORES.items() for x in kv))[F.col("event")], F.lit(10))
-    joined = events.join(items.select("product_key", "opportunity_score"), "product_key", "left")
-    score = S.clamp(base + F.floor(F.greatest(F.coalesce("opportunity_score", F.lit(0)) - 50, F.lit(0)) / 10).cast("int"))
-    return joined.withColumn("alert_score", score).withColumns({"priority": S.bucket(F.col("alert_score"), ((80, "CRITICAL"), (60, "HIGH"), (40, "MEDIUM")), "LOW"), "should_alert": F.col("alert_score") >= least})
+    event, z = F.col("event"), lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    base = F.coalesce(F.create_map(*(F.lit(x) for kv in EVENT_SCORES.items() for x in kv))[event], F.lit(0))
+    names = ("opportunity_score", "opportunity_tier", "collector_score", "popularity_score", "flip_score", "hold_score", "strategy")
+    joined = events.join(items.select("product_key", *names), "product_key", "left")
+    shares = S.half_even(z("opportunity_score") * 0.15) + S.half_even(z("collector_score") * 0.08) + S.half_even(z("popularity_score") * 0.06)
+    bonus = F.when((event == "RESTOCK") & (z("flip_score") >= 70), 12).when((event == "PRICE_DROP") & (z("hold_score") >= 70), 10).when((event == "TIER_UPGRADE") & (F.col("opportunity_tier") == "CRITICAL"), 12).otherwise(0)
+    score = S.clamp(base + shares + bonus)
+    action = (
+        F.when(event == "RESTOCK", F.when(score >= 70, "CHECK STOCK AND BUY QUICKLY IF MARGIN WORKS").otherwise("CHECK CURRENT STOCK"))
+        .when(event == "PRICE_DROP", F.when(F.col("strategy") == "LONG-TERM HOLD", "REVIEW FOR HOLD PURCHASE").otherwise("RECHECK PROFIT MARGIN"))
+        .when(event == "NEW_PRODUCT", F.when(score >= 70, "RESEARCH IMMEDIATELY").otherwise("ADD TO WATCHLIST"))
+        .when(event == "SOLD_OUT", "WATCH SECONDARY MARKET")
+        .when(event == "TIER_UPGRADE", "REVIEW BUY PRIORITY")
+        .when(event == "STRATEGY_UPGRADE", "RECHECK INVESTMENT STRATEGY")
+        .when(event == "NEW_CONFIRMATION", "REVIEW NEW OFFICIAL DATA")
+        .when(event == "PRICE_INCREASE", "RECALCULATE PROFIT MARGIN")
+        .otherwise("MONITOR")
+    )
+    return joined.withColumns({"alert_score": score, "priority": S.bucket(score, ALERT_LEVELS, "IGNORE"), "action": action, "should_alert": score >= least}).drop(*names[1:])
+
+
+def rank_alerts(alerts: DataFrame, k: int = 20) -> DataFrame:
+    """The k first alerts by priority, score and opportunity score; equal ones by key, seq and event."""
+    rank = F.create_map(*(F.lit(x) for kv in ALERT_RANK.items() for x in kv))[F.col("priority")]
+    return alerts.orderBy(F.coalesce(rank, F.lit(0)).desc(), F.desc("alert_score"), F.coalesce(F.col("opportunity_score").cast("double"), F.lit(0.0)).desc(), "product_key", "seq", "event").limit(k)
 
 
 STAMP = r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b"
@@ -145,13 +170,22 @@ def failure_streaks(runs: DataFrame) -> DataFrame:
     return last.join(later, "source_id", "left").select("source_id", "runs", F.coalesce("n", F.lit(0)).alias("consecutive_failures"), F.col("ok.ts").alias("last_success_at"))
 
 
-def source_health(runs: DataFrame, now: Column, stale_hours: float = 72.0, inspect_after: int = 3, disable_after: int = 10) -> DataFrame:
-    """Status and recommended action of each source from its streak and the age of its last success."""
-    n, stale = F.col("consecutive_failures"), (F.unix_timestamp(now) - F.unix_timestamp("last_success_at")) / 3600 > stale_hours
-    never = F.col("last_success_at").isNull() & (n == 0)
+def source_health(runs: DataFrame, now: Column, stale_hours: float = 168.0, inspect_after: int = 5, disable_after: int = 10, sources: DataFrame | None = None) -> DataFrame:
+    """Status and recommended action of each source from its streak and the age of its last success.
+
+    sources (source_id, enabled, lifecycle), if given, adds those that never ran; switched-off, retired and broken ones
+    are disabled.
+    """
+    n, stale = F.col("consecutive_failures"), F.coalesce((F.unix_timestamp(now) - F.unix_timestamp("last_success_at")) / 3600 > stale_hours, F.lit(False))
+    never = F.col("last_success_at").isNull() & (F.coalesce(n, F.lit(0)) == 0)
     status = F.when(never, "unknown").when(n >= inspect_after, "failing").when(stale, "stale").when(n > 0, "warning").otherwise("healthy")
     action = F.when(never, "none").when(n >= disable_after, "pause").when((n >= inspect_after) | stale, "inspect").when(n > 0, "retry").otherwise("none")
-    return failure_streaks(runs).withColumns({"health_status": status, "recommended_action": action})
+    streaks = failure_streaks(runs)
+    if sources is not None:
+        off = ~F.coalesce("enabled", F.lit(False)) | F.coalesce(F.col("lifecycle").isin("retired", "broken"), F.lit(False))
+        streaks = sources.select("source_id", off.alias("off")).join(streaks, "source_id", "left")
+        status, action = F.when(F.col("off"), "disabled").otherwise(status), F.when(F.col("off"), "none").otherwise(action)
+    return streaks.withColumns({"health_status": status, "recommended_action": action}).drop("off")
 
 
 def backoff(streaks: DataFrame, base: float = 60.0, most: float = 3600.0) -> DataFrame:

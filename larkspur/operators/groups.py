@@ -103,14 +103,14 @@ def group_products(items: DataFrame, pairs: DataFrame) -> DataFrame:
     return items.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("group_id"))
 
 
-def reach(edges: DataFrame, most: int = 64) -> DataFrame:
+def reach(edges: DataFrame) -> DataFrame:
     """(node, ancestor, depth) over a child-parent table (node, parent) by repeated joins, until nothing is new.
 
     A cycle ends when a node meets itself: it is then its own ancestor.
     """
     step = cut(edges.where("parent is not null and node is not null").select("node", F.col("parent").alias("ancestor")).distinct())
     front, done, depth = step.withColumn("depth", F.lit(1)), None, 1
-    while depth <= most:
+    while True:
         done = front if done is None else cut(done.unionByName(front))
         depth += 1
         parents = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
@@ -121,8 +121,6 @@ def reach(edges: DataFrame, most: int = 64) -> DataFrame:
     return done
 
 
-
-
 def leader_groups(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """id and leader of a greedy clustering: in the order of ids, each item joins the first leader that it pairs with,
     else it leads itself.

@@ -149,15 +149,6 @@ def admit_drops(df: DataFrame, title: str, published: str, now: Column, days: in
     return df.where(recent | (F.size(S.hits(F.col(title), keywords)) > 0))
 
 
-def freshness(day: Column, today: Column, steps: Sequence[tuple[int, int]] = ((7, 10), (30, 6), (90, 2))) -> Column:
-    """Bonus of the first step whose number of days covers the distance to today; 0 without a day."""
-    away = F.abs(F.datediff(today, day))
-    out = F.lit(0)
-    for most, bonus in sorted(steps, reverse=True):
-        out = F.when(away <= most, bonus).otherwise(out)
-    return F.coalesce(out, F.lit(0))
-
-
 def relative_age(ts: Column, now: Column) -> Column:
     """'just now', 'Nm ago', 'Nh ago' or 'Nd ago'; null without a time."""
     s = F.unix_timestamp(now) - F.unix_timestamp(ts)

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import scores as S
 from larkspur.functions import text as T
+from larkspur.sources.tables import few
+
+#: Keywords that are tested against each text; there are fewer than this many of one or two letters.
+KEYWORDS = 20_000
 
 
 def mean_cents(c: Column) -> Column:
@@ -65,17 +69,24 @@ def summary_for(summary: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def match_patterns(items: DataFrame, patterns: DataFrame) -> DataFrame:
     """(item_id, name, strength, historical_roi) of the patterns (name, category, keywords array, historical_roi) that
-    an item (item_id, text, category) matches: keywords in its text, plus one for an equal category.
+    an item (item_id, text, category) matches: keywords anywhere in its text, plus one for an equal category.
 
-    Keywords meet texts by their words: a keyword's first word is looked up among the words of the text, then the whole
-    keyword is tested, so that items and patterns are joined on equal values.
+    A small table of keywords, whose rows are counted first, is tested against each text as a broadcast; a larger one is
+    looked up by the first three letters of each keyword among the texts' three-letter grams.
     """
-    words = F.array_distinct(F.split(T.norm_text(F.col("text")), " "))
-    item_words = items.select("item_id", F.lower("text").alias("text"), F.explode(words).alias("word"))
-    keywords = patterns.select("name", F.explode(F.array_distinct(F.transform("keywords", lambda k: F.lower(k)))).alias("keyword")).withColumn("word", F.split_part(T.norm_text(F.col("keyword")), F.lit(" "), F.lit(1)))
-    by_word = item_words.join(keywords, "word").where(F.contains("text", F.col("keyword"))).select("item_id", "name", F.lit(1).alias("hit")).withColumn("kind", F.lit("k"))
-    by_category = items.where(F.coalesce("category", F.lit("")) != "").select("item_id", F.lower("category").alias("c")).join(patterns.select("name", F.lower("category").alias("c")), "c").select("item_id", "name", F.lit(1).alias("hit"), F.lit("c").alias("kind"))
-    strength = by_word.unionByName(by_category).groupBy("item_id", "name").agg(F.sum("hit").cast("long").alias("strength"))
+    texts = items.select("item_id", F.lower("text").alias("text"))
+    keywords = patterns.select("name", F.explode(F.array_distinct(F.transform("keywords", lambda k: F.lower(k)))).alias("keyword")).where("keyword <> ''")
+    small = few(keywords, KEYWORDS)
+    holds = F.contains("text", F.col("keyword"))
+    if small is keywords:
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1))), lambda i: F.substring("text", i, 3)))
+        long = texts.withColumn("gram", F.explode(grams)).join(keywords.where(F.length("keyword") >= 3).withColumn("gram", F.substring("keyword", 1, 3)), "gram")
+        found = long.where(holds).select("item_id", "name", "keyword")
+        found = found.unionByName(texts.join(F.broadcast(keywords.where(F.length("keyword") < 3).limit(KEYWORDS)), holds).select("item_id", "name", "keyword")).distinct()
+    else:
+        found = texts.join(small, holds).select("item_id", "name", "keyword")
+    by_category = items.where(F.coalesce("category", F.lit("")) != "").select("item_id", F.lower("category").alias("c")).join(patterns.select("name", F.lower("category").alias("c")), "c").select("item_id", "name")
+    strength = found.select("item_id", "name").unionByName(by_category).groupBy("item_id", "name").agg(F.count("*").alias("strength"))
     return strength.join(patterns.select("name", "historical_roi"), "name")
 
 

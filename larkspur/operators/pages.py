@@ -35,15 +35,34 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", _inside(html, "title").alias("title"), _inside(html, "h1").alias("h1"), body.alias("body"), (body != "").alias("ok"))
 
 
+def resolved(page: Column, href: Column) -> Column:
+    """A link of a page as absolute url without fragment: links with a scheme stay, others take the page's scheme (//),
+    host (/), path (?) or folder; . and .. steps are gone."""
+    bare = F.split_part(href, F.lit("#"), F.lit(1))
+    scheme, root = F.regexp_extract(page, "^([^:]+:)//", 1), F.regexp_extract(page, "^([^:]+://[^/?#]*)", 1)
+    path = F.regexp_extract(page, "^[^:]+://[^/?#]*([^?#]*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "^(.*/)", 1))
+    steps = F.split(F.split_part(F.concat(folder, bare), F.lit("?"), F.lit(1)), "/")
+    query = F.regexp_extract(bare, r"(\?.*)$", 1)
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).when(x == ".", a).otherwise(F.array_append(a, x)))
+    relative = F.concat(root, F.array_join(kept, "/"), query)
+    return (
+        F.when(bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), bare)
+        .when(bare.startswith("//"), F.concat(scheme, bare))
+        .when(bare.startswith("/"), F.concat(root, bare))
+        .when(bare == "", F.split_part(page, F.lit("#"), F.lit(1)))
+        .when(bare.startswith("?"), F.concat(root, path, bare))
+        .otherwise(relative)
+    )
+
+
 def harvest_links(pages: DataFrame, hosts: Sequence[str], include: Sequence[str] = (), ignore: Sequence[str] = ()) -> DataFrame:
     """(page_id, link, text) of anchors: absolute, without fragment, first of each page; of hosts that end in one of
     `hosts`; whose text holds a term of `include` (if any) and none of `ignore`."""
     anchor = r"(?is)<a\b[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>"
     rows = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(anchor), F.lit(0))).alias("at", "a"))
     href, text = F.btrim(F.regexp_extract("a", anchor, 1)), visible_text(F.regexp_extract("a", anchor, 2))
-    root = F.regexp_extract("url", "^([^:]+://[^/?#]*)", 1)
-    full = F.when(href.rlike("(?i)^https?://"), href).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(root, F.lit("/"), href))
-    links = rows.select("page_id", "at", F.split_part(full, F.lit("#"), F.lit(1)).alias("link"), text.alias("text"))
+    links = rows.select("page_id", "at", resolved(F.col("url"), href).alias("link"), text.alias("text"))
     lowered = F.lower("text")
     some = lambda terms: F.exists(F.array(*(F.lit(t) for t in terms)), lambda t: F.contains(lowered, t))
     host = F.lower(F.regexp_extract("link", "^[^:]+://([^/?#:]*)", 1))

@@ -49,10 +49,34 @@ def effective_settings(sources: DataFrame, links: DataFrame, scouts: DataFrame,
     return sources.join(best, "source_id", "left").select("source_id", F.coalesce("schedule", "s", F.lit(default_schedule)).alias("schedule"), F.least(F.col("priority"), F.col("p")).alias("priority"))
 
 
-def worklist(sources: DataFrame) -> DataFrame:
-    """Add reason (runnable, disabled, invalid or not_due), for sources with enabled, lifecycle, url and due."""
-    reason = F.when(~F.col("enabled") | F.col("lifecycle").isin("retired", "broken"), "disabled").when(F.coalesce("url", F.lit("")) == "", "invalid").when(~F.col("due"), "not_due").otherwise("runnable")
-    return sources.withColumn("reason", reason)
+#: Ranks in the worklist: fixed values.
+PRIORITY_RANK = {"critical": 0, "high": 1, "normal": 2, "low": 3}
+
+
+def worklist(sources: DataFrame, allow_proposed: bool = False, deprecated: str = "run_with_warning") -> DataFrame:
+    """Add state (runnable, disabled or invalid), reason and warning to sources with enabled, lifecycle and
+    connector_type. `deprecated` is run_with_warning or exclude."""
+    life = F.coalesce("lifecycle", F.lit(""))
+    cases = [
+        (~F.coalesce("enabled", F.lit(False)), "disabled", "source is disabled"),
+        (life == "retired", "disabled", "source is retired"),
+        (life == "broken", "invalid", "source is marked broken"),
+        (life == "paused", "disabled", "source is paused"),
+        ((life == "proposed") & F.lit(not allow_proposed), "disabled", "source is proposed"),
+        (F.col("connector_type").isNull(), "invalid", "source has no connector_type"),
+        ((life == "deprecated") & F.lit(deprecated == "exclude"), "disabled", "source is deprecated"),
+    ]
+    state, reason = F.lit("runnable"), F.lit(None).cast("string")
+    for ok, name, why in reversed(cases):
+        state, reason = F.when(ok, name).otherwise(state), F.when(ok, why).otherwise(reason)
+    return sources.withColumns({"state": state, "reason": reason, "warning": F.when((state == "runnable") & (life == "deprecated"), "source is deprecated")})
+
+
+def ordered_worklist(work: DataFrame, priorities: dict[str, int] = PRIORITY_RANK) -> DataFrame:
+    """Runnable rows of worklist() with due, priority, authority_rank and scout_id: due ones first, then by priority,
+    authority, scout and source."""
+    rank = F.coalesce(F.create_map(*(F.lit(x) for kv in priorities.items() for x in kv))[F.col("priority")], F.lit(99))
+    return work.where("state = 'runnable'").orderBy(F.desc("due"), rank, "authority_rank", F.coalesce("scout_id", F.lit("")), "source_id")
 
 
 def list_sources(sources: DataFrame, values: dict[str, Sequence], overlaps: dict[str, Sequence] | None = None) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.operators import changes, evidence, groups, merges
+from larkspur.functions import scores as S
+from larkspur.operators import boards, changes, evidence, groups, merges
 from larkspur.plans.items_plan import _nt
 from larkspur.plans.views import plain, view
 
@@ -31,7 +32,8 @@ def observations(spark: SparkSession, d: str) -> DataFrame:
 _CLASS = lambda c: f"CASE WHEN replace(replace(lower({c}), ' ', ''), '-', '') IN ('instock', 'preorder') THEN 'available' WHEN replace(replace(lower({c}), ' ', ''), '-', '') = 'outofstock' THEN 'unavailable' ELSE 'unknown' END"
 _TR = lambda c: f"CASE {c} WHEN 'WATCH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 WHEN 'CRITICAL' THEN 4 ELSE 0 END"
 _CENT = lambda c: f"CAST(floor({c} * 100 + 0.5) AS BIGINT)"
-_C1 = f"""lg AS (SELECT *, lag(availability) OVER w AS pa, lag(price) OVER w AS pp, lag(source) OVER w AS ps, lag(strategy_score) OVER w AS pg, lag(tier) OVER w AS pt FROM {{observations}} WINDOW w AS (PARTITION BY product_key ORDER BY seq)),
+_LG = """lg AS (SELECT *, lag(availability) OVER w AS pa, lag(price) OVER w AS pp, lag(source) OVER w AS ps, lag(strategy_score) OVER w AS pg, lag(tier) OVER w AS pt FROM {observations} WINDOW w AS (PARTITION BY product_key ORDER BY seq))"""
+_C1 = f"""{_LG},
 ev AS (
 SELECT product_key, seq, 'NEW_PRODUCT' AS event, 'HIGH' AS importance, NULL AS previous_value, NULL AS current_value FROM lg WHERE seq = 1
 UNION ALL SELECT product_key, seq, 'RESTOCK', 'CRITICAL', NULL, NULL FROM lg WHERE seq > 1 AND {_CLASS('pa')} = 'unavailable' AND {_CLASS('availability')} = 'available'
@@ -53,8 +55,8 @@ def c1p(spark: SparkSession, d: str) -> DataFrame:
     return changes.detect_changes(obs.where("seq > 5"), changes.advance_state(obs.where("seq <= 5")))
 
 
-@query("C2_single_event", f"""WITH {_C1}, k AS (SELECT product_key, seq, event, CASE event WHEN 'NEW_PRODUCT' THEN 0 WHEN 'RESTOCK' THEN 1 WHEN 'SOLD_OUT' THEN 1 WHEN 'PRICE_DROP' THEN 2 WHEN 'PRICE_INCREASE' THEN 2 WHEN 'NEW_CONFIRMATION' THEN 3 END AS r FROM ev)
-SELECT o.product_key, o.seq, coalesce(m.event, 'NO_CHANGE') AS event FROM {{observations}} o LEFT JOIN (SELECT product_key, seq, min_by(event, r) AS event FROM k WHERE r IS NOT NULL GROUP BY product_key, seq) m ON m.product_key = o.product_key AND m.seq = o.seq""")
+@query("C2_single_event", f"""WITH {_LG} SELECT product_key, seq, CASE WHEN seq = 1 THEN 'NEW_PRODUCT' WHEN {_CLASS('pa')} = 'unavailable' AND {_CLASS('availability')} = 'available' THEN 'RESTOCK' WHEN {_CLASS('pa')} = 'available' AND {_CLASS('availability')} = 'unavailable' THEN 'SOLD_OUT'
+WHEN {_CENT('price')} < {_CENT('pp')} THEN 'PRICE_DROP' WHEN {_CENT('price')} > {_CENT('pp')} THEN 'PRICE_INCREASE' WHEN source <> ps THEN 'NEW_CONFIRMATION' ELSE 'NO_CHANGE' END AS event FROM lg""")
 def c2(spark: SparkSession, d: str) -> DataFrame:
     return changes.detect_change_single(observations(spark, d))
 
@@ -70,21 +72,31 @@ def c4(spark: SparkSession, d: str) -> DataFrame:
     return changes.new_alerts(events.where("seq > 6"), events.where("seq <= 6")).select("product_key", "event", "seq")
 
 
-_A25 = """SELECT product_key, seq, event, alert_score, CASE WHEN alert_score >= 80 THEN 'CRITICAL' WHEN alert_score >= 60 THEN 'HIGH' WHEN alert_score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS priority, alert_score >= 30 AS should_alert
-FROM (SELECT product_key, seq, event, CAST(greatest(0, least(100, CASE event WHEN 'RESTOCK' THEN 80 WHEN 'NEW_PRODUCT' THEN 60 WHEN 'PRICE_DROP' THEN 55 WHEN 'TIER_UPGRADE' THEN 50 WHEN 'STRATEGY_UPGRADE' THEN 45 WHEN 'NEW_CONFIRMATION' THEN 35 WHEN 'SOLD_OUT' THEN 30 WHEN 'PRICE_INCREASE' THEN 15 ELSE 10 END + CAST(floor(greatest(coalesce((product_key * 7) % 101, 0) - 50, 0) / 10) AS INT))) AS INT) AS alert_score FROM ev)"""
+_RE = lambda x, r: f"CAST(round_even(CAST(coalesce({x}, 0) AS DOUBLE) * CAST({r} AS DOUBLE), 0) AS INT)"
+_A25 = f"""SELECT product_key, seq, event, opportunity_score, alert_score, CASE WHEN alert_score >= 85 THEN 'CRITICAL' WHEN alert_score >= 70 THEN 'HIGH' WHEN alert_score >= 50 THEN 'MEDIUM' WHEN alert_score >= 30 THEN 'LOW' ELSE 'IGNORE' END AS priority,
+CASE event WHEN 'RESTOCK' THEN CASE WHEN alert_score >= 70 THEN 'CHECK STOCK AND BUY QUICKLY IF MARGIN WORKS' ELSE 'CHECK CURRENT STOCK' END WHEN 'PRICE_DROP' THEN CASE WHEN hold_score > flip_score AND hold_score >= sleeper_score THEN 'REVIEW FOR HOLD PURCHASE' ELSE 'RECHECK PROFIT MARGIN' END WHEN 'NEW_PRODUCT' THEN CASE WHEN alert_score >= 70 THEN 'RESEARCH IMMEDIATELY' ELSE 'ADD TO WATCHLIST' END
+WHEN 'SOLD_OUT' THEN 'WATCH SECONDARY MARKET' WHEN 'TIER_UPGRADE' THEN 'REVIEW BUY PRIORITY' WHEN 'STRATEGY_UPGRADE' THEN 'RECHECK INVESTMENT STRATEGY' WHEN 'NEW_CONFIRMATION' THEN 'REVIEW NEW OFFICIAL DATA' WHEN 'PRICE_INCREASE' THEN 'RECALCULATE PROFIT MARGIN' ELSE 'MONITOR' END AS action, alert_score >= 30 AS should_alert
+FROM (SELECT ev.product_key, ev.seq, event, collector_score AS opportunity_score, hold_score, flip_score, sleeper_score, greatest(0, least(100, CASE event WHEN 'RESTOCK' THEN 48 WHEN 'PRICE_DROP' THEN 42 WHEN 'TIER_UPGRADE' THEN 36 WHEN 'STRATEGY_UPGRADE' THEN 32 WHEN 'SOLD_OUT' THEN 30 WHEN 'NEW_PRODUCT' THEN 24 WHEN 'NEW_CONFIRMATION' THEN 16 WHEN 'PRICE_INCREASE' THEN 8 ELSE 0 END
++ {_RE('collector_score', 0.15)} + {_RE('collector_score', 0.08)} + {_RE('popularity_score', 0.06)} + CASE WHEN event = 'RESTOCK' AND flip_score >= 70 THEN 12 WHEN event = 'PRICE_DROP' AND hold_score >= 70 THEN 10 WHEN event = 'TIER_UPGRADE' AND collector_score >= 85 THEN 12 ELSE 0 END)) AS alert_score FROM ev LEFT JOIN {{products}} p ON p.seq = ev.product_key)"""
 
 
 def alerts(spark: SparkSession, d: str) -> DataFrame:
-    known = view(spark, d, "products").select(F.col("seq").alias("product_key"), F.col("collector_score").cast("int").alias("opportunity_score"))
-    return changes.score_alerts(changes.detect_changes(observations(spark, d)), known).select("product_key", "seq", "event", "alert_score", "priority", "should_alert")
+    """Changes scored with the products' scores; the collector score stands for the opportunity score."""
+    items = boards.best_strategy(view(spark, d, "products")).withColumns({"opportunity_score": F.col("collector_score"), "opportunity_tier": S.bucket(F.col("collector_score"), S.TIERS, "WATCH")})
+    return changes.score_alerts(changes.detect_changes(observations(spark, d)), items.withColumnRenamed("seq", "product_key"))
 
 
-query("A25_score_alerts", f"WITH {_C1} {_A25}")(alerts)
+_ALERT = ("product_key", "seq", "event", "opportunity_score", "alert_score", "priority", "action", "should_alert")
 
 
-@query("W5_top_alerts", f"WITH {_C1}, al AS ({_A25}) SELECT * FROM al WHERE should_alert ORDER BY alert_score DESC, product_key, seq, event LIMIT 20")
+@query("A25_score_alerts", f"WITH {_C1} {_A25}")
+def a25(spark: SparkSession, d: str) -> DataFrame:
+    return alerts(spark, d).select(*_ALERT)
+
+
+@query("W5_top_alerts", f"WITH {_C1}, al AS ({_A25}) SELECT * FROM al WHERE should_alert ORDER BY CASE priority WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END DESC, alert_score DESC, coalesce(opportunity_score, 0) DESC, product_key, seq, event LIMIT 20")
 def w5(spark: SparkSession, d: str) -> DataFrame:
-    return alerts(spark, d).where("should_alert").orderBy(F.desc("alert_score"), "product_key", "seq", "event").limit(20)
+    return changes.rank_alerts(alerts(spark, d).where("should_alert")).select(*_ALERT)
 
 
 @query("C5_forward_once", f"WITH {_C1}, al AS ({_A25}), f AS (SELECT product_key, event, min(seq) AS seq FROM al WHERE priority IN ('CRITICAL', 'HIGH') GROUP BY product_key, event) SELECT * FROM f WHERE seq > 3")
@@ -107,8 +119,8 @@ def c7(spark: SparkSession, d: str) -> DataFrame:
 _STREAK = "st AS (SELECT source_id, count(*) AS runs, count(*) FILTER (NOT success AND (ok IS NULL OR ord > ok)) AS consecutive_failures, max(CASE WHEN success THEN ts END) AS last_success_at FROM (SELECT *, row_number() OVER w AS ord, max(CASE WHEN success THEN rn END) OVER (PARTITION BY source_id) AS ok FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ts, event_id) AS rn FROM {source_runs}) WINDOW w AS (PARTITION BY source_id ORDER BY ts, event_id)) GROUP BY source_id)"
 
 
-@query("C8_source_health", f"""WITH {_STREAK} SELECT source_id, consecutive_failures, CASE WHEN last_success_at IS NULL AND consecutive_failures = 0 THEN 'unknown' WHEN consecutive_failures >= 3 THEN 'failing' WHEN stale THEN 'stale' WHEN consecutive_failures > 0 THEN 'warning' ELSE 'healthy' END AS health_status,
-CASE WHEN last_success_at IS NULL AND consecutive_failures = 0 THEN 'none' WHEN consecutive_failures >= 10 THEN 'pause' WHEN consecutive_failures >= 3 OR stale THEN 'inspect' WHEN consecutive_failures > 0 THEN 'retry' ELSE 'none' END AS recommended_action
+@query("C8_source_health", f"""WITH {_STREAK} SELECT source_id, consecutive_failures, CASE WHEN last_success_at IS NULL AND consecutive_failures = 0 THEN 'unknown' WHEN consecutive_failures >= 5 THEN 'failing' WHEN stale THEN 'stale' WHEN consecutive_failures > 0 THEN 'warning' ELSE 'healthy' END AS health_status,
+CASE WHEN last_success_at IS NULL AND consecutive_failures = 0 THEN 'none' WHEN consecutive_failures >= 10 THEN 'pause' WHEN consecutive_failures >= 5 OR stale THEN 'inspect' WHEN consecutive_failures > 0 THEN 'retry' ELSE 'none' END AS recommended_action
 FROM (SELECT *, coalesce((epoch(TIMESTAMP '2024-02-01 00:00:00') - floor(epoch(last_success_at))) / 3600 > 30, false) AS stale FROM st)""")
 def c8(spark: SparkSession, d: str) -> DataFrame:
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")

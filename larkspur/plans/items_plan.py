@@ -9,6 +9,7 @@ from larkspur.functions import scores as S
 from larkspur.functions import text as T
 from larkspur.operators import boards, items, market
 from larkspur.plans.views import plain, view
+from larkspur.sources.tables import few
 
 QUERIES, SQL = {}, {}
 
@@ -301,8 +302,8 @@ def a1(spark: SparkSession, d: str) -> DataFrame:
 @query("A2_summary_for", f"WITH s AS ({_A1}), w AS (SELECT DISTINCT c_mktsegment AS category, concat('brand ', n_nationkey + 3) AS brand FROM {{customer}}, {{nation}}) SELECT w.category, w.brand, coalesce(total_records, 0) AS total_records, coalesce(buy_count, 0) AS buy_count, coalesce(confidence, 'LOW') AS confidence, average_roi, average_profit FROM w LEFT JOIN s ON s.category = w.category AND s.brand = w.brand")
 def a2(spark: SparkSession, d: str) -> DataFrame:
     segments = view(spark, d, "customer").select(F.col("c_mktsegment").alias("category")).distinct()
-    brands = [r[0] + 3 for r in view(spark, d, "nation").select("n_nationkey").collect()]
-    wanted = segments.select("category", F.explode(F.array(*(F.lit(f"brand {b}") for b in brands))).alias("brand"))
+    brands = view(spark, d, "nation").select(F.concat(F.lit("brand "), (F.col("n_nationkey") + 3).cast("string")).alias("brand")).distinct()
+    wanted = segments.crossJoin(few(brands, 1000))  # the asked pairs: a few segments and brands
     return market.summary_for(market.learning_summary(view(spark, d, "decision_log")), wanted)
 
 

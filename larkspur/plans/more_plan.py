@@ -26,18 +26,9 @@ def query(name: str, sql: str | None = None):
 
 @query("J6_leader_groups")
 def j6(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy leaders among the products that have a sku."""
-    some = view(spark, d, "products").where("sku is not null").select(F.col("seq").alias("id"), "title", "sku", F.col("product_type").alias("type"))
-    return groups.leader_groups(some, groups.exact_pairs(some))
-
-
-_SHAPES = {"listing": {"sold_price": 0.5, "market_price": 0.3}, "retail": {"required_spend": 0.4, "retailer": 0.3}, "partner": {"collaboration_partner": 0.75}}
-
-
-@query("F20_route_payloads", """SELECT seq, CASE WHEN p[1].p > 0 AND NOT (p[2].p > 0 AND p[1].p - p[2].p < 15) THEN p[1].n END AS shape, p[1].p / 100 AS confidence, p[1].p > 0 AND p[2].p > 0 AND p[1].p - p[2].p < 15 AS ambiguous
-FROM (SELECT seq, list_reverse_sort([{'p': CASE WHEN sold_price IS NOT NULL THEN 50 ELSE 0 END + CASE WHEN market_price IS NOT NULL THEN 30 ELSE 0 END, 'o': 0, 'n': 'listing'}, {'p': CASE WHEN required_spend IS NOT NULL THEN 40 ELSE 0 END + CASE WHEN retailer <> '' THEN 30 ELSE 0 END, 'o': -1, 'n': 'retail'}, {'p': CASE WHEN collaboration_partner IS NOT NULL THEN 75 ELSE 0 END, 'o': -2, 'n': 'partner'}]) AS p FROM @opp)""".replace("{", "<<").replace("}", ">>").replace("@opp", "{opportunities}"))
-def f20(spark: SparkSession, d: str) -> DataFrame:
-    return routing.route_payloads(view(spark, d, "opportunities"), _SHAPES).select("seq", "shape", "confidence", "ambiguous")
+    """Greedy leaders among all products."""
+    p = view(spark, d, "products").select(F.col("seq").alias("id"), "title", "sku", F.col("product_type").alias("type"))
+    return groups.leader_groups(p, groups.exact_pairs(p))
 
 
 @query("A17_finalization_confidence", f"""SELECT seq, {R2('i')} AS identity_confidence, {R2('m')} AS market_confidence, {R2('(i + CASE WHEN m <> 0 THEN m ELSE i END) / 2 * CASE WHEN r1 + r2 > 0 THEN 0.85 ELSE 1.0 END')} AS finalization_confidence FROM (SELECT seq, r1, r2, greatest(0, least(100, (2 + CASE WHEN franchise IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN collaboration_partner IS NOT NULL THEN 1 ELSE 0 END) * 100 / 4 - 25 * r1)) AS i,

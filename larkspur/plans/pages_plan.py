@@ -61,10 +61,10 @@ def s8(spark: SparkSession, d: str) -> DataFrame:
     return pages.embedded_objects(view(spark, d, "pages").select("page_id", made.alias("html"))).select("page_id", "name", "url")
 
 
-@query("S4_feed_items", "SELECT page_id AS feed_id, concat('page ', page_id) AS title, url AS link, NULL AS summary FROM {pages} WHERE NOT contains(url, '&')")
+@query("S4_feed_items", "SELECT page_id AS feed_id, concat('page ', page_id) AS title, url AS link, NULL AS summary FROM {pages}")
 def s4(spark: SparkSession, d: str) -> DataFrame:
-    p = view(spark, d, "pages").where(~F.contains("url", F.lit("&")))
-    item = F.concat(F.lit("<rss><channel><item><title>page "), F.col("page_id").cast("string"), F.lit("</title><link>"), F.col("url"), F.lit("</link></item><item><broken></channel></rss>"))
+    p = view(spark, d, "pages")
+    item = F.concat(F.lit("<rss><channel><item><title>page "), F.col("page_id").cast("string"), F.lit("</title><link>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</link></item><item><broken></channel></rss>"))
     return pages.feed_items(p.select(F.col("page_id").alias("feed_id"), item.alias("body"))).select("feed_id", "title", "link", "summary")
 
 
@@ -166,11 +166,6 @@ def j17(spark: SparkSession, d: str) -> DataFrame:
     return registry.effective_settings(sources(spark, d), links(spark, d), scouts, "daily")
 
 
-@query("J18_worklist", f"WITH {_SRC} SELECT source_id, CASE WHEN NOT enabled OR lifecycle = 'retired' THEN 'disabled' WHEN NOT due THEN 'not_due' ELSE 'runnable' END AS reason FROM src")
-def j18(spark: SparkSession, d: str) -> DataFrame:
-    return registry.worklist(sources(spark, d)).select("source_id", "reason")
-
-
 @query("J19_list_sources", f"WITH {_SRC} SELECT source_id, url FROM src WHERE lifecycle = 'active' AND list_has_any(scout_ids, [3, 4])")
 def j19(spark: SparkSession, d: str) -> DataFrame:
     return registry.list_sources(sources(spark, d), {"lifecycle": ["active"]}, {"scout_ids": [3, 4]}).select("source_id", "url")
@@ -194,17 +189,6 @@ def j21(spark: SparkSession, d: str) -> DataFrame:
     return cards.saved_items_view(saved, known, "opportunity_id", search="I").select("saved_id", "name", "status", "linked")
 
 
-@query("W7_action_queue", f"""WITH {_STRAT}, b AS (SELECT seq % 700 AS action_key, CASE opportunity_tier WHEN 'WATCH' THEN 'LOW' ELSE opportunity_tier END AS priority, opportunity_score AS score, recommended_action AS action, seq, 0 AS fa FROM bd UNION ALL SELECT seq % 900, CASE WHEN seq % 50 = 0 THEN 'CRITICAL' ELSE 'MEDIUM' END, CAST(collector_score AS INT), concat('alert ', seq), seq, 1 FROM bd WHERE seq % 5 = 0),
-m AS (SELECT action_key, max(CASE priority WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END) AS r, max(score) AS score, first(action ORDER BY 1 - fa, seq) AS action, count(*) AS merged FROM b GROUP BY action_key)
-SELECT action_key, CASE r WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 1 THEN 'LOW' ELSE 'NONE' END AS priority, score, action, merged FROM m ORDER BY r DESC, score DESC, action_key LIMIT 20""")
-def w7(spark: SparkSession, d: str) -> DataFrame:
-    b = boards.score_items(board_items(spark, d))
-    tier = F.when(F.col("opportunity_tier") == "WATCH", "LOW").otherwise(F.col("opportunity_tier"))
-    board = b.select((F.col("seq") % 700).alias("action_key"), tier.alias("priority"), F.col("opportunity_score").alias("score"), F.col("recommended_action").alias("action"), "seq")
-    alert = b.where("seq % 5 = 0").select((F.col("seq") % 900).alias("action_key"), F.when(F.col("seq") % 50 == 0, "CRITICAL").otherwise("MEDIUM").alias("priority"), F.col("collector_score").cast("int").alias("score"), F.concat(F.lit("alert "), F.col("seq").cast("string")).alias("action"), "seq")
-    return cards.action_queue(alert, board)
-
-
 @query("W8_daily_brief", f"""WITH {_STRAT} SELECT 'top_overall' AS section, count(*) AS n, CAST(sum(opportunity_score) AS BIGINT) AS total FROM (SELECT * FROM bd ORDER BY opportunity_score DESC, collector_score DESC, hold_score DESC, flip_score DESC, seq LIMIT 20)
 UNION ALL SELECT concat('tier_', opportunity_tier), count(*), CAST(sum(opportunity_score) AS BIGINT) FROM bd GROUP BY opportunity_tier""")
 def w8(spark: SparkSession, d: str) -> DataFrame:
@@ -213,21 +197,6 @@ def w8(spark: SparkSession, d: str) -> DataFrame:
     return part(boards.money_board(b), F.lit("top_overall")).unionByName(part(boards.score_items(b), F.concat(F.lit("tier_"), F.col("opportunity_tier"))))
 
 
-@query("A7_data_quality", """SELECT seq, CAST(floor((30 + CASE WHEN retail_price IS NOT NULL THEN 30 ELSE 0 END + CASE WHEN coalesce(trim(sku), '') <> '' THEN 20 ELSE 0 END + CASE WHEN coalesce(trim(availability), '') <> '' THEN 20 ELSE 0 END) * 100 / 100) AS BIGINT) AS completeness,
-concat_ws(',', CASE WHEN retail_price IS NULL THEN 'retail_price' END, CASE WHEN coalesce(trim(sku), '') = '' THEN 'sku' END, CASE WHEN coalesce(trim(availability), '') = '' THEN 'availability' END) AS missing FROM {products}""")
-def a7(spark: SparkSession, d: str) -> DataFrame:
-    return cards.data_quality(view(spark, d, "products"), {"title": 30, "retail_price": 30, "sku": 20, "availability": 20}, "seq")
-
-
-_TRUST = {"s0": 90, "s1": 70, "s2": 70, "s3": 30}
-
-
-@query("A8_consensus", """WITH t AS (SELECT *, CASE source WHEN 's0' THEN 90 WHEN 's1' THEN 70 WHEN 's2' THEN 70 WHEN 's3' THEN 30 ELSE 10 END AS w FROM {observations})
-SELECT product_key, first(price ORDER BY w DESC, seq) AS price, first(source ORDER BY w DESC, seq) AS primary_source, first(description ORDER BY length(description) DESC, seq) FILTER (coalesce(description, '') <> '') AS description, count(DISTINCT source) AS confirmation_count, CAST(least(100, max(w) + 5 * (count(DISTINCT source) - 1)) AS INT) AS confirmation_score FROM t GROUP BY product_key""")
-def a8(spark: SparkSession, d: str) -> DataFrame:
-    return cards.consensus(view(spark, d, "observations"), "product_key", _TRUST, "seq")
-
-
 @query("A23_market_signal", """SELECT seq, score, CASE WHEN score >= 80 THEN 'strong' WHEN score >= 60 THEN 'watch' ELSE 'weak' END AS status FROM (SELECT seq, CAST(greatest(0, least(100, 35 + 6 * (CASE WHEN contains(t, 'exclusive') THEN 1 ELSE 0 END + CASE WHEN contains(t, 'limited') THEN 1 ELSE 0 END) + CASE WHEN url IS NOT NULL THEN 10 ELSE 0 END)) AS INT) AS score FROM (SELECT seq, url, lower(concat(brand, ' ', title, ' ', description)) AS t FROM {products}))""")
 def s6(spark: SparkSession, d: str) -> DataFrame:
     m = items.market_signal(F.concat_ws(" ", "brand", "title", "description"), F.col("url"))

@@ -92,6 +92,11 @@ SELECT p_partkey AS seq, CASE p_partkey % 3 WHEN 0 THEN 'pokemon' WHEN 1 THEN 'l
   CASE p_partkey % 4 WHEN 0 THEN 'pokemon_center_tcg' WHEN 1 THEN 'pokemon_news' WHEN 2 THEN 'Shop A' END AS source, CASE WHEN p_partkey % 6 < 3 THEN concat('https://s', CAST(p_partkey % 6 AS STRING), '.example') END AS source_url,
   CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(DATE '2024-01-01' + CAST(p_partkey % 120 - 60 AS INT) AS DATE) END AS release_date
 FROM {part}
+""",
+    "drafts": """
+SELECT p_partkey AS id, concat(p_name, ' ', CAST(p_partkey % 251 AS STRING)) AS product_name, p_brand AS brand, CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS franchise,
+  CASE WHEN p_partkey % 4 = 0 THEN concat('Partner ', CAST(p_partkey % 300 AS STRING)) END AS collaboration_partner, CASE WHEN p_partkey % 5 = 0 THEN concat('Shop ', CAST(p_partkey % 97 AS STRING)) END AS retailer
+FROM {part}
 """,
     "wide": """
 SELECT p_partkey AS seq, concat(p_name, CASE WHEN p_partkey % 17 = 0 THEN ' Complete Set' ELSE '' END) AS product_name, p_brand AS brand, CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS franchise, CASE WHEN p_partkey % 3 = 0 THEN concat('Partner ', CAST(p_partkey % 20 AS STRING)) END AS collaboration_partner,

@@ -16,6 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder. A temporary one is made only where none is set, as in local tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("larkspur.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("larkspur.shared.dir", found)
     return found
