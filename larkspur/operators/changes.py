@@ -135,6 +135,14 @@ def rank_alerts(alerts: DataFrame, k: int = 20) -> DataFrame:
     return alerts.orderBy(F.coalesce(rank, F.lit(0)).desc(), F.desc("alert_score"), F.coalesce(F.col("opportunity_score").cast("double"), F.lit(0.0)).desc(), "product_key", "seq", "event").limit(k)
 
 
+def alert_scan(board: DataFrame, obs: DataFrame, previous: DataFrame | None = None, active: DataFrame | None = None) -> DataFrame:
+    """One scan: changes of the observations against the previous state, scored with the board's items, of these the
+    alerts worth raising that are not active yet. board has the columns that score_alerts takes of items, active has
+    product_key and event. advance_state gives the state for the next scan."""
+    alerts = score_alerts(detect_changes(obs, previous), board).where("should_alert")
+    return new_alerts(alerts, alerts.limit(0) if active is None else active)
+
+
 STAMP = r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b"
 
 

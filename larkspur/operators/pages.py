@@ -129,3 +129,18 @@ def json_items(documents: DataFrame, path: Sequence[str], schema: str) -> DataFr
     for name in path:
         found = found[name]
     return documents.select("doc_id", F.explode(found).alias("i")).select("doc_id", "i.*")
+
+
+def xml_items(documents: DataFrame, path: Sequence[str], schema: str) -> DataFrame:
+    """Elements under a path of tags below the root of XML texts (doc_id, body): doc_id and the columns of `schema`.
+
+    Repeated tags are arrays, attributes have a leading underscore and the text beside them is `_VALUE`, as the schema
+    names them; namespaces are ignored. A text that doesn't parse, or has nothing there, gives no row.
+    """
+    kind = f"array<struct<{_fields(schema)}>>"
+    for name in reversed(path[1:]):
+        kind = f"struct<`{name}`:{kind}>"
+    found = F.from_xml("body", f"`{path[0]}` {kind}", {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+    for name in path:
+        found = found[name]
+    return documents.select("doc_id", F.explode(found).alias("i")).select("doc_id", "i.*")

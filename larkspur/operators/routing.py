@@ -66,6 +66,53 @@ def item_signals(items: DataFrame, rules: Sequence[tuple[str, int, Column]], key
     return items.select(key, score.alias("score"), F.array_join(F.array_compact(F.array(*(F.when(h, name) for h, (name, _, _) in zip(holds, rules, strict=True)))), ",").alias("signals"))
 
 
+#: Item signals told by words of title and description: name, weight, words, reason. Fixed values.
+WORD_SIGNALS = (
+    ("limited_release", 12, ("limited",), "Limited release language detected."),
+    ("exclusive", 10, ("exclusive",), "Exclusive product language detected."),
+    ("collaboration", 10, ("collab", "collaboration", "travis scott", "off-white", "kobe"), "Collaboration or high-demand partner signal detected."),
+    ("shock_drop", 14, ("shock drop",), "Shock drop language detected. Atlas treats this as a high-urgency signal."),
+    ("restock", -8, ("restock", "available again"), "Restock language detected. Atlas treats this as a watch signal, not an automatic buy."),
+    ("reprint", -12, ("reprint",), "Reprint risk detected. Prices may soften if supply returns."),
+    ("collector_interest", 10, ("promo", "collector", "anniversary", "exclusive", "limited"), "Collector-interest language detected."),
+)
+#: Item signals told by scores: name, column, least scores with their weights. Fixed values.
+SCORE_SIGNALS = (
+    ("collector_value", "collector_score", ((85, 16), (70, 12), (55, 8), (35, 4))),
+    ("investment_strategy", "strategy_score", ((85, 14), (70, 10), (55, 7))),
+    ("source_consensus", "consensus_score", ((85, 14), (70, 10), (50, 6))),
+)
+ITEM_SIGNAL_ORDER = ("official_source", "limited_release", "exclusive", "collaboration", "shock_drop", "restock", "reprint", "historical_pattern", "collector_interest", "collector_value", "investment_strategy", "source_consensus")
+
+
+def signal_evidence(items: DataFrame) -> DataFrame:
+    """Add evidence (array of signal, weight, reason, in the order of ITEM_SIGNAL_ORDER) and score (40 and the weights,
+    0 to 100).
+
+    items may have title, description, url, patterns (array), collector_score, collector_level, strategy, strategy_score,
+    consensus_score and confirmation_count; a column that is missing or null says nothing.
+    """
+    have = lambda c, kind, other: F.coalesce(F.col(c).cast(kind), F.lit(other)) if c in items.columns else F.lit(other)
+    text = F.lower(F.concat_ws(" ", have("title", "string", ""), have("description", "string", "")))
+    whole = lambda c: F.format_string("%.0f", have(c, "double", 0.0))
+    row = lambda name, weight, reason: F.struct(F.lit(name).alias("signal"), weight.cast("int").alias("weight"), reason.alias("reason"))
+    found = {"official_source": F.when(have("url", "string", "") != "", row("official_source", F.lit(12), F.lit("Official source URL is available.")))}
+    if "patterns" in items.columns:
+        found["historical_pattern"] = F.when(F.size("patterns") > 0, row("historical_pattern", F.lit(8), F.lit("Historical pattern signal detected.")))
+    for name, weight, words, reason in WORD_SIGNALS:
+        found[name] = F.when(F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(text, w)), row(name, F.lit(weight), F.lit(reason)))
+    reasons = {
+        "collector_value": F.concat(F.lit("Pokémon collector score is "), whole("collector_score"), F.lit("/100 ("), have("collector_level", "string", "UNKNOWN"), F.lit(").")),
+        "investment_strategy": F.concat(F.lit("Best investment strategy: "), have("strategy", "string", "UNKNOWN"), F.lit(" with a score of "), whole("strategy_score"), F.lit("/100.")),
+        "source_consensus": F.concat(F.lit("Official source consensus score is "), whole("consensus_score"), F.lit("/100 across "), have("confirmation_count", "string", "1"), F.lit(" confirmation(s).")),
+    }
+    for name, column, steps in SCORE_SIGNALS:
+        weight = F.coalesce(*(F.when(have(column, "double", 0.0) >= least, w) for least, w in steps))
+        found[name] = F.when(weight.isNotNull(), row(name, weight, reasons[name]))
+    evidence = F.array_compact(F.array(*(found[n] for n in ITEM_SIGNAL_ORDER if n in found)))
+    return items.withColumn("evidence", evidence).withColumn("score", S.clamp(F.aggregate("evidence", F.lit(40), lambda a, e: a + e["weight"])))
+
+
 def fill_by_tier(df: DataFrame, fields: Sequence[str], tiers: Sequence[str]) -> DataFrame:
     """Each field from the first tier (struct column) that has it, with the tiers that contributed, in their order."""
     value = {f: F.coalesce(*(F.col(f"{t}.{f}") for t in tiers)) for f in fields}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.spans import placed
+from larkspur.functions.spans import let, placed
 
 #: Markers: fixed values.
 NEGATIONS = ("not", "no", "never", "without", "isn't", "wasn't", "aren't", "weren't", "don't", "doesn't", "didn't", "none")
@@ -30,6 +30,58 @@ def certainty(text: Column, start: Column, window: int = 70, rumors: Sequence[st
     return F.when(some(rumors), "rumored").when(some(estimates), "estimated").otherwise("confirmed")
 
 
+def context(text: Column, start: Column, end: Column, radius: int = 60) -> Column:
+    """The lower-cased text from `radius` signs before a place to `radius` after it."""
+    first = F.greatest(start - radius, F.lit(0))
+    return F.lower(F.substring(text, first + 1, end + radius - first))
+
+
+#: Signals with their patterns and confidences, in order of preference: fixed values.
+KEYWORD_SIGNALS = {
+    "ANNIVERSARY": ((r"\b\d+(?:st|nd|rd|th)\s+anniversary\b", 85), (r"\banniversary\s+(?:edition|release|product|collection)\b", 80), (r"\banniversary\b", 60)),
+    "EXCLUSIVE_PROMO": ((r"\bexclusive\s+promo(?:tional)?\b", 85), (r"\bexclusive\s+promotional\s+(?:card\s+)?packs?\b", 90)),
+    "PROMOTIONAL_PACK": ((r"\bpromotional\s+(?:card\s+)?packs?\b", 80), (r"\bpromo\s+packs?\b", 75), (r"\bpromo\s+cards?\b", 65)),
+    "FIRST_EDITION": ((r"\bfirst\s+edition\b", 85),),
+    "FIRST_COLLABORATION": ((r"\bfirst[\s-](?:ever\s+)?collaboration\b", 85), (r"\bfirst[\s-]time\s+collaborat\w*\b", 80)),
+    "EXCLUSIVE_ARTWORK": ((r"\bexclusive\s+art(?:work)?\b", 80), (r"\bunique\s+artwork\b", 70)),
+    "EXCLUSIVE_CHARACTER": ((r"\bexclusive\s+character\b", 80), (r"\bcharacter[\s-]exclusive\b", 80)),
+    "EVENT_EXCLUSIVE": ((r"\bevent[\s-]exclusive\b", 85), (r"\bonly\s+available\s+at\s+the\s+event\b", 85), (r"\bexclusive\s+to\s+(?:the\s+)?event\b", 80)),
+    "CONVENTION_EXCLUSIVE": ((r"\bconvention[\s-]exclusive\b", 85), (r"\bcon[\s-]exclusive\b", 75)),
+    "TOURNAMENT_EXCLUSIVE": ((r"\btournament[\s-]exclusive\b", 85), (r"\btournament[\s-]only\b", 80), (r"\btournament\s+promo\b", 75)),
+    "RETAILER_EXCLUSIVE": ((r"\bretailer[\s-]exclusive\b", 85), (r"\bavailable\s+exclusively\s+at\b", 80), (r"\bparticipating\s+[A-Z][\w'&]*\s+locations\b", 75), (r"\bexclusive\s+to\s+[A-Z][\w'&]*\b", 65)),
+    "REGION_EXCLUSIVE": ((r"\bregion(?:al)?[\s-]exclusive\b", 80), (r"\bavailable\s+only\s+in\b", 65)),
+    "MEMBERSHIP_EXCLUSIVE": ((r"\bmembers?[\s-]only\b", 85), (r"\bmembership[\s-](?:required|exclusive)\b", 85), (r"\bfor\s+members\s+only\b", 85)),
+    "LOTTERY_REQUIRED": ((r"\blottery\b", 80), (r"\braffle\b", 75), (r"\bentered\s+into\s+a\s+drawing\b", 70), (r"\bdrawing\s+to\s+win\b", 70)),
+    "EVENT_ATTENDANCE_REQUIRED": ((r"\bmust\s+attend\b", 80), (r"\battendance\s+required\b", 85), (r"\bonly\s+available\s+to\s+attendees\b", 85), (r"\bin[\s-]person\s+only\b", 70)),
+    "BUNDLE_REQUIRED": ((r"\bbundle\s+required\b", 85), (r"\bonly\s+available\s+as\s+a\s+bundle\b", 85), (r"\bmust\s+(?:purchase|buy)\s+as\s+a\s+bundle\b", 80), (r"\bbundled\s+with\b", 60)),
+    "REDEEMABLE_REWARD": ((r"\bredeem(?:able)?\b", 70), (r"\bredemption\b", 70), (r"\breward\s+for\b", 60), (r"\breceive\s+as\s+a\s+reward\b", 70)),
+    "STATUS_LIVE": ((r"\bavailable\s+now\b", 75), (r"\bnow\s+available\b", 75), (r"\bon\s+sale\s+now\b", 75), (r"\blaunches\s+today\b", 70)),
+    "STATUS_SOLD_OUT": ((r"\bsold\s+out\b", 85), (r"\bout\s+of\s+stock\b", 80)),
+    "STATUS_RESTOCKED": ((r"\brestocked\b", 80), (r"\bback\s+in\s+stock\b", 80), (r"\brestock\s+announced\b", 80)),
+    "LOW_STOCK": ((r"\blow\s+stock\b", 75), (r"\bfew\s+remaining\b", 65), (r"\balmost\s+sold\s+out\b", 70), (r"\blimited\s+stock\s+remaining\b", 70)),
+    "RAPID_SELLOUT": ((r"\bsold\s+out\s+within\b", 90), (r"\bsold\s+out\s+in\s+minutes\b", 90), (r"\bsold\s+out\s+immediately\b", 85), (r"\bsold\s+out\s+fast\b", 75), (r"\bsold\s+quickly\b", 65)),
+    "HIGH_DEMAND": ((r"\bhigh\s+demand\b", 70), (r"\bin\s+high\s+demand\b", 70), (r"\bhighly\s+sought[\s-]after\b", 70), (r"\bflying\s+off\s+the\s+shelves\b", 75)),
+    "RISING_DEMAND": ((r"\bdemand\s+is\s+rising\b", 70), (r"\brising\s+demand\b", 70), (r"\bgrowing\s+interest\b", 60)),
+    "SURGING_DEMAND": ((r"\bdemand\s+is\s+surging\b", 80), (r"\bsurging\s+demand\b", 80), (r"\brapid(?:ly)?\s+(?:growing|rising)\s+demand\b", 75)),
+    "COMMUNITY_HYPE": ((r"\bcollectors?\s+(?:are|is)\s+excited\b", 70), (r"\bcommunity\s+(?:demand|buzz|hype)\b", 70), (r"\bhype\b", 55), (r"\bbuzz\b", 50)),
+    "SEALED_PRODUCT": ((r"\bfactory\s+sealed\b", 80), (r"\bstill\s+sealed\b", 75), (r"\bsealed\s+product\b", 75), (r"\bunopened\b", 60)),
+}
+
+
+def detect_signals(docs: DataFrame, table: Mapping[str, Sequence[tuple[str, int]]] = KEYWORD_SIGNALS, triggers: Sequence[str] = NEGATIONS) -> DataFrame:
+    """(seq, signal, confidence, start, end, match, certainty, context): for each signal the first match that isn't
+    negated of the first pattern that has one, with that pattern's confidence. docs has seq and text."""
+    text = F.col("text")
+    some = text.rlike("(?i)" + "|".join(f"(?:{p})" for patterns in table.values() for p, _ in patterns))
+    rules = F.array(*(F.struct(F.lit(signal).alias("signal"), F.lit(confidence).alias("confidence"), F.lit("(?i)" + p).alias("pattern")) for signal, patterns in table.items() for p, confidence in patterns))
+    place = lambda r: F.try_element_at(F.filter(placed(text, r["pattern"]), lambda m: ~negated(text, m["start"], triggers)), F.lit(1))
+    hits = F.transform(F.filter(rules, lambda r: F.regexp_like(text, r["pattern"])), lambda r: F.struct(r["signal"].alias("signal"), r["confidence"].alias("confidence"), place(r).alias("m")))
+    first = let(F.filter(hits, lambda h: h["m"].isNotNull()), lambda all_hits: F.filter(all_hits, lambda h, i: F.array_position(F.transform(all_hits, lambda x: x["signal"]), h["signal"]) == i + 1))
+    rows = docs.where(some).select("seq", "text", F.explode(first).alias("d"))
+    start, end = F.col("d.m.start"), F.col("d.m.end")
+    return rows.select("seq", "d.signal", "d.confidence", start.alias("start"), end.alias("end"), "d.m.match", certainty(text, start).alias("certainty"), context(text, start, end).alias("context"))
+
+
 def detect_keywords(docs: DataFrame, rules: Sequence[tuple[str, int, tuple[str, ...]]], triggers: Sequence[str] = NEGATIONS, rumors: Sequence[str] = RUMOR_MARKERS, estimates: Sequence[str] = ESTIMATE_MARKERS) -> DataFrame:
     """(seq, signal, confidence, start, end, match, certainty): for each rule (signal, confidence, patterns) the first
     match that isn't negated of the first pattern that has one. Texts in which a rule's patterns don't occur cost one
@@ -45,20 +97,35 @@ def detect_keywords(docs: DataFrame, rules: Sequence[tuple[str, int, tuple[str,
     return rows.select("seq", "d.*", certainty(text, F.col("d.start"), 70, rumors, estimates).alias("certainty"))
 
 
-#: Signs of currencies: fixed values.
-PRICE = r"(?:\$|€|£|¥)\s?\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?|(?:\$|€|£|¥)\s?\d+(?:\.\d{1,2})?"
-
-
-def detect_prices(docs: DataFrame, roles: Sequence[tuple[str, tuple[str, ...]]], window: int = 40, pattern: str = PRICE) -> DataFrame:
-    """(seq, start, match, amount, role): each amount with the role whose words stand nearest before it, within `window`
-    signs; 'price' if none does."""
-    rows = docs.select("seq", "text", F.explode(placed(F.coalesce("text", F.lit("")), F.lit(pattern))).alias("m"))
-    start = F.col("m.start")
-    near = F.lower(F.substring("text", F.greatest(start - window, F.lit(0)) + 1, F.least(start, F.lit(window))))
-    ends = [F.struct(F.greatest(*(F.length(near) - F.length(F.substring_index(near, w, -1)) for w in (*words, words[0]))).alias("at"), F.lit(-i).alias("first"), F.lit(role).alias("role")) for i, (role, words) in enumerate(roles)]
-    best = F.array_max(F.array(*ends))
+#: Forms of amounts and words of their roles: fixed values.
+_AMOUNT = r"\d[\d,]*(?:\.\d{1,2})?"
+CURRENCIES = {
+    "USD": rf"\$\s?{_AMOUNT}|USD\s?{_AMOUNT}|{_AMOUNT}\s?USD",
+    "EUR": rf"€\s?{_AMOUNT}|{_AMOUNT}\s?(?:EUR|euros?)",
+    "GBP": rf"£\s?{_AMOUNT}|{_AMOUNT}\s?(?:GBP|pounds?)",
+    "JPY": r"¥\s?\d[\d,]*|\d[\d,]*\s?(?:JPY|yen)",
+}
+PRICE = "(?i)" + "|".join(CURRENCIES.values())
+PRICE_ROLES = (
+    ("resale", ("resale", "resold", "reselling", "secondary market", "selling for", "sold for", "going for", "sell for", "sets are selling")),
+    ("spend", ("spend", "spent", "spending", "required to spend", "purchase", "purchases", "eligible")),
+    ("retail", ("retail", "msrp", "price is", "priced at", "costs", "cost is", "sticker price")),
+)
+
+
+def detect_prices(docs: DataFrame, roles: Sequence[tuple[str, tuple[str, ...]]] = PRICE_ROLES, window: int = 45, pattern: str = PRICE) -> DataFrame:
+    """(seq, start, end, match, amount, currency, role, context): each amount with the role whose word lies nearest, from
+    middle to middle, within `window` signs on both sides; on ties the first role; 'price' if there is none."""
+    rows = docs.where("text is not null").select("seq", "text", F.explode(placed(F.col("text"), F.lit(pattern))).alias("m"))
+    start, end = F.col("m.start"), F.col("m.end")
+    near = context(F.col("text"), start, end, window)
+    middle = (start + end) / 2 - F.greatest(start - window, F.lit(0))
+    words = F.array(*(F.struct(F.lit(role).alias("role"), F.lit(i).alias("i"), F.lit(w).alias("word")) for i, (role, w) in enumerate((r, w) for r, each in roles for w in each)))
+    away = lambda w: F.array_min(F.transform(placed(near, F.concat(F.lit("\\Q"), w["word"], F.lit("\\E"))), lambda m: F.abs((m["start"] + m["end"]) / 2 - middle)))
+    nearest = F.array_min(F.filter(F.transform(words, lambda w: F.struct(away(w).alias("away"), w["i"].alias("i"), w["role"].alias("role"))), lambda x: x["away"].isNotNull()))
     amount = F.regexp_replace("m.match", r"[^\d.]", "").cast("double")
-    return rows.select("seq", start.alias("start"), F.col("m.match").alias("match"), amount.alias("amount"), F.when(best["at"] > 0, best["role"]).otherwise("price").alias("role"))
+    currency = F.coalesce(*(F.when(F.col("m.match").rlike(f"(?i)^(?:{p})$"), name) for name, p in CURRENCIES.items()))
+    return rows.select("seq", start.alias("start"), end.alias("end"), "m.match", amount.alias("amount"), currency.alias("currency"), F.coalesce(nearest["role"], F.lit("price")).alias("role"), context(F.col("text"), start, end).alias("context"))
 
 
 def doc_signals(detections: DataFrame, weights: dict[str, int], barriers: Sequence[str] = ()) -> DataFrame:
