@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspur.functions import scores as S
 from larkspur.functions import text as T
+from larkspur.sources.tables import cut
 
 #: Ranks of tiers: fixed values.
 TIER_RANK = {"WATCH": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
@@ -146,26 +149,34 @@ def alert_scan(board: DataFrame, obs: DataFrame, previous: DataFrame | None = No
 STAMP = r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b"
 
 
-def page_changes(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """url and status of each fetch of `current` (url, body) against `previous`: NEW, UNCHANGED, TIMESTAMP_ONLY, CHANGED,
-    REMOVED or DUPLICATE (a new url whose body another url had). Only digests of bodies are shuffled."""
+def page_digests(fetches: DataFrame) -> DataFrame:
+    """url, digest, loose (digest without time stamps) and empty for each fetch (url, body)."""
     body = F.coalesce("body", F.lit(""))
-    digest, loose = F.sha2(body, 256), F.sha2(F.regexp_replace(body, STAMP, ""), 256)
-    was = previous.select(F.col("url").alias("old_url"), digest.alias("old"), loose.alias("old_loose"))
-    now = current.select("url", digest.alias("new"), loose.alias("new_loose"), (F.trim(body) == "").alias("empty"))
+    return fetches.select("url", F.sha2(body, 256).alias("digest"), F.sha2(F.regexp_replace(body, STAMP, ""), 256).alias("loose"), (F.trim(body) == "").alias("empty"))
+
+
+def compare_pages(was: DataFrame, now: DataFrame) -> DataFrame:
+    """url and status of each row of `now` against `was`, both as page_digests gives them."""
+    was = was.select(F.col("url").alias("old_url"), F.col("digest").alias("old"), F.col("loose").alias("old_loose"))
     known = was.groupBy(F.col("old").alias("known")).agg(F.lit(True).alias("elsewhere"))
-    joined = now.join(was, F.col("url") == F.col("old_url"), "left").join(known, F.col("new") == F.col("known"), "left")
+    joined = now.join(was, F.col("url") == F.col("old_url"), "left").join(known, F.col("digest") == F.col("known"), "left")
     seen = F.col("old_url").isNotNull()
     status = (
         F.when(F.col("empty"), F.when(seen, "REMOVED").otherwise("UNCHANGED"))
         .when(~seen, F.when(F.col("elsewhere"), "DUPLICATE").otherwise("NEW"))
-        .when(F.col("old") == F.col("new"), "UNCHANGED")
-        .when(F.col("old_loose") == F.col("new_loose"), "TIMESTAMP_ONLY")
+        .when(F.col("old") == F.col("digest"), "UNCHANGED")
+        .when(F.col("old_loose") == F.col("loose"), "TIMESTAMP_ONLY")
         .otherwise("CHANGED")
     )
     return joined.select("url", status.alias("status"))
 
 
+def page_changes(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """url and status of each fetch of `current` (url, body) against `previous`: NEW, UNCHANGED, TIMESTAMP_ONLY, CHANGED,
+    REMOVED or DUPLICATE (a new url whose body another url had). Only digests of bodies are shuffled."""
+    return compare_pages(page_digests(previous), page_digests(current))
+
+
 def failure_streaks(runs: DataFrame) -> DataFrame:
     """source_id, runs, consecutive_failures (since the last success) and last_success_at.
 
@@ -184,11 +195,15 @@ def source_health(runs: DataFrame, now: Column, stale_hours: float = 168.0, insp
     sources (source_id, enabled, lifecycle), if given, adds those that never ran; switched-off, retired and broken ones
     are disabled.
     """
+    return health_of(failure_streaks(runs), now, stale_hours, inspect_after, disable_after, sources)
+
+
+def health_of(streaks: DataFrame, now: Column, stale_hours: float = 168.0, inspect_after: int = 5, disable_after: int = 10, sources: DataFrame | None = None) -> DataFrame:
+    """source_health over streaks that failure_streaks gave."""
     n, stale = F.col("consecutive_failures"), F.coalesce((F.unix_timestamp(now) - F.unix_timestamp("last_success_at")) / 3600 > stale_hours, F.lit(False))
     never = F.col("last_success_at").isNull() & (F.coalesce(n, F.lit(0)) == 0)
     status = F.when(never, "unknown").when(n >= inspect_after, "failing").when(stale, "stale").when(n > 0, "warning").otherwise("healthy")
     action = F.when(never, "none").when(n >= disable_after, "pause").when((n >= inspect_after) | stale, "inspect").when(n > 0, "retry").otherwise("none")
-    streaks = failure_streaks(runs)
     if sources is not None:
         off = ~F.coalesce("enabled", F.lit(False)) | F.coalesce(F.col("lifecycle").isin("retired", "broken"), F.lit(False))
         streaks = sources.select("source_id", off.alias("off")).join(streaks, "source_id", "left")
@@ -220,13 +235,59 @@ def scan_report(stages: DataFrame) -> DataFrame:
     return stages.groupBy("run_id").agg(items.alias("items"), errors.alias("errors"), F.when(errors == 0, "SUCCESS").when(items > 0, "PARTIAL").otherwise("FAILED").alias("status"))
 
 
-def reuse_quotes(quotes: DataFrame, key: str, seconds: int) -> DataFrame:
-    """Quotes that are fetched when a quote is reused for `seconds`: the first of a key, then the first that comes later
-    than the last one fetched by more than that. Sequential in a key; a running fold over the sorted times of the key."""
-    times = quotes.groupBy(key).agg(F.array_sort(F.collect_list(F.unix_timestamp("ts"))).alias("t"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
-    step = lambda a, t: F.when(a["last"].isNull() | (t - a["last"] > seconds), F.struct(t.alias("last"), F.array_append(a["kept"], t).alias("kept"))).otherwise(a)
-    return times.select(key, F.explode(F.aggregate("t", start, step, lambda a: a["kept"])).alias("fetched_at"))
+#: Seconds of a stretch of a key's quotes in reuse_quotes.
+STRETCH = 86400
+
+
+def _chain(t: np.ndarray, at: int, seconds: int) -> list[int]:
+    """Times fetched from place `at` on: each the first that comes more than `seconds` after the last."""
+    out = []
+    while at < len(t):
+        out.append(int(t[at]))
+        at = int(np.searchsorted(t, t[at] + seconds, "right"))
+    return out
+
+
+def reuse_quotes(quotes: DataFrame, key: str, seconds: int, previous: DataFrame | None = None) -> DataFrame:
+    """(key, fetched_at) of quotes that are fetched when a quote is reused for `seconds`: the first of a key, then the first
+    that comes later than the last one fetched by more than that. `previous` (key, fetched_at) holds earlier fetches.
+
+    What comes before a day only matters by its last fetch, so each day of a key is settled for every quote it could
+    start with (those within `seconds` of its beginning); the days of a key are then chained, and each day's fetches
+    follow from its start. No task holds more than a day's distinct seconds, or the starts of one key's days. Quotes
+    without a time or key are left out.
+    """
+    times = quotes.select(F.col(key).alias("key"), F.unix_timestamp("ts").alias("t")).dropna().distinct()
+    days = cut(times.groupBy("key", F.floor(F.col("t") / STRETCH).alias("day")).agg(F.array_sort(F.collect_list("t")).alias("t")))
+
+    @F.pandas_udf("struct<starts:array<long>,lasts:array<long>>")
+    def settle(day: pd.Series, t: pd.Series) -> pd.DataFrame:
+        starts = [x[: np.searchsorted(x, d * STRETCH + seconds, "left") + 1] for d, x in zip(day, t, strict=True)]
+        lasts = [[_chain(x, i, seconds)[-1] for i in range(len(s))] for x, s in zip(t, starts, strict=True)]
+        return pd.DataFrame({"starts": starts, "lasts": lasts})
+
+    def chain(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("day")
+        before, last = [], rows["last"].iloc[0]
+        last = None if pd.isna(last) else int(last)
+        for starts, lasts in zip(rows["starts"], rows["lasts"], strict=True):
+            before.append(last)
+            at = 0 if last is None else int(np.searchsorted(starts, last + seconds, "right"))
+            last = int(lasts[at]) if at < len(lasts) else last
+        return pd.DataFrame({"key": rows["key"], "day": rows["day"], "last": pd.array(before, "Int64")})
+
+    @F.pandas_udf("array<long>")
+    def fetched(t: pd.Series, last: pd.Series) -> pd.Series:
+        return pd.Series([_chain(x, 0 if pd.isna(b) else int(np.searchsorted(x, int(b) + seconds, "right")), seconds) for x, b in zip(t, last, strict=True)])
+
+    settled = days.select("key", "day", settle("day", "t").alias("s")).select("key", "day", "s.*")
+    if previous is None:
+        settled = settled.withColumn("last", F.lit(None).cast("long"))
+    else:
+        settled = settled.join(previous.groupBy(F.col(key).alias("key")).agg(F.max("fetched_at").alias("last")), "key", "left")
+    kind = settled.schema["key"].dataType.simpleString()
+    begun = settled.groupBy("key").applyInPandas(chain, f"key {kind}, day long, last long")
+    return days.join(begun, ["key", "day"]).select(F.col("key").alias(key), F.explode(fetched("t", "last")).alias("fetched_at"))
 
 
 def duplicates(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:

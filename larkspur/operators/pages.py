@@ -83,6 +83,20 @@ def page_quality(pages: DataFrame, markers: Sequence[str] = BLOCK_MARKERS, short
     return pages.select("page_id", F.when(blocked, "BLOCKED").when(F.length(visible_text(F.col("html"))) < shortest, "EMPTY").otherwise("OK").alias("quality"))
 
 
+#: Hosts and path of links to products: fixed values.
+PRODUCT_HOSTS, PRODUCT_PATH = ("www.pokemoncenter.com", "pokemoncenter.com"), "/product/"
+
+
+def outbound_product(pages: DataFrame, hosts: Sequence[str] = PRODUCT_HOSTS, path: str = PRODUCT_PATH) -> DataFrame:
+    """page_id, candidates (number of different product links of a page) and product_url: the link where there is just
+    one, else null. Pages without such links have 0. No `hosts` means any."""
+    links = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*?href\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1)), lambda h: resolved(F.col("url"), F.btrim(h))))
+    hosted = lambda u: F.lower(F.regexp_extract(u, "^[^:]+://([^/?#]*)", 1)).isin(*hosts) if hosts else F.lit(True)
+    fits = F.filter(links, lambda u: hosted(u) & F.contains(F.regexp_extract(u, "^[^:]+://[^/?#]*([^?#]*)", 1), F.lit(path)))
+    found = F.coalesce(fits, F.array().cast("array<string>"))
+    return pages.select("page_id", found.alias("f")).select("page_id", F.size("f").alias("candidates"), F.when(F.size("f") == 1, F.col("f")[0]).alias("product_url"))
+
+
 def embedded_objects(pages: DataFrame, schema: str = "`@type` string, name string, sku string, url string, offers struct<price:string,availability:string>") -> DataFrame:
     """Objects in JSON-LD scripts (one, an array or an @graph), with page_id; those that don't parse are left out. On one
     page the first of each url, else sku, else name stays."""

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.groups import reach
 from larkspur.sources.tables import few
 
 
@@ -22,6 +24,47 @@ def repeated(sources: DataFrame, column: str, rule: str) -> DataFrame:
     return sources.join(often, F.col(column) == F.col("v"), "left_semi").select("source_id", F.lit(rule).alias("rule"), F.col(column).cast("string").alias("value"))
 
 
+def registry_issues(categories: DataFrame, brands: DataFrame, sources: DataFrame, scouts: DataFrame) -> DataFrame:
+    """(kind, id, code, value) of all that is wrong in a registry, ids and values as texts.
+
+    categories: category_id, parent_category_id; brands: brand_id, category_ids; sources: source_id, url, brand_id,
+    category_ids, scout_ids, enabled, lifecycle; scouts: scout_id, enabled, source_ids. A repeated id gives one row with
+    the number of repeats, a repeated url a row for each source but the first by id, a cycle a row for each category in
+    it. Ownership counts whichever side declares it. Null references name nothing.
+    """
+
+    def rows(df: DataFrame, kind: str, key: str, code: str, value: Column | None = None) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.lit(code).alias("code"), (F.lit(None) if value is None else value).cast("string").alias("value"))
+
+    def unknown(df: DataFrame, kind: str, key: str, named: Column, known: DataFrame, known_key: str, code: str) -> DataFrame:
+        asked = df.select(key, named.alias("named")).where("named is not null").distinct()
+        ids = few(known.select(F.col(known_key).alias("known")).distinct())
+        return rows(asked.join(ids, F.col("named") == F.col("known"), "left_anti"), kind, key, code, F.col("named"))
+
+    tables = {"category": categories, "brand": brands, "source": sources, "scout": scouts}
+    found = [rows(df.groupBy(f"{kind}_id").agg(F.count("*").alias("n")).where("n > 1"), kind, f"{kind}_id", f"DUPLICATE_{kind.upper()}_ID", F.col("n") - 1) for kind, df in tables.items()]
+    found.append(unknown(categories, "category", "category_id", F.col("parent_category_id"), categories, "category_id", "MISSING_CATEGORY_REFERENCE"))
+    found.append(unknown(brands, "brand", "brand_id", F.explode("category_ids"), categories, "category_id", "MISSING_CATEGORY_REFERENCE"))
+    found.append(unknown(sources, "source", "source_id", F.explode("category_ids"), categories, "category_id", "MISSING_CATEGORY_REFERENCE"))
+    found.append(unknown(sources, "source", "source_id", F.col("brand_id"), brands, "brand_id", "MISSING_BRAND_REFERENCE"))
+    found.append(unknown(sources, "source", "source_id", F.explode("scout_ids"), scouts, "scout_id", "MISSING_SCOUT_REFERENCE"))
+    found.append(unknown(scouts, "scout", "scout_id", F.explode("source_ids"), sources, "source_id", "MISSING_SOURCE_REFERENCE"))
+    cycles = reach(categories.select(F.col("category_id").alias("node"), F.col("parent_category_id").alias("parent"))).where("node = ancestor")
+    found.append(rows(cycles, "category", "node", "CATEGORY_CYCLE"))
+    first = sources.where("url <> ''").groupBy("url").agg(F.min("source_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found.append(rows(sources.select("source_id", "url").join(first, "url").where("source_id <> owner").distinct(), "source", "source_id", "DUPLICATE_CANONICAL_URL", F.col("owner")))
+
+    scout_state = few(scouts.select(F.col("scout_id").alias("s"), F.col("enabled").alias("on")).distinct())
+    declared = sources.select("source_id", F.explode("scout_ids").alias("scout_id")).unionByName(scouts.select(F.explode("source_ids").alias("source_id"), "scout_id")).distinct()
+    owners = declared.join(scout_state, F.col("scout_id") == F.col("s"), "left").groupBy("source_id").agg(F.bool_and(F.coalesce(~F.col("on"), F.lit(False))).alias("all_off"))
+    enabled = sources.where("enabled").select("source_id").distinct().join(owners, "source_id", "left")
+    found.append(rows(enabled.where("all_off is null"), "source", "source_id", "SOURCE_HAS_NO_SCOUT"))
+    found.append(rows(enabled.where("all_off"), "source", "source_id", "SOURCE_SCOUT_STATE_CONFLICT"))
+    runnable = declared.join(sources.where(F.col("lifecycle").isin("active", "proposed")).select("source_id"), "source_id", "left_semi").select("scout_id").distinct()
+    found.append(rows(scouts.where("enabled").select("scout_id").distinct().join(runnable, "scout_id", "left_anti"), "scout", "scout_id", "SCOUT_HAS_NO_RUNNABLE_SOURCE"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def repair_links(sources: DataFrame, scouts: DataFrame) -> DataFrame:
     """(source_id, scout_id) that either side declares: sources has scout_ids, scouts has source_ids (arrays)."""
     a = sources.select("source_id", F.explode("scout_ids").alias("scout_id"))

@@ -139,6 +139,26 @@ def doc_signals(detections: DataFrame, weights: dict[str, int], barriers: Sequen
     )
 
 
+#: Signals that tell a price, a state of sale, and pairs that contradict each other: fixed values.
+PRICE_SIGNALS = ("SPEND_REQUIREMENT", "RETAIL_PRICE", "OBSERVED_RESALE_PRICE")
+STATUS_SIGNALS = ("STATUS_LIVE", "STATUS_SOLD_OUT", "STATUS_RESTOCKED", "RELEASE_DATE", "PURCHASE_WINDOW")
+STATUS_CONFLICTS = (("STATUS_SOLD_OUT", "STATUS_LIVE"), ("STATUS_SOLD_OUT", "STATUS_RESTOCKED"))
+
+
+def doc_gaps(detections: DataFrame, identified: DataFrame) -> DataFrame:
+    """For each document that `identified` has (seq, has_identity): missing (what no signal tells: product_identity,
+    pricing_information, release_or_availability_status) and warnings (pairs of signals that contradict each other, and
+    RUMOR_WITHOUT_IDENTITY). Documents without detections have no warnings."""
+    seen = detections.groupBy("seq").agg(F.collect_set("signal").alias("seen"))
+    have = F.coalesce("seen", F.array().cast("array<string>"))
+    some = lambda names: F.arrays_overlap(have, F.array(*(F.lit(n) for n in names)))
+    known = F.coalesce("has_identity", F.lit(False))
+    missing = F.array(F.when(~known, "product_identity"), F.when(~some(PRICE_SIGNALS), "pricing_information"), F.when(~some(STATUS_SIGNALS), "release_or_availability_status"))
+    clashes = [F.when(some((a,)) & some((b,)), f"{a}/{b}") for a, b in STATUS_CONFLICTS]
+    warnings = F.array(*clashes, F.when(~known & some(("RUMOR",)), "RUMOR_WITHOUT_IDENTITY"))
+    return identified.join(seen, "seq", "left").select("seq", F.array_compact(missing).alias("missing"), F.array_compact(warnings).alias("warnings"))
+
+
 def accept_docs(signals: DataFrame, threshold: float, strong: Sequence[tuple[str, ...]], alone: Sequence[str], weak: Sequence[str]) -> DataFrame:
     """Add accepted: not if there are only weak signals; else if a strong combination is there, if a signal that counts
     alone is there and relevance reaches 0.6 of the threshold, or if relevance reaches the threshold."""

@@ -137,7 +137,8 @@ def c10(spark: SparkSession, d: str) -> DataFrame:
     return changes.failure_lockout(view(spark, d, "source_runs"), 4, 86400).select("event_id", "source_id", "recent_failures")
 
 
-@query("C11_reuse_quotes")
+@query("C11_reuse_quotes", """WITH RECURSIVE q AS (SELECT DISTINCT source_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM {source_runs}), n AS (SELECT source_id, t, min(t) OVER (PARTITION BY source_id ORDER BY t RANGE BETWEEN 901 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM q),
+r AS (SELECT source_id, min(t) AS t FROM q GROUP BY source_id UNION ALL SELECT n.source_id, n.nx FROM r JOIN n ON n.source_id = r.source_id AND n.t = r.t WHERE n.nx IS NOT NULL) SELECT source_id, t AS fetched_at FROM r""")
 def c11(spark: SparkSession, d: str) -> DataFrame:
     return changes.reuse_quotes(view(spark, d, "source_runs"), "source_id", 900)
 
@@ -258,11 +259,6 @@ def products(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "products").select(F.col("seq").alias("id"), "title", "sku", F.col("product_type").alias("type"))
 
 
-@query("J3_similar_products")
-def j3(spark: SparkSession, d: str) -> DataFrame:
-    return groups.similar_products(products(spark, d))
-
-
 _TOK = "list_distinct(list_filter(string_split(trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 3 AND NOT list_contains(['pokemon','the','a','an','new','official','trading','card','game','tcg','product','with','and','edition'], w)))"
 _J3 = f"""p AS (SELECT seq AS id, {_TOK} AS t, coalesce(product_type, 'unknown') AS ty, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(sku)), '[\\s_]+', '-', 'g'), '[^a-z0-9-]+', '', 'g'), '-+', '-', 'g'), '-') AS code FROM {{products}}),
 g AS (SELECT list_sort(t) AS t, ty, min(id) AS rep FROM p WHERE len(t) > 0 GROUP BY 1, 2),
@@ -270,13 +266,21 @@ near AS (SELECT a.rep AS a, b.rep AS b FROM g a JOIN g b ON a.rep < b.rep WHERE
 lk AS (SELECT a, b FROM near UNION ALL SELECT g.rep, p.id FROM p JOIN g ON list_sort(p.t) = g.t AND p.ty = g.ty WHERE p.id <> g.rep UNION ALL SELECT f.a, p.id FROM p JOIN (SELECT code, min(id) AS a FROM p WHERE coalesce(code, '') <> '' GROUP BY code) f ON f.code = p.code WHERE p.id <> f.a)"""
 
 
+@query("J3_similar_products", f"""WITH {_J3}, scored AS (SELECT a.rep AS a, b.rep AS b, least(1.0, floor((len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) + CASE WHEN a.ty = b.ty AND a.ty <> 'unknown' THEN 0.15 ELSE 0 END) * 1000 + 0.5) / 1000) AS s FROM g a JOIN g b ON a.rep < b.rep),
+same AS (SELECT g.rep AS a, p.id AS b FROM p JOIN g ON list_sort(p.t) = g.t AND p.ty = g.ty WHERE p.id <> g.rep UNION ALL SELECT f.a, p.id FROM p JOIN (SELECT code, min(id) AS a FROM p WHERE coalesce(code, '') <> '' GROUP BY code) f ON f.code = p.code WHERE p.id <> f.a)
+SELECT a, b, max(s) AS similarity FROM (SELECT a, b, s FROM scored WHERE s >= 0.72 UNION ALL SELECT a, b, 1.0 FROM same) GROUP BY a, b""")
+def j3(spark: SparkSession, d: str) -> DataFrame:
+    return groups.similar_products(products(spark, d))
+
+
 @query("J5_product_groups", f"WITH RECURSIVE {_J3}, u AS (SELECT a AS x, b AS y FROM lk UNION SELECT b, a FROM lk), w AS (SELECT x AS id, x AS r FROM u UNION SELECT u.y, w.r FROM w JOIN u ON u.x = w.id WHERE w.r < u.y) SELECT p.id, least(p.id, coalesce(min(w.r), p.id)) AS group_id FROM p LEFT JOIN w ON w.id = p.id GROUP BY p.id")
 def j5(spark: SparkSession, d: str) -> DataFrame:
     p = products(spark, d)
     return groups.group_products(p, groups.similar_products(p))
 
 
-@query("W12_similar_texts")
+@query("W12_similar_texts", f"""WITH n AS (SELECT seq, list_sort(list_distinct(string_split({_nt('text')}, ' '))) AS t FROM {{texts}}), x AS (SELECT min(seq) AS id, t FROM n GROUP BY t), e AS (SELECT id, len(t) AS m, unnest(t) AS w FROM x),
+c AS (SELECT a.id AS a, b.id AS b, a.m AS ma, b.m AS mb, count(*) AS k FROM e a JOIN e b ON a.w = b.w AND a.id < b.id GROUP BY ALL) SELECT a, b, round(k / (ma + mb - k), 6) AS similarity FROM c WHERE k / (ma + mb - k) >= 0.7""")
 def w12(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of different texts whose word sets are alike; equal word sets are represented by their smallest id."""
     from larkspur.functions import text as T

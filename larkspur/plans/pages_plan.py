@@ -54,7 +54,7 @@ def u6(spark: SparkSession, d: str) -> DataFrame:
     return pages.page_quality(view(spark, d, "pages"), ("thanedble",), 1500)
 
 
-@query("S8_embedded_objects")
+@query("S8_embedded_objects", "SELECT page_id, concat('page ', page_id) AS name, url FROM {pages}")
 def s8(spark: SparkSession, d: str) -> DataFrame:
     """Pages with a JSON-LD script made of their own url and id, as the stored ones have none."""
     made = F.concat(F.col("html"), F.lit('<script type="application/ld+json">{"@type":"Product","name":"page '), F.col("page_id").cast("string"), F.lit('","url":"'), F.col("url"), F.lit('"}</script>'))

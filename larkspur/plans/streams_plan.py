@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.operators import changes
 from larkspur.plans.changes_plan import _C1, observations
+from larkspur.plans.changes_plan import SQL as BATCH_SQL
 from larkspur.plans.views import plain, view
 from larkspur.sources import snapshots
-from larkspur.sources.tables import shared_folder
+from larkspur.sources.tables import cut, shared_folder
 from larkspur.streaming import changes as streams
 
 QUERIES, SQL = {}, {}
@@ -28,24 +30,86 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _in_order(rows: DataFrame, column: str, n: int) -> list[Column]:
+    """Conditions that cut rows into n parts by a column of numbers."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    low, high = low or 0, high or 0
+    edges = [low + (high - low + 1) * i // n for i in range(n + 1)]
+    return [(F.col(column) >= a) & (F.col(column) < b) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _observed(spark: SparkSession, d: str, step: streams.Step) -> DataFrame:
+    obs = cut(observations(spark, d).select("product_key", F.col("seq").cast("long").alias("seq"), *changes.STATE))
+    where = streams.replay(spark, obs, _in_order(obs, "seq", 5), lambda s, w: streams.fold_batches(s, step, w))
+    return spark.read.parquet(f"{where}/rows").drop("batch")
+
+
 @query("C1_stream_changes", f"WITH {_C1} SELECT * FROM ev")
 def c1_stream(spark: SparkSession, d: str) -> DataFrame:
     """The observations of a product come in five parts; the events are those of the batch operator."""
-    obs = observations(spark, d).select("product_key", F.col("seq").cast("long").alias("seq"), "availability", "price", "sources", "strategy_score", "tier")
-    last = obs.agg(F.max("seq")).first()[0] or 1
-    step = last // 5 + 1
-    where, stream = streams.replay(spark, obs, [(F.col("seq") > i * step) & (F.col("seq") <= (i + 1) * step) for i in range(5)], "seq")
-    return streams.run_to_end(streams.stream_changes(stream), where)
+    return _observed(spark, d, streams.change_step)
+
+
+@query("C2_stream_single")
+def c2_stream(spark: SparkSession, d: str) -> DataFrame:
+    return _observed(spark, d, streams.single_step)
+
+
+SQL["C2_stream_single"] = BATCH_SQL["C2_single_event"]
 
 
 @query("C4_stream_alerts", f"WITH {_C1} SELECT DISTINCT product_key, event FROM ev")
 def c4_stream(spark: SparkSession, d: str) -> DataFrame:
-    from larkspur.operators.changes import detect_changes
-
     obs = observations(spark, d)
-    events = detect_changes(obs).join(obs.select("product_key", "seq", F.col("observed_at").cast("timestamp").alias("observed_at")), ["product_key", "seq"]).select("product_key", "event", "observed_at")
-    where, stream = streams.replay(spark, events, [F.year("observed_at") <= 1996, F.year("observed_at").between(1997, 1999), F.year("observed_at") >= 2000], "observed_at")
-    return streams.run_to_end(streams.stream_new_alerts(stream, "7300 days"), where).select("product_key", "event")
+    events = cut(changes.detect_changes(obs).join(obs.select("product_key", "seq", F.col("observed_at").cast("timestamp").alias("observed_at")), ["product_key", "seq"]).select("product_key", "event", "observed_at"))
+    parts = [F.year("observed_at") <= 1996, F.year("observed_at").between(1997, 1999), F.year("observed_at") >= 2000]
+    where = streams.replay(spark, events, parts, lambda s, w: streams.run_to_end(streams.stream_new_alerts(s, "7300 days"), w))
+    return spark.read.parquet(f"{where}/out").select("product_key", "event")
+
+
+@query("C7_stream_pages")
+def c7_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Two rounds of fetches arrive one after the other; the statuses of the second."""
+    fetches = view(spark, d, "fetches")
+    where = streams.replay(spark, fetches, [F.col("round") == 1, F.col("round") == 2], lambda s, w: streams.fold_batches(s, streams.page_step, w))
+    return spark.read.parquet(f"{where}/rows").where("batch = 1").drop("batch")
+
+
+SQL["C7_stream_pages"] = BATCH_SQL["C7_page_changes"]
+
+
+def _streaks(spark: SparkSession, d: str) -> DataFrame:
+    runs = cut(view(spark, d, "source_runs").withColumn("at", F.unix_timestamp("ts")))
+    where = streams.replay(spark, runs, _in_order(runs, "at", 4), lambda s, w: streams.fold_batches(s, streams.streak_step, w))
+    return streams.last_state(spark, where)
+
+
+@query("C8_stream_health")
+def c8_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Runs arrive in four parts; the health of each source after the last."""
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    return changes.health_of(_streaks(spark, d), now, stale_hours=30).select("source_id", "consecutive_failures", "health_status", "recommended_action")
+
+
+SQL["C8_stream_health"] = BATCH_SQL["C8_source_health"]
+
+
+@query("C9_stream_backoff")
+def c9_stream(spark: SparkSession, d: str) -> DataFrame:
+    return changes.backoff(_streaks(spark, d)).select("source_id", "consecutive_failures", "backoff_seconds")
+
+
+SQL["C9_stream_backoff"] = BATCH_SQL["C9_backoff"]
+
+
+@query("C11_stream_quotes")
+def c11_stream(spark: SparkSession, d: str) -> DataFrame:
+    runs = cut(view(spark, d, "source_runs").withColumn("at", F.unix_timestamp("ts")))
+    where = streams.replay(spark, runs, _in_order(runs, "at", 4), lambda s, w: streams.fold_batches(s, streams.quote_step("source_id", 900), w))
+    return spark.read.parquet(f"{where}/rows").drop("batch")
+
+
+SQL["C11_stream_quotes"] = BATCH_SQL["C11_reuse_quotes"]
 
 
 @query("S2_snapshot_round_trip", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM {customer}")
