@@ -32,24 +32,38 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+#: 64-bit words of the parity map of a set in similar_sets.
+PARITY_WORDS = 4
+
+
+def _parity(tokens: Column) -> list[Column]:
+    """Words of a bit map of a set of longs; a bit is the parity of the number of tokens that fall on it."""
+    word, bit = lambda x: F.pmod(x, F.lit(64 * PARITY_WORDS)) / 64, lambda x: F.pmod(x, F.lit(64)).cast("int")
+    return [F.aggregate(F.filter(tokens, lambda x: F.floor(word(x)) == w), F.lit(0).cast("long"), lambda m, x: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(x)))) for w in range(PARITY_WORDS)]  # noqa: B023
+
+
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a < b, overlap, similarity) of sets (id, tokens: array) whose Jaccard similarity is `threshold` or more.
 
     Tokens are ordered by rarity; two similar sets share a token among the first n - ceil(threshold * n) + 1 of each, so
-    only those are joined. Sizes must fit too, and so must the tokens that are left after the shared one. Candidates are
-    verified on the whole sets. Empty sets are similar to none. Equal sets meet once for each of their pairs: give
+    only those are joined. Sizes must fit too, and so must the tokens that are left after the shared one, and the parity
+    maps of two sets can't differ in more bits than the sets do in tokens. Candidates are verified on the whole sets,
+    where XXH64 stands for each token. Empty sets are similar to none. Equal sets meet once for each of their pairs: give
     distinct sets where copies abound.
     """
-    known = sets.where(F.size("tokens") > 0).select("id", F.array_distinct("tokens").alias("tokens"))
+    known = sets.where(F.size("tokens") > 0).select("id", F.array_distinct(F.transform("tokens", lambda t: F.xxhash64(t))).alias("tokens"))
     often = known.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     ranked = known.select("id", F.explode("tokens").alias("token")).join(often, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
-    ranked = cut(ranked.select("id", F.transform("t", lambda x: x["token"]).alias("tokens"), F.size("t").alias("size")))
+    ranked = ranked.select("id", F.transform("t", lambda x: x["token"]).alias("tokens"), F.size("t").alias("size"))
+    ranked = cut(ranked.select("*", *(m.alias(f"m{i}") for i, m in enumerate(_parity(F.col("tokens"))))))
+    maps = [f"m{i}" for i in range(PARITY_WORDS)]
     keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1
-    prefix = ranked.select("id", "size", F.posexplode(F.slice("tokens", F.lit(1), keep.cast("int"))).alias("pos", "token"))
+    prefix = ranked.select("id", "size", *maps, F.posexplode(F.slice("tokens", F.lit(1), keep.cast("int"))).alias("pos", "token"))
     a, b = prefix.alias("a"), prefix.alias("b")
     need = F.lit(threshold / (1 + threshold)) * (F.col("a.size") + F.col("b.size")) - 1e-9
     left = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
-    close = (F.col("a.size") >= F.col("b.size") * threshold - 1e-9) & (F.col("b.size") >= F.col("a.size") * threshold - 1e-9) & (left >= need)
+    differ = sum((F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}"))) for m in maps), F.lit(0))
+    close = (F.col("a.size") >= F.col("b.size") * threshold - 1e-9) & (F.col("b.size") >= F.col("a.size") * threshold - 1e-9) & (left >= need) & (differ <= F.col("a.size") + F.col("b.size") - 2 * need)
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id"))).where(close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     x, y = ranked.select(F.col("id").alias("a"), F.col("tokens").alias("x")), ranked.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
