@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import fingerprints, pii, toxicity
-from larkspur.llm.common import remainder
+from larkspur.llm import byte_pairs, conversations, fingerprints, pii, toxicity
+from larkspur.llm.common import lower_ascii, remainder
 from larkspur.llm.decontaminate import decontaminate
 from larkspur.llm.language_model import score_documents
 from larkspur.llm.line_templates import dedup_lines
+from larkspur.llm.manifest import digest, manifest
 from larkspur.llm.packing import pack
 from larkspur.llm.simhash import simhash_components
 from larkspur.llm.substrings import dedup_substrings
@@ -90,6 +93,28 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair_report(conversations.damage(rows), rows)
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tampering lower-cases the text of every third document or so, chosen by its id; one without an id isn't chosen."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lower_ascii(F.col("text")))
+    found = manifest(table(spark, sf_dir, "documents"), tampered)
+    proof = digest(F.array_join(F.transform("path", lambda s: F.concat(s["l"], s["r"])), "")).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+def op13_byte_pairs(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """`vocabulary` is the path of a file of ranks."""
+    import public_tokenizers
+
+    ranks = byte_pairs.read_ranks(vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    both = lambda ids, decoded: (hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest())
+    return byte_pairs.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, both, "ids_sha256 string, decoded_sha256 string")
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -101,4 +126,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_personal_data": op9_personal_data,
     "op10_substrings": op10_substrings,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_manifest": op12_manifest,
+    "op13_byte_pairs": op13_byte_pairs,
 }
