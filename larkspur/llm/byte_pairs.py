@@ -50,9 +50,9 @@ def count_words(docs: DataFrame, pattern: str) -> DataFrame:
             for text in batch["text"]:
                 seen.update(find(text or ""))
                 if len(seen) > COUNTED_WORDS:
-                    yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+                    yield pd.DataFrame({"word": pd.Series(list(seen), dtype=object), "n": list(seen.values())})
                     seen.clear()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+        yield pd.DataFrame({"word": pd.Series(list(seen), dtype=object), "n": list(seen.values())})
 
     light_batches(docs.sparkSession)
     return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -68,7 +68,7 @@ def shared_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> dict
         merges = MergeReplay(table.value)
         for batch in batches:
             ids = merges.encode([w.encode() for w in batch["word"]])
-            yield pd.DataFrame({"word": list(batch["word"]), "n": batch["n"].to_numpy(), "ids": [np.array(x, "<u4").tobytes() for x in ids]})
+            yield pd.DataFrame({"word": pd.Series(list(batch["word"]), dtype=object), "n": batch["n"].to_numpy(), "ids": [np.array(x, "<u4").tobytes() for x in ids]})
 
     common = count_words(docs, pattern).where(F.length("word") <= SHARED_LENGTH).orderBy(F.desc("n"), "word").limit(SHARED_WORDS)
     parts = max(1, min(64, spark.sparkContext.defaultParallelism))
@@ -137,7 +137,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dig
             for some in packed(batch["text"]):
                 rows = [(ids, decode(ids, bytes_of)) for ids in some]
                 rows = rows if digests is None else [digests(*row) for row in rows]
-                columns = {name: [row[i] for row in rows] for i, name in enumerate(names)}
+                columns = {name: pd.Series([row[i] for row in rows], dtype=object) for i, name in enumerate(names)}
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at : at + len(some)].to_numpy(), "n_tokens": [len(ids) // 4 for ids in some], **columns})
                 at += len(some)
 

@@ -173,9 +173,9 @@ def repaired(placed: DataFrame, audits: DataFrame) -> DataFrame:
             if role is not None:
                 out.append((key, place - 1, role, text))
             if len(out) >= 1000:
-                yield pd.DataFrame(out, columns=["key", "place", "role", "text"])
+                yield pd.DataFrame(out, columns=["key", "place", "role", "text"], dtype=object)
                 out = []
-        yield pd.DataFrame(out, columns=["key", "place", "role", "text"])
+        yield pd.DataFrame(out, columns=["key", "place", "role", "text"], dtype=object)
 
     return _with_audits(placed, audits).mapInPandas(edit, "key string, place long, role string, text string")
 
@@ -191,14 +191,14 @@ def repaired_digests(placed: DataFrame, audits: DataFrame) -> DataFrame:
                     out.append((key, state.hexdigest()))
                 key, state, lines = now, hashlib.sha256(), 0
                 if len(out) >= 10_000:
-                    yield pd.DataFrame(out, columns=["key", "repaired_sha256"])
+                    yield pd.DataFrame(out, columns=["key", "repaired_sha256"], dtype=object)
                     out = []
                 continue
             state.update(("\n" if lines else "").encode() + f"{role}:{text}".encode())
             lines += 1
         if state is not None:
             out.append((key, state.hexdigest()))
-        yield pd.DataFrame(out, columns=["key", "repaired_sha256"])
+        yield pd.DataFrame(out, columns=["key", "repaired_sha256"], dtype=object)
 
     return _with_audits(placed, audits).mapInPandas(hashed, "key string, repaired_sha256 string")
 
