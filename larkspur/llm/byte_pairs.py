@@ -138,8 +138,9 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dig
                 rows = [(ids, decode(ids, bytes_of)) for ids in some]
                 rows = rows if digests is None else [digests(*row) for row in rows]
                 columns = {name: pd.Series([row[i] for row in rows], dtype=object) for i, name in enumerate(names)}
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at : at + len(some)].to_numpy(), "n_tokens": [len(ids) // 4 for ids in some], **columns})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at : at + len(some)].to_numpy(dtype=object, na_value=None), "n_tokens": [len(ids) // 4 for ids in some], **columns})
                 at += len(some)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(encode, f"doc_id {kind}, n_tokens long, {schema}")
+    kind = docs.schema["doc_id"].dataType  # as text, since pandas makes floats of numbers with nulls
+    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(encode, f"doc_id string, n_tokens long, {schema}")
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -43,7 +43,7 @@ def odd_texts():
 
 
 def test_byte_pairs_match_the_library(spark, ranks, library):
-    rows = list(enumerate(odd_texts())) + [(3, "again"), (None, "no id"), (None, None)]
+    rows = list(enumerate(odd_texts())) + [(3, "again"), (2**60 + 1, "large id"), (None, "no id"), (None, None)]
     docs = spark.createDataFrame([(i, t, 7, b"x") for i, t in rows], "doc_id long, text string, n_tokens int, ids binary")
     got = byte_pairs.encode_documents(docs, ranks, public_tokenizers.PATTERN).collect()
     want = []
