@@ -42,7 +42,7 @@ def _parse_rows(codes: pd.Series) -> pd.Series:
 
 
 def _join_spans(spans: pd.Series) -> pd.Series:
-    return spans.map(lambda cells: _rows_of(grammar.parse([_cell_of(c) for c in cells])))
+    return spans.map(lambda cells: _rows_of(grammar.parse([_cell_of(c["cell"]) for c in cells])))
 
 
 def _cheapest(cells: pd.Series) -> pd.DataFrame:
@@ -110,7 +110,7 @@ def _join_level(spans: DataFrame) -> DataFrame:
     joined = spans.groupBy("key", F.shiftright("span", SPAN).alias("wide")).agg(*sums, parts.alias("parts"))
     inner = F.zip_with(F.slice("parts", F.lit(1), F.size("parts") - 1), F.slice("parts", F.lit(2), F.size("parts")), lambda a, b: _illegal(a["end"], b["begin"]))
     between = F.aggregate(inner, F.lit(0).cast("long"), lambda n, x: n + x)
-    cells = F.transform("parts", lambda p: p["cell"])
+    cells = F.transform("parts", lambda p: F.struct(p["cell"].alias("cell")))
     return joined.select(
         "key",
         F.col("wide").alias("span"),

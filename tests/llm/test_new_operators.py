@@ -233,6 +233,7 @@ def conversation_rows(seed, n):
 
 def test_repair_matches_plain_python(spark, tmp_path):
     rows = conversation_rows(4, 250) + [(None, i, "user", f"x{i}.") for i in range(5)] + [(9000, i, ("user", "assistant")[i % 2], f"t {i}.") for i in range(700)] + [(9001, 1, "user", "Same.")] * 600
+    rows += [(9100 + i, t, ("system", "user", "tool", "assistant")[(i * t) % 4], f"w{(i + t) % 5}{'.' if t % 3 else ''}") for i in range(40) for t in range(40)]
     rows += [(9002, None, None, None), (9003, None, "assistant", "A.")]
     table = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, pos int, key string")
     table.write.parquet(f"{tmp_path}/conversations.parquet")
