@@ -16,8 +16,8 @@ from larkspur.llm.common import light_batches
 from larkspur.llm.merge_replay import MergeReplay
 
 #: Most words, and most bytes of words, whose ids travel to every task.
-SHARED_WORDS = 200_000
-SHARED_BYTES = 8_000_000
+SHARED_WORDS = 400_000
+SHARED_BYTES = 16_000_000
 #: Words that a task counts before it passes the counts on.
 COUNTED_WORDS = 300_000
 #: Longest word among the shared ones, in characters.
@@ -82,16 +82,17 @@ def shared_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> dict
 def encode_batches(ranks: dict[bytes, int], shared: dict[str, bytes], pattern: str) -> Callable[[pd.Series], Iterator[list[bytes]]]:
     """A function from texts to lists of packed ids, some texts at a time. Words that aren't shared are replayed together, for
     all texts of such a list, and kept for the next ones up to HELD_WORDS."""
-    find, merges, own = splitter(pattern).findall, MergeReplay(ranks), {}
+    find, merges, table = splitter(pattern).findall, MergeReplay(ranks), dict(shared)
 
     def some(words: list[list[str]]) -> list[bytes]:
-        new = {w for text in words for w in text if w not in shared and w not in own}
-        if len(own) + len(new) > HELD_WORDS:
-            own.clear()
-            new = {w for text in words for w in text if w not in shared}
-        new = list(new)
-        own.update(zip(new, (np.array(x, "<u4").tobytes() for x in merges.encode([w.encode() for w in new])), strict=True))
-        return [b"".join([shared[w] if w in shared else own[w] for w in text]) for text in words]
+        nonlocal table
+        seen = set().union(*words)
+        new = list(seen.difference(table))
+        if len(table) + len(new) > len(shared) + HELD_WORDS:
+            table = dict(shared)
+            new = list(seen.difference(table))
+        table.update(zip(new, (np.array(x, "<u4").tobytes() for x in merges.encode([w.encode() for w in new])), strict=True))
+        return [b"".join(map(table.__getitem__, text)) for text in words]
 
     def batches(texts: pd.Series) -> Iterator[list[bytes]]:
         words, chars = [], 0

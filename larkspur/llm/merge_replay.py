@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 from bisect import bisect_right
 from collections.abc import Sequence
@@ -22,15 +23,24 @@ class MergeReplay:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        #: Rank of pairs of tokens met so far, and of each pair of bytes; -1 where the vocabulary has no such token.
-        self.known: dict[int, int] = {}
+        #: Rank of each pair of bytes, -1 where the vocabulary has no such token.
         self.first = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
+        single = self.single.tolist()
+        self.pairs = {single[i >> 8] << 32 | single[i & 255]: int(r) for i, r in enumerate(self.first) if r >= 0}
+        #: Rank of pairs of tokens met so far.
+        self.known = dict(self.pairs)
 
     def encode(self, words: Sequence[bytes]) -> list[list[int]]:
         """The ids of each word. A word that is a token itself is that token; words are empty or not, and may repeat."""
         whole = [self.ranks.get(w) for w in words]
         parts = [w for w, rank in zip(words, whole, strict=True) if rank is None]
-        replayed = iter(self._replay(parts))
+        collects = gc.isenabled()
+        gc.disable()  # the index is many small lists without cycles
+        try:
+            replayed = iter(self._replay(parts))
+        finally:
+            if collects:
+                gc.enable()
         return [next(replayed) if rank is None else [rank] for rank in whole]
 
     def _replay(self, words: list[bytes]) -> list[list[int]]:
@@ -55,19 +65,10 @@ class MergeReplay:
         found, starts = np.unique(pair[order], return_index=True)
         places = {int(r): p.tolist() for r, p in zip(found, np.split(order, starts[1:]), strict=True) if r >= 0}
         after, before = after.tolist(), before.tolist()
-        ranks, bytes_of, known = self.ranks, self.bytes_of, self.known
-        if len(known) > KNOWN_PAIRS:
-            known.clear()
-        heap = list(places)
+        if len(self.known) > KNOWN_PAIRS:
+            self.known = dict(self.pairs)
+        known, heap = self.known, list(places)
         heapq.heapify(heap)
-
-        def rank_of(a: int, b: int) -> int:
-            key = a << 32 | b
-            rank = known.get(key)
-            if rank is None:
-                rank = known[key] = ranks.get(bytes_of[a] + bytes_of[b], -1)
-            return rank
-
         while heap:
             rank = heapq.heappop(heap)
             waits_to, waiting = -1, []
@@ -76,33 +77,34 @@ class MergeReplay:
                     waiting.append(p)
                     continue
                 q = after[p]
-                if q < 0 or token[p] < 0 or rank_of(token[p], token[q]) != rank:
+                if q < 0 or token[p] < 0 or known.get(token[p] << 32 | token[q]) != rank:
                     continue  # a merge has changed the pair since
                 token[p], token[q] = rank, -1
-                beyond = after[p] = after[q]
-                low = False
+                beyond, back, low = after[q], before[p], False
+                after[p] = beyond
                 if beyond >= 0:
                     before[beyond] = p
-                    new = rank_of(rank, token[beyond])
+                    new = known.get(rank << 32 | token[beyond])
+                    if new is None:
+                        new = self._learn(rank, token[beyond])
                     if new >= 0:
-                        low |= new < rank
-                        at = places.get(new)
-                        if at is None:
+                        low = new < rank
+                        if new in places:
+                            places[new].append(p)
+                        else:
                             places[new] = [p]
                             heapq.heappush(heap, new)
-                        else:
-                            at.append(p)
-                back = before[p]
                 if back >= 0:
-                    new = rank_of(token[back], rank)
+                    new = known.get(token[back] << 32 | rank)
+                    if new is None:
+                        new = self._learn(token[back], rank)
                     if new >= 0:
-                        low |= new < rank
-                        at = places.get(new)
-                        if at is None:
+                        low = low or new < rank
+                        if new in places:
+                            places[new].append(back)
+                        else:
                             places[new] = [back]
                             heapq.heappush(heap, new)
-                        else:
-                            at.append(back)
                 if low:
                     waits_to = ends[bisect_right(ends, p)]
             if waiting:
@@ -116,3 +118,7 @@ class MergeReplay:
             out.append([t for t in token[begin:end] if t >= 0])
             begin = end
         return out
+
+    def _learn(self, a: int, b: int) -> int:
+        rank = self.known[a << 32 | b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
+        return rank
