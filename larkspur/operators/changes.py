@@ -55,6 +55,9 @@ def change_events(p: str, first: Column) -> Column:
     return F.when(first, F.array(_event("NEW_PRODUCT", "HIGH"))).otherwise(events)
 
 
+#: Kinds of single events, the first that holds counts.
+SINGLE_ORDER = {"NEW_PRODUCT": 0, "RESTOCK": 1, "SOLD_OUT": 1, "PRICE_DROP": 2, "PRICE_INCREASE": 2, "NEW_CONFIRMATION": 3}
+
 STATE = ("availability", "price", "sources", "strategy_score", "tier")
 
 
@@ -65,22 +68,29 @@ def detect_changes(obs: DataFrame, previous: DataFrame | None = None) -> DataFra
     columns of STATE by product_key), else it is a NEW_PRODUCT. Values of prices are whole cents. Rows without a key are
     left out.
     """
+    events = change_events("__p", F.col("__p.there").isNull())
+    return _with_previous(obs, previous).select("product_key", "seq", F.explode(events).alias("e")).select("product_key", "seq", "e.*")
+
+
+def _with_previous(obs: DataFrame, previous: DataFrame | None) -> DataFrame:
     rows = obs.where("product_key is not null").select("product_key", "seq", *STATE)
     if previous is not None:
         rows = rows.unionByName(previous.select("product_key", F.lit(None).cast(obs.schema["seq"].dataType).alias("seq"), *STATE))
     order = Window.partitionBy("product_key").orderBy(F.col("seq").asc_nulls_first())
-    lagged = rows.withColumn("__p", F.lag(F.struct(F.lit(True).alias("there"), *STATE)).over(order)).where("seq is not null")
-    events = change_events("__p", F.col("__p.there").isNull())
-    return lagged.select("product_key", "seq", F.explode(events).alias("e")).select("product_key", "seq", "e.*")
+    return rows.withColumn("__p", F.lag(F.struct(F.lit(True).alias("there"), *STATE)).over(order)).where("seq is not null")
+
+
+def single_event(events: Column) -> Column:
+    """The first event of a change_events array: new product, availability, price, confirmation; NO_CHANGE without one."""
+    order = F.create_map(*(F.lit(x) for kv in SINGLE_ORDER.items() for x in kv))
+    ranked = F.transform(F.filter(events, lambda e: e["event"].isin(*SINGLE_ORDER)), lambda e: F.struct(order[e["event"]].alias("rank"), e["event"].alias("event")))
+    return F.coalesce(F.array_min(ranked)["event"], F.lit("NO_CHANGE"))
 
 
 def detect_change_single(obs: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """One event for each observation: new product, else availability, else price, else confirmation, else NO_CHANGE."""
-    order = {"NEW_PRODUCT": 0, "RESTOCK": 1, "SOLD_OUT": 1, "PRICE_DROP": 2, "PRICE_INCREASE": 2, "NEW_CONFIRMATION": 3}
-    events = detect_changes(obs, previous).where(F.col("event").isin(*order))
-    rank = F.create_map(*(F.lit(x) for kv in order.items() for x in kv))[F.col("event")]
-    first = events.groupBy("product_key", "seq").agg(F.min_by("event", rank).alias("event"))
-    return obs.where("product_key is not null").select("product_key", "seq").join(first, ["product_key", "seq"], "left").select("product_key", "seq", F.coalesce("event", F.lit("NO_CHANGE")).alias("event"))
+    event = single_event(change_events("__p", F.col("__p.there").isNull()))
+    return _with_previous(obs, previous).select("product_key", "seq", event.alias("event"))
 
 
 def advance_state(obs: DataFrame, previous: DataFrame | None = None) -> DataFrame:
@@ -98,6 +108,50 @@ def new_alerts(alerts: DataFrame, active: DataFrame) -> DataFrame:
     return waiting.groupBy("product_key", "event").agg(first.alias("row")).select("row.*")
 
 
+#: What happens to alerts, in the order in which it counts where one seq has several.
+ACTIONS = ("resolve", "alert", "acknowledge", "forward")
+
+
+def action_order() -> Column:
+    """A number by which actions (seq, action) follow each other."""
+    rank = F.create_map(*(F.lit(x) for i, a in enumerate(ACTIONS) for x in (a, i)))[F.col("action")]
+    return F.col("seq") * len(ACTIONS) + rank
+
+
+def with_status(records: DataFrame) -> DataFrame:
+    """Add status: RESOLVED, ACTIVE (acknowledged) or NEW."""
+    return records.withColumn("status", F.when(F.col("resolved").isNotNull(), "RESOLVED").when(F.col("acknowledged").isNotNull(), "ACTIVE").otherwise("NEW"))
+
+
+def alert_records(actions: DataFrame) -> DataFrame:
+    """Records of alerts: product_key, event, opened, acknowledged, forwarded and resolved (seq of the first such action
+    while the record was open, null without one) and status.
+
+    actions has product_key, event, seq and action (alert, acknowledge, forward, resolve). An alert opens a record unless
+    its product and event have an open one; a resolution closes it and so lets the next alert open another. Actions
+    without an open record do nothing; equal ones count once; rows with a null key or an unknown action are left out.
+    The actions between two resolutions are one island: its first alert opens the record.
+    """
+    known = actions.where(F.col("action").isin(*ACTIONS) & F.col("product_key").isNotNull() & F.col("event").isNotNull())
+    rows = known.select("product_key", "event", F.col("seq").cast("long").alias("seq"), "action").withColumn("at", action_order()).distinct()
+    order = Window.partitionBy("product_key", "event").orderBy("at")
+    island = F.coalesce(F.count_if(F.col("action") == "resolve").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of = Window.partitionBy("product_key", "event", "island")
+    opened = F.min(F.when(F.col("action") == "alert", F.col("at"))).over(of)
+    open_rows = rows.withColumn("island", island).withColumn("first", opened).where("at >= first")
+    when = lambda action: F.min(F.when(F.col("action") == action, F.col("seq")))
+    found = open_rows.groupBy("product_key", "event", "island").agg(when("alert").alias("opened"), when("acknowledge").alias("acknowledged"), when("forward").alias("forwarded"), when("resolve").alias("resolved"))
+    return with_status(found.drop("island"))
+
+
+def forward_once(records: DataFrame, events: DataFrame) -> DataFrame:
+    """What goes on to the opportunities: (product_key, event, seq, opened): each record when it is first forwarded, and the
+    NEW_PRODUCT event of each product even where no record was opened by it (opened is null then)."""
+    sent = records.where("forwarded is not null").select("product_key", "event", F.col("forwarded").alias("seq"), "opened")
+    fresh = events.where("event = 'NEW_PRODUCT'").groupBy("product_key", "event").agg(F.min(F.col("seq").cast("long")).alias("seq"))
+    return sent.unionByName(fresh.join(sent.select("product_key", "event"), ["product_key", "event"], "left_anti").withColumn("opened", F.lit(None).cast("long")))
+
+
 #: Base scores of events and levels of alerts: fixed values.
 EVENT_SCORES = {"RESTOCK": 48, "PRICE_DROP": 42, "TIER_UPGRADE": 36, "STRATEGY_UPGRADE": 32, "SOLD_OUT": 30, "NEW_PRODUCT": 24, "NEW_CONFIRMATION": 16, "PRICE_INCREASE": 8}
 ALERT_LEVELS = ((85, "CRITICAL"), (70, "HIGH"), (50, "MEDIUM"), (30, "LOW"))
@@ -217,11 +271,39 @@ def backoff(streaks: DataFrame, base: float = 60.0, most: float = 3600.0) -> Dat
     return streaks.withColumn("backoff_seconds", F.when(n <= 0, 0.0).otherwise(F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), F.least(n, F.lit(60)) - 1))))
 
 
+def rolling_failures(events: DataFrame, seconds: int, key: str | None = None) -> DataFrame:
+    """at (second), the key if there is one, and recent_failures: failures in the last `seconds` up to it, itself included, for
+    each second with events (ts, success).
+
+    Events are counted by second first. Time is cut into stretches of a day or of `seconds`, if these are more, and each
+    takes what it needs of the one before, so that a window holds the seconds of two stretches at most, also without a key.
+    """
+    keys = [] if key is None else [key]
+    width = max(seconds, 86400)
+    counted = events.withColumn("at", F.unix_timestamp("ts")).groupBy(*keys, "at").agg(F.count_if(~F.col("success")).alias("n"))
+    own = F.floor(F.col("at") / width)
+    reach = F.when((own + 1) * width - F.col("at") <= seconds, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = counted.select(*keys, "at", "n", own.alias("own"), F.explode(reach).alias("stretch"))
+    window = Window.partitionBy(*keys, "stretch").orderBy("at").rangeBetween(-seconds, 0)
+    return spread.withColumn("recent_failures", F.sum("n").over(window)).where("own = stretch").select(*keys, "at", "recent_failures")
+
+
 def failure_lockout(events: DataFrame, threshold: int, seconds: int, key: str = "source_id") -> DataFrame:
-    """Failures at which `threshold` or more failures of the key lie in the last `seconds`, with their number."""
-    order = Window.partitionBy(key).orderBy("at").rangeBetween(-seconds, 0)
-    failed = events.where("not success").withColumn("at", F.unix_timestamp("ts"))
-    return failed.withColumn("recent_failures", F.count("*").over(order)).where(F.col("recent_failures") >= threshold).drop("at")
+    """Failures at which `threshold` or more failures of the key lie in the last `seconds`, with their number. Rows without a key
+    are left out."""
+    failed = events.where(~F.col("success") & F.col(key).isNotNull()).withColumn("at", F.unix_timestamp("ts"))
+    return failed.join(rolling_failures(failed, seconds, key), [key, "at"]).where(F.col("recent_failures") >= threshold).drop("at")
+
+
+def lockout(events: DataFrame, key_threshold: int, all_threshold: int, seconds: int, key: str = "source_id") -> DataFrame:
+    """events with recent_failures (of the key), recent_all (of all keys) and locked: whether either reaches its threshold in the
+    last `seconds`. An event without a key is held against all keys only; it counts among their failures."""
+    timed = events.withColumn("at", F.unix_timestamp("ts"))
+    mine = rolling_failures(timed.where(F.col(key).isNotNull()), seconds, key)
+    everyone = rolling_failures(timed, seconds).withColumnRenamed("recent_failures", "recent_all")
+    joined = timed.join(mine, [key, "at"], "left").join(everyone, "at", "left").drop("at")
+    locked = (F.col("recent_all") >= all_threshold) | F.coalesce(F.col("recent_failures") >= key_threshold, F.lit(False))
+    return joined.withColumn("locked", F.coalesce(locked, F.lit(False)))
 
 
 def retention_candidates(df: DataFrame, stamp: str, before: Column, limit: int) -> DataFrame:

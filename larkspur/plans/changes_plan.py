@@ -137,6 +137,13 @@ def c10(spark: SparkSession, d: str) -> DataFrame:
     return changes.failure_lockout(view(spark, d, "source_runs"), 4, 86400).select("event_id", "source_id", "recent_failures")
 
 
+@query("C10_lockout", """WITH r AS (SELECT event_id, source_id, success, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM {source_runs}),
+n AS (SELECT event_id, source_id, count(*) FILTER (NOT success) OVER (PARTITION BY source_id ORDER BY sec RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW) AS recent_failures, count(*) FILTER (NOT success) OVER (ORDER BY sec RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW) AS recent_all FROM r)
+SELECT *, recent_failures >= 2 OR recent_all >= 5 AS locked FROM n""")
+def c10_both(spark: SparkSession, d: str) -> DataFrame:
+    return changes.lockout(view(spark, d, "source_runs"), 2, 5, 7200).select("event_id", "source_id", "recent_failures", "recent_all", "locked")
+
+
 @query("C11_reuse_quotes", """WITH RECURSIVE q AS (SELECT DISTINCT source_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM {source_runs}), n AS (SELECT source_id, t, min(t) OVER (PARTITION BY source_id ORDER BY t RANGE BETWEEN 901 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM q),
 r AS (SELECT source_id, min(t) AS t FROM q GROUP BY source_id UNION ALL SELECT n.source_id, n.nx FROM r JOIN n ON n.source_id = r.source_id AND n.t = r.t WHERE n.nx IS NOT NULL) SELECT source_id, t AS fetched_at FROM r""")
 def c11(spark: SparkSession, d: str) -> DataFrame:

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators import changes
-from larkspur.plans.changes_plan import _C1, observations
+from larkspur.plans.changes_plan import _A25, _C1, alerts, observations
 from larkspur.plans.changes_plan import SQL as BATCH_SQL
 from larkspur.plans.views import plain, view
 from larkspur.sources import snapshots
 from larkspur.sources.tables import cut, shared_folder
 from larkspur.streaming import changes as streams
+from larkspur.streaming import keyed
 
 QUERIES, SQL = {}, {}
 
@@ -30,48 +32,100 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _in_order(rows: DataFrame, column: str, n: int) -> list[Column]:
-    """Conditions that cut rows into n parts by a column of numbers."""
-    low, high = rows.agg(F.min(column), F.max(column)).first()
+def replay(rows: DataFrame, parts: Sequence[Column], run: Callable[[DataFrame, str], object]) -> str:
+    """Let rows arrive in parts: each is added to a folder, then `run` takes the folder as a stream, with the place for its
+    state and output, to the end of what is there. Returns that place."""
+    spark = rows.sparkSession
+    where = f"{shared_folder(spark)}/larkspur-stream-{uuid.uuid4().hex}"
+    for part in parts:
+        rows.where(part).write.mode("append").parquet(f"{where}/in")
+        run(spark.readStream.schema(rows.schema).parquet(f"{where}/in"), where)
+    return where
+
+
+def arrived(rows: DataFrame, at: str, days: int, make: Callable[[DataFrame], DataFrame], parts: int = 3) -> DataFrame:
+    """What a stream has emitted when all rows have arrived, each up to `days` late and so in another order than their times, in
+    parts. A last row without a key, long after all others, settles what waits."""
+    late = F.pmod(F.xxhash64(*rows.columns), F.lit(days * 86400))
+    known = cut(rows.withColumn("arrives", F.unix_timestamp(at) + late))
+    low, high = known.agg(F.min("arrives"), F.max("arrives")).first()
     low, high = low or 0, high or 0
-    edges = [low + (high - low + 1) * i // n for i in range(n + 1)]
-    return [(F.col(column) >= a) & (F.col(column) < b) for a, b in zip(edges, edges[1:], strict=False)]
+    edges = [low + (high - low + 1) * i // parts for i in range(parts + 1)]
+    last = known.sparkSession.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) if f.name != at else F.lit("9999-01-01").cast(f.dataType).alias(at) for f in known.schema))
+    last = last.withColumn("arrives", F.lit(high + 1).cast("long"))
+    cuts = [(F.col("arrives") >= a) & (F.col("arrives") < b) for a, b in zip(edges[:-1], [*edges[1:-1], high + 1], strict=True)]
+    where = replay(known.unionByName(last), [*cuts, F.col("arrives") == high + 1], lambda s, w: keyed.run_to_end(make(s), w))
+    return known.sparkSession.read.parquet(f"{where}/out")
 
 
-def _observed(spark: SparkSession, d: str, step: streams.Step) -> DataFrame:
-    obs = cut(observations(spark, d).select("product_key", F.col("seq").cast("long").alias("seq"), *changes.STATE))
-    where = streams.replay(spark, obs, _in_order(obs, "seq", 5), lambda s, w: streams.fold_batches(s, step, w))
-    return spark.read.parquet(f"{where}/rows").drop("batch")
+def _observed(spark: SparkSession, d: str) -> DataFrame:
+    return observations(spark, d).select("product_key", F.col("seq").cast("long").alias("seq"), F.col("observed_at").cast("timestamp").alias("observed_at"), *changes.STATE)
 
 
 @query("C1_stream_changes", f"WITH {_C1} SELECT * FROM ev")
 def c1_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The observations of a product come in five parts; the events are those of the batch operator."""
-    return _observed(spark, d, streams.change_step)
+    """Observations arrive up to 60 days late, in three parts; the events are those of the batch operator."""
+    return arrived(_observed(spark, d), "observed_at", 60, lambda s: streams.stream_changes(s, delay="60 days"))
 
 
 @query("C2_stream_single")
 def c2_stream(spark: SparkSession, d: str) -> DataFrame:
-    return _observed(spark, d, streams.single_step)
+    return arrived(_observed(spark, d), "observed_at", 60, lambda s: streams.stream_single(s, delay="60 days"))
 
 
 SQL["C2_stream_single"] = BATCH_SQL["C2_single_event"]
 
-
-@query("C4_stream_alerts", f"WITH {_C1} SELECT DISTINCT product_key, event FROM ev")
+#: What ends a record of an event, and what confirms one.
+_ENDS = {"RESTOCK": "SOLD_OUT", "SOLD_OUT": "RESTOCK", "PRICE_DROP": "PRICE_INCREASE", "PRICE_INCREASE": "PRICE_DROP"}
+_ACT = f"""{_C1}, al AS ({_A25}),
+act AS (SELECT product_key, event, seq, 'alert' AS action, 1 AS o FROM al WHERE should_alert
+UNION ALL SELECT product_key, event, seq, 'forward', 3 FROM al WHERE priority IN ('CRITICAL', 'HIGH')
+UNION ALL SELECT product_key, CASE event WHEN 'RESTOCK' THEN 'SOLD_OUT' WHEN 'SOLD_OUT' THEN 'RESTOCK' WHEN 'PRICE_DROP' THEN 'PRICE_INCREASE' ELSE 'PRICE_DROP' END, seq, 'resolve', 0 FROM ev WHERE event IN ('RESTOCK', 'SOLD_OUT', 'PRICE_DROP', 'PRICE_INCREASE')
+UNION ALL SELECT product_key, 'NEW_PRODUCT', seq, 'acknowledge', 2 FROM ev WHERE event = 'NEW_CONFIRMATION'),
+isl AS (SELECT *, coalesce(count(*) FILTER (action = 'resolve') OVER (PARTITION BY product_key, event ORDER BY seq, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM act),
+op AS (SELECT *, min(CASE WHEN action = 'alert' THEN seq * 4 + o END) OVER (PARTITION BY product_key, event, island) AS first FROM isl),
+rec AS (SELECT product_key, event, min(seq) FILTER (action = 'alert') AS opened, min(seq) FILTER (action = 'acknowledge') AS acknowledged, min(seq) FILTER (action = 'forward') AS forwarded, min(seq) FILTER (action = 'resolve') AS resolved
+FROM op WHERE seq * 4 + o >= first GROUP BY product_key, event, island)"""
+_REC = f"WITH {_ACT} SELECT *, CASE WHEN resolved IS NOT NULL THEN 'RESOLVED' WHEN acknowledged IS NOT NULL THEN 'ACTIVE' ELSE 'NEW' END AS status FROM rec"
+_RECORD = ("product_key", "event", "opened", "acknowledged", "forwarded", "resolved", "status")
+
+
+def alert_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts open records, urgent ones are forwarded, the opposite event resolves, and a confirmation acknowledges a new product."""
+    scored = cut(alerts(spark, d).select("product_key", "event", F.col("seq").cast("long").alias("seq"), "priority", "should_alert"))
+    row = lambda rows, action, event=F.col("event"): rows.select("product_key", event.alias("event"), "seq", F.lit(action).alias("action"))
+    ends = F.create_map(*(F.lit(x) for kv in _ENDS.items() for x in kv))[F.col("event")]
+    opened = row(scored.where("should_alert"), "alert").unionByName(row(scored.where("priority in ('CRITICAL', 'HIGH')"), "forward"))
+    closed = row(scored.where(F.col("event").isin(*_ENDS)), "resolve", ends)
+    return opened.unionByName(closed).unionByName(row(scored.where("event = 'NEW_CONFIRMATION'"), "acknowledge", F.lit("NEW_PRODUCT")))
+
+
+@query("C4_alert_records", _REC)
+def c4_records(spark: SparkSession, d: str) -> DataFrame:
+    return changes.alert_records(alert_actions(spark, d)).select(*_RECORD)
+
+
+@query("C4_stream_alerts", _REC)
 def c4_stream(spark: SparkSession, d: str) -> DataFrame:
-    obs = observations(spark, d)
-    events = cut(changes.detect_changes(obs).join(obs.select("product_key", "seq", F.col("observed_at").cast("timestamp").alias("observed_at")), ["product_key", "seq"]).select("product_key", "event", "observed_at"))
-    parts = [F.year("observed_at") <= 1996, F.year("observed_at").between(1997, 1999), F.year("observed_at") >= 2000]
-    where = streams.replay(spark, events, parts, lambda s, w: streams.run_to_end(streams.stream_new_alerts(s, "7300 days"), w))
-    return spark.read.parquet(f"{where}/out").select("product_key", "event")
+    """Actions arrive up to 30 days late; the records that their transitions lead to."""
+    dated = observations(spark, d).select("product_key", F.col("seq").cast("long").alias("seq"), F.col("observed_at").cast("timestamp").alias("observed_at"))
+    actions = alert_actions(spark, d).join(dated, ["product_key", "seq"])
+    found = arrived(actions, "observed_at", 30, lambda s: streams.stream_alert_records(s, delay="30 days"))
+    return streams.records_of(found).select(*_RECORD)
+
+
+@query("C5_forwarded", f"WITH {_ACT}, sent AS (SELECT product_key, event, forwarded AS seq, opened FROM rec WHERE forwarded IS NOT NULL) SELECT * FROM sent UNION ALL SELECT product_key, event, min(seq), NULL FROM ev e WHERE event = 'NEW_PRODUCT' AND NOT EXISTS (SELECT 1 FROM sent s WHERE s.product_key = e.product_key AND s.event = 'NEW_PRODUCT') GROUP BY product_key, event")
+def c5_forwarded(spark: SparkSession, d: str) -> DataFrame:
+    """Each record that was forwarded, once, and every new product."""
+    records = changes.alert_records(alert_actions(spark, d))
+    return changes.forward_once(records, changes.detect_changes(observations(spark, d)))
 
 
 @query("C7_stream_pages")
 def c7_stream(spark: SparkSession, d: str) -> DataFrame:
     """Two rounds of fetches arrive one after the other; the statuses of the second."""
     fetches = view(spark, d, "fetches")
-    where = streams.replay(spark, fetches, [F.col("round") == 1, F.col("round") == 2], lambda s, w: streams.fold_batches(s, streams.page_step, w))
+    where = replay(fetches, [F.col("round") == 1, F.col("round") == 2], lambda s, w: streams.fold_batches(s, streams.page_step, w))
     return spark.read.parquet(f"{where}/rows").where("batch = 1").drop("batch")
 
 
@@ -79,14 +133,13 @@ SQL["C7_stream_pages"] = BATCH_SQL["C7_page_changes"]
 
 
 def _streaks(spark: SparkSession, d: str) -> DataFrame:
-    runs = cut(view(spark, d, "source_runs").withColumn("at", F.unix_timestamp("ts")))
-    where = streams.replay(spark, runs, _in_order(runs, "at", 4), lambda s, w: streams.fold_batches(s, streams.streak_step, w))
-    return streams.last_state(spark, where)
+    found = arrived(view(spark, d, "source_runs"), "ts", 2, lambda s: streams.stream_streaks(s, "2 days"))
+    return streams.latest(found, "source_id")
 
 
 @query("C8_stream_health")
 def c8_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Runs arrive in four parts; the health of each source after the last."""
+    """Runs arrive up to two days late; the health of each source after the last."""
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     return changes.health_of(_streaks(spark, d), now, stale_hours=30).select("source_id", "consecutive_failures", "health_status", "recommended_action")
 
@@ -102,11 +155,22 @@ def c9_stream(spark: SparkSession, d: str) -> DataFrame:
 SQL["C9_stream_backoff"] = BATCH_SQL["C9_backoff"]
 
 
+@query("C10_stream_lockout")
+def c10_stream(spark: SparkSession, d: str) -> DataFrame:
+    return arrived(view(spark, d, "source_runs"), "ts", 2, lambda s: streams.stream_lockout(s, 4, 86400, delay="2 days"))
+
+
+SQL["C10_stream_lockout"] = BATCH_SQL["C10_failure_lockout"].replace("SELECT event_id, source_id", "SELECT source_id, event_id", 1)
+
+
+@query("C10_stream_global", 'SELECT DISTINCT sec AS "at", recent_failures FROM (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS sec, count(*) OVER (ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS recent_failures FROM {source_runs} WHERE NOT success) WHERE recent_failures >= 3')
+def c10_global(spark: SparkSession, d: str) -> DataFrame:
+    return arrived(view(spark, d, "source_runs"), "ts", 2, lambda s: streams.stream_global_lockout(s, 3, 3600, "2 days"))
+
+
 @query("C11_stream_quotes")
 def c11_stream(spark: SparkSession, d: str) -> DataFrame:
-    runs = cut(view(spark, d, "source_runs").withColumn("at", F.unix_timestamp("ts")))
-    where = streams.replay(spark, runs, _in_order(runs, "at", 4), lambda s, w: streams.fold_batches(s, streams.quote_step("source_id", 900), w))
-    return spark.read.parquet(f"{where}/rows").drop("batch")
+    return arrived(view(spark, d, "source_runs"), "ts", 2, lambda s: streams.stream_quotes(s, "source_id", 900, "event_id", "2 days"))
 
 
 SQL["C11_stream_quotes"] = BATCH_SQL["C11_reuse_quotes"]

@@ -5,7 +5,6 @@ import random
 from pyspark.sql import functions as F
 
 from larkspur.operators import changes, pages, registry, routing, signals, validation
-from larkspur.streaming import changes as streams
 
 RECORD = "id int, title string, body string, url string, published_at string, price string, quantity string, currency string, source_type string, unit_scope string, sold boolean, sold_at string, graded boolean, grade string, grading_company string, event_start string, event_end string"
 CLEAN = dict(id=0, title="A", body="b", url="https://a.example/x", published_at="2024-05-06", price="$5", quantity="2", currency="KRW", source_type="forum", unit_scope="booster box", sold=True, sold_at="2024-05-06", graded=None, grade="9", grading_company=None, event_start="2024-05-06", event_end="2024-05-07")
@@ -113,13 +112,3 @@ def test_quotes_are_reused(spark):
         assert len(got) == len(set(got)) and set(got) == want
     carried = changes.reuse_quotes(rows.where("k = 'c'"), "k", 900, spark.createDataFrame([("c", times["c"][0] - 10)], "k string, fetched_at long"))
     assert carried.count() == 0
-
-
-def test_stream_of_changes_reports_late_rows(spark):
-    schema = "product_key long, seq long, availability string, price double, sources array<string>, strategy_score double, tier string"
-    rows = spark.createDataFrame([(1, 1, "sold out", 5.0, ["a"], 1.0, "HIGH"), (1, 3, "in stock", 5.0, ["a"], 1.0, "HIGH"), (1, 2, "in stock", 4.0, ["a"], 1.0, "HIGH"), (1, 4, "in stock", 3.0, ["b"], 1.0, None), (None, 5, "x", 1.0, [], 1.0, None)], schema)
-    parts = [F.col("seq").isin(1, 3), F.col("seq") == 2, F.col("seq") >= 4]
-    where = streams.replay(spark, rows, parts, lambda s, w: streams.fold_batches(s, streams.change_step, w))
-    got = sorted((r.seq, r.event, r.previous_value, r.current_value) for r in spark.read.parquet(f"{where}/rows").collect())
-    assert got == [(1, "NEW_PRODUCT", None, None), (2, "LATE", None, None), (3, "RESTOCK", None, None), (4, "NEW_CONFIRMATION", None, "b"), (4, "PRICE_DROP", "500", "300")]
-    assert streams.last_state(spark, where).first().seq == 4
