@@ -98,12 +98,7 @@ def similar_products(items: DataFrame, threshold: float = 0.72, bonus: float = 0
     same = tokens.where(F.size("tokens") > 0).groupBy("tokens", "type").agg(F.min("id").alias("rep"))
     members = tokens.join(same, ["tokens", "type"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     reps = cut(same.select(F.col("rep").alias("id"), "tokens", "type"))
-    near = similar_sets(reps, threshold - bonus)
-    kinds = reps.select("id", "type")
-    typed = near.join(kinds.select(F.col("id").alias("a"), F.col("type").alias("ta")), "a").join(kinds.select(F.col("id").alias("b"), F.col("type").alias("tb")), "b")
-    extra = F.when((F.col("ta") == F.col("tb")) & (F.col("ta") != "unknown"), bonus).otherwise(0.0)
-    value = F.least(F.lit(1.0), F.floor((F.col("similarity") + extra) * 1000 + 0.5) / 1000)
-    by_tokens = typed.select("a", "b", value.alias("similarity")).where(F.col("similarity") >= threshold)
+    by_tokens = _typed_links(reps, threshold, bonus)
     code = T.norm_sku(F.col("sku"))
     coded = items.select("id", code.alias("code")).where(F.coalesce("code", F.lit("")) != "")
     first = coded.groupBy("code").agg(F.min("id").alias("a"))
@@ -135,38 +130,51 @@ def reach(edges: DataFrame) -> DataFrame:
     return done
 
 
-def leader_groups(items: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id and leader of a greedy clustering: in the order of ids, each item joins the first leader that it pairs with,
-    else it leads itself.
-
-    pairs (a < b) must hold all pairs of items that match. An item's leader is among its own pairs and itself, so what an
-    item does depends on smaller ids it pairs with alone: in each round, items all of whose smaller partners are settled
-    are settled too. The rounds are as many as the longest chain of undecided items; each is a join and an aggregate.
-    """
-    links = cut(pairs.select("a", "b").where("a < b").distinct())
-    settled = cut(items.select("id").join(links.select(F.col("b").alias("id")), "id", "left_anti").select("id", F.col("id").alias("leader")))
-    open_ = cut(items.select("id").join(links.select(F.col("b").alias("id")), "id", "left_semi").distinct())
-    while not open_.isEmpty():
-        known = settled.select(F.col("id").alias("a"), (F.col("id") == F.col("leader")).alias("leads"))
-        mine = links.join(open_.select(F.col("id").alias("b")), "b", "left_semi").join(known, "a", "left")
-        state = mine.groupBy("b").agg(F.min(F.when(F.col("leads"), F.col("a"))).alias("first"), F.min(F.when(F.col("leads").isNull(), F.col("a"))).alias("waits"))
-        ready = state.where(F.col("waits").isNull() | (F.col("first") < F.col("waits"))).select(F.col("b").alias("id"), F.coalesce("first", "b").alias("leader"))
-        ready = cut(ready)
-        settled = cut(settled.unionByName(ready))
-        open_ = cut(open_.join(ready.select("id"), "id", "left_anti"))
-    return settled
-
-
-def exact_pairs(items: DataFrame, threshold: float = 0.72, bonus: float = 0.15) -> DataFrame:
-    """All pairs (a < b) of products that match by similar_products' rule, copies included, for small catalogues whose
-    every pair is wanted (leader_groups)."""
-    full = items.select("id", T.identity_tokens(F.col("title")).alias("tokens"), F.coalesce("type", F.lit("unknown")).alias("type"))
-    near = similar_sets(full.select("id", "tokens"), threshold - bonus)
-    kinds = full.select("id", "type")
+def _typed_links(reps: DataFrame, threshold: float, bonus: float) -> DataFrame:
+    """Pairs (a < b, similarity) of products (id, tokens, type) with different tokens or types that match by these."""
+    near = similar_sets(reps.select("id", "tokens"), threshold - bonus)
+    kinds = reps.select("id", "type")
     typed = near.join(kinds.select(F.col("id").alias("a"), F.col("type").alias("ta")), "a").join(kinds.select(F.col("id").alias("b"), F.col("type").alias("tb")), "b")
     extra = F.when((F.col("ta") == F.col("tb")) & (F.col("ta") != "unknown"), bonus).otherwise(0.0)
     value = F.least(F.lit(1.0), F.floor((F.col("similarity") + extra) * 1000 + 0.5) / 1000)
-    code = T.norm_sku(F.col("sku"))
-    coded = items.select("id", code.alias("code")).where(F.coalesce("code", F.lit("")) != "")
-    by_sku = coded.alias("x").join(coded.alias("y"), (F.col("x.code") == F.col("y.code")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    return typed.where(value >= threshold).select("a", "b").unionByName(by_sku).distinct()
+    return typed.select("a", "b", value.alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def leader_groups(items: DataFrame, threshold: float = 0.72, bonus: float = 0.15) -> DataFrame:
+    """id and leader of a greedy clustering of products (id, title, sku, type; ids differ): in the order of ids, each joins the
+    first leader that it matches by similar_products' rule, else it leads itself. Products without tokens and sku lead
+    themselves; rows with a null id are left out.
+
+    All products with equal tokens, type and sku follow the first of them, so only these firsts are decided. Those of one
+    sku match each other, and so do those of one token class (equal tokens and type): either has one leader at most.
+    A round therefore looks at three things for each first: the leader and the first undecided product of its sku, of its
+    token class and of the classes linked to that one. It is settled once its best leader comes before all undecided ones, or
+    none of these is left. No pair of products is made; the rounds are as many as the longest chain of undecided ones.
+    """
+    full = items.where("id is not null").select("id", F.array_sort(T.identity_tokens(F.col("title"))).alias("tokens"), F.coalesce("type", F.lit("unknown")).alias("type"), F.nullif(T.norm_sku(F.col("sku")), F.lit("")).alias("code"))
+    full = cut(full.withColumn("tokens", F.when(F.size("tokens") > 0, F.col("tokens"))))
+    firsts = full.groupBy("tokens", "type", "code").agg(F.min("id").alias("x"))
+    classes = cut(firsts.where("tokens is not null").groupBy("tokens", "type").agg(F.min("x").alias("t")))
+    reps = firsts.where("tokens is not null or code is not null").join(classes, ["tokens", "type"], "left").select("x", "t", "code", "tokens", "type")
+    reps = cut(reps)
+    pairs = _typed_links(classes.select(F.col("t").alias("id"), "tokens", "type"), threshold, bonus).select("a", "b")
+    links = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    open_ = reps.select("x", "t", "code")
+    done = open_.limit(0).select("x", "t", "code", F.col("x").alias("leader"))
+    while True:
+        leads = done.where("x = leader")
+        best = lambda by: leads.groupBy(by).agg(F.min("x").alias("lead")).where(F.col(by).isNotNull())  # noqa: E731,B023
+        wait = lambda by: open_.groupBy(by).agg(F.min("x").alias("undecided")).where(F.col(by).isNotNull())  # noqa: E731,B023
+        of_class = cut(best("t").join(wait("t"), "t", "full_outer"))
+        of_code = best("code").join(wait("code"), "code", "full_outer").select("code", F.col("lead").alias("code_lead"), F.col("undecided").alias("code_undecided"))
+        beside = links.join(of_class, F.col("b") == F.col("t")).groupBy("a").agg(F.min("lead").alias("near_lead"), F.min("undecided").alias("near_undecided"))
+        seen = open_.join(of_class, "t", "left").join(beside, F.col("t") == F.col("a"), "left").join(of_code, "code", "left")
+        earlier = lambda *names: F.least(*(F.when(F.col(n) < F.col("x"), F.col(n)) for n in names))
+        state = seen.select("x", "t", "code", earlier("lead", "near_lead", "code_lead").alias("first"), earlier("undecided", "near_undecided", "code_undecided").alias("waits"))
+        state = cut(state.select("x", "t", "code", F.when(F.col("waits").isNull() | (F.col("first") < F.col("waits")), F.coalesce("first", "x")).alias("leader")))
+        done = cut(done.unionByName(state.where("leader is not null")))
+        open_ = state.where("leader is null").select("x", "t", "code")
+        if open_.isEmpty():
+            break
+    same = full.join(reps.withColumnRenamed("type", "kind").withColumnRenamed("tokens", "words").withColumnRenamed("code", "sign"), F.col("tokens").eqNullSafe(F.col("words")) & (F.col("type") == F.col("kind")) & F.col("code").eqNullSafe(F.col("sign")), "left")
+    return same.select("id", "x").join(done.select("x", "leader"), "x", "left").select("id", F.coalesce("leader", "id").alias("leader"))

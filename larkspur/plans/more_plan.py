@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import groups, routing
 from larkspur.plans.items_plan import R2
+from larkspur.plans.changes_plan import _TOK
 from larkspur.plans.views import plain, view
 
 QUERIES, SQL = {}, {}
@@ -24,11 +25,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("J6_leader_groups")
+@query("J6_leader_groups", f"""WITH RECURSIVE p AS (SELECT seq AS id, row_number() OVER (ORDER BY seq) AS n, {_TOK} AS t, coalesce(product_type, 'unknown') AS ty, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(sku)), '[\\s_]+', '-', 'g'), '[^a-z0-9-]+', '', 'g'), '-+', '-', 'g'), '-') AS code FROM {{products}}),
+m AS (SELECT b.id, list(a.id) AS ms FROM p a JOIN p b ON a.id < b.id AND (a.code = b.code AND a.code <> '' OR len(a.t) > 0 AND len(b.t) > 0 AND least(1.0, floor((len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) + CASE WHEN a.ty = b.ty AND a.ty <> 'unknown' THEN 0.15 ELSE 0 END) * 1000 + 0.5) / 1000) >= 0.72) GROUP BY b.id),
+q AS MATERIALIZED (SELECT p.id, p.n, coalesce(m.ms, []) AS ms FROM p LEFT JOIN m ON m.id = p.id),
+r AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS leader, CAST([] AS BIGINT[]) AS leaders
+UNION ALL SELECT q.n, q.id, coalesce(list_min(list_intersect(r.leaders, q.ms)), q.id), CASE WHEN len(list_intersect(r.leaders, q.ms)) > 0 THEN r.leaders ELSE list_append(r.leaders, q.id) END FROM r JOIN q ON q.n = r.n + 1)
+SELECT id, leader FROM r WHERE n > 0""")
 def j6(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy leaders among all products."""
+    """Greedy leaders among all products; the SQL takes them one by one."""
     p = view(spark, d, "products").select(F.col("seq").alias("id"), "title", "sku", F.col("product_type").alias("type"))
-    return groups.leader_groups(p, groups.exact_pairs(p))
+    return groups.leader_groups(p)
 
 
 @query("A17_finalization_confidence", f"""SELECT seq, {R2('i')} AS identity_confidence, {R2('m')} AS market_confidence, {R2('(i + CASE WHEN m <> 0 THEN m ELSE i END) / 2 * CASE WHEN r1 + r2 > 0 THEN 0.85 ELSE 1.0 END')} AS finalization_confidence FROM (SELECT seq, r1, r2, greatest(0, least(100, (2 + CASE WHEN franchise IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN collaboration_partner IS NOT NULL THEN 1 ELSE 0 END) * 100 / 4 - 25 * r1)) AS i,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
-from larkspur.operators import boards, cards, items, pages, registry, signals
+from larkspur.operators import boards, cards, items, objects, pages, registry, signals
 from larkspur.plans.items_plan import _STRAT, _nt, board_items
 from larkspur.plans.views import plain, view
 
@@ -61,6 +61,35 @@ def s8(spark: SparkSession, d: str) -> DataFrame:
     return pages.embedded_objects(view(spark, d, "pages").select("page_id", made.alias("html"))).select("page_id", "name", "url")
 
 
+def _scripts(q: str) -> str:
+    """Pages with scripts about themselves, in SQL for both engines: a list with a graph, objects deep inside others, offers as a list
+    and as an object, relative and absolute links, page state with an object again, and broken JSON on each seventh page."""
+    kind = "STRING" if q == "spark" else "VARCHAR"
+    n = f"CAST(page_id AS {kind})"
+    return f"""SELECT page_id, url, concat(html, replace(replace(concat('<script type="application/ld+json">', CASE WHEN page_id % 7 = 0 THEN '<<"name":"cut",' ELSE concat('[<<"@graph":[<<"@type":["Thing","Product"],"name":" page  ', {n}, ' ","url":"', CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN '/p/x' WHEN 2 THEN concat('item-', {n}, '?a=1#top') ELSE '../up' END,
+'","offers":[<<"price":"$1,', CAST(100 + page_id % 900 AS {kind}), '.50","availability":"https://schema.example/InStock","priceCurrency":"USD">>,<<"price":1>>]>>,<<"@type":"Person","name":"someone">>]>>,<<"itemListElement":[<<"item":<<"headline":"deep ', {n}, '","sku":"S', {n}, '","priceCurrency":"EUR","price":7,"offers":<<"lowPrice":', {n}, '>>>>>>,<<"item":<<"title":"no detail">>>>,[<<"@type":"Article","abstract":"only text">>]]>>]') END,
+'</script><script id="__NEXT_DATA__" type="application/json"><<"props":<<"pageProps":<<"product":<<"title":"state ', {n}, '","productID":"P', {n}, '","image":[<<"url":"/i/', {n}, '.png">>],"releaseDate":"2024-05-01","related":[<<"name":"deep twin","sku":"S', {n}, '">>,<<"name":"other","sku":"T', {n}, '","offers":[],"highPrice":"n/a","price":"12.5 ">>]>>>>>>>></script>'), '<<', chr(123)), '>>', chr(125))) AS html FROM {{pages}}"""
+
+
+_S8 = rf"""made AS ({_scripts('duckdb')}),
+sc AS (SELECT page_id, url, unnest(list_concat(regexp_extract_all(html, '(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script\s*>', 1), regexp_extract_all(html, '(?is)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script\s*>', 1))) AS j FROM made),
+ob AS (SELECT page_id, url AS page, t.value AS v FROM (SELECT * FROM sc WHERE json_valid(j)) s, json_tree(s.j) t WHERE t.type = 'OBJECT'),
+c AS (SELECT page_id, page, trim(regexp_replace(coalesce(v->>'$.name', v->>'$.headline', v->>'$.title'), '\s+', ' ', 'g')) AS title, coalesce(v->>'$.url', v->>'$."@id"') AS link, coalesce(v->>'$.sku', v->>'$.productID') AS sku, v->>'$.productID' AS product_id, v->>'$.releaseDate' AS release_date,
+  CASE WHEN json_type(v, '$.offers') = 'ARRAY' THEN v->'$.offers[0]' ELSE v->'$.offers' END AS o, v->>'$.image[0].url' AS picture, v, CASE WHEN json_type(v, '$."@type"') = 'ARRAY' THEN array_to_string(CAST(v->'$."@type"' AS VARCHAR[]), ',') ELSE coalesce(v->>'$."@type"', '') END AS structured_type FROM ob),
+k AS (SELECT * FROM c WHERE title IS NOT NULL AND (list_has_any(string_split(structured_type, ','), ['Product', 'IndividualProduct', 'Article', 'NewsArticle']) OR sku IS NOT NULL OR release_date IS NOT NULL OR (o IS NOT NULL AND CAST(o AS VARCHAR) <> 'null'))),
+r AS (SELECT *, regexp_extract(page, '^([^:]+://[^/?#]*)', 1) AS root, regexp_extract(page, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path FROM k),
+w AS (SELECT page_id, title, CASE WHEN link IS NULL THEN NULL WHEN contains(link, '://') THEN string_split(link, '#')[1] WHEN starts_with(link, '/') THEN concat(root, link) WHEN link = '../up' THEN concat(root, CASE WHEN len(string_split(path, '/')) <= 3 THEN '/' ELSE regexp_extract(path, '^(.*/)[^/]*/[^/]*$', 1) END, 'up') ELSE concat(root, CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END, string_split(link, '#')[1]) END AS url,
+  CASE WHEN json_type(o) = 'OBJECT' THEN CAST(replace(replace(coalesce(o->>'$.price', o->>'$.lowPrice'), '$', ''), ',', '') AS DOUBLE) ELSE TRY_CAST(trim(v->>'$.price') AS DOUBLE) END AS retail_price, coalesce(CASE WHEN json_type(o) = 'OBJECT' THEN o->>'$.priceCurrency' END, v->>'$.priceCurrency') AS currency, CASE WHEN json_type(o) = 'OBJECT' THEN string_split(o->>'$.availability', '/')[-1] END AS availability,
+  release_date, sku, product_id, CASE WHEN picture IS NOT NULL THEN concat(root, picture) END AS image_url, structured_type FROM r)
+SELECT * FROM w WHERE title <> 'deep twin' OR page_id % 7 = 0"""
+
+
+@query("S8_structured_objects", f"WITH {_S8}")
+def s8_structured(spark: SparkSession, d: str) -> DataFrame:
+    made = spark.sql(_scripts("spark").replace("{pages}", "{p}"), p=view(spark, d, "pages"))
+    return objects.structured_objects(made).drop("description")
+
+
 @query("S4_feed_items", "SELECT page_id AS feed_id, concat('page ', page_id) AS title, url AS link, NULL AS summary FROM {pages}")
 def s4(spark: SparkSession, d: str) -> DataFrame:
     p = view(spark, d, "pages")

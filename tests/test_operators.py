@@ -1,6 +1,7 @@
 """The reference figures and edge cases of the operators, and a small run of every registered query."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -121,15 +122,38 @@ def test_every_query_runs(spark, name):
     df.write.mode("overwrite").format("noop").save()
 
 
+def plain_leaders(rows):
+    """Greedy leaders of (id, title, sku, type), one by one."""
+    words = lambda t: {w for w in (t or "").split() if len(w) >= 3}
+
+    def alike(x, y):
+        if x[2] and x[2] == y[2]:
+            return True
+        a, b = words(x[1]), words(y[1])
+        if not a or not b:
+            return False
+        bonus = 0.15 if x[3] is not None and x[3] == y[3] else 0
+        return min(1.0, math.floor((len(a & b) / len(a | b) + bonus) * 1000 + 0.5) / 1000) >= 0.72
+
+    leaders, out = [], {}
+    for row in sorted(rows):
+        found = next((x for x in leaders if alike(x, row)), None)
+        out[row[0]] = row[0] if found is None else found[0]
+        if found is None:
+            leaders.append(row)
+    return out
+
+
 def test_leader_groups_equal_brute_force(spark):
     rng = random.Random(8)
-    pairs = {(a, b) for a, b in itertools.combinations(range(40), 2) if rng.random() < 0.06}
-    leaders, want = [], {}
-    for i in range(40):
-        found = next((x for x in leaders if (x, i) in pairs), None)
-        want[i] = i if found is None else found
-        if found is None:
-            leaders.append(i)
-    items_ = spark.createDataFrame([(i,) for i in range(40)], "id long")
-    got = groups.leader_groups(items_, spark.createDataFrame(sorted(pairs), "a long, b long"))
-    assert {r.id: r.leader for r in got.collect()} == want
+    pool = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "theta"]
+    rows = [(i, " ".join(rng.sample(pool, rng.randrange(0, 6))), rng.choice([None, None, "", "a1", "b2", "c3"]), rng.choice([None, "box", "pin"])) for i in range(150)]
+    got = groups.leader_groups(spark.createDataFrame(rows + [(None, "alpha beta", None, None)], "id long, title string, sku string, type string"))
+    assert {r.id: r.leader for r in got.collect()} == plain_leaders(rows)
+
+
+def test_leaders_of_ten_thousand_equal_skus(spark):
+    rows = [(i, f"item{i} word{i % 700}", "same-sku", None) for i in range(10_000)] + [(20_000, "item5 word5", None, None), (20_001, "alone", None, None)]
+    got = groups.leader_groups(spark.createDataFrame(rows, "id long, title string, sku string, type string"))
+    leaders = {r.id: r.leader for r in got.collect()}
+    assert len(leaders) == len(rows) and all(leaders[i] == 0 for i in range(10_000)) and leaders[20_000] == 20_000 and leaders[20_001] == 20_001
