@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from larkspur.functions import text as T
 
@@ -12,9 +13,17 @@ WEIGHTS = {"OFFICIAL": 90, "RETAILER": 80, "PRESS_RELEASE": 75, "EVENT": 70, "MA
 IDENTITY_ORDER = ("OFFICIAL", "RETAILER", "PRESS_RELEASE", "EVENT", "NEWS", "MARKETPLACE", "COMMUNITY", "SOCIAL", "OTHER")
 RETAIL_ORDER = ("RETAILER", "OFFICIAL", "EVENT", "PRESS_RELEASE", "NEWS", "MARKETPLACE", "COMMUNITY", "SOCIAL", "OTHER")
 MARKET_ORDER = ("MARKETPLACE", "RETAILER", "NEWS", "COMMUNITY", "SOCIAL", "OFFICIAL", "EVENT", "PRESS_RELEASE", "OTHER")
-ORDERS = {"product_name": IDENTITY_ORDER, "brand": IDENTITY_ORDER, "retail_price": RETAIL_ORDER, "status": RETAIL_ORDER, "current_market_price": MARKET_ORDER, "recent_sold_price": MARKET_ORDER}
-IDENTITY_FIELDS = ("product_name", "brand")
-PRICE_FIELDS = ("retail_price", "current_market_price", "recent_sold_price", "confirmed_sold_price")
+#: Fields whose sources are ordered as identity, retail and market evidence: fixed values.
+IDENTITY_LED = (
+    "product_name", "brand", "franchise", "collaboration_partner", "edition_name", "release_region", "category", "subcategory", "set_or_series", "release_date", "release_time", "purchase_window_start", "purchase_window_end", "announcement_date", "stated_quantity", "numbered", "first_edition",
+    "first_collaboration", "anniversary_release", "exclusive_promo", "exclusive_artwork", "exclusive_character", "event_exclusive", "convention_exclusive", "tournament_exclusive", "membership_exclusive", "membership_required", "lottery_required", "event_attendance_required", "bundle_required",
+    "sealed_product", "redeemable_reward", "required_spend", "purchase_method",
+)
+RETAIL_LED = ("retail_price", "purchase_limit", "status", "online_available", "in_store_available", "retailer_exclusive", "region_exclusive", "regional_exclusive", "purchase_url", "retailer")
+MARKET_LED = ("recent_sold_price", "current_market_price", "estimated_market_price")
+#: Fields of which a more specific value wins and a real disagreement is critical, and fields of prices: fixed values.
+IDENTITY_FIELDS = ("product_name", "brand", "franchise", "collaboration_partner", "retailer")
+PRICE_FIELDS = ("retail_price", "required_spend", "recent_sold_price", "current_market_price", "estimated_market_price")
 
 
 def _lookup(table: dict[str, int], c: Column) -> Column:
@@ -23,10 +32,11 @@ def _lookup(table: dict[str, int], c: Column) -> Column:
 
 def source_rank(field: Column, source: Column) -> Column:
     """Rank of a source type for a field: by the field's order if it has one, else by weight."""
-    out = _lookup(WEIGHTS, source)
-    for name, order in ORDERS.items():
-        out = F.when(field == name, _lookup({s: len(order) - i for i, s in enumerate(order)}, source)).otherwise(out)
-    return out
+    weight, out = _lookup(WEIGHTS, source), None
+    for names, order in ((IDENTITY_LED, IDENTITY_ORDER), (RETAIL_LED, RETAIL_ORDER), (MARKET_LED, MARKET_ORDER)):
+        placed = F.when(source.isin(*order), _lookup({s: len(order) - i for i, s in enumerate(order)}, source)).otherwise(weight)
+        out = F.when(field.isin(*names), placed) if out is None else out.when(field.isin(*names), placed)
+    return out.otherwise(weight)
 
 
 def certainty_rank(c: Column) -> Column:
@@ -71,6 +81,36 @@ def price_severity(low: Column, high: Column) -> Column:
     return F.when(low <= 0, "MEDIUM").when(percent >= 200, "CRITICAL").when(percent >= 50, "HIGH").when(percent >= 15, "MEDIUM").otherwise("LOW")
 
 
+def field_conflicts(evidence: DataFrame) -> DataFrame:
+    """(group_id, field_name, values, severity, requires_review) of fields whose records give different values.
+
+    Sources of the chosen record's rank that report no rumours are comparable. Identity fields: CRITICAL and reviewed if
+    comparable sources disagree and some two values don't contain one another, else LOW. Price fields: by the spread,
+    reviewed from HIGH on if comparable sources disagree. status: INFO, never reviewed. Others: MEDIUM and reviewed if
+    comparable sources disagree, else LOW. Records without a value count as one more value.
+    """
+    keys = ["group_id", "field_name"]
+    rows = evidence.withColumns({"value": value_key(), "r": source_rank(F.col("field_name"), F.col("source_type")), "c": certainty_rank(F.col("certainty"))})
+    different = F.count_distinct(F.struct(F.coalesce("value", F.lit("")), F.col("value").isNull()))
+    spread = rows.groupBy(*keys).agg(different.alias("values"), F.min("value_num").alias("low"), F.max("value_num").alias("high"), F.count_distinct("value_num").alias("numbers")).where("values > 1")
+    chosen = resolve_fields(evidence).select(*keys, "chosen", "chosen_source")
+    best = chosen.select(*keys, source_rank(F.col("field_name"), F.col("chosen_source")).alias("top"))
+    seen = F.count_distinct(F.struct(F.coalesce("value", F.lit("")), F.col("value").isNull()))
+    comparable = rows.where(~F.col("certainty").eqNullSafe("rumored")).join(best, keys).where("r = top").groupBy(*keys).agg((seen > 1).alias("disagree"))
+    # Values contain one another if each, in the order of length, lies within the next.
+    names = rows.where(F.col("field_name").isin(*IDENTITY_FIELDS)).select(*keys, "value").distinct().withColumn("norm", F.coalesce(T.norm_text(F.col("value")), F.lit("")))
+    order = Window.partitionBy(*keys).orderBy(F.length("norm"), "norm", "value")
+    apart = names.withColumn("shorter", F.lag("norm").over(order)).where(F.col("shorter").isNotNull())
+    apart = apart.groupBy(*keys).agg(F.bool_or((F.col("shorter") == "") | (F.col("shorter") == F.col("norm")) | ~F.contains("norm", F.col("shorter"))).alias("apart"))
+    df = spread.join(comparable, keys, "left").join(apart, keys, "left")
+    disagree, field = F.coalesce("disagree", F.lit(False)), F.col("field_name")
+    price = F.when(F.col("numbers") < 2, "LOW").otherwise(price_severity(F.col("low"), F.col("high")))
+    critical = field.isin(*IDENTITY_FIELDS) & disagree & F.coalesce("apart", F.lit(False))
+    severity = F.when(critical, "CRITICAL").when(field.isin(*IDENTITY_FIELDS), "LOW").when(field.isin(*PRICE_FIELDS), price).when(field == "status", "INFO").when(disagree, "MEDIUM").otherwise("LOW")
+    review = F.when(field.isin(*IDENTITY_FIELDS), critical).when(field.isin(*PRICE_FIELDS), price.isin("HIGH", "CRITICAL") & disagree).when(field == "status", F.lit(False)).otherwise(disagree)
+    return df.select(*keys, "values", severity.alias("severity"), review.alias("requires_review"))
+
+
 def price_conflicts(evidence: DataFrame) -> DataFrame:
     """(group_id, field_name, severity, requires_review) of price fields with different values: severity by the spread;
     review if it is high and sources of the best rank that report no rumours disagree."""

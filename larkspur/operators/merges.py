@@ -68,22 +68,41 @@ def override_history(edits: DataFrame, fields: Sequence[str]) -> DataFrame:
     return long.where(~F.col("new_value").eqNullSafe(F.col("old_value"))).select("id", "seq", "field", "old_value", "new_value")
 
 
-def change_summary(old: DataFrame, new: DataFrame, key: str, texts: Sequence[str], prices: Sequence[str], score: str, price_percent: float = 5.0, score_step: int = 5) -> DataFrame:
-    """(key, field, material) of each field that differs between two versions: texts always matter, prices from
-    `price_percent` on or when they come or go, the score from `score_step` on."""
-    fields = [*texts, *prices, score]
-    pair = old.select(key, *(F.col(f).alias(f"o_{f}") for f in fields)).join(new.select(key, *(F.col(f).alias(f"n_{f}") for f in fields)), key)
+#: Fields that never count as changes, statuses whose coming matters, fields whose every change matters, and prices: fixed values.
+NOISE = ("created_at", "updated_at", "discovered_at", "last_verified_at", "opportunity_id", "raw_metadata", "score_explanation", "evidence", "normalized_product_name", "source_confidence", "reasoning")
+TELLING_STATUSES = ("live", "sold_out", "restocked")
+TELLING_FIELDS = ("membership_required", "lottery_required", "event_attendance_required", "bundle_required", "purchase_limit", "membership_exclusive", "recommendation", "primary_strategy")
+PRICES = ("recent_sold_price", "current_market_price", "estimated_market_price", "retail_price", "required_spend")
+
+
+def change_summary(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str], mismatch: str | None = None, price_percent: float = 15.0, score_step: float = 10.0) -> DataFrame:
+    """(key, field, previous_value, new_value, material) of each of `fields` that differs between two versions of a row.
+
+    Material are: a status that becomes one of TELLING_STATUSES or was rumored; any change of TELLING_FIELDS; a price by
+    `price_percent` or more, or that comes, goes or was 0; an opportunity_score by `score_step` or more between two known ones.
+    Other changes are listed, not material; NOISE is left out. `mismatch` names a flag of complete-set prices: where it
+    ends, a row complete_set_mismatch says so, which is material. Rows of one version only are left out.
+    """
+    names = [f for f in fields if f not in NOISE]
+    flags = [mismatch] if mismatch else []
+    pair = old.select(key, *(F.col(f).alias(f"o_{f}") for f in [*names, *flags])).join(new.select(key, *(F.col(f).alias(f"n_{f}") for f in [*names, *flags])), key)
+    row = lambda f, o, n, matters: F.struct(F.lit(f).alias("field"), o.cast("string").alias("previous_value"), n.cast("string").alias("new_value"), matters.alias("material"))
     parts = []
-    for f in fields:
+    for f in names:
         o, n = F.col(f"o_{f}"), F.col(f"n_{f}")
         both = o.isNotNull() & n.isNotNull()
-        if f in prices:
+        if f == "status":
+            matters = F.coalesce(n.isin(*TELLING_STATUSES), F.lit(False)) | o.eqNullSafe("rumored")
+        elif f in PRICES:
             matters = F.when(both & (o != 0), F.abs(n - o) / F.abs(o) * 100 >= price_percent).otherwise(True)
-        elif f == score:
-            matters = F.when(both, F.abs(n - o) >= score_step).otherwise(True)
+        elif f == "opportunity_score":
+            matters = F.when(both, F.abs(n - o) >= score_step).otherwise(False)
         else:
-            matters = F.lit(True)
-        parts.append(F.when(~o.eqNullSafe(n), F.struct(F.lit(f).alias("field"), matters.alias("material"))))
+            matters = F.lit(f in TELLING_FIELDS)
+        parts.append(F.when(~o.eqNullSafe(n), row(f, o, n, matters)))
+    if mismatch:
+        was, now = (F.coalesce(F.col(f"{v}_{mismatch}"), F.lit(False)) for v in "on")
+        parts.append(F.when(was & ~now, row("complete_set_mismatch", was, now, F.lit(True))))
     return pair.select(key, F.explode(F.array_compact(F.array(*parts))).alias("c")).select(key, "c.*")
 
 

@@ -72,28 +72,79 @@ def repair_links(sources: DataFrame, scouts: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def diff_registry(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str], breaking: Sequence[str] = ()) -> DataFrame:
-    """(key, change, changed_fields, breaking): added, removed or changed rows; equal ones are left out."""
-    o = old.select(F.col(key).alias("ok"), *(F.col(f).alias(f"o_{f}") for f in fields))
-    n = new.select(F.col(key).alias("nk"), *(F.col(f).alias(f"n_{f}") for f in fields))
+#: Ranks of priorities and of authority levels, the first is best: fixed values.
+PRIORITIES = ("critical", "high", "medium", "low", "archival")
+AUTHORITIES = ("official_primary", "official_secondary", "authorized_retailer", "reputable_press", "marketplace_confirmed_sale", "marketplace_asking", "community_verified", "community_unverified", "social_verified", "social_unverified", "manual_trusted", "manual_untrusted")
+
+
+def rank_of(c: Column, names: Sequence[str], other: int = 99) -> Column:
+    """The place of a name among `names`; `other` for unknown ones."""
+    return F.coalesce(F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i)))[c], F.lit(other))
+
+
+def diff_registry(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(key, change, changed_fields, switched, breaking) of sources that were added, removed or changed in `fields`.
+
+    switched is enabled or disabled where that changed. breaking names what may break a run: another url or connector where
+    both versions have one, another source_type, a fall from an official authority level to another known one, the
+    removal of an active source that was enabled. Versions have the fields and enabled, lifecycle, url, connector_type, source_type
+    and authority_level as far as they know them.
+    """
+    ruled = [c for c in ("enabled", "lifecycle", "url", "connector_type", "source_type", "authority_level") if c in old.columns and c in new.columns]
+    names = list(dict.fromkeys([*fields, *ruled]))
+    o = old.select(F.col(key).alias("ok"), *(F.col(f).alias(f"o_{f}") for f in names))
+    n = new.select(F.col(key).alias("nk"), *(F.col(f).alias(f"n_{f}") for f in names))
     joined = o.join(n, F.col("ok") == F.col("nk"), "full_outer")
+    was, now = (lambda f: F.col(f"o_{f}") if f in ruled else F.lit(None)), (lambda f: F.col(f"n_{f}") if f in ruled else F.lit(None))
     differ = F.array_compact(F.array(*(F.when(~F.col(f"o_{f}").eqNullSafe(F.col(f"n_{f}")), f) for f in fields)))
     change = F.when(F.col("ok").isNull(), "added").when(F.col("nk").isNull(), "removed").otherwise("changed")
-    rows = joined.select(F.coalesce("nk", "ok").alias(key), change.alias("change"), F.when(change == "changed", differ).otherwise(F.array().cast("array<string>")).alias("differ"))
-    harm = F.arrays_overlap("differ", F.array(*(F.lit(b) for b in breaking))) if breaking else F.lit(False)
-    return rows.where((F.col("change") != "changed") | (F.size("differ") > 0)).select(key, "change", F.array_join("differ", ",").alias("changed_fields"), ((F.col("change") == "removed") | harm).alias("breaking"))
-
-
-def effective_settings(sources: DataFrame, links: DataFrame, scouts: DataFrame, default_schedule: str) -> DataFrame:
-    """Schedule (the source's own, else that of its first scout by id that has one, else the default) and priority (the
-    best rank among the source and its scouts; 1 is best)."""
+    moved = lambda f: (F.coalesce(was(f), F.lit("")) != "") & (F.coalesce(now(f), F.lit("")) != "") & (was(f) != now(f))
+    fell = was("authority_level").isin(*AUTHORITIES) & now("authority_level").isin(*AUTHORITIES) & was("authority_level").startswith("official") & ~now("authority_level").startswith("official")
+    changed = change == "changed"
+    rules = {
+        "url": changed & moved("url"),
+        "connector_type": changed & moved("connector_type"),
+        "source_type": changed & ~was("source_type").eqNullSafe(now("source_type")),
+        "authority_level": changed & fell,
+        "removed": (change == "removed") & was("enabled").cast("boolean") & (was("lifecycle") == "active"),
+    }
+    breaking = F.array_join(F.array_compact(F.array(*(F.when(F.coalesce(holds, F.lit(False)), name) for name, holds in rules.items()))), ",")
+    on = F.coalesce(now("enabled").cast("boolean"), F.lit(False))
+    switched = F.when(changed & ~was("enabled").eqNullSafe(now("enabled")), F.when(on, "enabled").otherwise("disabled"))
+    rows = joined.select(F.coalesce("nk", "ok").alias(key), change.alias("change"), F.when(changed, differ).otherwise(F.array().cast("array<string>")).alias("differ"), switched.alias("switched"), breaking.alias("breaking"))
+    return rows.where((F.col("change") != "changed") | (F.size("differ") > 0)).select(key, "change", F.array_join("differ", ",").alias("changed_fields"), "switched", "breaking")
+
+
+def idle_scouts(scouts: DataFrame, sources: DataFrame) -> DataFrame:
+    """scout_id of enabled scouts (scout_id, enabled, source_ids) none of whose sources is enabled and active or proposed."""
+    runnable = sources.where(F.col("enabled") & F.col("lifecycle").isin("active", "proposed")).select("source_id")
+    working = scouts.select("scout_id", F.explode("source_ids").alias("source_id")).join(runnable, "source_id", "left_semi").select("scout_id")
+    return scouts.where("enabled").select("scout_id").join(working, "scout_id", "left_anti")
+
+
+def effective_settings(sources: DataFrame, links: DataFrame, scouts: DataFrame, default_schedule: str = "manual") -> DataFrame:
+    """source_id, schedule (the source's own, else that of its first scout by id that has one, else the default) and priority (the
+    best of its scouts'; medium without scouts that are known)."""
     owned = links.join(few(scouts.select("scout_id", F.col("schedule").alias("s"), F.col("priority").alias("p"))), "scout_id")
-    best = owned.groupBy("source_id").agg(F.min_by("s", F.when(F.col("s").isNotNull(), F.col("scout_id"))).alias("s"), F.min("p").alias("p"))
-    return sources.join(best, "source_id", "left").select("source_id", F.coalesce("schedule", "s", F.lit(default_schedule)).alias("schedule"), F.least(F.col("priority"), F.col("p")).alias("priority"))
+    best = owned.groupBy("source_id").agg(F.min_by("s", F.when(F.col("s").isNotNull(), F.col("scout_id"))).alias("s"), F.min_by("p", F.struct(rank_of(F.col("p"), PRIORITIES), "scout_id")).alias("p"))
+    return sources.join(best, "source_id", "left").select("source_id", F.coalesce("schedule", "s", F.lit(default_schedule)).alias("schedule"), F.coalesce("p", F.lit("medium")).alias("priority"))
+
 
+def connector_configs(sources: DataFrame, links: DataFrame, scouts: DataFrame, default: dict[str, str] | None = None) -> DataFrame:
+    """source_id and config (map of texts): the default's entries, over them those of its scouts in the order of their ids, over
+    these the source's own. sources and scouts have `config`, a map; null and empty ones add nothing.
 
-#: Ranks in the worklist: fixed values.
-PRIORITY_RANK = {"critical": 0, "high": 1, "normal": 2, "low": 3}
+    Entries are rows of (source, name, level, scout); the highest level of each name stays."""
+    row = lambda level, scout: [F.lit(level).alias("level"), scout.alias("scout")]
+    own = sources.select("source_id", F.explode("config").alias("name", "value"), *row(2, F.lit(None).cast(scouts.schema["scout_id"].dataType)))
+    theirs = links.join(few(scouts.select("scout_id", "config")), "scout_id").select("source_id", F.explode("config").alias("name", "value"), *row(1, F.col("scout_id")))
+    rows = own.unionByName(theirs)
+    if default:
+        given = F.create_map(*(F.lit(x) for kv in default.items() for x in kv))
+        rows = rows.unionByName(sources.select("source_id", F.explode(given).alias("name", "value"), *row(0, F.lit(None).cast(scouts.schema["scout_id"].dataType))))
+    merged = rows.groupBy("source_id", "name").agg(F.max_by("value", F.struct("level", "scout")).alias("value"))
+    maps = merged.groupBy("source_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("config"))
+    return sources.select("source_id").join(maps, "source_id", "left").select("source_id", F.coalesce("config", F.create_map().cast("map<string,string>")).alias("config"))
 
 
 def worklist(sources: DataFrame, allow_proposed: bool = False, deprecated: str = "run_with_warning") -> DataFrame:
@@ -115,11 +166,12 @@ def worklist(sources: DataFrame, allow_proposed: bool = False, deprecated: str =
     return sources.withColumns({"state": state, "reason": reason, "warning": F.when((state == "runnable") & (life == "deprecated"), "source is deprecated")})
 
 
-def ordered_worklist(work: DataFrame, priorities: dict[str, int] = PRIORITY_RANK) -> DataFrame:
-    """Runnable rows of worklist() with due, priority, authority_rank and scout_id: due ones first, then by priority,
-    authority, scout and source."""
-    rank = F.coalesce(F.create_map(*(F.lit(x) for kv in priorities.items() for x in kv))[F.col("priority")], F.lit(99))
-    return work.where("state = 'runnable'").orderBy(F.desc("due"), rank, "authority_rank", F.coalesce("scout_id", F.lit("")), "source_id")
+def ordered_worklist(work: DataFrame) -> DataFrame:
+    """Runnable rows of worklist() with schedule, priority, authority_level and scout_id, and due (whether the schedule runs by
+    itself), priority_rank and authority_rank: due ones first, then by priority, authority, scout and source."""
+    due = ~F.coalesce(F.col("schedule"), F.lit("manual")).isin("manual", "disabled")
+    ranked = work.where("state = 'runnable'").withColumns({"due": due, "priority_rank": rank_of(F.col("priority"), PRIORITIES), "authority_rank": rank_of(F.col("authority_level"), AUTHORITIES)})
+    return ranked.orderBy(F.desc("due"), "priority_rank", "authority_rank", F.coalesce("scout_id", F.lit("")), "source_id")
 
 
 def list_sources(sources: DataFrame, values: dict[str, Sequence], overlaps: dict[str, Sequence] | None = None) -> DataFrame:

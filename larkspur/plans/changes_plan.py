@@ -192,12 +192,23 @@ def u3(spark: SparkSession, d: str) -> DataFrame:
     return merges.upsert_rows(view(spark, d, "opportunities"), view(spark, d, "opportunities_new"), "opportunity_id").select("opportunity_id", "sold_price", "market_price", "score", "status", "change")
 
 
-@query("A18_change_summary", """SELECT * FROM (SELECT n.opportunity_id, 'status' AS field, true AS material FROM {opportunities_new} n JOIN {opportunities} o ON o.opportunity_id = n.opportunity_id WHERE n.status IS DISTINCT FROM o.status
-UNION ALL SELECT n.opportunity_id, 'sold_price', CASE WHEN o.sold_price IS NOT NULL AND n.sold_price IS NOT NULL AND o.sold_price <> 0 THEN abs(n.sold_price - o.sold_price) / abs(o.sold_price) * 100 >= 5 ELSE true END FROM {opportunities_new} n JOIN {opportunities} o ON o.opportunity_id = n.opportunity_id WHERE n.sold_price IS DISTINCT FROM o.sold_price
-UNION ALL SELECT n.opportunity_id, 'market_price', CASE WHEN o.market_price IS NOT NULL AND n.market_price IS NOT NULL AND o.market_price <> 0 THEN abs(n.market_price - o.market_price) / abs(o.market_price) * 100 >= 5 ELSE true END FROM {opportunities_new} n JOIN {opportunities} o ON o.opportunity_id = n.opportunity_id WHERE n.market_price IS DISTINCT FROM o.market_price
-UNION ALL SELECT n.opportunity_id, 'score', abs(n.score - o.score) >= 5 FROM {opportunities_new} n JOIN {opportunities} o ON o.opportunity_id = n.opportunity_id WHERE n.score IS DISTINCT FROM o.score)""")
+_VERSION = """SELECT opportunity_id, product_name, retailer, lower(replace(status, ' ', '_')) AS status, sold_price AS recent_sold_price, market_price AS current_market_price, required_spend, CAST(score AS DOUBLE) AS opportunity_score, CAST(seq % 5 AS INT) AS purchase_limit, CASE WHEN score > 50 THEN 'BUY' ELSE 'WATCH' END AS recommendation, seq % 9 = 4 AS set_price FROM {opportunities}"""
+_VERSION_NEW = """SELECT opportunity_id, product_name, CASE WHEN seq % 11 = 7 THEN concat(retailer, '!') ELSE retailer END AS retailer, lower(replace(status, ' ', '_')) AS status, CASE WHEN seq % 22 = 1 THEN sold_price * 0.95 ELSE sold_price END AS recent_sold_price, market_price AS current_market_price, CASE WHEN seq % 11 = 8 THEN required_spend * 2 ELSE required_spend END AS required_spend,
+CASE WHEN seq % 11 = 9 THEN NULL WHEN seq % 11 = 10 THEN score + 10.0 ELSE CAST(score AS DOUBLE) END AS opportunity_score, CAST(CASE WHEN seq % 11 = 6 THEN 9 ELSE seq % 5 END AS INT) AS purchase_limit, CASE WHEN score > 50 THEN 'BUY' ELSE 'WATCH' END AS recommendation, seq % 18 = 4 AS set_price FROM {opportunities_new}"""
+_CHANGE_FIELDS = ("product_name", "retailer", "status", "recent_sold_price", "current_market_price", "required_spend", "opportunity_score", "purchase_limit", "recommendation")
+
+
+def _change_sql(f: str) -> str:
+    matters = {"status": "coalesce(n.status IN ('live', 'sold_out', 'restocked'), false) OR coalesce(o.status = 'rumored', false)", "opportunity_score": "coalesce(abs(n.opportunity_score - o.opportunity_score) >= 10, false)", "purchase_limit": "true", "recommendation": "true"}
+    price = f"CASE WHEN o.{f} <> 0 AND n.{f} IS NOT NULL THEN abs(n.{f} - o.{f}) / abs(o.{f}) * 100 >= 15 ELSE true END" if f.endswith(("price", "spend")) else "false"
+    return f"SELECT n.opportunity_id, '{f}' AS field, {matters.get(f, price)} AS material FROM n JOIN o ON o.opportunity_id = n.opportunity_id WHERE n.{f} IS DISTINCT FROM o.{f}"
+
+
+@query("A18_change_summary", f"WITH o AS ({_VERSION}), n AS ({_VERSION_NEW}) {' UNION ALL '.join(map(_change_sql, _CHANGE_FIELDS))} UNION ALL SELECT n.opportunity_id, 'complete_set_mismatch', true FROM n JOIN o ON o.opportunity_id = n.opportunity_id WHERE o.set_price AND NOT n.set_price")
 def a18(spark: SparkSession, d: str) -> DataFrame:
-    return merges.change_summary(view(spark, d, "opportunities"), view(spark, d, "opportunities_new"), "opportunity_id", ("status",), ("sold_price", "market_price"), "score")
+    old = spark.sql(_VERSION, opportunities=view(spark, d, "opportunities"))
+    new = spark.sql(_VERSION_NEW, opportunities_new=view(spark, d, "opportunities_new"))
+    return merges.change_summary(old, new, "opportunity_id", _CHANGE_FIELDS, "set_price").select("opportunity_id", "field", "material")
 
 
 @query("W10_mark_duplicates", "SELECT seq, CASE WHEN seq > f THEN f END AS duplicate_of FROM (SELECT doc_id AS seq, min(doc_id) OVER (PARTITION BY text) AS f FROM {documents})")
@@ -217,7 +228,7 @@ def w13(spark: SparkSession, d: str) -> DataFrame:
     return merges.table_fingerprint(view(spark, d, "nation"))
 
 
-_RK = """CASE WHEN field_name = 'retail_price' THEN list_position(['OTHER','SOCIAL','COMMUNITY','MARKETPLACE','NEWS','PRESS_RELEASE','EVENT','OFFICIAL','RETAILER'], source_type) WHEN field_name = 'current_market_price' THEN list_position(['OTHER','PRESS_RELEASE','EVENT','OFFICIAL','SOCIAL','COMMUNITY','NEWS','RETAILER','MARKETPLACE'], source_type)
+_RK = """CASE WHEN field_name = 'retail_price' THEN list_position(['OTHER','SOCIAL','COMMUNITY','MARKETPLACE','NEWS','PRESS_RELEASE','EVENT','OFFICIAL','RETAILER'], source_type) WHEN field_name IN ('current_market_price', 'recent_sold_price') THEN list_position(['OTHER','PRESS_RELEASE','EVENT','OFFICIAL','SOCIAL','COMMUNITY','NEWS','RETAILER','MARKETPLACE'], source_type)
 WHEN field_name = 'product_name' THEN list_position(['OTHER','SOCIAL','COMMUNITY','MARKETPLACE','NEWS','EVENT','PRESS_RELEASE','RETAILER','OFFICIAL'], source_type) ELSE CASE source_type WHEN 'OFFICIAL' THEN 90 WHEN 'RETAILER' THEN 80 WHEN 'PRESS_RELEASE' THEN 75 WHEN 'EVENT' THEN 70 WHEN 'MARKETPLACE' THEN 55 WHEN 'NEWS' THEN 50 WHEN 'COMMUNITY' THEN 30 WHEN 'SOCIAL' THEN 20 ELSE 10 END END"""
 _EV = f"e AS (SELECT *, coalesce(value_str, CAST(value_num AS VARCHAR)) AS value, {_RK} AS r, CASE certainty WHEN 'rumored' THEN 0 WHEN 'confirmed' THEN 2 ELSE 1 END AS c FROM {{evidence}}), "
 _A10 = f"""{_EV}b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id, field_name ORDER BY r DESC, c DESC, confidence DESC, seq) AS k FROM e) WHERE k = 1),
@@ -245,11 +256,35 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
     return evidence.price_conflicts(view(spark, d, "evidence"))
 
 
-@query("A12_market_prices", """WITH m AS (SELECT group_id, field_name, median(value_num) AS m FROM {evidence} WHERE field_name IN ('confirmed_sold_price', 'current_market_price') AND value_num IS NOT NULL GROUP BY group_id, field_name),
+_LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+_PLACE = lambda order: f"10 - list_position({_LIST(order)}, source_type)"
+_CLAIM = f"""e AS (SELECT *, coalesce(value_str, CAST(value_num AS VARCHAR)) AS value, {_nt("coalesce(value_str, CAST(value_num AS VARCHAR))")} AS nv, CASE WHEN field_name IN ('franchise', 'required_spend') THEN {_PLACE(evidence.IDENTITY_ORDER)} WHEN field_name IN ('retailer', 'status', 'purchase_limit') THEN {_PLACE(evidence.RETAIL_ORDER)} WHEN field_name = 'estimated_market_price' THEN {_PLACE(evidence.MARKET_ORDER)}
+ELSE CASE source_type WHEN 'OFFICIAL' THEN 90 WHEN 'RETAILER' THEN 80 WHEN 'PRESS_RELEASE' THEN 75 WHEN 'EVENT' THEN 70 WHEN 'MARKETPLACE' THEN 55 WHEN 'NEWS' THEN 50 WHEN 'COMMUNITY' THEN 30 WHEN 'SOCIAL' THEN 20 ELSE 10 END END AS r, CASE certainty WHEN 'rumored' THEN 0 WHEN 'confirmed' THEN 2 ELSE 1 END AS c FROM {{claims}}),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id, field_name ORDER BY r DESC, c DESC, confidence DESC, seq) AS k FROM e) WHERE k = 1),
+x AS (SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY e.group_id, e.field_name ORDER BY e.r DESC, e.c DESC, e.confidence DESC, e.seq) AS k FROM e JOIN b ON b.group_id = e.group_id AND b.field_name = e.field_name WHERE e.field_name IN ('franchise', 'retailer') AND e.certainty <> 'rumored' AND contains(e.nv, b.nv) AND e.nv <> b.nv) WHERE k = 1),
+ch AS (SELECT b.group_id, b.field_name, coalesce(x.value, b.value) AS chosen, coalesce(x.source_type, b.source_type) AS chosen_source, coalesce(x.r, b.r) AS top FROM b LEFT JOIN x ON x.group_id = b.group_id AND x.field_name = b.field_name)"""
+
+
+@query("A10_all_fields", f"WITH {_CLAIM} SELECT group_id, field_name, chosen, chosen_source FROM ch")
+def a10_all(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.resolve_fields(view(spark, d, "claims")).select("group_id", "field_name", "chosen", "chosen_source")
+
+
+@query("A11_field_conflicts", f"""WITH {_CLAIM}, v AS (SELECT group_id, field_name, count(DISTINCT value) AS n, min(value_num) AS low, max(value_num) AS high FROM e GROUP BY group_id, field_name HAVING count(DISTINCT value) > 1),
+q AS (SELECT e.group_id, e.field_name, count(DISTINCT e.value) > 1 AS dis FROM e JOIN ch ON ch.group_id = e.group_id AND ch.field_name = e.field_name AND e.r = ch.top WHERE e.certainty <> 'rumored' GROUP BY e.group_id, e.field_name),
+dv AS (SELECT DISTINCT group_id, field_name, value, nv FROM e WHERE field_name IN ('franchise', 'retailer')), ap AS (SELECT DISTINCT a.group_id, a.field_name FROM dv a JOIN dv b ON a.group_id = b.group_id AND a.field_name = b.field_name AND a.value <> b.value AND NOT contains(a.nv, b.nv) AND NOT contains(b.nv, a.nv)),
+w AS (SELECT v.*, coalesce(dis, false) AS dis, ap.group_id IS NOT NULL AS apart, CASE WHEN low <= 0 THEN 'MEDIUM' WHEN (high - low) / low * 100 >= 200 THEN 'CRITICAL' WHEN (high - low) / low * 100 >= 50 THEN 'HIGH' WHEN (high - low) / low * 100 >= 15 THEN 'MEDIUM' ELSE 'LOW' END AS price FROM v LEFT JOIN q ON q.group_id = v.group_id AND q.field_name = v.field_name LEFT JOIN ap ON ap.group_id = v.group_id AND ap.field_name = v.field_name)
+SELECT group_id, field_name, n AS n_values, CASE WHEN field_name IN ('franchise', 'retailer') THEN CASE WHEN dis AND apart THEN 'CRITICAL' ELSE 'LOW' END WHEN field_name IN ('required_spend', 'estimated_market_price') THEN price WHEN field_name = 'status' THEN 'INFO' WHEN dis THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+CASE WHEN field_name IN ('franchise', 'retailer') THEN dis AND apart WHEN field_name IN ('required_spend', 'estimated_market_price') THEN price IN ('HIGH', 'CRITICAL') AND dis WHEN field_name = 'status' THEN false ELSE dis END AS requires_review FROM w""")
+def a11_all(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.field_conflicts(view(spark, d, "claims")).withColumnRenamed("values", "n_values")
+
+
+@query("A12_market_prices", """WITH m AS (SELECT group_id, field_name, median(value_num) AS m FROM {evidence} WHERE field_name IN ('recent_sold_price', 'current_market_price') AND value_num IS NOT NULL GROUP BY group_id, field_name),
 j AS (SELECT e.*, m.m, value_num <= m.m * 1.3 AND value_num >= m.m / 1.3 AS inl FROM {evidence} e JOIN m ON m.group_id = e.group_id AND m.field_name = e.field_name WHERE value_num IS NOT NULL)
 SELECT group_id, field_name, coalesce(median(value_num) FILTER (inl), any_value(m)) AS price, count(*) FILTER (inl) AS inliers, count(*) FILTER (NOT inl) AS outliers, count(DISTINCT unit_scope) FILTER (inl AND unit_scope <> 'unknown') AS unit_scopes, count(DISTINCT grading) FILTER (inl AND grading <> 'unknown') > 1 AS grading_conflict FROM j GROUP BY group_id, field_name""")
 def a12(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.market_prices(view(spark, d, "evidence"), ("confirmed_sold_price", "current_market_price"), 1.3)
+    return evidence.market_prices(view(spark, d, "evidence"), ("recent_sold_price", "current_market_price"), 1.3)
 
 
 @query("A13_extreme_claims", """SELECT c.group_id, resale, spend FROM (SELECT group_id, max(value_num) AS resale, bool_and(source_type IN ('SOCIAL','COMMUNITY','OTHER')) AS weak FROM {evidence} WHERE field_name = 'current_market_price' GROUP BY group_id) c JOIN (SELECT group_id, min(value_num) AS spend FROM {evidence} WHERE field_name = 'retail_price' GROUP BY group_id) s ON s.group_id = c.group_id WHERE weak AND spend > 0 AND resale >= spend * 1.1""")

@@ -175,24 +175,68 @@ def links(spark: SparkSession, d: str) -> DataFrame:
 query("J15_repair_links", f"WITH {_SRC}, {_LINKS} SELECT source_id, scout_id FROM lk")(links)
 
 
-@query("J16_diff_registry", f"""WITH {_SRC}, new AS (SELECT source_id, CASE WHEN source_id % 8 = 1 THEN concat(url, 'x') ELSE url END AS url, CASE WHEN source_id % 9 = 2 THEN NOT enabled ELSE enabled END AS enabled FROM src WHERE source_id % 13 <> 0 UNION ALL SELECT source_id + 100000, url, enabled FROM src WHERE source_id % 17 = 0)
-SELECT coalesce(n.source_id, o.source_id) AS source_id, CASE WHEN o.source_id IS NULL THEN 'added' WHEN n.source_id IS NULL THEN 'removed' ELSE 'changed' END AS change,
-CASE WHEN o.source_id IS NULL OR n.source_id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN o.url <> n.url THEN 'url' END, CASE WHEN o.enabled <> n.enabled THEN 'enabled' END) END AS changed_fields, n.source_id IS NULL OR (o.source_id IS NOT NULL AND o.url <> n.url) AS breaking
-FROM src o FULL JOIN new n ON o.source_id = n.source_id WHERE o.source_id IS NULL OR n.source_id IS NULL OR o.url <> n.url OR o.enabled <> n.enabled""")
+_OLD = """SELECT source_id, url, enabled, lifecycle, CASE WHEN source_id % 5 <> 0 THEN 'rss' END AS connector_type, CASE WHEN source_id % 2 = 0 THEN 'rss_feed' ELSE 'official_news' END AS source_type, CASE source_id % 4 WHEN 0 THEN 'official_primary' WHEN 1 THEN 'reputable_press' WHEN 2 THEN 'official_secondary' ELSE 'other' END AS authority_level FROM <src>"""
+_NEW = """SELECT source_id, CASE WHEN source_id % 8 = 1 THEN concat(url, 'x') WHEN source_id % 16 = 3 THEN '' ELSE url END AS url, CASE WHEN source_id % 9 = 2 THEN NOT enabled ELSE enabled END AS enabled, lifecycle, CASE WHEN source_id % 6 = 1 THEN 'html' ELSE connector_type END AS connector_type, CASE WHEN source_id % 14 = 5 THEN 'press_release' ELSE source_type END AS source_type,
+CASE WHEN source_id % 10 IN (2, 4) THEN 'social_verified' WHEN source_id % 10 = 8 THEN 'official_secondary' ELSE authority_level END AS authority_level FROM <old> WHERE source_id % 13 <> 0 UNION ALL SELECT source_id + 100000, url, enabled, lifecycle, connector_type, source_type, authority_level FROM <old> WHERE source_id % 17 = 0"""
+_DIFF_FIELDS = ("url", "enabled", "connector_type", "source_type", "authority_level")
+_RANKED = "list_position(['official_primary','official_secondary','authorized_retailer','reputable_press','marketplace_confirmed_sale','marketplace_asking','community_verified','community_unverified','social_verified','social_unverified','manual_trusted','manual_untrusted'], {0}) > 0"
+
+
+@query("J16_diff_registry", f"""WITH {_SRC}, old AS ({_OLD.replace('<src>', 'src')}), new AS ({_NEW.replace('<old>', 'old')}),
+j AS (SELECT coalesce(n.source_id, o.source_id) AS source_id, CASE WHEN o.source_id IS NULL THEN 'added' WHEN n.source_id IS NULL THEN 'removed' ELSE 'changed' END AS change, concat_ws(',', {', '.join(f"CASE WHEN o.{f} IS DISTINCT FROM n.{f} THEN '{f}' END" for f in _DIFF_FIELDS)}) AS fields, CASE WHEN o.enabled <> n.enabled THEN CASE WHEN n.enabled THEN 'enabled' ELSE 'disabled' END END AS switched,
+concat_ws(',', CASE WHEN o.url <> '' AND n.url <> '' AND o.url <> n.url THEN 'url' END, CASE WHEN o.connector_type <> n.connector_type THEN 'connector_type' END, CASE WHEN o.source_type <> n.source_type THEN 'source_type' END, CASE WHEN {_RANKED.format('o.authority_level')} AND {_RANKED.format('n.authority_level')} AND starts_with(o.authority_level, 'official') AND NOT starts_with(n.authority_level, 'official') THEN 'authority_level' END, CASE WHEN n.source_id IS NULL AND o.enabled AND o.lifecycle = 'active' THEN 'removed' END) AS breaking
+FROM old o FULL JOIN new n ON o.source_id = n.source_id) SELECT source_id, change, CASE WHEN change = 'changed' THEN fields ELSE '' END AS changed_fields, switched, breaking FROM j WHERE change <> 'changed' OR fields <> ''""")
 def j16(spark: SparkSession, d: str) -> DataFrame:
-    old = sources(spark, d).select("source_id", "url", "enabled")
-    i = F.col("source_id")
-    new = old.where(i % 13 != 0).select("source_id", F.when(i % 8 == 1, F.concat("url", F.lit("x"))).otherwise(F.col("url")).alias("url"), F.when(i % 9 == 2, ~F.col("enabled")).otherwise(F.col("enabled")).alias("enabled"))
-    new = new.unionByName(old.where(i % 17 == 0).withColumn("source_id", i + 100000))
-    return registry.diff_registry(old, new, "source_id", ("url", "enabled"), ("url",))
+    old = spark.sql(_OLD.replace("<src>", "{src}"), src=sources(spark, d))
+    new = spark.sql(_NEW.replace("<old>", "{old}"), old=old)
+    return registry.diff_registry(old, new, "source_id", _DIFF_FIELDS)
 
 
-@query("J17_effective_settings", f"""WITH {_SRC}, {_LINKS}, b AS (SELECT lk.source_id, arg_min(CASE WHEN n_nationkey % 2 = 0 THEN concat('scout ', n_nationkey) END, n_nationkey) FILTER (n_nationkey % 2 = 0) AS s, min(n_nationkey % 9) AS p FROM lk JOIN {{nation}} ON n_nationkey = scout_id GROUP BY lk.source_id)
-SELECT src.source_id, coalesce(src.schedule, b.s, 'daily') AS schedule, least(src.priority, b.p) AS priority FROM src LEFT JOIN b ON b.source_id = src.source_id""")
-def j17(spark: SparkSession, d: str) -> DataFrame:
+@query("J16_idle_scouts", f"WITH {_SRC}, sc AS (SELECT n_nationkey AS scout_id, n_nationkey % 3 <> 0 AS enabled, [n_nationkey * 2 + 1, n_nationkey + 4] AS ids FROM {{nation}}) SELECT scout_id FROM sc WHERE enabled AND NOT EXISTS (SELECT 1 FROM src WHERE list_contains(sc.ids, src.source_id) AND src.enabled AND src.lifecycle IN ('active', 'proposed'))")
+def j16_idle(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    scouts = view(spark, d, "nation").select(k.alias("scout_id"), (k % 3 != 0).alias("enabled"), F.array(k * 2 + 1, k + 4).alias("source_ids"))
+    return registry.idle_scouts(scouts, sources(spark, d))
+
+
+_PRIO = "['critical', 'high', 'medium', 'low', 'archival']"
+
+
+def _scouts(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("n_nationkey")
-    scouts = view(spark, d, "nation").select(k.alias("scout_id"), F.when(k % 2 == 0, F.concat(F.lit("scout "), k.cast("string"))).alias("schedule"), (k % 9).alias("priority"))
-    return registry.effective_settings(sources(spark, d), links(spark, d), scouts, "daily")
+    priority = F.array(*(F.lit(p) for p in registry.PRIORITIES))[(k % 5).cast("int")]
+    config = F.when(k % 4 == 0, F.lit(None).cast("map<string,string>")).otherwise(F.create_map(F.lit("timeout"), k.cast("string"), F.concat(F.lit("k"), (k % 3).cast("string")), F.concat(F.lit("scout "), k.cast("string"))))
+    return view(spark, d, "nation").select(k.alias("scout_id"), F.when(k % 2 == 0, F.concat(F.lit("scout "), k.cast("string"))).alias("schedule"), priority.alias("priority"), config.alias("config"))
+
+
+@query("J17_effective_settings", f"""WITH {_SRC}, {_LINKS}, b AS (SELECT lk.source_id, arg_min(CASE WHEN n_nationkey % 2 = 0 THEN concat('scout ', n_nationkey) END, n_nationkey) FILTER (n_nationkey % 2 = 0) AS s, min(n_nationkey % 5) AS p FROM lk JOIN {{nation}} ON n_nationkey = scout_id GROUP BY lk.source_id)
+SELECT src.source_id, coalesce(src.schedule, b.s, 'daily') AS schedule, coalesce({_PRIO}[CAST(b.p AS INT) + 1], 'medium') AS priority FROM src LEFT JOIN b ON b.source_id = src.source_id""")
+def j17(spark: SparkSession, d: str) -> DataFrame:
+    return registry.effective_settings(sources(spark, d), links(spark, d), _scouts(spark, d), "daily")
+
+
+@query("J17_connector_configs", f"""WITH {_SRC}, {_LINKS}, en AS (SELECT source_id, 'retries' AS name, '3' AS value, 0 AS level, -1 AS scout FROM src UNION ALL SELECT source_id, 'timeout', '30', 0, -1 FROM src
+UNION ALL SELECT source_id, 'timeout', CAST(n_nationkey AS VARCHAR), 1, n_nationkey FROM lk JOIN {{nation}} ON n_nationkey = scout_id WHERE n_nationkey % 4 <> 0 UNION ALL SELECT source_id, concat('k', n_nationkey % 3), concat('scout ', n_nationkey), 1, n_nationkey FROM lk JOIN {{nation}} ON n_nationkey = scout_id WHERE n_nationkey % 4 <> 0
+UNION ALL SELECT source_id, 'k1', 'own', 2, -1 FROM src WHERE source_id % 6 = 0), m AS (SELECT source_id, name, arg_max(value, level * 1000 + scout) AS value FROM en GROUP BY source_id, name)
+SELECT m.source_id, string_agg(concat(name, '=', value), ',' ORDER BY name) AS config FROM m JOIN src ON src.source_id = m.source_id GROUP BY m.source_id""")
+def j17_configs(spark: SparkSession, d: str) -> DataFrame:
+    own = sources(spark, d).withColumn("config", F.when(F.col("source_id") % 6 == 0, F.create_map(F.lit("k1"), F.lit("own"))))
+    found = registry.connector_configs(own, links(spark, d), _scouts(spark, d), {"retries": "3", "timeout": "30"})
+    return found.select("source_id", F.array_join(F.transform(F.map_entries("config"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("config"))
+
+
+@query("J18_ordered_worklist", f"""WITH {_SRC}, k AS (SELECT source_id, CASE source_id % 6 WHEN 0 THEN 'unknown' ELSE {_PRIO}[CAST(source_id % 5 AS INT) + 1] END AS priority, CASE source_id % 4 WHEN 0 THEN 'official_primary' WHEN 1 THEN 'reputable_press' WHEN 2 THEN 'other' ELSE 'manual_untrusted' END AS authority, CASE source_id % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'daily' END AS schedule FROM src WHERE enabled AND lifecycle = 'active'),
+r AS (SELECT *, coalesce(schedule, 'manual') = 'daily' AS due, coalesce(list_position({_PRIO}, priority) - 1, 99) AS priority_rank, CASE authority WHEN 'official_primary' THEN 0 WHEN 'reputable_press' THEN 3 WHEN 'manual_untrusted' THEN 11 ELSE 99 END AS authority_rank FROM k)
+SELECT source_id, due, CAST(priority_rank AS INT) AS priority_rank, authority_rank, CAST(row_number() OVER (ORDER BY due DESC, priority_rank, authority_rank, source_id) AS INT) AS place FROM r ORDER BY place LIMIT 200""")
+def j18_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """The 200 first of the worklist, with their places."""
+    i = F.col("source_id")
+    priority = F.when(i % 6 == 0, "unknown").otherwise(F.array(*(F.lit(p) for p in registry.PRIORITIES))[(i % 5).cast("int")])
+    authority = F.when(i % 4 == 0, "official_primary").when(i % 4 == 1, "reputable_press").when(i % 4 == 2, "other").otherwise("manual_untrusted")
+    own = sources(spark, d).withColumns({"connector_type": F.lit("rss"), "priority": priority, "authority_level": authority, "schedule": F.when(i % 3 == 0, "manual").when(i % 3 == 1, "daily"), "scout_id": F.lit(None).cast("string")})
+    first = registry.ordered_worklist(registry.worklist(own)).limit(200).select("source_id", "due", "priority_rank", "authority_rank")
+    rows = first.agg(F.transform(F.array_sort(F.collect_list(F.struct((~F.col("due")).alias("later"), "priority_rank", "authority_rank", "source_id", "due"))), lambda r, k: F.struct(r["source_id"].alias("source_id"), r["due"].alias("due"), r["priority_rank"].alias("priority_rank"), r["authority_rank"].alias("authority_rank"), (k + 1).alias("place"))).alias("r"))
+    return rows.select(F.explode("r").alias("r")).select("r.*")
 
 
 @query("J19_list_sources", f"WITH {_SRC} SELECT source_id, url FROM src WHERE lifecycle = 'active' AND list_has_any(scout_ids, [3, 4])")

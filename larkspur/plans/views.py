@@ -75,12 +75,20 @@ FROM {messy}
 """,
     "evidence": """
 SELECT l_partkey AS group_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS seq,
-  CASE l_linenumber % 4 WHEN 0 THEN 'retail_price' WHEN 1 THEN 'confirmed_sold_price' WHEN 2 THEN 'current_market_price' ELSE 'product_name' END AS field_name,
+  CASE l_linenumber % 4 WHEN 0 THEN 'retail_price' WHEN 1 THEN 'recent_sold_price' WHEN 2 THEN 'current_market_price' ELSE 'product_name' END AS field_name,
   CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 END AS value_num, CASE WHEN l_linenumber % 4 = 3 THEN substr('Alpha Beta Gamma', 1, CAST(5 * (l_suppkey % 3 + 1) AS INT)) END AS value_str,
   CASE l_suppkey % 8 WHEN 0 THEN 'OFFICIAL' WHEN 1 THEN 'RETAILER' WHEN 2 THEN 'PRESS_RELEASE' WHEN 3 THEN 'NEWS' WHEN 4 THEN 'MARKETPLACE' WHEN 5 THEN 'SOCIAL' WHEN 6 THEN 'COMMUNITY' ELSE 'OTHER' END AS source_type,
   CAST(l_quantity * 2 AS DOUBLE) AS confidence, CASE l_orderkey % 3 WHEN 0 THEN 'single_item' WHEN 1 THEN 'box' ELSE 'unknown' END AS unit_scope, CASE l_returnflag WHEN 'A' THEN 'graded' WHEN 'R' THEN 'ungraded' ELSE 'unknown' END AS grading,
   CASE l_orderkey % 4 WHEN 0 THEN 'rumored' WHEN 1 THEN 'estimated' ELSE 'confirmed' END AS certainty, l_shipdate AS observed_at, concat('u', l_suppkey) AS source_id
 FROM {lineitem}
+""",
+    "claims": """
+SELECT l_suppkey AS group_id, l_orderkey * 8 + l_linenumber AS seq, CASE l_partkey % 7 WHEN 0 THEN 'franchise' WHEN 1 THEN 'retailer' WHEN 2 THEN 'status' WHEN 3 THEN 'purchase_limit' WHEN 4 THEN 'required_spend' WHEN 5 THEN 'estimated_market_price' ELSE 'artist_name' END AS field_name,
+  CASE WHEN l_partkey % 7 IN (3, 4, 5) THEN CAST(l_suppkey % 5 + 4 AS DOUBLE) * (CASE WHEN l_orderkey % 9 = 0 THEN 1.5 WHEN l_orderkey % 31 = 0 THEN 2.5 WHEN l_orderkey % 47 = 0 THEN 4.0 ELSE 1.0 END) END AS value_num,
+  CASE WHEN l_partkey % 7 IN (0, 1) THEN CASE WHEN l_suppkey % 4 = 0 AND l_orderkey % 10 = 0 THEN 'Delta' ELSE substr('Alpha Beta Gamma', 1, CAST(5 * (l_orderkey % 3 + 1) AS INT)) END WHEN l_partkey % 7 = 2 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'live' ELSE 'sold_out' END WHEN l_partkey % 7 = 6 THEN CASE WHEN l_orderkey % 6 = 0 AND l_suppkey % 2 = 0 THEN 'B. Artist' ELSE 'A. Artist' END END AS value_str,
+  CASE (l_orderkey + l_suppkey) % 9 WHEN 0 THEN 'OFFICIAL' WHEN 1 THEN 'RETAILER' WHEN 2 THEN 'PRESS_RELEASE' WHEN 3 THEN 'NEWS' WHEN 4 THEN 'MARKETPLACE' WHEN 5 THEN 'SOCIAL' WHEN 6 THEN 'COMMUNITY' WHEN 7 THEN 'EVENT' ELSE 'OTHER' END AS source_type,
+  CAST(l_quantity * 2 AS DOUBLE) AS confidence, CASE l_orderkey % 4 WHEN 0 THEN 'rumored' WHEN 1 THEN 'estimated' ELSE 'confirmed' END AS certainty
+FROM {lineitem}
 """,
     "game_items": """
 SELECT p_partkey AS seq, CASE p_partkey % 3 WHEN 0 THEN 'pokemon' WHEN 1 THEN 'lorcana' ELSE 'one_piece' END AS category,
