@@ -101,12 +101,12 @@ def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
     return data.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>")
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Whether fingerprints (rows of 64-bit words) differ in at most `radius` bits, for each pair of rows of a and b."""
+def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits fingerprints (rows of 64-bit words) differ, for each pair of rows of a and b."""
     bits = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]).astype(np.int16)
     for k in range(1, a.shape[1]):
         bits += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
-    return bits <= radius
+    return bits
 
 
 def tile_links(fps: np.ndarray, left: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +145,7 @@ def tile_links(fps: np.ndarray, left: np.ndarray, radius: int) -> tuple[np.ndarr
             q = sides[1][j : j + BLOCK_ROWS]
             if ones[q[0]] - ones[p[-1]] > radius or ones[p[0]] - ones[q[-1]] > radius:
                 continue
-            x, y = np.nonzero(_near(fps[p], fps[q], radius))
+            x, y = np.nonzero(_bits(fps[p], fps[q]) <= radius)
             x, y = p[x], q[y]
             keep = x != y
             if keep.any():
@@ -159,7 +159,57 @@ def tile_links(fps: np.ndarray, left: np.ndarray, radius: int) -> tuple[np.ndarr
     return order[child], order[label[child]]
 
 
-def _linker(names: list[str], radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def tile_forest(fps: np.ndarray, left: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A minimum spanning forest of the links in one tile by differing bits, as positions (x, y): links of likelier
+    duplicates first. Takes the rows as tile_links does; kept links are thinned to a forest whenever 2^20 are held."""
+    n = len(fps)
+    ones = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
+    order = np.argsort(ones, kind="stable")
+    fps, ones = fps[order], ones[order]
+    sides = [np.arange(n)] * 2 if left.all() else [np.flatnonzero(left[order]), np.flatnonzero(~left[order])]
+    held: list[np.ndarray] = []  # columns: bits, x, y
+    for i in range(0, len(sides[0]), BLOCK_ROWS):
+        p = sides[0][i : i + BLOCK_ROWS]
+        for j in range(i if left.all() else 0, len(sides[1]), BLOCK_ROWS):
+            q = sides[1][j : j + BLOCK_ROWS]
+            if ones[q[0]] - ones[p[-1]] > radius or ones[p[0]] - ones[q[-1]] > radius:
+                continue
+            bits = _bits(fps[p], fps[q])
+            x, y = np.nonzero(bits <= radius)
+            keep = p[x] < q[y] if left.all() else p[x] != q[y]
+            if keep.any():
+                held.append(np.stack([bits[x, y][keep].astype(np.int64), p[x[keep]], q[y[keep]]]))
+            if sum(h.shape[1] for h in held) > 1 << 20:
+                held = [_forest(n, np.concatenate(held, axis=1))]
+    kept = _forest(n, np.concatenate(held, axis=1)) if held else np.empty((3, 0), np.int64)
+    return order[kept[1]], order[kept[2]]
+
+
+def _forest(n: int, edges: np.ndarray) -> np.ndarray:
+    """The edges (columns: weight, x, y) of a minimum spanning forest of n nodes: each round takes every tree's least edge."""
+    edges = edges[:, np.lexsort((edges[2], edges[1], edges[0]))]
+    label, taken, rest = np.arange(n), np.zeros(edges.shape[1], bool), np.arange(edges.shape[1])
+    while len(rest):
+        a, b = label[edges[1, rest]], label[edges[2, rest]]
+        rest, a, b = rest[a != b], a[a != b], b[a != b]
+        if not len(rest):
+            break
+        least = np.full(n, edges.shape[1])
+        np.minimum.at(least, a, rest)
+        np.minimum.at(least, b, rest)
+        picked = np.unique(least[least < edges.shape[1]])
+        taken[picked] = True
+        x, y = edges[1, picked], edges[2, picked]
+        while (label[x] != label[y]).any():
+            low = np.minimum(label[x], label[y])
+            np.minimum.at(label, label[x], low)
+            np.minimum.at(label, label[y], low)
+            while (label[label] != label).any():
+                label = label[label]
+    return edges[:, taken]
+
+
+def _linker(names: list[str], radius: int, forest: bool = False) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Turn rows sorted by tile into links; a tile may go on from one batch to the next."""
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
@@ -170,7 +220,7 @@ def _linker(names: list[str], radius: int) -> Callable[[Iterator[pd.DataFrame]],
         size = np.diff(np.concatenate((new, [len(rows)])))
         a, b = [], []
         for at, n in zip(new[size > 16], size[size > 16], strict=True):
-            child, root = tile_links(fps[at : at + n], left[at : at + n], radius)
+            child, root = (tile_forest if forest else tile_links)(fps[at : at + n], left[at : at + n], radius)
             a.append(node[at + child])
             b.append(node[at + root])
         small = np.repeat(size <= 16, size)
@@ -203,12 +253,12 @@ def _linker(names: list[str], radius: int) -> Callable[[Iterator[pd.DataFrame]],
     return run
 
 
-def link(nodes: DataFrame, keys: Column, names: list[str], radius: int) -> DataFrame:
+def link(nodes: DataFrame, keys: Column, names: list[str], radius: int, forest: bool = False) -> DataFrame:
     """Links (a < b) between nodes whose fingerprints (columns `names`) differ in at most `radius` bits and that share
     one of `keys` (array of longs). They join the same nodes as all links within each tile do, but no more than one for
     each row of a tile is returned. Tiles of one node are left out before fingerprints travel. A tile of m nodes, more
     than TILE_ROWS, is split into m / TILE_ROWS chunks, and each pair of chunks is a task's work of its own, so that each
-    of its nodes is sent m / TILE_ROWS times."""
+    of its nodes is sent m / TILE_ROWS times. `forest` picks the links of fewest bits (tile_forest)."""
     tiles = nodes.select("node", F.explode(keys).alias("key"))
     sizes = tiles.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / TILE_ROWS).cast("int").alias("parts"))
     chunk = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("parts")).cast("int")
@@ -216,7 +266,7 @@ def link(nodes: DataFrame, keys: Column, names: list[str], radius: int) -> DataF
     dealt = dealt.select("node", *names, "key", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     pairs = dealt.select("node", *names, "key", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), (F.col("c") <= F.col("other")).alias("own"))
     sorted_tiles = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return sorted_tiles.mapInPandas(_linker(names, radius), "a long, b long").distinct()
+    return sorted_tiles.mapInPandas(_linker(names, radius, forest), "a long, b long").distinct()
 
 
 def pigeonhole_keys(fp: str, radius: int, distinct: int) -> Column:
@@ -247,21 +297,52 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 3) -> DataF
     return marked.join(classes, F.col("fp") == F.col("node_fp"), "left").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Near-duplicate classes by an estimated Jaccard similarity of `size`-word shingles.
+def _shingles(data: bytes, size: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles of `size` words (all words, if it has fewer)."""
+    words = word_hashes(data.lower())
+    return np.unique(gram_hashes(words, min(size, len(words))) if len(words) else words)
+
+
+def verified(links: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The links (a, b) between nodes of texts (node, text) whose sets of shingles have a Jaccard similarity of `similarity`
+    or more; shingles are compared by 64-bit hashes, two empty sets are alike."""
+    light_batches(texts.sparkSession)
 
-    Candidates share a key of a sketch of their shingles (sketch_keys); a SimHash of 512 bits over shingles then decides:
-    sets with Jaccard similarity s have cosine 2s / (1 + s) when they are of one size, and bits differ with probability
-    angle / pi. The radius lies one and a half standard deviations above the expectation. Returns doc_id, mark (XXH64 of
-    the text, to tell rows of one id apart) and component_id, as simhash_components does; texts without words are alike.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"node": rows["node"], "grams": [_shingles(bytes(b), size).view(np.int64) for b in rows["data"]]})
+
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = texts.join(ends, "node", "left_semi").select("node", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+    sets = cut(asked.mapInPandas(run, "node long, grams array<long>"))
+    both = links.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    enough = common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9
+    return both.where(enough).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Near-duplicate classes by the Jaccard similarity of `size`-word shingles: texts linked by `similarity` or more.
+
+    Candidates share a key of a sketch of their shingles (sketch_keys) and differ in few bits of a SimHash of 512 bits over
+    shingles: sets with Jaccard similarity s have cosine 2s / (1 + s) when they are of one size, bits differ with probability
+    angle / pi, and the radius lies three standard deviations above the expectation. Of each tile's candidate links
+    those of a minimum spanning forest are compared by their whole sets of shingles, so that no link joins what is less alike.
+    Returns doc_id, mark (XXH64 of the text, to tell rows of one id apart) and component_id, as simhash_components does;
+    texts without words are alike.
     """
     names = [f"s{i}" for i in range(WIDE_WORDS)]
     marked = cut(wide_fingerprints(docs.select("doc_id", "text"), size))
-    nodes = cut(marked.groupBy(*names).agg(F.min(F.col("doc_id").cast("long")).alias("node"), F.first("keys").alias("keys")).where("node is not null"))
+    one = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").cast("long").alias("node"), "mark"))).alias("one")
+    nodes = cut(marked.groupBy(*names).agg(one, F.first("keys").alias("keys")).where("one is not null").select(*names, "one.node", "one.mark", "keys"))
     p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
     bits = 64 * WIDE_WORDS
-    radius = round(bits * p + 1.5 * (bits * p * (1 - p)) ** 0.5)
-    roots = components(link(nodes, F.col("keys"), names, radius))
+    radius = round(bits * p + 3 * (bits * p * (1 - p)) ** 0.5)
+    found = cut(link(nodes, F.col("keys"), names, radius, forest=True))
+    texts = docs.select("doc_id", "text").withColumn("m", F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    texts = texts.join(nodes.select("node", "mark"), (F.col("doc_id").cast("long") == F.col("node")) & (F.col("m") == F.col("mark")), "left_semi")
+    texts = texts.select(F.col("doc_id").cast("long").alias("node"), "text").dropDuplicates(["node", "text"])
+    roots = components(verified(found, texts, size, similarity))
     classes = nodes.join(roots, "node", "left").select(*(F.col(c).alias(f"node_{c}") for c in names), F.coalesce("root", "node").alias("component_id"))
     same = [F.col(c) == F.col(f"node_{c}") for c in names]
     return marked.drop("keys").join(classes, same, "left").select("doc_id", "mark", "component_id")

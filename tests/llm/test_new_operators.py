@@ -8,12 +8,13 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from larkspur.llm import byte_pairs, conversations, queries
+from larkspur.llm import byte_pairs, conversations, queries, simhash
 from larkspur.llm import repair_grammar as grammar
 from larkspur.llm.bitmap_ranks import bitmap_ranks
 from larkspur.llm.merge_replay import MergeReplay
@@ -160,6 +161,55 @@ def test_ranks_of_bitmaps(spark):
         assert (r["rank"], r.same, r.total) == (sum(w for k, w in own if k < r.k), sum(w for k, w in own if k == r.k), sum(w for _, w in own))
 
 
+# Near duplicates of the pipeline
+
+
+def test_near_duplicates_are_those_of_the_exact_rule(spark):
+    """Families around the threshold: texts of 120 words of which a share is replaced, appended or left out."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(4000)}"
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(120)]
+        texts.append(base)
+        for _ in range(5):
+            n, copy = rng.randrange(1, 40), list(base)
+            at = rng.randrange(0, 120 - n)
+            copy[at : at + n] = [[word() for _ in range(n)], [], [*base[at : at + n], *(word() for _ in range(n))]][rng.randrange(3)]
+            texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(1000, None), (1001, ""), (1002, " ".join(texts[0]).upper()), (None, " ".join(texts[0]))]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in rows if i is not None}
+    label = {i: i for i in sets}
+    alike = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9}
+    for _ in range(len(texts)):
+        for i, j in alike:
+            label[i] = label[j] = min(label[i], label[j])
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, node int, mark int")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert all(got[i] == label[i] for i in label) and got[None] == 0 and 60 < len(set(label.values())) < len(texts)
+
+
+def test_forest_links_what_the_tile_links(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (6, 2), dtype=np.uint64)
+    fps = base[rng.integers(0, 6, 700)] ^ (np.uint64(1) << rng.integers(0, 64, (700, 2), dtype=np.uint64))
+    for left in (np.ones(700, bool), np.arange(700) < 300):
+        x, y = simhash.tile_forest(fps, left, 4)
+        child, root = simhash.tile_links(fps, left, 4)
+
+        def classes(a, b):
+            label = np.arange(700)
+            for _ in range(700):
+                low = np.minimum(label[a], label[b])
+                if (low == label[a]).all() and (low == label[b]).all():
+                    break
+                np.minimum.at(label, a, low)
+                np.minimum.at(label, b, low)
+            return label.tolist()
+
+        assert classes(x, y) == classes(child, root) and len(x) == len(child)
+
+
 # Conversation repair
 
 
