@@ -53,9 +53,11 @@ def tokens(url: Column) -> Column:
 def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.8, lift: float = 1.2, least: int = 10) -> DataFrame | None:
     """Rules (tokens array, confidence, support) that tell blocked URLs, from labelled (url, block: boolean).
 
-    FP-growth counts token combinations together with the label. Of tokens that occur in just the same URLs one stands
-    for all, and tokens below the support are left out beforehand, so that constant parts of many URLs don't multiply the
-    combinations. A rule is kept if it holds for at least `support` of
+    Tokens that make a rule alone are told by counting. They take no part in what follows, as a URL that has one is blocked
+    whatever else it has: so a family of blocked URLs with many names in common makes a rule for each name, not one for
+    each set of names. FP-growth counts the other tokens' combinations together with the label. Of tokens that occur in just
+    the same URLs one stands for all, and tokens below the support are left out beforehand. Names that most URLs of either
+    label have still multiply the combinations. A rule is kept if it holds for at least `support` of
     the URLs and for `least` of them, with at least `confidence`, `lift` times as often as among all. Rows with a null url or label are ignored.
     None if there are fewer rows.
     """
@@ -67,16 +69,22 @@ def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.8, l
     share = max(support, least / n)
     single = known.select("row", F.explode("all").alias("token"))
     same_rows = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("rows"))
-    often = single.groupBy("token").agg(same_rows.alias("where")).where(F.col("where.n") >= share * n)
-    heads = cut(often.groupBy("where").agg(F.min("token").alias("token")).select("token"))  # at most tokens per URL / share
+    blocked = F.count_if(F.col("label") == _BLOCK)
+    often = known.select("row", "label", F.explode("all").alias("token")).groupBy("token").agg(same_rows.alias("where"), blocked.alias("bad")).where(F.col("where.n") >= share * n)
+    often = cut(often.select("token", "where", "bad", (F.col("bad") / F.col("where.n")).alias("confidence"), (F.col("bad") / F.lit(float(n))).alias("support")))
+    every = known.agg(blocked / F.lit(float(n))).first()[0]
+    alone = F.expr(f"bad >= {share!r} * {n} - 1e-9") & (F.col("confidence") >= confidence) & (F.col("confidence") >= lift * every)
+    single_rules = often.where(alone).select("token", F.array("token").alias("rule_tokens"), "confidence", "support")
+    heads = cut(often.where(~alone).groupBy("where").agg(F.min("token").alias("token")).select("token"))  # at most tokens per URL / share
     sets = single.join(few(heads), "token", "left_semi").groupBy("row").agg(F.collect_set("token").alias("some"))
     baskets = known.join(sets, "row", "left").select(F.concat(F.coalesce("some", F.array().cast("array<string>")), F.array("label")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(cut(baskets))
     kept = F.array_contains("consequent", _BLOCK) & ~F.array_contains("antecedent", _ALLOW) & (F.col("lift") >= lift)
-    often = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
+    counts = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
     rules = model.associationRules.where(kept).select(F.col("antecedent").alias("rule_tokens"), "confidence", "support")
-    rarest = rules.select("rule_tokens", "confidence", "support", F.explode("rule_tokens").alias("item")).join(often, "item")
-    return rarest.groupBy("rule_tokens", "confidence", "support").agg(F.min(F.struct("freq", "item")).alias("x")).select(F.col("x.item").alias("token"), "rule_tokens", "confidence", "support")
+    rarest = rules.select("rule_tokens", "confidence", "support", F.explode("rule_tokens").alias("item")).join(counts, "item")
+    longer = rarest.groupBy("rule_tokens", "confidence", "support").agg(F.min(F.struct("freq", "item")).alias("x")).select(F.col("x.item").alias("token"), "rule_tokens", "confidence", "support")
+    return single_rules.unionByName(longer)
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, support: float = 0.005, confidence: float = 0.8, lift: float = 1.2) -> DataFrame:

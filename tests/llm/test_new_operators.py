@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from larkspur.llm import byte_pairs, conversations, queries, simhash
+from larkspur.llm import byte_pairs, conversations, queries, simhash, url_rules
 from larkspur.llm import repair_grammar as grammar
 from larkspur.llm.bitmap_ranks import bitmap_ranks
 from larkspur.llm.merge_replay import MergeReplay
@@ -210,6 +210,25 @@ def test_forest_links_what_the_tile_links(spark):
         assert classes(x, y) == classes(child, root) and len(x) == len(child)
 
 
+# URL rules
+
+
+@pytest.mark.parametrize("names", [4, 12, 30])
+def test_rules_are_as_many_as_the_common_names(spark, names):
+    """Blocked urls each lack one of the names, allowed ones have none: a rule a name, and its host's and path's tokens."""
+    rows = [(f"https://bad.example/x{i}?{'&'.join(f'n{chr(97 + j % 26)}{chr(97 + j // 26)}=1' for j in range(names) if j != i % names)}", True) for i in range(200)]
+    rows += [(f"https://good.example/y{i}", False) for i in range(200)]
+    rules = url_rules.mine(spark.createDataFrame(rows, "url string, block boolean")).collect()
+    assert {t for r in rules for t in r.rule_tokens if t.startswith("q:")} == {f"q:n{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(names)}
+    assert len(rules) <= names + 3 and all(len(r.rule_tokens) == 1 for r in rules)
+
+
+def test_rule_of_two_tokens_that_block_together_only(spark):
+    rows = [(f"https://{h}.example/p?{q}={i}", h == "aa" and q == "kk") for i in range(60) for h in ("aa", "bb") for q in ("kk", "mm")]
+    rules = {tuple(sorted(r.rule_tokens)) for r in url_rules.mine(spark.createDataFrame(rows, "url string, block boolean")).collect()}
+    assert ("h:aa", "q:kk") in rules and ("h:aa",) not in rules and ("q:kk",) not in rules
+
+
 # Conversation repair
 
 
