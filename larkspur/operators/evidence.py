@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspur.functions import text as T
+from larkspur.sources.tables import cut
 
 #: Weights of source types and their order for retail and market fields: fixed values.
 WEIGHTS = {"OFFICIAL": 90, "RETAILER": 80, "PRESS_RELEASE": 75, "EVENT": 70, "MARKETPLACE": 55, "NEWS": 50, "COMMUNITY": 30, "SOCIAL": 20, "OTHER": 10}
@@ -123,16 +126,39 @@ def price_conflicts(evidence: DataFrame) -> DataFrame:
     return spread.join(agree, keys, "left").select(*keys, severity.alias("severity"), review.alias("requires_review"))
 
 
+def exact_medians(counts: DataFrame, keys: Sequence[str], value: str, n: str) -> DataFrame:
+    """The keys and median: the exact median of numbers given as distinct values with how often they occur, above 0 times.
+
+    A first histogram has cells of a tenth of a percent of a value's size, so a key has some ten thousand at most; of its two
+    cells that hold the middle ranks only the values are then ordered. No task holds a key's values.
+    """
+    keys = list(keys)
+    size = F.log(F.abs(F.col(value)) + 1) * 1000
+    celled = counts.select(*keys, F.col(value).cast("double").alias("v"), F.col(n).alias("n"), F.floor(F.signum(value) * size).alias("cell"))
+    of = Window.partitionBy(*keys)
+    cells = celled.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
+    cells = cells.select(*keys, "cell", (F.sum("n").over(of.orderBy("cell")) - F.col("n")).alias("before"), F.col("n").alias("held"), F.sum("n").over(of).alias("total"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    middle = cells.where((F.col("before") <= high) & (F.col("before") + F.col("held") > low)).select(*keys, "cell", "before", "total")
+    ranked = celled.join(middle, [*keys, "cell"]).withColumn("first", F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "cell").orderBy("v")) - F.col("n"))
+    at = lambda rank: F.max(F.when((F.col("first") <= rank) & (F.col("first") + F.col("n") > rank), F.col("v")))
+    return ranked.groupBy(*keys).agg((at(low) * 0.5 + at(high) * 0.5).alias("median"))
+
+
 def market_prices(evidence: DataFrame, fields: tuple[str, ...], ratio: float = 2.5) -> DataFrame:
     """(group_id, field_name, price, inliers, outliers, unit_scopes, grading_conflict): the exact median of values
-    within `ratio` of the median of all, or of all where none is; scopes that differ are counted."""
+    within `ratio` of the median of all, or of all where none is; scopes that differ are counted. Equal values of a group are
+    counted together first, so a group's rows don't meet in one task."""
     keys = ["group_id", "field_name"]
     rows = evidence.where(F.col("field_name").isin(*fields) & F.col("value_num").isNotNull())
-    center = rows.groupBy(*keys).agg(F.median("value_num").alias("m"))
-    judged = rows.join(center, keys).withColumn("inlier", (F.col("value_num") <= F.col("m") * ratio) & (F.col("value_num") >= F.col("m") / ratio))
-    inner = F.median(F.when(F.col("inlier"), F.col("value_num")))
-    real = lambda c: F.count_distinct(F.when(F.col("inlier") & (F.col(c) != "unknown"), F.col(c)))
-    return judged.groupBy(*keys).agg(F.coalesce(inner, F.first("m")).alias("price"), F.count_if("inlier").alias("inliers"), F.count_if(~F.col("inlier")).alias("outliers"), real("unit_scope").alias("unit_scopes"), (real("grading") > 1).alias("grading_conflict"))
+    counts = cut(rows.groupBy(*keys, "value_num").agg(F.count("*").alias("n"), F.collect_set("unit_scope").alias("scopes"), F.collect_set("grading").alias("gradings")))
+    center = exact_medians(counts, keys, "value_num", "n").withColumnRenamed("median", "m")
+    judged = cut(counts.join(center, keys).withColumn("inlier", (F.col("value_num") <= F.col("m") * ratio) & (F.col("value_num") >= F.col("m") / ratio)))
+    inner = exact_medians(judged.where("inlier"), keys, "value_num", "n").withColumnRenamed("median", "inner")
+    number = lambda name: F.size(F.filter(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("inlier"), F.col(name))))), lambda x: x != "unknown")).cast("long")
+    counted = lambda is_in: F.sum(F.when(is_in, F.col("n")).otherwise(0))
+    found = judged.groupBy(*keys).agg(F.first("m").alias("m"), counted(F.col("inlier")).alias("inliers"), counted(~F.col("inlier")).alias("outliers"), number("scopes").alias("unit_scopes"), (number("gradings") > 1).alias("grading_conflict"))
+    return found.join(inner, keys, "left").select(*keys, F.coalesce("inner", "m").alias("price"), "inliers", "outliers", "unit_scopes", "grading_conflict")
 
 
 WEAK_SOURCES = ("SOCIAL", "COMMUNITY", "OTHER")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
-from larkspur.sources.tables import cut, few
+from larkspur.sources.tables import cut
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -113,21 +113,22 @@ def group_products(items: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame) -> DataFrame:
-    """(node, ancestor, depth) over a child-parent table (node, parent) by repeated joins, until nothing is new.
+    """(node, ancestor, depth) over a child-parent table (node, parent): each ancestor once, by the shortest way.
 
-    A cycle ends when a node meets itself: it is then its own ancestor.
+    Ways double in length each round: those of just the greatest length so far are continued by all known ones, so that a
+    chain of n takes log2(n) rounds. A node in a cycle is its own ancestor; nulls have none.
     """
-    step = cut(edges.where("parent is not null and node is not null").select("node", F.col("parent").alias("ancestor")).distinct())
-    front, done, depth = step.withColumn("depth", F.lit(1)), None, 1
+    done = cut(edges.where("parent is not null and node is not null").select("node", F.col("parent").alias("ancestor")).distinct().withColumn("depth", F.lit(1)))
+    length = 1
     while True:
-        done = front if done is None else cut(done.unionByName(front))
-        depth += 1
-        parents = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
-        more = front.where("node <> ancestor").join(few(parents), "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        front = cut(more.join(done.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
-        if front.isEmpty():
-            break
-    return done
+        further = done.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+        far = done.where(F.col("depth") == length).select("node", "ancestor", "depth")
+        longer = far.join(further, "ancestor").groupBy("node", F.col("next").alias("ancestor")).agg(F.min(F.col("depth") + F.col("more")).alias("depth"))
+        new = cut(longer.join(done.select("node", "ancestor"), ["node", "ancestor"], "left_anti").select("node", "ancestor", "depth"))
+        if new.isEmpty():
+            return done
+        done = cut(done.unionByName(new))
+        length *= 2
 
 
 def _typed_links(reps: DataFrame, threshold: float, bonus: float) -> DataFrame:

@@ -72,7 +72,8 @@ def match_patterns(items: DataFrame, patterns: DataFrame) -> DataFrame:
     an item (item_id, text, category) matches: keywords anywhere in its text, plus one for an equal category.
 
     A small table of keywords, whose rows are counted first, is tested against each text as a broadcast; a larger one is
-    looked up by the first three letters of each keyword among the texts' three-letter grams.
+    looked up by the first three letters of each keyword among the texts' three-letter grams, and keywords of one or two letters
+    by themselves among the texts' grams of that length.
     """
     texts = items.select("item_id", F.lower("text").alias("text"))
     keywords = patterns.select("name", F.explode(F.array_distinct(F.transform("keywords", lambda k: F.lower(k)))).alias("keyword")).where("keyword <> ''")
@@ -82,7 +83,9 @@ def match_patterns(items: DataFrame, patterns: DataFrame) -> DataFrame:
         grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1))), lambda i: F.substring("text", i, 3)))
         long = texts.withColumn("gram", F.explode(grams)).join(keywords.where(F.length("keyword") >= 3).withColumn("gram", F.substring("keyword", 1, 3)), "gram")
         found = long.where(holds).select("item_id", "name", "keyword")
-        found = found.unionByName(texts.join(F.broadcast(keywords.where(F.length("keyword") < 3).limit(KEYWORDS)), holds).select("item_id", "name", "keyword")).distinct()
+        parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i: F.substring("text", i, n)))))
+        short = texts.select("item_id", F.explode(parts).alias("keyword")).join(keywords.where(F.length("keyword") < 3), "keyword")
+        found = found.unionByName(short.select("item_id", "name", "keyword")).distinct()
     else:
         found = texts.join(small, holds).select("item_id", "name", "keyword")
     by_category = items.where(F.coalesce("category", F.lit("")) != "").select("item_id", F.lower("category").alias("c")).join(patterns.select("name", F.lower("category").alias("c")), "c").select("item_id", "name")

@@ -202,6 +202,19 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.read_items(spark, base, "n_nationkey int, n_name string").unionByName(missing)
 
 
+_LINES = "concat(chr(123), '\"c_custkey\": ', CASE WHEN c_custkey % 7 = 1 THEN '\"none\"' ELSE CAST(c_custkey AS {0}) END, ', \"c_name\": \"', c_name, CASE WHEN c_custkey % 11 = 2 THEN '' ELSE '\"' END, ', \"more\": [1]', chr(125))"
+
+
+@query("S1_quarantine", f"SELECT CASE WHEN ok THEN c_custkey END AS c_custkey, CASE WHEN ok THEN c_name END AS c_name, CASE WHEN NOT ok THEN line END AS record FROM (SELECT *, c_custkey % 7 <> 1 AND c_custkey % 11 <> 2 AS ok, {_LINES.format('VARCHAR')} AS line FROM {{customer}})")
+def s1_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as JSON lines, some of another type and some cut short: the rows that fit and the lines that don't."""
+    base = f"{shared_folder(spark)}/larkspur-items-{uuid.uuid4().hex}"
+    view(spark, d, "customer").select(F.expr(_LINES.format("STRING"))).write.text(base)
+    rows, rejects = snapshots.read_checked(spark, base, "c_custkey long, c_name string")
+    none = lambda kind: F.lit(None).cast(kind)
+    return rows.withColumn("record", none("string")).unionByName(rejects.select(none("long").alias("c_custkey"), none("string").alias("c_name"), "record"))
+
+
 @query("U4_append_log", "SELECT log_id, decision, score FROM {decision_log}")
 def u4(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_folder(spark)}/larkspur-log-{uuid.uuid4().hex}"

@@ -19,6 +19,23 @@ def read_items(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def read_checked(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+    """JSON lines with a schema, and the lines that don't fit it: (rows, rejects). rejects has record (the line) and file.
+
+    A line fits if it is an object whose values have the types of the schema; names that the schema lacks are passed over, blank
+    lines count for neither. Every other line is in one of the two tables. A missing path gives two empty tables.
+    """
+    shape = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if not _exists(spark, path):
+        return spark.createDataFrame([], shape), spark.createDataFrame([], "record string, file string")
+    broken = "__broken"
+    marked = T.StructType([*shape.fields, T.StructField(broken, T.StringType())])
+    lines = spark.read.text(path).where(F.btrim("value") != "").withColumn("file", F.col("_metadata.file_name"))
+    parsed = lines.select("value", "file", F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}).alias("r"))
+    fits = F.col("r").isNotNull() & F.col(f"r.{broken}").isNull()
+    return parsed.where(fits).select(*(F.col("r").getField(f.name).alias(f.name) for f in shape)), parsed.where(~fits).select(F.col("value").alias("record"), "file")
+
+
 def write_snapshot(df: DataFrame, base: str, run_id: str) -> None:
     """Add a run to the history and make it the current snapshot. Nothing that is being read is overwritten: the current
     snapshot is a pointer to the run."""

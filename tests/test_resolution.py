@@ -1,5 +1,11 @@
 """Worked examples of field resolution, changes of opportunities and registries of sources."""
 
+import random
+import statistics
+
+import pytest
+from pyspark.sql import functions as F
+
 from larkspur.operators import evidence, merges, registry
 
 SCHEMA = "group_id int, seq int, field_name string, value_num double, value_str string, source_type string, certainty string, confidence double"
@@ -85,3 +91,11 @@ def test_order_of_the_worklist(spark):
     rows = [(i, "runnable", s, p, a, None) for i, (s, p, a) in enumerate([("daily", "archival", "official_primary"), ("daily", "medium", "manual_trusted"), ("daily", "medium", "official_primary"), ("manual", "critical", "official_primary"), ("daily", "low", "official_primary"), ("daily", "high", "x"), ("daily", "critical", "x"), (None, "critical", "x"), ("daily", "unheard", "x")])]
     work = spark.createDataFrame([*rows, (99, "disabled", "daily", "critical", "x", None)], "source_id int, state string, schedule string, priority string, authority_level string, scout_id string")
     assert [r.source_id for r in registry.ordered_worklist(work).collect()] == [6, 5, 2, 1, 4, 0, 8, 3, 7]
+
+
+def test_exact_medians(spark):
+    rng = random.Random(4)
+    values = {"one": [5.0], "two": [1.0, 2.0], "same": [3.0] * 9, "signs": [rng.uniform(-50, 50) for _ in range(301)], "wide": [10 ** rng.uniform(-6, 12) for _ in range(400)], "near": [100 + rng.randrange(9) / 1000 for _ in range(500)], "zero": [0.0, 0.0, -1.0, 1.0]}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double")
+    got = {r.k: r.median for r in evidence.exact_medians(rows.groupBy("k", "v").agg(F.count("*").alias("n")), ["k"], "v", "n").collect()}
+    assert got == {k: pytest.approx(statistics.median(vs), rel=1e-15) for k, vs in values.items()}
