@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
-from larkspur.operators import boards, cards, items, objects, pages, registry, signals
+from larkspur.operators import boards, cards, items, judgement, objects, pages, registry, signals
 from larkspur.plans.items_plan import _STRAT, _nt, board_items
 from larkspur.plans.views import plain, view
 
@@ -139,6 +139,34 @@ def t8(spark: SparkSession, d: str) -> DataFrame:
     return signals.accept_docs(t7(spark, d), 80, (("release", "claim"),), ("limit",), ("place",)).select("seq", "signals", "accepted")
 
 
+_ADJUSTED = "greatest(0, least(100, base + CASE upper(source_type) WHEN 'OFFICIAL' THEN 10 WHEN 'PRESS_RELEASE' THEN 5 WHEN 'COMMUNITY' THEN -10 WHEN 'SOCIAL' THEN -15 WHEN 'OTHER' THEN -5 ELSE 0 END + CASE certainty WHEN 'estimated' THEN -15 WHEN 'rumored' THEN -35 ELSE 0 END))"
+_IN = lambda names: ", ".join(f"'{n}'" for n in names)
+_HAS_ALL = " OR ".join(f"(list_contains(have, '{one}') AND list_has_any(have, [{_IN(others)}]))" for one, others in judgement.TOGETHER)
+_JUDGED = f"""d AS (SELECT seq, at_, signal, CAST({_ADJUSTED} AS DOUBLE) AS confidence, certainty, value FROM {{detected}}),
+hard AS (SELECT seq, 99 AS at_, 'HIGH_ACQUISITION_DIFFICULTY' AS signal, avg(confidence) AS confidence, 'confirmed' AS certainty, CAST(NULL AS DOUBLE) AS value FROM d WHERE signal IN ({_IN(judgement.BARRIERS)}) AND certainty <> 'rumored' GROUP BY seq HAVING count(DISTINCT signal) >= 2),
+every AS (SELECT *, CASE signal {' '.join(f"WHEN '{k}' THEN {v}" for k, v in judgement.WEIGHTS.items())} ELSE 0 END AS w FROM (SELECT * FROM d UNION ALL SELECT * FROM hard)),
+rel AS (SELECT seq, least(100.0, sum(p)) AS relevance FROM (SELECT seq, signal, max(w * confidence / 100) AS p FROM every GROUP BY seq, signal) GROUP BY seq),
+doc AS (SELECT e.seq, coalesce(avg(confidence) FILTER (w > 0), avg(confidence)) AS mean, list(DISTINCT signal) AS have, first(value ORDER BY at_, value NULLS FIRST) FILTER (signal = 'OBSERVED_RESALE_PRICE') AS resale, first(value ORDER BY at_, value NULLS FIRST) FILTER (signal IN ('SPEND_REQUIREMENT', 'RETAIL_PRICE')) AS spend FROM every e GROUP BY e.seq),
+j AS (SELECT o_orderkey AS seq, o_orderkey % 11 <> 0 AS known, coalesce(relevance, 0) AS relevance, coalesce(mean, 0) AS mean, coalesce(have, []) AS have, coalesce(resale <> 0 AND spend <> 0 AND resale >= spend * 1.5, false) OR {_HAS_ALL.replace('have', 'coalesce(have, [])')} AS strong FROM {{orders}} LEFT JOIN doc ON doc.seq = o_orderkey LEFT JOIN rel ON rel.seq = o_orderkey),
+r AS (SELECT seq, relevance, mean, CASE WHEN NOT known THEN 'missing_product_identity' WHEN NOT (relevance >= 35 OR strong OR (list_has_any(have, [{_IN(judgement.ALONE)}]) AND relevance >= 21)) THEN 'below_threshold' WHEN len(list_filter(have, lambda x: NOT list_contains([{_IN(judgement.WEAK)}], x))) = 0 THEN 'only_weak_signals' END AS reason FROM j)"""
+
+
+@query("T1_adjusted_confidence", f"SELECT seq, at_, signal, CAST({_ADJUSTED} AS INT) AS confidence FROM {{detected}}")
+def t1_adjusted(spark: SparkSession, d: str) -> DataFrame:
+    rows = view(spark, d, "detected")
+    return rows.select("seq", "at_", "signal", judgement.adjusted_confidence(F.col("base"), F.col("source_type"), F.col("certainty")).alias("confidence"))
+
+
+@query("T8_judged_docs", f"WITH {_JUDGED} SELECT seq, round(relevance, 6) AS relevance, round_even(mean, 2) AS confidence, reason IS NULL AS \"create\", reason FROM r")
+def t8_judged(spark: SparkSession, d: str) -> DataFrame:
+    """Every order as a document, its lines as detections; every eleventh has no identity."""
+    rows = view(spark, d, "detected")
+    found = rows.select("seq", F.col("at_").cast("int").alias("at"), "signal", judgement.adjusted_confidence(F.col("base"), F.col("source_type"), F.col("certainty")).alias("confidence"), "certainty", "value")
+    identified = view(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 11 != 0).alias("has_identity"))
+    judged = judgement.judge_docs(judgement.with_difficulty(found), identified)
+    return judged.select("seq", F.round("relevance", 6).alias("relevance"), "confidence", "create", "reason")
+
+
 @query("T9_draft_opportunities")
 def t9(spark: SparkSession, d: str) -> DataFrame:
     return signals.draft_opportunities(detections(spark, d), ("release", "limit", "place"))

@@ -89,6 +89,12 @@ SELECT l_suppkey AS group_id, l_orderkey * 8 + l_linenumber AS seq, CASE l_partk
   CASE (l_orderkey + l_suppkey) % 9 WHEN 0 THEN 'OFFICIAL' WHEN 1 THEN 'RETAILER' WHEN 2 THEN 'PRESS_RELEASE' WHEN 3 THEN 'NEWS' WHEN 4 THEN 'MARKETPLACE' WHEN 5 THEN 'SOCIAL' WHEN 6 THEN 'COMMUNITY' WHEN 7 THEN 'EVENT' ELSE 'OTHER' END AS source_type,
   CAST(l_quantity * 2 AS DOUBLE) AS confidence, CASE l_orderkey % 4 WHEN 0 THEN 'rumored' WHEN 1 THEN 'estimated' ELSE 'confirmed' END AS certainty
 FROM {lineitem}
+""",
+    "detected": """
+SELECT l_orderkey AS seq, l_linenumber AS at_, CASE (l_partkey * 7 + l_linenumber) % 26 WHEN 0 THEN 'COLLABORATION' WHEN 1 THEN 'EXCLUSIVE_PROMO' WHEN 2 THEN 'SPEND_REQUIREMENT' WHEN 3 THEN 'RETAIL_PRICE' WHEN 4 THEN 'OBSERVED_RESALE_PRICE' WHEN 5 THEN 'PURCHASE_LIMIT' WHEN 6 THEN 'LIMITED_QUANTITY' WHEN 7 THEN 'ANNIVERSARY' WHEN 8 THEN 'EVENT_EXCLUSIVE' WHEN 9 THEN 'LOTTERY_REQUIRED'
+  WHEN 10 THEN 'STATUS_SOLD_OUT' WHEN 11 THEN 'RISING_DEMAND' WHEN 12 THEN 'RUMOR' WHEN 13 THEN 'STATUS_LIVE' WHEN 14 THEN 'PROMOTIONAL_PACK' WHEN 15 THEN 'BUNDLE_REQUIRED' WHEN 16 THEN 'NUMBERED_RELEASE' WHEN 17 THEN 'RETAILER_EXCLUSIVE' WHEN 18 THEN 'RAPID_SELLOUT' WHEN 19 THEN 'STATUS_RESTOCKED' WHEN 20 THEN 'RISK_WARNING' WHEN 21 THEN 'SEALED_PRODUCT' ELSE 'RETAIL_PRICE' END AS signal,
+  CAST(45 + l_quantity AS INT) AS base, CASE l_suppkey % 5 WHEN 0 THEN 'rumored' WHEN 1 THEN 'estimated' ELSE 'confirmed' END AS certainty, CASE l_suppkey % 7 WHEN 0 THEN 'OFFICIAL' WHEN 1 THEN 'press_release' WHEN 2 THEN 'COMMUNITY' WHEN 3 THEN 'SOCIAL' WHEN 4 THEN 'NEWS' WHEN 5 THEN 'OTHER' END AS source_type, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE CAST(l_partkey % 40 AS DOUBLE) END AS value
+FROM {lineitem}
 """,
     "game_items": """
 SELECT p_partkey AS seq, CASE p_partkey % 3 WHEN 0 THEN 'pokemon' WHEN 1 THEN 'lorcana' ELSE 'one_piece' END AS category,
