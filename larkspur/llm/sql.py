@@ -80,4 +80,45 @@ SELECT doc_id, n_lines, CASE WHEN bare THEN 0 ELSE n_lines - len(kept) END AS n_
 FROM q
 """
 
-ORACLES = {"op5_line_templates": OP5, "op6_decontaminate": OP6, "op10_substrings": OP10}
+#: CRC-32 of a text of ASCII letters, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(x) + 1), lambda i: CAST(ord(x[i]) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE concat(strlen(CAST({0} AS VARCHAR)), ':', CAST({0} AS VARCHAR)) END"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256(concat({', '.join(_FIELD.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))}))"
+
+
+def _tree(name: str, levels: int) -> str:
+    """Tables name1 .. and runs of each level above name0 (g, pos, h), and name_top: each group's root."""
+    many = "g IN (SELECT g FROM {0} GROUP BY g HAVING count(*) > 1)"
+    parts = []
+    for k in range(levels):
+        parts.append(f"{name}r{k} AS (SELECT g, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM {name}{k} WHERE {many.format(f'{name}{k}')} GROUP BY g, pos // 8)")
+        parts.append(f"{name}{k + 1} AS (SELECT g, run AS pos, sha256(array_to_string(hs, '')) AS h FROM {name}r{k})")
+    tops = " UNION ALL ".join(f"SELECT g, any_value(h) AS h FROM {name}{k} GROUP BY g HAVING count(*) = 1" for k in range(levels + 1))
+    return ", ".join([*parts, f"{name}_top AS ({tops})"])
+
+
+#: Levels that are written out: 8^7 documents of a language, 8^3 languages.
+_INNER, _OUTER = 7, 3
+_JOINS = " ".join([*(f"LEFT JOIN ar{k} ON ar{k}.g = a0.g AND ar{k}.run = a0.pos // {8 ** (k + 1)}" for k in range(_INNER)), *(f"LEFT JOIN br{k} ON br{k}.run = b0.pos // {8 ** (k + 1)}" for k in range(_OUTER))])
+_STEPS = [*((f"ar{k}.hs", f"a0.pos // {8 ** k} % 8") for k in range(_INNER)), *((f"br{k}.hs", f"b0.pos // {8 ** k} % 8") for k in range(_OUTER))]
+_SIDES = ", ".join(f"CASE WHEN {hs} IS NULL THEN NULL ELSE array_to_string({hs}[1:{i}], '') END AS l{n}, array_to_string({hs}[{i} + 2:], '') AS r{n}" for n, (hs, i) in enumerate(_STEPS))
+_FOLDS = ", ".join(f"f{n + 1} AS (SELECT * EXCLUDE (f), CASE WHEN l{n} IS NULL THEN f ELSE sha256(concat(l{n}, f, r{n})) END AS f FROM f{n})" for n in range(len(_STEPS)))
+OP12 = f"""
+WITH d AS (
+  SELECT *, coalesce(concat('=', lang), '-') AS g, CASE WHEN doc_id IS NOT NULL THEN {_CRC.replace('x[', 'CAST(doc_id AS VARCHAR)[').replace('length(x)', 'length(CAST(doc_id AS VARCHAR))')} % 3 = 0 ELSE false END AS picked,
+    CASE WHEN text IS NOT NULL THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS low FROM documents
+),
+lf AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '-' ELSE g END AS g, {_leaf('text')} AS h, CASE WHEN picked AND text IS NOT NULL THEN {_leaf('low')} END AS altered FROM d),
+a0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM lf),
+{_tree('a', _INNER)},
+b0 AS (SELECT '' AS g, g AS lang_group, h, row_number() OVER (ORDER BY g) - 1 AS pos FROM a_top),
+{_tree('b', _OUTER)},
+f0 AS (SELECT a0.doc_id, a0.h AS leaf, b0.h AS subroot, (SELECT any_value(h) FROM b_top) AS root, coalesce(a0.altered, a0.h) AS f, {_SIDES} FROM a0 JOIN b0 ON b0.lang_group = a0.g {_JOINS}),
+{_FOLDS}
+SELECT doc_id, leaf, subroot, root, sha256(concat({', '.join(f'l{n}, r{n}' for n in range(len(_STEPS)))})) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{len(_STEPS)}
+"""
+
+ORACLES = {"op5_line_templates": OP5, "op6_decontaminate": OP6, "op10_substrings": OP10, "op12_manifest": OP12}
