@@ -121,4 +121,46 @@ f0 AS (SELECT a0.doc_id, a0.h AS leaf, b0.h AS subroot, (SELECT any_value(h) FRO
 SELECT doc_id, leaf, subroot, root, sha256(concat({', '.join(f'l{n}, r{n}' for n in range(len(_STEPS)))})) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{len(_STEPS)}
 """
 
-ORACLES = {"op5_line_templates": OP5, "op6_decontaminate": OP6, "op10_substrings": OP10, "op12_manifest": OP12}
+_KEY = "concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))"
+
+#: From the rule, one row after the other: the cheapest way into each state so far, then one edit between inserts.
+OP11 = f"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.replace('x[', f'{_KEY}[').replace('length(x)', f'length({_KEY})')} % 20 AS kind FROM conversations),
+dm AS (
+  SELECT coalesce(concat('=', conv_id), '-') AS k, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM src JOIN (VALUES (0), (1)) c(n) ON kind <> 0 AND (n = 0 OR kind = 3)
+),
+pl AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i, role[1:1] AS ini FROM dm),
+od AS (SELECT *, row_number() OVER (PARTITION BY k, role, text ORDER BY i) AS again FROM pl),
+ft AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN again > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '-' END AS f,
+    lag(ini) OVER (PARTITION BY k ORDER BY i) AS prior FROM od
+),
+st AS (
+  SELECT k, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+    count(*) FILTER (i > 1 AND concat(prior, ini) NOT IN ('su', 'ua', 'au')) AS illegal FROM ft GROUP BY k
+),
+e AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) v(p, c, q)),
+w AS (SELECT p, q, CASE c WHEN 'u' THEN 'user' ELSE 'assistant' END AS name FROM e WHERE c <> 's'),
+c0 AS (SELECT p, p AS q, 0 AS cost, '' AS a, '' AS t FROM (VALUES (0), (1), (2), (3)) v(p)),
+c1 AS (SELECT c0.p, w.q, cost + 5 AS cost, concat(a, 'I') AS a, concat(t, name, ':', chr(10)) AS t FROM c0 JOIN w ON w.p = c0.q),
+c2 AS (SELECT c1.p, w.q, cost + 5 AS cost, concat(a, 'I') AS a, concat(t, name, ':', chr(10)) AS t FROM c1 JOIN w ON w.p = c1.q),
+ins AS (SELECT p, q, min(struct_pack(cost := cost, a := a, t := t)) AS s FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2) GROUP BY p, q),
+ed AS MATERIALIZED (
+  SELECT k, i, p, q, CASE f WHEN 't' THEN 5 ELSE 0 END AS cost, 'K' AS a, concat(role, ':', text, chr(10)) AS t FROM ft JOIN e ON e.c = ini WHERE f IN ('-', 't')
+  UNION ALL SELECT k, i, p, p, CASE f WHEN 't' THEN 5 ELSE 0 END, 'K', concat(':', text, chr(10)) FROM ft, c0 WHERE f IN ('-', 't') AND ini = ''
+  UNION ALL SELECT k, i, p, q, CASE f WHEN 't' THEN 6 ELSE 1 END, 'R', concat(name, ':', text, chr(10)) FROM ft, w WHERE f IN ('-', 't')
+  UNION ALL SELECT k, i, p, p, 2, 'D', '' FROM ft, c0
+),
+r AS (
+  SELECT st.k, CAST(0 AS BIGINT) AS i, ins.q, ins.s FROM st, ins WHERE ins.p = 0
+  UNION ALL
+  SELECT r.k, r.i + 1, ins.q, min(struct_pack(cost := r.s.cost + ed.cost + ins.s.cost, a := concat(r.s.a, ed.a, ins.s.a), t := concat(r.s.t, ed.t, ins.s.t)))
+  FROM r JOIN ed ON ed.k = r.k AND ed.i = r.i + 1 AND ed.p = r.q JOIN ins ON ins.p = ed.q GROUP BY r.k, r.i, ins.q
+),
+best AS (SELECT r.k, min(r.s) AS s FROM r JOIN st ON st.k = r.k AND st.n = r.i WHERE r.q IN (0, 3) GROUP BY r.k)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.s.cost, 0) AS cost, coalesce(best.s.a, '') AS audit, sha256(coalesce(left(best.s.t, length(best.s.t) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(concat('=', conv_id), '-') AS k FROM conversations) c LEFT JOIN st ON st.k = c.k LEFT JOIN best ON best.k = c.k
+"""
+
+ORACLES = {"op5_line_templates": OP5, "op6_decontaminate": OP6, "op10_substrings": OP10, "op11_conversation_repair": OP11, "op12_manifest": OP12}
