@@ -84,7 +84,8 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["rank"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     digest = F.sha2(pii.as_text(F.col("base")).cast("binary"), 256)
-    return found.select("doc_id", *(count(k) for k in pii.KINDS[:4]), digest.alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+    sanitised = F.sha2(pii.redacted(F.col("text"), F.col("spans")).cast("binary"), 256).alias("sanitised_sha256")
+    return found.select("doc_id", *(count(k) for k in pii.KINDS[:4]), digest.alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"), sanitised)
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

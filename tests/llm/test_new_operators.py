@@ -328,3 +328,24 @@ def test_repaired_rows(spark):
     assert [tuple(r) for r in report.select("cost", "audit", "duplicate", "truncated", "illegal").collect()] == [(6, "DDKDK", 1, 1, 2)]
     assert [tuple(r) for r in fixed.orderBy("place").collect()] == [("=1", 0, "user", "So?"), ("=1", 1, "assistant", "Yes.")]
     assert fixed.where(F.col("role") == "tool").count() == 0
+
+
+# Personal data
+
+
+def test_sanitised_texts(spark, tmp_path):
+    """The sanitised text has a kind's label for each base span and no revealing term; it follows from the spans."""
+    texts = [None, "", "no data", "Mail a.b@c.example now", "+49 30 1234567 and 10.0.0.1, 4111 1111 1111 1111.", "É 😀 x@y.zz"] + [f"member{i} kestrelhead writes kes@bird.example today {i}" for i in range(12)] + ["kestrelhead alone"] + [f"unrelated line {i * 7919}" for i in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[4])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": ""}
+    by_id = dict(rows)
+    got = queries.op9_personal_data(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and any("term" in r.spans for r in got)
+    for r in got:
+        text, out, at = by_id[r.doc_id] or "", "", 0
+        for kind, start, end in (s.split(":") for s in r.spans.split(",") if s):
+            if int(start) >= at:
+                out += text[at : int(start)] + labels[kind]
+            at = max(at, int(end))
+        assert r.sanitised_sha256 == sha(out + text[at:])
