@@ -62,7 +62,7 @@ def test_item_signals(spark):
     rows = [("Limited shock drop", "exclusive collab", "http://x", 90.0, "HIGH"), ("Reprint restock", None, None, None, None), (None, None, None, 34.0, None)]
     got = routing.signal_evidence(spark.createDataFrame(rows, "title string, description string, url string, collector_score double, collector_level string")).collect()
     assert [(e.signal, e.weight) for e in got[0].evidence] == [("official_source", 12), ("limited_release", 12), ("exclusive", 10), ("collaboration", 10), ("shock_drop", 14), ("collector_interest", 10), ("collector_value", 16)]
-    assert got[0].score == 100 and got[0].evidence[-1].reason == "Pokémon collector score is 90/100 (HIGH)."
+    assert got[0].score == 100 and got[0].evidence[-1].reason == "Collectors rate it 90 of 100 (HIGH)."
     assert [(e.signal, e.weight) for e in got[1].evidence] == [("restock", -8), ("reprint", -12)] and got[1].score == 20
     assert got[2].evidence == [] and got[2].score == 40
 
