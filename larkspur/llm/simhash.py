@@ -1,17 +1,19 @@
-"""SimHash near-duplicates: tiled exact comparison of fingerprints, then connected components."""
+"""SimHash near-duplicates: tiled exact comparison of fingerprints, connected components; links of shingle sets by prefixes."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, light_batches
+from larkspur.llm.common import cut, few, light_batches
 from larkspur.llm.hashing import gram_hashes, mix, word_hashes
 from larkspur.operators.groups import components
 
@@ -65,6 +67,10 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
 WIDE_WORDS = 8
 #: Candidates share one of SKETCH_KEYS keys; each is made of the least hashes in SKETCH_ROWS bins of the shingles.
 SKETCH_KEYS, SKETCH_ROWS = 12, 4
+#: Texts sampled for the shingles that come last in the order of prefixes, and how many these may be.
+SAMPLE_ROWS, COMMON = 10_000, 100_000
+#: What rounding may take from a bound.
+SLACK = 1e-9
 
 
 def sketch_keys(grams: np.ndarray) -> np.ndarray:
@@ -81,24 +87,65 @@ def sketch_keys(grams: np.ndarray) -> np.ndarray:
     return np.array([gram_hashes(mix(row, i), SKETCH_ROWS)[0] for i, row in enumerate(least.reshape(SKETCH_KEYS, SKETCH_ROWS))], np.uint64)
 
 
-def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, mark (hash of the text), s0.. (SimHash over the distinct shingles of `size` words) and keys (for candidates)."""
+def _shingles(data: bytes, size: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles of `size` words (all words, if it has fewer), ascending."""
+    words = word_hashes(data.lower())
+    return np.unique(gram_hashes(words, min(size, len(words))) if len(words) else words)
+
+
+def _kept(n: int, similarity: float) -> int:
+    """How many first elements of a set of n, in any fixed order of all elements, hold one in common with each set that
+    is alike: at most n - similarity * n elements are not in common."""
+    return n - math.ceil(similarity * n - SLACK) + 1 if n else 0
+
+
+def common_shingles(docs: DataFrame, size: int) -> DataFrame:
+    """gram and often (in how many texts) of shingles that recur in a sample of about SAMPLE_ROWS texts, COMMON at most."""
     light_batches(docs.sparkSession)
-    names = [f"s{i}" for i in range(WIDE_WORDS)]
 
-    def one(data: bytes) -> tuple[list[int], np.ndarray]:
-        words = word_hashes(data.lower())
-        grams = np.unique(gram_hashes(words, min(size, len(words))) if len(words) else words)
-        return [_majority(mix(grams, i + 101)) for i in range(WIDE_WORDS)], sketch_keys(grams).view(np.int64)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"gram": np.concatenate([np.empty(0, np.int64), *(_shingles(bytes(b), size).view(np.int64) for b in rows["data"])])})
+
+    data = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+    share = 10**6 * SAMPLE_ROWS // max(SAMPLE_ROWS, docs.count())
+    some = data.where(F.pmod(F.xxhash64("data"), F.lit(10**6)) < share).distinct()
+    often = some.mapInPandas(run, "gram long").groupBy("gram").agg(F.count("*").alias("often"))
+    return often.where("often > 2").orderBy(F.desc("often"), "gram").limit(COMMON)
+
+
+def wide_fingerprints(docs: DataFrame, size: int, similarity: float, common: pd.DataFrame) -> DataFrame:
+    """For each row doc_id, mark (hash of the text), node (hash of the set of distinct shingles of `size` words) and n (its
+    size), s0.. (SimHash over the set), keys (for candidates) and prefix: the first shingles of the set, common ones last,
+    of which sets with a Jaccard similarity of `similarity` or more have at least one in common."""
+    light_batches(docs.sparkSession)
+    names = [f"s{i}" for i in range(WIDE_WORDS)]
+    common = common.sort_values(["often", "gram"])
+    grams, place = common["gram"].to_numpy(np.int64).view(np.uint64), np.arange(1, len(common) + 1)
+    place, grams = place[np.argsort(grams)], np.sort(grams)
+
+    def one(data: bytes) -> tuple:
+        found = _shingles(data, size)
+        n, ordered = len(found), found
+        if len(grams) and n:
+            at = np.minimum(np.searchsorted(grams, found), len(grams) - 1)
+            rank = np.where(grams[at] == found, place[at], 0)
+            if rank.any():
+                ordered = found[np.argsort(rank, kind="stable")]
+        node = mix(mix(found, 77).sum(dtype=np.uint64).reshape(1), n & 0xFFFFFFFF)[0]
+        prefix = ordered[: _kept(n, similarity)].view(np.int64)
+        return node, n, [_majority(mix(found, i + 101)) for i in range(WIDE_WORDS)], sketch_keys(found).view(np.int64), prefix
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            found = [one(bytes(b)) for b in rows["data"]]
-            bits = np.array([f for f, _ in found], np.uint64).reshape(-1, len(names)).view(np.int64)
-            yield pd.concat([rows[["doc_id", "mark"]].reset_index(drop=True), pd.DataFrame(bits, columns=names), pd.DataFrame({"keys": [k for _, k in found]})], axis=1)
+            node, n, bits, keys, prefix = zip(*(one(bytes(b)) for b in rows["data"]), strict=True) if len(rows) else [()] * 5
+            bits = np.array(bits, np.uint64).reshape(-1, len(names)).view(np.int64)
+            sets = pd.DataFrame({"node": np.array(node, np.uint64).view(np.int64), "n": np.array(n, np.int64)})
+            yield pd.concat([rows[["doc_id", "mark"]].reset_index(drop=True), sets, pd.DataFrame(bits, columns=names), pd.DataFrame({"keys": list(keys), "prefix": list(prefix)})], axis=1)
 
     data = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")).withColumn("mark", F.xxhash64("data"))
-    return data.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, node long, n long, "
+    return data.mapInPandas(run, schema + ", ".join(f"{n} long" for n in names) + ", keys array<long>, prefix array<long>")
 
 
 def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -297,52 +344,158 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 3) -> DataF
     return marked.join(classes, F.col("fp") == F.col("node_fp"), "left").select("doc_id", "fp", "component_id")
 
 
-def _shingles(data: bytes, size: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles of `size` words (all words, if it has fewer)."""
-    words = word_hashes(data.lower())
-    return np.unique(gram_hashes(words, min(size, len(words))) if len(words) else words)
-
-
-def verified(links: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The links (a, b) between nodes of texts (node, text) whose sets of shingles have a Jaccard similarity of `similarity`
-    or more; shingles are compared by 64-bit hashes, two empty sets are alike."""
-    light_batches(texts.sparkSession)
+def verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The links (a, b) between nodes (node, first: doc_id and mark of a text) whose sets of shingles have a Jaccard
+    similarity of `similarity` or more; shingles are compared by 64-bit hashes, two empty sets are alike."""
+    light_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             yield pd.DataFrame({"node": rows["node"], "grams": [_shingles(bytes(b), size).view(np.int64) for b in rows["data"]]})
 
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = texts.join(ends, "node", "left_semi").select("node", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
-    sets = cut(asked.mapInPandas(run, "node long, grams array<long>"))
+    asked = cut(nodes.select("node", "first").join(ends, "node", "left_semi"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")).withColumn("mark", F.xxhash64("data"))
+    texts = texts.join(few(asked), (F.col("mark") == F.col("first.mark")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select("node", "data").dropDuplicates(["node"])
+    sets = cut(texts.mapInPandas(run, "node long, grams array<long>"))
     both = links.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    enough = common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9
+    shared = F.size(F.array_intersect("x", "y"))
+    enough = shared >= similarity * (F.size("x") + F.size("y") - shared) - SLACK
     return both.where(enough).select("a", "b")
 
 
+def tile_meetings(node: np.ndarray, root: np.ndarray, n: np.ndarray, left: np.ndarray | None, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (x, y) of all pairs of rows in one tile whose roots differ and whose sizes allow the similarity; left:
+    which rows are of the first of two chunks that are compared across. No pair is made inside the largest class."""
+    roots, which, count = np.unique(root, return_inverse=True, return_counts=True)
+    if len(roots) == 1:
+        return
+    large = which == np.argmax(count)
+    rest, large = np.flatnonzero(~large), np.flatnonzero(large)
+    for other, among in ((rest, True), (large, False)):
+        other = other[np.argsort(n[other], kind="stable")]
+        sizes = n[other]
+        low = np.searchsorted(sizes, np.ceil(similarity * n[rest] - SLACK), "left")
+        high = np.searchsorted(sizes, np.floor((n[rest] + SLACK) / similarity), "right")
+        for at in range(0, len(rest), BLOCK_ROWS):
+            width = high[at : at + BLOCK_ROWS] - low[at : at + BLOCK_ROWS]
+            x = np.repeat(rest[at : at + BLOCK_ROWS], width)
+            y = other[np.arange(width.sum()) + np.repeat(low[at : at + BLOCK_ROWS] - (np.cumsum(width) - width), width)]
+            keep = root[x] != root[y]
+            if among:
+                keep &= node[x] < node[y]
+            if left is not None:
+                keep &= left[x] != left[y]
+            yield x[keep], y[keep]
+
+
+def _meeter(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Turn rows (tile, node, root, n, side) sorted by tile into the pairs that meet there; a tile may go on from one batch
+    to the next. side: 0 for rows compared among themselves, 1 and 2 for two chunks compared across."""
+
+    def out(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = np.where(rows[1, x] < rows[1, y], [x, y], [y, x])
+        for at in range(0, len(a), 1 << 17):
+            p, q = a[at : at + (1 << 17)], b[at : at + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[1, p], rows[1, q], rows[3, p], rows[3, q])], ["a", "b", "na", "nb"])
+
+    def meet(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        tile, node, root, n, side = rows
+        new = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+        count = np.diff(np.concatenate((new, [len(tile)])))
+        for at, m in zip(new[count > 16], count[count > 16], strict=True):
+            part = rows[:, at : at + m]
+            for x, y in tile_meetings(part[1], part[2], part[3], part[4] == 1 if part[4].any() else None, similarity):
+                yield from out(part, x, y)
+        few_rows, number = np.repeat(count <= 16, count), np.repeat(np.arange(len(new)), count)
+        for d in range(1, min(16, len(tile))):
+            x = np.flatnonzero(few_rows[:-d] & (number[:-d] == number[d:]))
+            if not len(x):
+                break
+            y = x + d
+            small, big = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            keep = (root[x] != root[y]) & (small >= similarity * big - SLACK) & ((side[x] == 0) | (side[x] != side[y]))
+            yield from out(rows, x[keep], y[keep])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]))
+            count += batch.num_rows
+            if count < 1 << 16:
+                continue
+            rows = np.concatenate(held, axis=1)
+            last = int(np.searchsorted(rows[0], rows[0, -1], "left"))
+            if last:
+                yield from meet(rows[:, :last])
+            held = [rows[:, last:]]
+            count = 0 if last == 0 else len(rows[0]) - last
+        if held and sum(h.shape[1] for h in held):
+            yield from meet(np.concatenate(held, axis=1))
+
+    return run
+
+
+def meetings(nodes: DataFrame, common: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a < b) of nodes (node, root, n, prefix) with different roots that can have a Jaccard similarity of `similarity`
+    or more; none that has is left out.
+
+    Such sets have a prefix shingle in common, so pairs meet at equal shingles. Of two prefixes of the same order, one ends
+    first; what its set has behind it bounds what the sets can share beyond the prefix shingles in common, which are
+    counted. Shingles of `common` (gram) that one root alone has are left out; if more than TILE_ROWS nodes have one,
+    these are dealt to chunks that are compared pair by pair.
+    """
+    tokens = nodes.select("node", "root", "n", F.explode("prefix").alias("token"))
+    grams = F.broadcast(common.select(F.col("gram").alias("token")))
+    seen = tokens.join(grams, "token").groupBy("token").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    seen = cut(seen.select("token", F.when(F.col("lo") < F.col("hi"), F.ceil(F.col("m") / TILE_ROWS).cast("int")).otherwise(0).alias("parts")))
+    dealt = tokens.join(F.broadcast(seen), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).where("parts > 0")
+    columns = lambda tile, side: (tile.alias("tile"), "node", "root", "n", side.cast("long").alias("side"))
+    single = dealt.where("parts = 1").select(*columns(F.col("token"), F.lit(0)))
+    c, other = F.col("c"), F.col("other")
+    split = dealt.where("parts > 1").withColumn("c", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("parts")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(c == other, 0).when(c < other, 1).otherwise(2)
+    split = split.select(*columns(F.xxhash64("token", F.least(c, other), F.greatest(c, other)), side))
+    tiles = single.unionByName(split).repartition("tile").sortWithinPartitions("tile")
+    met = tiles.mapInArrow(_meeter(similarity), "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    behind = lambda n: F.ceil(similarity * F.col(n) - SLACK) - 1
+    most = F.col("shared") + F.greatest(behind("na"), behind("nb"))
+    return met.where(most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - SLACK).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Near-duplicate classes by the Jaccard similarity of `size`-word shingles: texts linked by `similarity` or more.
 
-    Candidates share a key of a sketch of their shingles (sketch_keys) and differ in few bits of a SimHash of 512 bits over
-    shingles: sets with Jaccard similarity s have cosine 2s / (1 + s) when they are of one size, bits differ with probability
-    angle / pi, and the radius lies three standard deviations above the expectation. Of each tile's candidate links
-    those of a minimum spanning forest are compared by their whole sets of shingles, so that no link joins what is less alike.
-    Returns doc_id, mark (XXH64 of the text, to tell rows of one id apart) and component_id, as simhash_components does;
-    texts without words are alike.
+    First candidates share a key of a sketch of their shingles (sketch_keys) and differ in few bits of a SimHash of 512 bits
+    over shingles: sets with Jaccard similarity s have cosine 2s / (1 + s) when they are of one size, bits differ with
+    probability angle / pi, and the radius lies three standard deviations above the expectation. Of each tile's candidates
+    those of a minimum spanning forest are compared by their whole sets of shingles. This finds most links, not all; then
+    sets of different classes meet by a prefix of their shingles (meetings), which misses none, and are compared likewise.
+    The sample behind common_shingles settles the order of shingles only, so costs, not results, depend on it.
+    Returns doc_id, mark (XXH64 of the text, to tell rows of one id apart) and component_id: the smallest doc_id that can be
+    reached over links, itself included. Rows with a null id link like any other; their component_id is null where no row
+    with an id is reached. Rows of one id may have different texts, which are linked by their likeness only. Texts
+    without words are alike.
     """
     names = [f"s{i}" for i in range(WIDE_WORDS)]
-    marked = cut(wide_fingerprints(docs.select("doc_id", "text"), size))
-    one = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").cast("long").alias("node"), "mark"))).alias("one")
-    nodes = cut(marked.groupBy(*names).agg(one, F.first("keys").alias("keys")).where("one is not null").select(*names, "one.node", "one.mark", "keys"))
+    common = common_shingles(docs.select("text"), size).toPandas()
+    marked = cut(wide_fingerprints(docs.select("doc_id", "text"), size, similarity, common))
+    text = F.struct("doc_id", "mark")
+    first = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), text)), F.min(text)).alias("first")
+    nodes = cut(marked.groupBy("node").agg(first, *(F.first(c).alias(c) for c in ("n", *names, "keys", "prefix"))))
     p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
     bits = 64 * WIDE_WORDS
     radius = round(bits * p + 3 * (bits * p * (1 - p)) ** 0.5)
-    found = cut(link(nodes, F.col("keys"), names, radius, forest=True))
-    texts = docs.select("doc_id", "text").withColumn("m", F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    texts = texts.join(nodes.select("node", "mark"), (F.col("doc_id").cast("long") == F.col("node")) & (F.col("m") == F.col("mark")), "left_semi")
-    texts = texts.select(F.col("doc_id").cast("long").alias("node"), "text").dropDuplicates(["node", "text"])
-    roots = components(verified(found, texts, size, similarity))
-    classes = nodes.join(roots, "node", "left").select(*(F.col(c).alias(f"node_{c}") for c in names), F.coalesce("root", "node").alias("component_id"))
-    same = [F.col(c) == F.col(f"node_{c}") for c in names]
-    return marked.drop("keys").join(classes, same, "left").select("doc_id", "mark", "component_id")
+    found = cut(link(nodes.select("node", *names, "keys"), F.col("keys"), names, radius, forest=True))
+    links = cut(verified(found, nodes, docs, size, similarity))
+    classed = lambda roots: nodes.select("node", "n", "first", "prefix").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = components(links)
+    grams = docs.sparkSession.createDataFrame(common, "gram long, often long")
+    missed = cut(meetings(classed(roots), grams, similarity))
+    more = cut(verified(missed, nodes, docs, size, similarity))
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
+    members = classed(roots).select("node", "root", F.col("first.doc_id").cast("long").alias("least"))
+    least = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.select("doc_id", "mark", "node").join(members.join(least, "root").select("node", "component_id"), "node").select("doc_id", "mark", "component_id")

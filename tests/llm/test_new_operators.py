@@ -189,6 +189,56 @@ def test_near_duplicates_are_those_of_the_exact_rule(spark):
     assert all(got[i] == label[i] for i in label) and got[None] == 0 and 60 < len(set(label.values())) < len(texts)
 
 
+def test_near_duplicates_lose_no_link(spark, monkeypatch):
+    """Links at the threshold that differ in more bits than the radius (seeds found by search), that a spanning forest of
+    bits left out because its own links fail, that need a row without an id, and that only one of two texts of an id has."""
+    monkeypatch.setattr(simhash, "TILE_ROWS", 3)
+    monkeypatch.setattr(simhash, "SAMPLE_ROWS", 20)
+    rng = random.Random(5)
+    rows = []
+    for i, seed in enumerate((1675, 1896, 3627, 4049, 28, 47, 164, 172)):
+        word = random.Random(seed)
+        text = [f"w{word.randrange(10**6)}" for _ in range(49)]
+        rows += [(10 * i, text), (10 * i + 1, [*text[:20], "x", *text[21:]])]
+        if i >= 4:
+            rows.append((10 * i + 2, [*text[:20], f"x{seed}", *text[21:], "z"]))
+    chain = [f"c{rng.randrange(10**6)}" for _ in range(49)]
+    rows += [(200, [*chain, "a", "b", "c"]), (None, [*chain, "a"]), (201, [*chain[4:], "a", "d", "e"]), (None, [*chain, "a", "b"])]
+    other = [[f"{p}{rng.randrange(10**6)}" for _ in range(49)] for p in "pq"]
+    rows += [(300, other[0]), (300, other[1]), (301, [*other[1], "a"]), (299, [*other[0], "a"])]
+    hot = [f"h{rng.randrange(10**6)}" for _ in range(9)]
+    rows += [(400 + i, [*hot, *(f"r{rng.randrange(10**6)}" for _ in range(2 + i % 3))]) for i in range(12)]
+    rows += [(450, rows[-1][1]), (451, [*rows[-1][1], "a"])]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for _, w in rows]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if len(x & y) >= 0.8 * len(x | y) - 1e-9:
+                    label[i] = label[j] = min(label[i], label[j])
+    least = {c: min((r[0] for r, k in zip(rows, label, strict=True) if k == c and r[0] is not None), default=None) for c in label}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    marks = [r[0] for r in docs.select(F.xxhash64(F.col("text").cast("binary"))).collect()]
+    got = sorted(((r.doc_id or -1, r.mark, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted(((r[0] or -1, m, least[c]) for r, m, c in zip(rows, marks, label, strict=True)), key=str)
+    assert least[label[-1]] == 400 + 11 and len(set(label)) > 20
+
+
+def test_meetings_are_all_pairs_of_other_classes_that_can_be_alike(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE_ROWS", 8)
+    rng = random.Random(6)
+    pools = [[rng.getrandbits(63) for _ in range(24)] for _ in range(3)]
+    sets = list({frozenset(rng.sample(rng.choice(pools), rng.randrange(17, 25))) for _ in range(200)} | {frozenset([7])})
+    often = {g for pool in pools for g in pool[:12]}
+    for similarity in (0.8, 0.6):
+        rows = [(i, i % 150, len(s), sorted(s, key=lambda g: (g in often, g))[: simhash._kept(len(s), similarity)]) for i, s in enumerate(sets)]
+        nodes = spark.createDataFrame(rows, "node long, root long, n long, prefix array<long>")
+        common = spark.createDataFrame([(g,) for g in often], "gram long")
+        got = [tuple(r) for r in simhash.meetings(nodes, common, similarity).collect()]
+        alike = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and i % 150 != j % 150 and len(x & y) >= similarity * len(x | y) - 1e-9}
+        assert alike <= set(got) and len(set(got)) == len(got) and all(a % 150 != b % 150 for a, b in got) and alike
+
+
 def test_forest_links_what_the_tile_links(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, (6, 2), dtype=np.uint64)
