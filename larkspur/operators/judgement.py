@@ -57,20 +57,22 @@ def judge_docs(detections: DataFrame, identified: DataFrame, threshold: float =
     """For each document of `identified` (seq, has_identity): relevance, confidence, create and reason.
 
     relevance is the sum of each signal's weight times its best confidence in percent, 0 to 100; confidence the mean of
-    the detections that weigh something, else of all, to two places (0 without any). A document makes no opportunity
+    the detections that weigh something, else of all, to two places (0 without any; a half of what 100 times it gives goes to the
+    even side). Sums are exact, so they don't depend on the order of rows. A document makes no opportunity
     without an identity (missing_product_identity); below the threshold, unless signals that count TOGETHER are there, a
     resale price is RESALE_TIMES the spending or more (of each the first by `at`, both known), or one that counts ALONE is
     there and relevance reaches 0.6 of it (below_threshold); with WEAK signals only (only_weak_signals). Detections (seq,
     at, signal, confidence, certainty, value) of other documents are left out; give those of with_difficulty.
     """
     weighed = detections.withColumn("w", _of(WEIGHTS, F.col("signal")))
-    each = weighed.groupBy("seq", "signal").agg(F.max(F.col("w") * F.col("confidence") / 100).alias("points"), F.sum("confidence").alias("sum"), F.count("*").alias("n"), F.first("w").alias("w"), F.min(F.struct("at", "value")).alias("first"))
+    exact = lambda c: F.sum(c.cast("decimal(24,14)"))  # noqa: E731  whatever order rows come in
+    each = weighed.groupBy("seq", "signal").agg(F.max(F.col("w") * F.col("confidence") / 100).alias("points"), exact(F.col("confidence")).alias("sum"), F.count("*").alias("n"), F.first("w").alias("w"), F.min(F.struct("at", "value")).alias("first"))
     of = lambda names: F.min(F.when(F.col("signal").isin(*names), F.col("first")))["value"]
     heavy = F.col("w") > 0
     docs = each.groupBy("seq").agg(
-        F.least(F.lit(100.0), F.sum("points")).alias("relevance"),
-        (F.sum(F.when(heavy, F.col("sum"))) / F.sum(F.when(heavy, F.col("n")))).alias("heavy_mean"),
-        (F.sum("sum") / F.sum("n")).alias("mean"),
+        F.least(F.lit(100.0), exact(F.col("points")).cast("double")).alias("relevance"),
+        (F.sum(F.when(heavy, F.col("sum"))).cast("double") / F.sum(F.when(heavy, F.col("n")))).alias("heavy_mean"),
+        (F.sum("sum").cast("double") / F.sum("n")).alias("mean"),
         F.collect_set("signal").alias("have"),
         of((RESALE,)).alias("resale"),
         of(SPENDING).alias("spend"),
@@ -84,5 +86,5 @@ def judge_docs(detections: DataFrame, identified: DataFrame, threshold: float =
     passes = (F.col("relevance") >= threshold) | strong | (some(ALONE) & (F.col("relevance") >= threshold * 0.6))
     weak = F.size(F.array_except("have", F.array(*(F.lit(w) for w in WEAK)))) == 0
     reason = F.when(~F.col("known"), "missing_product_identity").when(~passes, "below_threshold").when(weak, "only_weak_signals")
-    confidence = F.bround(F.coalesce("heavy_mean", "mean", F.lit(0.0)), 2)
+    confidence = F.rint(F.coalesce("heavy_mean", "mean", F.lit(0.0)) * 100) / 100
     return known.select("seq", "relevance", confidence.alias("confidence"), reason.isNull().alias("create"), reason.alias("reason"))

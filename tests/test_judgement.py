@@ -45,3 +45,11 @@ def test_weak_signals_above_a_low_threshold(spark):
     rows = spark.createDataFrame([(1, 1, "STATUS_RESTOCKED", 90.0, "confirmed", None)], SCHEMA)
     identified = spark.createDataFrame([(1, True), (2, None)], "seq int, has_identity boolean")
     assert [r.reason for r in judgement.judge_docs(rows, identified, 1.0).orderBy("seq").collect()] == ["only_weak_signals", "missing_product_identity"]
+
+
+def test_means_near_a_half_and_sums_in_any_order(spark):
+    got = judged(spark, [("RAPID_SELLOUT", 65.02), ("HIGH_DEMAND", 65.03)], [("RAPID_SELLOUT", 65.0), ("HIGH_DEMAND", 65.25)])
+    assert [c for _, c, _ in got] == [65.03, 65.12]  # 65.025 * 100 lies above a half, 65.125 * 100 is one
+    parts = [("COLLABORATION", 62.0), ("LIMITED_QUANTITY", 46.0), ("STATUS_SOLD_OUT", 47.0), ("LOW_STOCK", 53.0)]
+    both = {round(r, 14) for n in range(4) for r, _, _ in judged(spark, parts[n:] + parts[:n])}
+    assert both == {21.0}
