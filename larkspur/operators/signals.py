@@ -15,11 +15,47 @@ ESTIMATE_MARKERS = ("approximately", "expected", "projected", "reportedly", "bel
 RUMOR_MARKERS = ("rumor", "rumored", "leak", "leaked", "unconfirmed", "allegedly", "possibly", "may release", "might release", "supposedly")
 
 
+#: Signs before a place in which its last words are looked for first, and matches that are taken together for the same.
+_TAIL, _STEPS = 200, 8
+
+
+def _last_words(before: Column, window: int) -> Column:
+    """Words at the end of a text, at least `window` whole ones where it has so many. All words are looked for only if its last
+    signs don't hold more."""
+    words = lambda t: F.regexp_extract_all(F.lower(t), F.lit("[a-z']+"), F.lit(0))
+    return let(words(F.right(before, F.lit(_TAIL))), lambda w: F.when((F.size(w) > window) | (F.length(before) <= _TAIL), w).otherwise(words(before)))
+
+
+def _denied(words: Column, triggers: Sequence[str], window: int) -> Column:
+    return let(words, lambda w: F.arrays_overlap(F.slice(w, F.greatest(F.size(w) - window + 1, F.lit(1)), window), F.array(*(F.lit(t) for t in triggers))))
+
+
 def negated(text: Column, start: Column, triggers: Sequence[str] = NEGATIONS, window: int = 4) -> Column:
     """Whether one of the `window` words before a place (from 0) denies it."""
-    before = F.regexp_extract_all(F.lower(F.substring(text, F.lit(1), start)), F.lit("[a-z']+"), F.lit(0))
-    last = F.slice(before, F.greatest(F.size(before) - window + 1, F.lit(1)), window)
-    return F.arrays_overlap(last, F.array(*(F.lit(t) for t in triggers)))
+    return let(F.substring(text, F.lit(1), start), lambda before: _denied(_last_words(before, window), triggers, window))
+
+
+def first_match(text: Column, pattern: Column, triggers: Sequence[str] = NEGATIONS, window: int = 4) -> Column:
+    """The first match (start, end, match) of a pattern that isn't negated; null without one. A text is read up to its first
+    match only, and in whole where that is negated; time grows with its length, however many matches it has."""
+
+    def found(start: Column, match: Column) -> Column:
+        return let(F.struct(start.alias("s"), match.alias("m")), lambda x: F.struct(x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("end"), x["m"].alias("match")))
+
+    def later(x: Column) -> Column:
+        """x has all matches and pieces. Steps are the texts from one match's begin to the next one's; the last words before a
+        match stand in the steps before it, mostly in the last ones."""
+        joined = lambda s, first, n: F.array_join(F.slice(s, first, n), "")
+        near = lambda s, i: joined(s, F.greatest(i - _STEPS + 2, F.lit(1)), F.least(i + 1, F.lit(_STEPS)))
+        words = lambda s, i: let(let(near(s, i), lambda t: _last_words(t, window)), lambda w: F.when((F.size(w) > window) | (i < _STEPS), w).otherwise(let(joined(s, F.lit(1), i + 1), lambda t: _last_words(t, window))))
+        place = lambda s: F.array_position(F.transform(x["m"], lambda _, i: _denied(words(s, i), triggers, window)), False).cast("int")
+        start = lambda s, k: F.aggregate(F.slice(s, F.lit(1), k), F.lit(0), lambda a, t: a + F.length(t))
+        steps = F.transform(x["p"], lambda p, i: F.concat(F.when(i > 0, F.get(x["m"], i - 1)).otherwise(""), p))
+        return let(steps, lambda s: let(place(s), lambda k: F.when(k > 0, found(start(s, k), F.get(x["m"], k - 1)))))
+
+    every = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.split(text, pattern).alias("p"))
+    first = lambda before: F.when(_denied(_last_words(before, window), triggers, window), let(every, later)).otherwise(found(F.length(before), F.regexp_substr(text, pattern)))
+    return let(F.split(text, pattern, F.lit(2)), lambda parts: F.when(F.size(parts) > 1, let(parts[0], first)))
 
 
 def certainty(text: Column, start: Column, window: int = 70, rumors: Sequence[str] = RUMOR_MARKERS, estimates: Sequence[str] = ESTIMATE_MARKERS) -> Column:
@@ -84,17 +120,14 @@ def detect_signals(docs: DataFrame, table: Mapping[str, Sequence[tuple[str, int]
 
 def detect_keywords(docs: DataFrame, rules: Sequence[tuple[str, int, tuple[str, ...]]], triggers: Sequence[str] = NEGATIONS, rumors: Sequence[str] = RUMOR_MARKERS, estimates: Sequence[str] = ESTIMATE_MARKERS) -> DataFrame:
     """(seq, signal, confidence, start, end, match, certainty): for each rule (signal, confidence, patterns) the first
-    match that isn't negated of the first pattern that has one. Texts in which a rule's patterns don't occur cost one
-    test. docs has seq and text; null texts have no signals."""
+    match that isn't negated of the first pattern that has one. docs has seq and text; null texts have no signals."""
     text = F.col("text")
-    kind = "struct<start:int,end:int,match:string>"
-    found = []
-    for signal, confidence, patterns in rules:
-        first = [F.try_element_at(F.filter(placed(text, F.lit("(?i)" + p)), lambda m: ~negated(text, m["start"], triggers)), F.lit(1)) for p in patterns]
-        hit = F.when(text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.coalesce(*first)).otherwise(F.lit(None).cast(kind))
-        found.append(F.when(hit.isNotNull(), F.struct(F.lit(signal).alias("signal"), F.lit(confidence).alias("confidence"), hit["start"].alias("start"), hit["end"].alias("end"), hit["match"].alias("match"))))
-    rows = docs.where(text.isNotNull()).select("seq", "text", F.explode(F.array_compact(F.array(*found))).alias("d"))
-    return rows.select("seq", "d.*", certainty(text, F.col("d.start"), 70, rumors, estimates).alias("certainty"))
+    every = F.array(*(F.struct(F.lit(signal).alias("signal"), F.lit(confidence).alias("confidence"), F.array(*(F.lit("(?i)" + p) for p in patterns)).alias("patterns")) for signal, confidence, patterns in rules))
+    first = lambda patterns: F.get(F.filter(F.transform(patterns, lambda p: first_match(text, p, triggers)), lambda m: m.isNotNull()), F.lit(0))
+    hits = F.transform(every, lambda r: F.struct(r["signal"].alias("signal"), r["confidence"].alias("confidence"), first(r["patterns"]).alias("hit")))
+    # explode() would make Spark look for hits twice, once to leave out rows without.
+    rows = docs.where(text.isNotNull()).select("seq", "text", F.explode_outer(hits).alias("d")).where("d.hit is not null")
+    return rows.select("seq", "d.signal", "d.confidence", "d.hit.*", certainty(text, F.col("d.hit.start"), 70, rumors, estimates).alias("certainty"))
 
 
 #: Forms of amounts and words of their roles: fixed values.
