@@ -100,7 +100,9 @@ def record_issues(
 def validate(records: DataFrame, issues: Column, strict: bool = False) -> DataFrame:
     """Add issues and valid (no error among them); with `strict` warnings count as errors and become such."""
     raised = F.transform(issues, lambda x: x.withField("severity", F.lit(ERROR))) if strict else issues
-    return records.withColumn("issues", raised).withColumn("valid", ~F.exists("issues", lambda x: x["severity"] == ERROR))
+    # A generator keeps Spark from judging each record again where it filters by valid.
+    judged = records.drop("issues").select("*", F.explode(F.array(F.struct(raised.alias("issues")))).alias("__judged"))
+    return judged.withColumns({"issues": F.col("__judged.issues"), "valid": ~F.exists("__judged.issues", lambda x: x["severity"] == ERROR)}).drop("__judged")
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
